@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, tokens
+from . import decontaminate, lm, neardup, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
 
 
+def op7_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return neardup.near_duplicates(docs, k=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op6_token_counts, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op6_token_counts, op7_lattice_score, op10_near_duplicates)}
 ORACLES: dict[str, str] = {}
