@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm, mixing, neardup, quality, tokens
+from . import decontaminate, lm, mixing, neardup, pii, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +38,15 @@ def op7_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return neardup.near_duplicates(docs, k=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_mix, op4_quality, op6_token_counts, op7_lattice_score, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_mix, op4_quality, op6_token_counts, op7_lattice_score, op8_pii, op10_near_duplicates)}
 ORACLES: dict[str, str] = {}
