@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm, mixing, neardup, pii, quality, tokens
+from . import decontaminate, html, lm, mixing, neardup, pii, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +43,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op9_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return neardup.near_duplicates(docs, k=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_mix, op4_quality, op6_token_counts, op7_lattice_score, op8_pii, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_mix, op4_quality, op6_token_counts, op7_lattice_score, op8_pii, op9_extract_text, op10_near_duplicates)}
 ORACLES: dict[str, str] = {}
