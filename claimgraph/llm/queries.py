@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, lm, mixing, neardup, pii, quality, tokens
+from . import chat, decontaminate, html, licenses, lm, mixing, neardup, pii, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per turn; the rendered parts of a conversation follow each other by turn (place, an internal number, is left out)."""
+    fixed = chat.repair(table(spark, sf_dir, "conversations"))
+    return fixed.select("conv_id", "turn", "role", "new_role", "action", "inserted", "rendered")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -28,6 +34,15 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files source/lang/doc_id; those that end in a licence statement stand for their directory's licence file."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.col("doc_id").cast("string"))
+    last_line = F.element_at(F.split(F.btrim(F.coalesce("text", F.lit(""))), "\n"), -1)
+    files = docs.select("doc_id", path.alias("path"), "text")
+    return licenses.scan(files, license_file=last_line.rlike(r"(?i)licen[sc]e"), keep=["doc_id", "path"])
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
@@ -52,5 +67,5 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, k=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_mix, op4_quality, op6_token_counts, op7_lattice_score, op8_pii, op9_extract_text, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_decontaminate, op3_mix, op4_quality, op5_licenses, op6_token_counts, op7_lattice_score, op8_pii, op9_extract_text, op10_near_duplicates)}
 ORACLES: dict[str, str] = {}
