@@ -178,13 +178,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **options) -> DataFrame:
     """The documents that the mix takes, with size, source_size, target, taken and pieces; input columns of these names are
     replaced. A document of the mix keeps its whole text; pieces say which of its words which shard holds, and how often."""
-    (place,) = fresh(docs, "place")
-    mixed = mix(docs, id_col, text_col, source_col, seed=seed, **options)
-    keyed = without(docs, *OUTPUTS).withColumn(place, F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
-    # Rows with equal (id, text, source) are copies: the k-th of the one side goes with the k-th of the other.
-    nth, nth_here = fresh(keyed, "nth", "nth_here")
-    here = keyed.withColumn(nth_here, F.row_number().over(Window.partitionBy(place, f"`{source_col}`").orderBy(F.lit(0))))
-    found = mixed.withColumn(nth, F.row_number().over(Window.partitionBy("place", "source").orderBy(F.desc("taken"))))
-    found = found.where("taken > 0").select(F.col("place").alias(place), F.col("source").alias("__source"), F.col(nth), *OUTPUTS)
-    kept = here.join(found.withColumnRenamed(place, "__place"), (F.col(place) == F.col("__place")) & F.col(f"`{source_col}`").eqNullSafe(F.col("__source")) & (F.col(nth_here) == F.col(nth)))
+    place, nth, key, home, order = fresh(docs, "mix_place", "mix_nth", "mix_key", "mix_home", "mix_order")
+    mixed = written(mix(docs, id_col, text_col, source_col, seed=seed, **options), "mixed")
+    here = without(docs, *OUTPUTS).withColumn(place, F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+    found = mixed.select(F.col("place").alias(key), F.col("source").alias(home), *OUTPUTS)
+    on = (F.col(place) == F.col(key)) & F.col(f"`{source_col}`").eqNullSafe(F.col(home))
+    if mixed.groupBy("place", "source").count().where("count > 1").limit(1).count():
+        # Equal rows may be taken differently: the k-th of the one side goes with the k-th of the other.
+        here = here.withColumn(nth, F.row_number().over(Window.partitionBy(place, f"`{source_col}`").orderBy(place)))
+        found = found.withColumn(order, F.row_number().over(Window.partitionBy(key, home).orderBy(F.desc("taken"))))
+        on = on & (F.col(nth) == F.col(order))
+    kept = here.join(found.where("taken > 0"), on)
     return kept.select(*[F.col(f"`{c}`") for c in without(docs, *OUTPUTS).columns], *OUTPUTS)

@@ -185,7 +185,10 @@ def _judged(stats: DataFrame, params: DataFrame) -> DataFrame:
     joined = stats.join(params, ["lang_key", "source_key"], "left")
     d2 = _distance({name: F.col(name) for name, _ in FEATURES}) * F.col("n_words") / (F.col("n_words") + SHORT)
     cutoff = chi2_quantile(1 - TAIL, P)
-    return joined.withColumn("distance", F.sqrt(d2)).withColumn("kept", ~F.col("base_failed") & (F.coalesce(d2, F.lit(0.0)) <= cutoff))
+    # One sum, not a conjunction: the optimizer would push the base rule alone below the join and inline into its lambdas
+    # the arrays that measured() computes once.
+    verdict = F.coalesce(d2, F.lit(0.0)) + F.col("base_failed").cast("double") * 1e300 <= cutoff
+    return joined.withColumn("distance", F.sqrt(d2)).withColumn("kept", verdict)
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
