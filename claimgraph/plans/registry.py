@@ -1,6 +1,344 @@
-"""Every query over the library's own operators, with the SQL that gives the same rows."""
+"""Every query over the library's own operators, with DuckDB SQL that gives the same rows.
+
+The driver's tables hold no patents, so each operator runs on a table of like structure; tests run them on patents.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import clean, tokens
+from ..operators import classify, graph, lexicon, numbering, ordered, segments
+from ..sources import patents
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- cleaning ---------------------------------------------------------------------------------------------------------
+
+PHRASES = ("the of", "with by", "and the", "de la")
+
+
+def _turnovers_sql(c: str) -> str:
+    for p in PHRASES:
+        c = f"replace(replace({c}, ', {p},', ''), ' {p} ', ' ')"
+    return c
+
+
+@query("""SELECT page_id, regexp_replace(regexp_replace(html, '<.*?>', ' ', 'g'), '\\s{2,}', ' ', 'g') AS text FROM pages""")
+def clean_tags(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", clean.single_spaces(clean.clear_tags(F.col("html"))).alias("text"))
+
+
+@query("""SELECT doc_id, regexp_replace(regexp_replace(text, '\\([^)]*\\)(, \\([^)]*\\))*', '', 'g'), '^[0-9]+\\.?\\s?', '', 'g') AS text FROM documents""")
+def clean_brackets(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", clean.clear_first_number(clean.clear_brackets(F.col("text"))).alias("text"))
+
+
+@query(
+    "SELECT page_id, list_reduce(list_prepend(html, regexp_extract_all(html, '&#?[a-z0-9]+;')), lambda t, e: replace(t, e, CASE e "
+    + " ".join(f"WHEN '{e}' THEN '{v}'" for e, v in clean.ENTITIES.items())
+    + " ELSE e END)) AS text FROM pages"
+)
+def replace_entities(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", clean.replace_entities(F.col("html")).alias("text"))
+
+
+@query(f"SELECT doc_id, {_turnovers_sql('text')} AS text FROM documents")
+def clear_turnovers(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", clean.clear_turnovers(F.col("text"), PHRASES).alias("text"))
+
+
+@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(\\s,)+', ',', 'g'), ',\\s?\\.', '.', 'g'), '([0-9]+) (-[0-9]+)', '\\1\\2', 'g') AS text FROM documents""")
+def merge_punctuation(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", clean.correct_dashes(clean.merge_commas(F.col("text"))).alias("text"))
+
+
+@query("""SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CASE WHEN o_orderstatus IS NOT NULL AND nullif(o_orderpriority, '1-URGENT') IS NOT NULL THEN concat_ws('_', CAST(o_orderkey AS VARCHAR), o_orderstatus, nullif(o_orderpriority, '1-URGENT')) END AS code FROM orders""")
+def patent_code(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    return o.select("o_orderkey", clean.all_or_null(F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.nullif("o_orderpriority", F.lit("1-URGENT"))).alias("code"))
+
+
+@query("""SELECT p_partkey, CASE WHEN length(p_name) > 20 THEN substr(p_name, 1, 20) || '...' ELSE p_name END AS label FROM part""")
+def node_labels(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", clean.node_label(F.col("p_name")).alias("label"))
+
+
+@query("""SELECT doc_id, lower(trim(string_split(text, ' the ')[1])) AS left_text, lower(trim(coalesce(string_split(text, ' the ')[2], ''))) AS right_text FROM documents""")
+def split_at_verb(spark, sf_dir):
+    sides = clean.around_verb(F.col("text"), F.lit(" the "))
+    return read(spark, sf_dir, "documents").select("doc_id", sides["left"].alias("left_text"), sides["right"].alias("right_text"))
+
+
+# --- segments ---------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT doc_id, text, strpos(text, '. ') AS cut_at FROM documents),
+parts AS (SELECT doc_id, CASE WHEN cut_at > 0 THEN [substr(text, 1, cut_at - 1), substr(text, cut_at + 2)] ELSE [text] END AS parts FROM p),
+s AS (SELECT doc_id, len(parts) AS n, unnest(parts) AS part_text, generate_subscripts(parts, 1) AS i FROM parts),
+c AS (SELECT doc_id, n, i, unnest(string_split_regex(part_text, ',|;')) AS text, generate_subscripts(string_split_regex(part_text, ',|;'), 1) AS k FROM s),
+r AS (SELECT doc_id, CASE WHEN n = 1 THEN 0 ELSE i END AS part, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS seg_id, trim(text) AS text FROM c)
+SELECT doc_id, CAST(part AS INTEGER) AS part, CAST(seg_id AS INTEGER) AS seg_id, text FROM r WHERE text <> ''""")
+def segment_clauses(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = F.when(F.instr("text", ". ") > 0, F.split("text", r"\. ", 2)).otherwise(F.array("text"))
+    return segments.clause_segments(docs, ["doc_id"], parts)
+
+
+@query("""SELECT doc_id, CASE WHEN strpos(text, '. ') > 0 THEN substr(text, 1, strpos(text, '. ') - 1) ELSE text END AS first_part, CASE WHEN strpos(text, '. ') > 0 THEN substr(text, strpos(text, '. ') + 2) END AS second_part FROM documents""")
+def split_two_parts(spark, sf_dir):
+    parts = clean.split_parts(F.col("text"), (r"\. ",))
+    return read(spark, sf_dir, "documents").select("doc_id", F.get(parts, F.lit(0)).alias("first_part"), F.get(parts, F.lit(1)).alias("second_part"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS rn FROM l WHERE regexp_matches(line, '(?i)\\b(the|que|der) [a-z]+tion'))
+SELECT doc_id, line FROM m WHERE rn = 1""")
+def first_matching_line(spark, sf_dir):
+    line = F.get(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"(?i)\b(the|que|der) [a-z]+tion")), F.lit(0))
+    return read(spark, sf_dir, "documents").select("doc_id", line.alias("line")).where("line is not null")
+
+
+@query("""SELECT doc_id FROM documents WHERE strpos(text, 'License') = 0 AND strpos(text, '|') IN (0, 1)""")
+def device_filter(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where(~F.contains("text", F.lit("License")) & F.instr("text", "|").isin(0, 1)).select("doc_id")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'B' WHEN 'assistant' THEN 'I' ELSE 'O' END AS bio FROM conversations),
+f AS (SELECT *, CASE WHEN bio = 'O' AND lag(bio) OVER w <> 'O' THEN 1 ELSE 0 END AS up FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+m AS (SELECT conv_id, turn, CASE WHEN bio = 'O' THEN 'O' ELSE CAST(1 + sum(up) OVER (PARTITION BY conv_id ORDER BY turn) AS VARCHAR) END AS mark FROM f)
+SELECT conv_id, string_agg(mark, ' ' ORDER BY turn) AS marks FROM m GROUP BY conv_id""")
+def phrase_numbers(spark, sf_dir):
+    bio = F.when(F.col("role") == "user", "B").when(F.col("role") == "assistant", "I").otherwise("O")
+    packed = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", bio.alias("bio")))).alias("s"))
+    return packed.select("conv_id", F.array_join(tokens.phrase_numbers(F.transform("s", lambda x: x["bio"])), " ").alias("marks"))
+
+
+# --- order ------------------------------------------------------------------------------------------------------------
+
+_SYMBOLS = {"signup": "N", "click": "V<F>", "view": "CC", "purchase": "который", "error": "-"}
+
+
+@query(
+    "WITH s AS (SELECT user_id, list(CASE event_type "
+    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SYMBOLS.items())
+    + " END ORDER BY event_id) AS a FROM events GROUP BY user_id), f AS (SELECT user_id, list_reduce(list_prepend('P0', a), lambda st, i: CASE st || '~' || i "
+    + " ".join(f"WHEN '{s}~{i}' THEN '{t}'" for (s, i), t in classify.TRANSITIONS.items())
+    + " ELSE st END) AS state FROM s) SELECT user_id, state, CASE state "
+    + " ".join(f"WHEN '{s}' THEN '{t}'" for s, t in classify.FINAL.items())
+    + " END AS type FROM f"
+)
+def template_states(spark, sf_dir):
+    symbol = F.create_map(*[F.lit(x) for p in _SYMBOLS.items() for x in p])
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", F.try_element_at(symbol, F.col("event_type")).alias("symbol"))
+    names = F.create_map(*[F.lit(x) for p in classify.FINAL.items() for x in p])
+    return ordered.run_state(e, ["user_id"], "event_id", "symbol", classify.TRANSITIONS, "P0", "state").select("user_id", "state", F.try_element_at(names, F.col("state")).alias("type"))
+
+
+@query("""SELECT event_id, user_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS near_id FROM events""")
+def nearest_preceding(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return ordered.nearest_preceding(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "click", F.col("event_id"), "near_id").select("event_id", "user_id", "near_id")
+
+
+@query("""SELECT event_id, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS gap_parent FROM events""")
+def gap_parent(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return ordered.nearest_preceding(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "view", F.col("event_id"), "gap_parent", back=2).select("event_id", "gap_parent")
+
+
+@query("""WITH g AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS grp FROM events)
+SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id, grp ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM g""")
+def carry_with_reset(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    kind = F.col("event_type")
+    return ordered.carry(e, ["user_id"], ["ts", "event_id"], kind == "purchase", F.col("event_id"), kind == "error", "carried").select("event_id", "carried")
+
+
+@query("""SELECT conv_id, turn, lag(role) OVER w AS before, lead(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def neighbour_segments(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return ordered.neighbours(c, ["conv_id"], ["turn"], "role", "before", "after").select("conv_id", "turn", "before", "after")
+
+
+@query("""WITH a AS (SELECT event_type, event_id AS left_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WHERE user_id % 2 = 0),
+b AS (SELECT event_type, event_id AS right_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WHERE user_id % 2 = 1)
+SELECT event_type, CAST(k AS INTEGER) AS k, left_id, right_id FROM a JOIN b USING (event_type, k)""")
+def kth_occurrence(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    side = lambda r, name: e.where(F.col("user_id") % 2 == r).select("event_type", F.col("event_id").alias(name))
+    return ordered.kth_occurrence_join(side(0, "left_id"), side(1, "right_id"), "event_type", "left_id", "right_id").select("event_type", "k", "left_id", "right_id")
+
+
+@query("""SELECT user_id, event_type, min(event_id) AS first_at, CAST(row_number() OVER (PARTITION BY user_id ORDER BY min(event_id), event_type) AS INTEGER) AS verb_key FROM events GROUP BY user_id, event_type""")
+def verb_keys(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    return ordered.first_keys(e, ["user_id"], "event_type", "event_id", "verb_key")
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_suppkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber DESC, l_partkey DESC) AS rn FROM lineitem)
+SELECT l_orderkey, l_suppkey, l_linenumber, l_partkey FROM r WHERE rn = 1""")
+def edges_last_win(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_partkey")
+    return ordered.last_wins(li, ["l_orderkey", "l_suppkey"], ["l_linenumber", "l_partkey"])
+
+
+# --- dictionaries -----------------------------------------------------------------------------------------------------
+
+
+@query("""WITH syn(w, t) AS (VALUES ('signup', 'click')), comp(k, v) AS (VALUES ('click', 'comp'), ('view', 'comp')), conn(k, v) AS (VALUES ('view', 'conn'), ('error', 'conn'))
+SELECT event_id, coalesce(comp.v, conn.v) AS type FROM events LEFT JOIN syn ON syn.w = event_type LEFT JOIN comp ON comp.k = coalesce(syn.t, event_type) LEFT JOIN conn ON conn.k = coalesce(syn.t, event_type)""")
+def verb_types(spark, sf_dir):
+    comp = spark.createDataFrame([("click", "comp"), ("view", "comp")], "key string, type string")
+    conn = spark.createDataFrame([("view", "conn"), ("error", "conn")], "key string, type string")
+    syn = spark.createDataFrame([("signup", "click")], "word string, stands_for string")
+    return lexicon.lookup(read(spark, sf_dir, "events"), "event_type", comp, conn, syn, "key", "type").select("event_id", "type")
+
+
+@query("SELECT lemma, kind, approved, entry, reversed, n_objects, n_additions FROM (VALUES " + ", ".join(f"('{v['lemma']}', '{v['kind']}', {v['approved']}, {v['entry']}, {v['reversed']}, {len(v['objects'])}, {len(v['additions'])})" for v in lexicon.verbs().values()) + ") AS t(lemma, kind, approved, entry, reversed, n_objects, n_additions)")
+def verb_valences(spark, sf_dir):
+    return lexicon.verb_table(spark).select("lemma", "kind", "approved", "entry", "reversed", F.size("objects").alias("n_objects"), F.size("additions").alias("n_additions"))
+
+
+# --- graph ------------------------------------------------------------------------------------------------------------
+
+
+def _hierarchy(spark, sf_dir):
+    n, s = read(spark, sf_dir, "nation"), read(spark, sf_dir, "supplier")
+    region = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))
+    nation = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
+    a = n.select(F.lit("w").alias("code"), region.alias("sbj_key"), nation("n_nationkey").alias("obj_key"), F.lit("comp").alias("type"))
+    b = s.select(F.lit("w").alias("code"), nation("s_nationkey").alias("sbj_key"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("obj_key"), F.lit("have").alias("type"))
+    return a.unionByName(b)
+
+
+_HIERARCHY_SQL = """e AS (SELECT 'w' AS code, 'r' || n_regionkey AS sbj_key, 'n' || n_nationkey AS obj_key, 'comp' AS type FROM nation UNION ALL SELECT 'w', 'n' || s_nationkey, 's' || s_suppkey, 'have' FROM supplier)"""
+
+
+@query(f"WITH {_HIERARCHY_SQL} SELECT code, sbj_key, obj_key, type FROM e")
+def typed_edges(spark, sf_dir):
+    return _hierarchy(spark, sf_dir)
+
+
+@query(f"""WITH RECURSIVE {_HIERARCHY_SQL}, w AS (SELECT code, sbj_key AS ancestor, obj_key AS descendant, 1 AS depth FROM e UNION ALL SELECT w.code, w.ancestor, e.obj_key, w.depth + 1 FROM w JOIN e ON e.code = w.code AND e.sbj_key = w.descendant)
+SELECT code, ancestor, descendant, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1, 2, 3""")
+def containment_closure(spark, sf_dir):
+    return graph.closure(_hierarchy(spark, sf_dir))
+
+
+def _terms(spark, sf_dir):
+    p = read(spark, sf_dir, "part").withColumn("code", F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")))
+    whole = p.groupBy("code", F.col("p_name").alias("term")).agg(F.min("p_partkey").alias("ord"))
+    word = p.groupBy("code", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("term")).agg(F.min("p_partkey").alias("ord"))
+    tag = lambda df, t: df.select("code", F.concat(F.lit(t), F.col("ord").cast("string")).alias("key"), "term", "ord")
+    return tag(whole, "w"), tag(word, "x")
+
+
+_TERMS_SQL = """p AS (SELECT *, p_brand || '/' || p_size AS code FROM part), w AS (SELECT code, 'w' || min(p_partkey) AS key, p_name AS term FROM p GROUP BY code, p_name),
+x AS (SELECT code, 'x' || min(p_partkey) AS key, split_part(p_name, ' ', 1) AS term FROM p GROUP BY code, split_part(p_name, ' ', 1))"""
+
+
+@query(f"""WITH {_TERMS_SQL}, t AS (SELECT * FROM w UNION ALL SELECT * FROM x)
+SELECT x.code, x.key, min(t.key) AS "into" FROM x JOIN t ON t.code = x.code AND t.key <> x.key AND contains(t.term, x.term) GROUP BY x.code, x.key HAVING count(*) = 1""")
+def merge_similar(spark, sf_dir):
+    whole, word = _terms(spark, sf_dir)
+    return graph.similar_terms(word, whole.unionByName(word))
+
+
+@query("""WITH n AS (SELECT p_partkey, first_value('k' || p_partkey) OVER (PARTITION BY p_brand, p_size, p_type ORDER BY p_partkey) AS "into", p_brand FROM part)
+SELECT p_brand AS code, 'k' || p_partkey AS key, "into" FROM n WHERE 'k' || p_partkey <> "into" """)
+def merge_synonyms(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    key = F.concat(F.lit("k"), F.col("p_partkey").cast("string"))
+    terms = p.select(F.col("p_brand").alias("code"), key.alias("key"), F.col("p_type").alias("term"), F.col("p_partkey").alias("ord"))
+    edges = p.select(F.col("p_brand").alias("code"), F.col("p_size").cast("string").alias("sbj_key"), key.alias("obj_key"), F.lit("comp").alias("type"))
+    return graph.synonyms(terms, edges)
+
+
+@query("""WITH c AS (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY p_name)
+SELECT l_orderkey, l_linenumber, coalesce(CAST(c.k AS VARCHAR), CAST(l_partkey AS VARCHAR)) AS obj_key FROM lineitem LEFT JOIN part p ON p.p_partkey = l_partkey AND p.p_size % 2 = 0 LEFT JOIN c ON c.p_name = p.p_name""")
+def resolve_refs(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    first = p.groupBy("p_name").agg(F.min("p_partkey").cast("string").alias("key"))
+    refs = p.where("p_size % 2 = 0").join(first, "p_name").select(F.lit(0).alias("code"), "key", F.col("p_partkey").cast("string").alias("alias"))
+    li = read(spark, sf_dir, "lineitem").select(F.lit(0).alias("code"), "l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("obj_key"))
+    return graph.resolve_refs(li, refs, "code", "obj_key").select("l_orderkey", "l_linenumber", "obj_key")
+
+
+@query("""WITH a AS (SELECT conv_id, list(turn ORDER BY turn) FILTER (role = 'user') AS s, list(turn ORDER BY turn) FILTER (role <> 'user') AS o FROM conversations GROUP BY conv_id), b AS (SELECT conv_id, unnest(s) AS sbj_key, o FROM a)
+SELECT conv_id, sbj_key, unnest(o) AS obj_key FROM b""")
+def cross_points(spark, sf_dir):
+    user = F.col("role") == "user"
+    packed = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.when(user, F.col("turn"))).alias("s"), F.collect_list(F.when(~user, F.col("turn"))).alias("o"))
+    return graph.cross_points(packed, "s", "o", ["conv_id"])
+
+
+@query("SELECT DISTINCT lang, source FROM documents")
+def distinct_facts(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("lang", "source").distinct()
+
+
+@query("""SELECT doc_id, CAST(floor((rn - 1) / 50) + 1 AS BIGINT) AS chunk FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents WHERE strpos(text, '|') = 0) WHERE rn <= 700""")
+def limit_and_chunk(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").where(F.instr("text", "|") == 0).select("doc_id")
+    return numbering.limited_chunks(docs, ["doc_id"], 700, 50).select("doc_id", "chunk")
+
+
+@query("""SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS rn FROM events""")
+def global_numbers(spark, sf_dir):
+    return numbering.numbered(read(spark, sf_dir, "events").select("event_id", "ts"), ["ts", "event_id"]).select("event_id", "rn")
+
+
+@query("""SELECT 's' || s_suppkey AS s, 'rdf:type' AS p, 'Component' AS o, 'iri' AS o_kind FROM supplier
+UNION ALL SELECT 's' || s_suppkey, 'concept_name', s_name, 'literal' FROM supplier UNION ALL SELECT 's' || s_suppkey, 'part_of', 'n' || s_nationkey, 'iri' FROM supplier""")
+def rdf_rows(spark, sf_dir):
+    from ..operators.rdf import row
+
+    s = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    rows = F.array(row(F.lit(""), s, "rdf:type", F.lit("Component"), "iri"), row(F.lit(""), s, "concept_name", F.col("s_name"), "literal"), row(F.lit(""), s, "part_of", F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), "iri"))
+    return read(spark, sf_dir, "supplier").select(F.inline(rows)).select("s", "p", "o", "o_kind")
+
+
+@query("""WITH c AS (SELECT doc_id, regexp_matches(text, '(?i)token|license') AS hit, lang FROM documents) SELECT doc_id, lang FROM c WHERE hit OR lang = 'fr'""")
+def record_filter(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where(F.col("text").rlike("(?i)token|license") | (F.col("lang") == "fr")).select("doc_id", "lang")
+
+
+@query("""SELECT doc_id, regexp_extract_all(text, '[0-9]{4}') AS nums FROM (SELECT doc_id, text FROM documents) WHERE len(regexp_extract_all(text, '[0-9]{4}')) > 0""")
+def simple_claims(spark, sf_dir):
+    found = F.regexp_extract_all("text", F.lit("[0-9]{4}"), F.lit(0))
+    return read(spark, sf_dir, "documents").select("doc_id", found.alias("nums")).where(F.size("nums") > 0)
+
+
+@query("""SELECT t.lemma, t.unified FROM (VALUES ('со','с'),('ко','к'),('во','в'),('надо','над'),('изо','из'),('об','о'),('обо','об'),('ото','от'),('под','под')) AS t(lemma, unified)""")
+def unified_prepositions(spark, sf_dir):
+    words = spark.createDataFrame([(w,) for w in [*lexicon.PREPOSITIONS, "под"]], "lemma string")
+    return words.select("lemma", lexicon.unified_preposition(F.col("lemma")).alias("unified"))
+
+
+@query(None)
+def read_patent_xml(spark, sf_dir):
+    """Two small patents through the XML source: fields, codes and errors (no XML in the driver's tables)."""
+    from .samples import PATENTS
+
+    files = spark.createDataFrame(PATENTS, "path string, value string")
+    return patents.read_patents(files)
