@@ -114,6 +114,7 @@ def split(quotas: DataFrame, levels: int = SHARD_LEVELS, seed: int = 0) -> DataF
             F.struct((F.col("shard") * 2 + 1).alias("child"), (F.col("first") + F.col("got")).alias("begin"), (F.col("quota") - F.col("got")).alias("share")),
         )
         nodes = drawn.select("rank", F.inline(sides)).select(F.col("child").alias("shard"), "rank", F.col("begin").alias("first"), F.col("share").alias("quota"))
+        nodes = written(nodes, "mix-nodes")  # a row per shard and source; else the plans of all levels nest
     return nodes
 
 
