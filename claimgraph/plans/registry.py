@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean, tokens
-from ..operators import classify, graph, lexicon, numbering, ordered, segments
+from ..operators import classify, graph, lexicon, numbering, ordered, rdf, segments
 from ..sources import patents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,10 +111,10 @@ def split_two_parts(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
-m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS rn FROM l WHERE regexp_matches(line, '(?i)\\b(the|que|der) [a-z]+tion'))
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS rn FROM l WHERE regexp_matches(line, '(?i)(^|[^a-z])(the|que|der) [a-z]+tion'))
 SELECT doc_id, line FROM m WHERE rn = 1""")
 def first_matching_line(spark, sf_dir):
-    line = F.get(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"(?i)\b(the|que|der) [a-z]+tion")), F.lit(0))
+    line = F.get(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"(?i)(^|[^a-z])(the|que|der) [a-z]+tion")), F.lit(0))
     return read(spark, sf_dir, "documents").select("doc_id", line.alias("line")).where("line is not null")
 
 
@@ -311,10 +311,8 @@ def global_numbers(spark, sf_dir):
 @query("""SELECT 's' || s_suppkey AS s, 'rdf:type' AS p, 'Component' AS o, 'iri' AS o_kind FROM supplier
 UNION ALL SELECT 's' || s_suppkey, 'concept_name', s_name, 'literal' FROM supplier UNION ALL SELECT 's' || s_suppkey, 'part_of', 'n' || s_nationkey, 'iri' FROM supplier""")
 def rdf_rows(spark, sf_dir):
-    from ..operators.rdf import row
-
     s = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
-    rows = F.array(row(F.lit(""), s, "rdf:type", F.lit("Component"), "iri"), row(F.lit(""), s, "concept_name", F.col("s_name"), "literal"), row(F.lit(""), s, "part_of", F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), "iri"))
+    rows = F.array(rdf.row(F.lit(""), s, "rdf:type", F.lit("Component"), "iri"), rdf.row(F.lit(""), s, "concept_name", F.col("s_name"), "literal"), rdf.row(F.lit(""), s, "part_of", F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), "iri"))
     return read(spark, sf_dir, "supplier").select(F.inline(rows)).select("s", "p", "o", "o_kind")
 
 
@@ -335,10 +333,56 @@ def unified_prepositions(spark, sf_dir):
     return words.select("lemma", lexicon.unified_preposition(F.col("lemma")).alias("unified"))
 
 
+def _sample_files(spark):
+    from .samples import PATENTS
+
+    return spark.createDataFrame(PATENTS, "path string, value string")
+
+
+def _records(spark):
+    from . import claims
+
+    return claims.records(patents.read_patents(_sample_files(spark)))
+
+
 @query(None)
 def read_patent_xml(spark, sf_dir):
-    """Two small patents through the XML source: fields, codes and errors (no XML in the driver's tables)."""
-    from .samples import PATENTS
+    """Small patents through the XML source: fields, codes and errors (the driver's tables hold no XML patents)."""
+    return patents.read_patents(_sample_files(spark))
+
+
+@query(None)
+def claim_records(spark, sf_dir):
+    """The same through annotation, linking, extraction, folding and the fact grammar."""
+    return _records(spark).select("code", "name", "org", "ipc", F.size("segments").alias("n_segments"), F.size("graph.terms").alias("n_terms"), F.size("facts").alias("n_facts"))
+
+
+@query(None)
+def claim_graph_edges(spark, sf_dir):
+    from . import claims
+
+    return claims.tables(_records(spark))["edges"]
+
+
+@query(None)
+def claim_facts(spark, sf_dir):
+    from . import claims
+
+    return claims.tables(_records(spark))["facts"]
+
+
+@query(None)
+def claim_rdf(spark, sf_dir):
+    from . import claims
+
+    found = _records(spark)
+    t = claims.tables(found)
+    return rdf.emit(found.select("code", "name", "org", "ipc", "facts"), t["terms"], t["edges"], t["refs"])
+
+
+@query(None)
+def graph_dot(spark, sf_dir):
+    from . import claims
 
-    files = spark.createDataFrame(PATENTS, "path string, value string")
-    return patents.read_patents(files)
+    t = claims.tables(_records(spark))
+    return graph.dot(t["terms"], t["edges"])
