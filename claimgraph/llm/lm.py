@@ -2,8 +2,8 @@
 
 The model is a unigram distribution over the pieces of an existing vocabulary. A word's probability is the sum over all its
 segmentations, by forward recursion in log space; a text's is the product over its words and one end. Piece weights start
-from the vocabulary's own ranks and are fitted to the training documents by expectation-maximisation over the table of
-distinct training words. The recursion runs once per distinct word of the corpus, not once per occurrence.
+from the uses of each piece in the training words as the vocabulary's library cuts them, and are refitted by
+expectation-maximisation over all segmentations; both read the table of distinct training words. The recursion runs once per distinct word of the corpus, not once per occurrence.
 
 Scores reach the documents in two ways that cover all words between them: the HOT most frequent words (a fixed number) are
 broadcast and summed while a document is read; its other distinct words join the word table on the word.
@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from math import exp, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import LOWER_TABLE, written
 
 HOT = 50_000
-EM_ROUNDS = 2
+EM_ROUNDS = 1
 SPACE_MARK = "▁"
 LOG10 = math.log(10)
 #: Partial counts that a task holds before it hands them on.
@@ -43,45 +44,61 @@ class Lattice:
     def __init__(self, weights: dict[str, float]):
         total = sum(weights.values())
         self.logs = {p: math.log(w / total) for p, w in weights.items()}
-        self.longest = max(map(len, self.logs))
+        self.prefixes = {p[:k] for p in self.logs for k in range(1, len(p))}
         self.bytes = [self.logs[f"<0x{b:02X}>"] for b in range(256)]
         self.names = [f"<0x{b:02X}>" for b in range(256)]
 
-    def edges(self, s: str, j: int) -> list[tuple[int, float, str | None]]:
-        """(start, log weight, piece) of what can end at j; a character that is no piece is spelt by bytes (None)."""
-        get = self.logs.get
-        found = [(i, w, s[i:j]) for i in range(max(0, j - self.longest), j) if (w := get(s[i:j])) is not None]
-        if not found or found[-1][0] != j - 1:
-            found.append((j - 1, sum(self.bytes[b] for b in s[j - 1].encode("utf-8", "surrogatepass")), None))
-        return found
-
-    def forward(self, s: str) -> list[float]:
+    def edges(self, s: str) -> list[list[tuple[int, float, str | None]]]:
+        """For each end j the (start, log weight, piece) of what ends there; a character that is no piece is spelt by bytes (None)."""
+        n = len(s)
+        into: list[list] = [[] for _ in range(n + 1)]
+        logs, prefixes = self.logs.get, self.prefixes
+        for i in range(n):
+            for j in range(i + 1, n + 1):
+                piece = s[i:j]
+                w = logs(piece)
+                if w is not None:
+                    into[j].append((i, w, piece))
+                elif j == i + 1:
+                    into[j].append((i, sum([self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]), None))
+                if piece not in prefixes:
+                    break
+        return into
+
+    def forward(self, edges: list[list[tuple[int, float, str | None]]]) -> list[float]:
         a = [0.0]
-        for j in range(1, len(s) + 1):
-            terms = [a[i] + w for i, w, _ in self.edges(s, j)]
+        for ends in edges[1:]:
+            if len(ends) == 1:
+                a.append(a[ends[0][0]] + ends[0][1])
+                continue
+            terms = [a[i] + w for i, w, _ in ends]
             top = max(terms)
-            a.append(top if len(terms) == 1 else top + math.log(sum([math.exp(t - top) for t in terms])))
+            a.append(top + log(sum([exp(t - top) for t in terms])))
         return a
 
     def expect(self, s: str, count: float, into: dict) -> None:
         """Add count times the expected uses of each piece in s."""
-        a = self.forward(s)
+        edges = self.edges(s)
+        a = self.forward(edges)
         n = len(s)
-        b = [-math.inf] * n + [0.0]
+        # Shares of the whole: gain[j] is how much of it passes j, so the numbers stay near 1 at any length.
+        gain = [0.0] * n + [count]
         for j in range(n, 0, -1):
-            for i, w, piece in self.edges(s, j):
-                t = b[j] + w
-                p = count * math.exp(a[i] + t - a[n])
+            here = gain[j]
+            if not here:
+                continue
+            aj = a[j]
+            for i, w, piece in edges[j]:
+                p = here * exp(a[i] + w - aj)
+                gain[i] += p
                 if piece is None:
                     for x in s[i].encode("utf-8", "surrogatepass"):
                         into[self.names[x]] = into.get(self.names[x], 0.0) + p
                 else:
                     into[piece] = into.get(piece, 0.0) + p
-                top = max(b[i], t)
-                b[i] = top + math.log(math.exp(b[i] - top) + math.exp(t - top))
 
     def score(self, s: str) -> float:
-        return self.forward(s)[-1]
+        return self.forward(self.edges(s))[-1]
 
 
 def _marked(word: bytes) -> str:
@@ -118,6 +135,25 @@ def _expect(sent):
     return run
 
 
+def _segment(path: str):
+    """(word, c) to uses of pieces, each word cut as the vocabulary's own library cuts it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sentencepiece
+
+        model, uses = sentencepiece.SentencePieceProcessor(model_file=path), Counter()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 5000):
+                part = batch.slice(at, 5000)
+                cut = model.encode([w.decode("utf-8", "surrogatepass") for w in part.column(0).to_pylist()], num_threads=1)
+                for ids, c in zip(cut, part.column(1).to_pylist(), strict=True):
+                    for i in ids:
+                        uses[i] += c
+        yield pa.RecordBatch.from_arrays([pa.array([model.id_to_piece(i) for i in uses], pa.string()), pa.array([float(c) for c in uses.values()], pa.float64())], ["piece", "uses"])
+
+    return run
+
+
 def _score_words(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = sent.value
@@ -160,14 +196,17 @@ def _read_documents(sent, kind: str):
 def fit(word_table: DataFrame, n_train: int, path: str, rounds: int = EM_ROUNDS) -> tuple[Lattice, float]:
     """The lattice fitted to words (word, c) with c > 0, and the log10 probability of an end."""
     pieces = vocabulary(path)
-    weights = {p: 1.0 / (r + 2) for r, p in enumerate(pieces)}
     training = word_table.where("c > 0").select("word", "c")
-    total = 0.0
+
+    def smoothed(found: DataFrame) -> dict[str, float]:
+        uses = {r.piece: r.uses for r in found.groupBy("piece").agg(F.sum("uses").alias("uses")).collect()}  # at most the vocabulary
+        return {p: uses.get(p, 0.0) + (0.5 if p.startswith("<0x") or len(p) == 1 else 0.01) for p in pieces}
+
+    weights = smoothed(training.mapInArrow(_segment(path), "piece string, uses double"))
     for _ in range(rounds):
         sent = word_table.sparkSession.sparkContext.broadcast(Lattice(weights))
-        uses = {r.piece: r.uses for r in training.mapInArrow(_expect(sent), "piece string, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()}  # at most the vocabulary
-        weights = {p: uses.get(p, 0.0) + (0.5 if p.startswith("<0x") or len(p) == 1 else 0.01) for p in pieces}
-        total = sum(weights.values())
+        weights = smoothed(training.mapInArrow(_expect(sent), "piece string, uses double"))
+    total = sum(weights.values()) if n_train else 0.0
     end = (n_train + 0.5) / (total + n_train + 0.5) if total else 0.5
     lattice = Lattice(weights)
     share = math.log1p(-end)
@@ -180,8 +219,8 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     Training documents are those whose crc32(id as text) mod folds is not held_fold; a null id counts as ''. A null or
-    blank text is one end. Without any training document N and V are 0: base scores are 0 and the lattice is the
-    vocabulary's own. Repeated rows are each counted and each scored. An empty table gives no rows.
+    blank text is one end. Without any training document N and V are 0: base scores are 0 and the lattice is
+    uniform but for smoothing. Repeated rows are each counted and each scored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
