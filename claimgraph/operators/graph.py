@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import saved
 from .ordered import last_wins
 
 ROOT = "0.0"
@@ -57,8 +58,12 @@ def merge_keys(terms: DataFrame, edges: DataFrame, mapping: DataFrame) -> tuple[
 
 
 def post_process(terms: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    terms, edges = merge_keys(terms, edges, similar_terms(floating(terms, edges), terms))
-    return merge_keys(terms, edges, synonyms(terms, edges))
+    """Similar terms merged, then synonyms. Each step reads its input several times, so inputs are written once."""
+    terms, edges = saved(terms, "terms"), saved(edges, "edges")
+    terms, edges = merge_keys(terms, edges, saved(similar_terms(floating(terms, edges), terms), "similar"))
+    terms, edges = saved(terms, "terms"), saved(edges, "edges")
+    terms, edges = merge_keys(terms, edges, saved(synonyms(terms, edges), "synonyms"))
+    return saved(terms, "terms"), saved(edges, "edges")
 
 
 def closure(edges: DataFrame, types: tuple[str, ...] = ("comp", "have"), deepest: int = 50) -> DataFrame:
