@@ -115,13 +115,12 @@ def _groups(stats: DataFrame, min_group: int) -> DataFrame:
     small = F.col("n") < min_group
     every = every.withColumn("in_lang", F.sum("n").over(by_lang)).withColumn("lang_small", F.max(small).over(by_lang))
     poor = F.col("lang_small") & (F.col("in_lang") < min_group)
-    total = every.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("in_all"), F.coalesce(F.max(poor), F.lit(False)).alias("some_poor"))
+    in_all, some_poor = every.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(poor), F.lit(False))).first()
     own = F.concat("lang_key", F.lit("\x01"), "source_key")
-    enough = F.col("in_all") >= min_group
+    enough = F.lit(in_all >= min_group)
     group = F.when(~small, own).when(F.col("in_lang") >= min_group, F.col("lang_key")).when(enough, F.lit("all"))
-    feeds = F.array(F.when(~small, own), F.when(F.col("lang_small") & ~poor, F.col("lang_key")), F.when(F.col("some_poor") & enough, F.lit("all")))
-    joined = every.crossJoin(F.broadcast(total))  # one row
-    return joined.select("lang_key", "source_key", group.alias("group"), F.array_compact(feeds).alias("feeds"))
+    feeds = F.array(F.when(~small, own), F.when(F.col("lang_small") & ~poor, F.col("lang_key")), F.when(F.lit(some_poor) & enough, F.lit("all")))
+    return every.select("lang_key", "source_key", group.alias("group"), F.array_compact(feeds).alias("feeds"))
 
 
 def _distance(x: dict[str, Column]) -> Column:

@@ -68,4 +68,29 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_decontaminate, op3_mix, op4_quality, op5_licenses, op6_token_counts, op7_lattice_score, op8_pii, op9_extract_text, op10_near_duplicates)}
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, n, list_slice(w, i, i + n - 1) AS x FROM bw),
+dw AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
+hit AS (SELECT doc_id, item, i, win.n FROM dw JOIN win ON win.n = dw.n AND win.x = list_slice(dw.w, dw.i, dw.i + dw.n - 1)),
+at AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN "at" USING (doc_id) LEFT JOIN it USING (doc_id)""".replace("\nat AS", '\n"at" AS'),
+    "op10_near_duplicates": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS x FROM d),
+c AS (SELECT min(doc_id) AS rep, x, len(x) AS n FROM (SELECT doc_id, list_sort(x) AS x FROM s WHERE len(x) > 0) GROUP BY x),
+e AS (SELECT rep, n, unnest(x) AS g FROM c),
+f AS (SELECT g FROM e GROUP BY g HAVING count(*) > 1),
+o AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS n_both FROM (e SEMI JOIN f USING (g)) a JOIN e b ON a.g = b.g AND a.rep <> b.rep AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY ALL),
+l AS (SELECT a, b FROM o WHERE 100 * n_both >= 80 * (na + nb - n_both)),
+r AS (SELECT rep AS a, rep AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a AS rep, min(b) AS component_id FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(s.x) AS BIGINT) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(m.component_id, s.doc_id) AS kept
+FROM s LEFT JOIN c ON c.x = list_sort(s.x) LEFT JOIN m ON m.rep = c.rep""",
+}
