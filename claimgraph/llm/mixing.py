@@ -133,7 +133,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     counts = rows.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("docs"))
     plan = sources.join(counts, sources["source"].eqNullSafe(counts["s"])).drop("s")
     want = F.round(F.col("target")).cast("long")
-    plan = plan.select("*", F.when(F.col("source_size") > 0, F.floor(want / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"), F.ceil(F.col("source_size") / block_words).cast("long").alias("blocks"), F.ceil(F.col("docs") / BIN).cast("long").alias("bins"), want.alias("want"))
+    plan = plan.select("*", F.when(F.col("source_size") > 0, F.floor(want / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"), F.greatest(F.ceil(F.col("source_size") / block_words).cast("long"), F.lit(1)).alias("blocks"), F.ceil(F.col("docs") / BIN).cast("long").alias("bins"), want.alias("want"))
     plan = plan.withColumn("rest", F.when(F.col("source_size") > 0, F.col("want") - F.col("epochs") * F.col("source_size")).otherwise(0).cast("long"))
     plan = plan.withColumn("quota", F.col("epochs") * F.col("blocks") + F.ceil(F.col("rest") / block_words).cast("long"))
     plan = written(plan, "mix-plan")
@@ -152,7 +152,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     short = F.col("blocks") * block_words - F.col("source_size")  # what the last block lacks
     # The permutation: an affine map where its multiplier has no factor in common with the number of blocks, else a rotation.
     step = F.when(F.pmod(F.col("blocks"), F.lit(PRIME)) != 0, F.lit(PRIME)).otherwise(F.lit(1)).cast("decimal(20,0)")
-    turn = F.pmod(F.xxhash64(F.lit(seed), F.col("rank"), F.lit("turn")), F.greatest(F.col("blocks"), F.lit(1)))
+    turn = F.pmod(F.xxhash64(F.lit(seed), F.col("rank"), F.lit("turn")), F.col("blocks"))
     where = lambda b: F.pmod(F.pmod(b.cast("decimal(18,0)") * step, F.col("blocks").cast("decimal(38,0)")).cast("long") + turn, F.col("blocks"))
 
     def piece(epoch: Column, b: Column, at: Column) -> Column:
