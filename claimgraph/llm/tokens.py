@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, without
+from .common import scratch_dir, without, written
 
 #: Words remembered by a Python worker; beyond this it forgets and starts anew, which bounds its memory.
 WORD_MEMORY = 400_000
@@ -147,8 +147,9 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, text_col:
     misses = distinct.join(hits, "__digest", "left_anti").select(F.col("__digest").alias("digest"), F.col("__content").alias("content"))
     counted = misses.mapInArrow(_encode(path), "digest binary, n_tokens long")
     counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    # A cache that two runs filled at once may hold an entry twice.
-    known = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).groupBy(F.col("digest").alias("__digest")).agg(F.max("n_tokens").alias("n_tokens"))
+    # A cache that two runs filled at once may hold an entry twice. Written, so that the join below reads it from an exchange
+    # of its own and a large group of copies can be split.
+    known = written(spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).groupBy(F.col("digest").alias("__digest")).agg(F.max("n_tokens").alias("n_tokens")), "known-counts")
     plain = without(base, "n_bytes", "n_tokens", "over_limit", "__content")
     joined = plain.join(known, "__digest", "left")
     return joined.select(*[F.col(f"`{c}`") for c in plain.columns if not c.startswith("__")], F.col("__n_bytes").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
