@@ -265,7 +265,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
         final = final.union(components(links.where("split").select("a", "b")))
     nodes = final.union(final.select(F.col("root").alias("node"), "root").distinct())
     least = nodes.join(classes.select(F.col("digest").alias("node"), "least"), "node")
-    roots = least.groupBy("root").agg(F.min("least").alias("component"))
+    roots = written(least.groupBy("root").agg(F.min("least").alias("component")), "roots")  # a large group of rows of one root can then be split
     reached = nodes.join(roots, "root").select(F.col("node").alias("digest"), "component")
     by_class = classes.select("digest", "least").join(reached, "digest", "left").select("digest", F.coalesce("component", "least").alias("component"))
     joined = features.select("id", "n", "digest").join(by_class, "digest", "left")
