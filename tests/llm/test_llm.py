@@ -372,12 +372,12 @@ def test_wrapper_drops_what_is_constant_and_keeps_copies(spark):
 def test_simple_tree_matching():
     a, b = (dom.Slot("#root", [dom.parse(x)]) for x in ("<div><p>1</p><ul><li>2</ul></div>", "<div><h1>0</h1><p>1</p><table></table><ul><li>3</ul></div>"))
     size, _ = dom.match(a, b, {})
-    assert size == 6  # root, #root, div, p, ul, li
+    assert size == 5  # root, div, p, ul, li
     t = dom.Template.unpack(json.loads(json.dumps(dom.Template("#root").pack())))
     room = [100]
     dom.align(t, a, True, room)
     dom.align(t, b, True, room)
-    assert [c.label for c in t.children[0].children[0].children] == ["h1", "p", "table", "ul"]
+    assert [c.label for c in t.children[0].children] == ["h1", "p", "table", "ul"]
 
 
 # --- 10 near duplicates ------------------------------------------------------------------------------------------------
