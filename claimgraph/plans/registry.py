@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean, tokens
-from ..operators import classify, graph, lexicon, numbering, ordered, rdf, segments
+from ..operators import classify, graph, lexicon, matching, numbering, ordered, rdf, segments
 from ..sources import patents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -333,6 +333,63 @@ def unified_prepositions(spark, sf_dir):
     return words.select("lemma", lexicon.unified_preposition(F.col("lemma")).alias("unified"))
 
 
+# --- matching ---------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT doc_id, unnest(string_split_regex(text, '[ \\n]+')) AS t, generate_subscripts(string_split_regex(text, '[ \\n]+'), 1) AS i FROM documents),
+b AS (SELECT doc_id, unnest(regexp_extract_all(text, '[,.]|[^ \\n,.]+')) AS t, generate_subscripts(regexp_extract_all(text, '[,.]|[^ \\n,.]+'), 1) AS i FROM documents),
+pa AS (SELECT doc_id, t, i, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM a), pb AS (SELECT doc_id, t, i, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM b)
+SELECT pa.doc_id, CAST(pa.i AS INTEGER) AS left_at, CAST(pb.i AS INTEGER) AS right_at, pa.t AS left_at_text FROM pa JOIN pb ON pa.doc_id = pb.doc_id AND pa.e = pb.e AND pa.e - length(pa.t) = pb.e - length(pb.t)""")
+def align_tokens(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    cut = lambda c: docs.select("doc_id", F.posexplode(c).alias("i", "t")).select("doc_id", (F.col("i") + 1).alias("i"), "t")
+    left, right = cut(F.split("text", "[ \n]+")), cut(F.regexp_extract_all("text", F.lit("[,.]|[^ \n,.]+"), F.lit(0)))
+    return matching.align_tokens(left, right, ["doc_id"], "i", "t").select("doc_id", "left_at", "right_at", "left_at_text")
+
+
+@query("""SELECT p.p_brand, p.p_partkey, max(o.p_partkey) AS o_p_partkey FROM part p JOIN part o ON o.p_brand = p.p_brand AND o.p_partkey < p.p_partkey
+AND (p.p_name = split_part(o.p_name, ' ', 1) OR starts_with(p.p_name, split_part(o.p_name, ' ', 1) || ' ') OR ends_with(p.p_name, ' ' || split_part(o.p_name, ' ', 1))) GROUP BY p.p_brand, p.p_partkey""")
+def genitive_tails(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name")
+    form = F.split_part(F.col("o_p_name"), F.lit(" "), F.lit(1))
+    return matching.nearest_earlier(p, p, ["p_brand"], "p_partkey", matching.tail_matches(F.col("p_name"), form), []).select("p_brand", "p_partkey", "o_p_partkey")
+
+
+@query("""WITH o AS (SELECT user_id, event_id // 100 AS block, list(event_id ORDER BY event_id) AS ids, min(event_id) AS at FROM events GROUP BY 1, 2)
+SELECT e.user_id, e.event_id, max(o.at) AS o_event_id FROM events e JOIN o ON o.user_id = e.user_id AND o.at < e.event_id AND list_contains(o.ids, e.event_id) GROUP BY 1, 2""")
+def concept_of_point(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", "event_id")
+    held = e.groupBy("user_id", F.floor(F.col("event_id") / 100).alias("block")).agg(F.sort_array(F.collect_list("event_id")).alias("ids"), F.min("event_id").alias("event_id")).drop("block")
+    return matching.nearest_earlier(e, held, ["user_id"], "event_id", F.array_contains("o_ids", F.col("event_id")), []).select("user_id", "event_id", "o_event_id")
+
+
+@query("""SELECT l_orderkey, string_agg(l_suppkey || ',' || l_partkey, ',' ORDER BY l_linenumber, l_suppkey, l_partkey) AS keys FROM lineitem GROUP BY l_orderkey""")
+def merge_triplets(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array("l_suppkey", "l_partkey").alias("keys"))
+    return matching.merge_ordered(li, ["l_orderkey"], "l_linenumber", "keys").select("l_orderkey", F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("keys"))
+
+
+@query("""WITH r AS (SELECT user_id, event_id, event_type, list_position(['purchase', 'click', 'view'], event_type) AS p FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p, event_id) AS n FROM r WHERE p IS NOT NULL)
+SELECT user_id, event_id, event_type FROM n WHERE n = 1""")
+def subject_priority(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return matching.first_by_priority(e, ["user_id"], "event_type", ("purchase", "click", "view"), "event_id")
+
+
+@query("""WITH g AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events)
+SELECT user_id, event_id, last_value(CASE WHEN event_type = 'signup' THEN 'S-SBJ' WHEN event_type = 'purchase' THEN 'S-OBJ' END IGNORE NULLS) OVER (PARTITION BY user_id, run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS label FROM g""")
+def fill_labels(spark, sf_dir):
+    kind = F.col("event_type")
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.when(kind == "signup", "S-SBJ").when(kind == "purchase", "S-OBJ").alias("own"))
+    return matching.fill_labels(e, ["user_id"], "event_id", "own", kind == "error", "label").select("user_id", "event_id", "label")
+
+
+@query("""SELECT * FROM (VALUES ('S,муж=им,ед', 'Nom', 'Masc', CAST(NULL AS VARCHAR)), ('V=прош,изъяв,прич', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 'Part'), ('S,жен=род,вин', 'Acc', 'Fem', CAST(NULL AS VARCHAR))) AS t(tags, case_value, gender, verb_form)""")
+def tag_features(spark, sf_dir):
+    df = spark.createDataFrame([("S,муж=им,ед",), ("V=прош,изъяв,прич",), ("S,жен=род,вин",)], "tags string").withColumn("f", matching.tag_features(F.col("tags"), matching.RUSSIAN_TAGS))
+    return df.select("tags", *[F.try_element_at("f", F.lit(k)).alias(n) for k, n in (("Case", "case_value"), ("Gender", "gender"), ("VerbForm", "verb_form"))])
+
+
 def _sample_files(spark):
     from .samples import PATENTS
 
@@ -380,6 +437,12 @@ def claim_rdf(spark, sf_dir):
     return rdf.emit(found.select("code", "name", "org", "ipc", "facts"), t["terms"], t["edges"], t["refs"])
 
 
+@query(None)
+def segment_dot(spark, sf_dir):
+    rows = _records(spark).select("code", F.inline("segments")).select("code", F.col("id").alias("seg_id"), "type", "text", "link.parent")
+    return matching.segment_dot(rows)
+
+
 @query(None)
 def graph_dot(spark, sf_dir):
     from . import claims
