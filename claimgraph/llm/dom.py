@@ -17,6 +17,10 @@ TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*
 ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 
 
+#: Elements nested deeper than this are closed at once, so that their text stands in the ancestor; browsers have such a limit too.
+DEEPEST = 200
+
+
 class Node:
     """An element; text stands among the children as str."""
 
@@ -76,7 +80,7 @@ def parse(page: str) -> Node:
             node.children.append(page[at:end])
             close = page.find(">", end)
             at = n if close < 0 else close + 1
-        elif tag not in VOID and not m[5].endswith("/"):
+        elif tag not in VOID and not m[5].endswith("/") and len(stack) < DEEPEST:
             stack.append(node)
     return root
 

@@ -30,6 +30,8 @@ LEAST_PAGES = 3
 SALTS = 32
 BROADCAST_BYTES = 32 << 20
 HOSTS_HELD = 2000
+#: Page shapes whose alignment a task remembers per host.
+SHAPES_HELD = 2000
 DROPPED_TAGS = frozenset("head script style noscript template nav footer aside form button select option textarea input label iframe object embed svg canvas math audio video dialog menu link meta title".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Parts of class names and ids, split at anything but letters, that mark what is not the article.
@@ -117,6 +119,8 @@ def template_nodes(root: Node, wrapper: Template | None, plans: dict) -> set[int
     signature = slot.signature()
     slots = slot.walk()
     if signature not in plans:
+        if len(plans) >= SHAPES_HELD:
+            plans.clear()
         index = {id(s): k for k, s in enumerate(slots)}
         plans[signature] = [(index[id(s)], t.texts) for t, s in align(wrapper, slot, False, [0]) if t.n >= LEAST_PAGES and len(t.texts) == 1 and t.n > wrapper.n // 2]
     return {id(n) for k, texts in plans[signature] if slots[k].text in texts for n in slots[k].nodes if n.tag not in ("html", "body", "article", "main", "#root")}
@@ -141,6 +145,8 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wrapper, plans = held[host]
             signature, slots = slot.signature(), slot.walk()
             if signature not in plans:
+                if len(plans) >= SHAPES_HELD:
+                    plans.clear()
                 index = {id(s): k for k, s in enumerate(slots)}
                 room = [ROOM - wrapper.size()]
                 plans[signature] = [(t, index[id(s)]) for t, s in align(wrapper, slot, True, room)]

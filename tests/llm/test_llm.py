@@ -369,6 +369,12 @@ def test_wrapper_drops_what_is_constant_and_keeps_copies(spark):
     assert all(got[100 + i].text == "Same\npage" for i in range(9))
 
 
+def test_deep_nesting_keeps_its_text():
+    root = dom.parse("<article>" + "<div>a" * 5000 + "</div>" * 5000 + "<p>end</article>")
+    assert html.extract(root, html.template_nodes(root, None, {})).split("\n") == ["a"] * 5000 + ["end"]
+    dom.Slot("#root", [root]).signature()
+
+
 def test_simple_tree_matching():
     a, b = (dom.Slot("#root", [dom.parse(x)]) for x in ("<div><p>1</p><ul><li>2</ul></div>", "<div><h1>0</h1><p>1</p><table></table><ul><li>3</ul></div>"))
     size, _ = dom.match(a, b, {})
