@@ -2,11 +2,13 @@
 
 1. Every document becomes its set of word shingles (64-bit hashes) and a MinHash signature. Documents with equal sets are
    one class, so exact copies cost a row each and are never paired.
-2. Forest: each tree is an order of the classes by another slice of the signature. In each order a class looks back over
-   its nearest neighbours by longest common prefix: where the order is sparse that reaches down to the least depth, where
-   it is crowded only the deepest prefixes are reached, so the depth adapts to the region. Neighbours whose sketches are
-   far below the threshold are dropped (five standard deviations), the rest are candidate edges.
-3. Connected components of the candidates bring together whatever may be linked. Inside each, links are confirmed on the
+2. Forest: each tree is an order of the classes by another slice of the signature. Classes whose labels agree to the least
+   depth are a region. A region of at most look_back + 1 classes is looked at whole. Pairs whose sketches are far below
+   the threshold are dropped (five standard deviations), the rest are candidate edges.
+3. Classes of larger regions go through a prefix-filtered join on full sets: two sets at the threshold share one of their
+   rarest shingles, so each class is filed under these, and under each shingle classes of different components so far are
+   compared by size, place and sketch. A shingle with many classes is cut into blocks, and each pair of blocks is a task.
+4. Connected components of the candidates bring together whatever may be linked. Inside each, links are confirmed on the
    full sets: every pair of different components-so-far is tested, so no link between gathered classes is lost,
    while pairs already connected are not tested. A component beyond block_bytes is split into blocks and
    each pair of blocks is a task, so memory stays bounded and the result exact.
@@ -26,7 +28,9 @@ from .common import LOWER_TABLE, written
 from .graph import components
 
 TREES, DEPTH, LEAST_DEPTH, SKETCH = 24, 6, 3, 64
-LOOK_BACK, KEEP = 8, 2
+LOOK_BACK = 256
+#: Shingles whose counts order the prefixes (any order is right, rare ones first makes it fast), and classes in a block.
+FREQUENT, POSTINGS = 200_000, 4096
 BLOCK_BYTES = 48 << 20
 WORD_MEMORY = 400_000
 
@@ -117,40 +121,60 @@ def _matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, width)
 
 
-def _neighbours(least_agreement: float, stitch: bool):
-    """Rows sorted by (tree, label) to candidate edges, contracted to stars (kind 0), and the partition's outer rows (kind 1)."""
+def _neighbours(least_agreement: float, look_back: int, stitch: bool):
+    """Rows sorted by (tree, label) to candidate edges, contracted to stars (kind 0), the rows of the partition's outer
+    regions (kind 1) and the classes of regions that look_back does not reach across (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        union, held, ends = Union(), None, []
+        union, held, head, crowded = Union(), None, [], set()
+        codes: dict[bytes, int] = {}
+
+        def outer(rows: list[np.ndarray], last: bool) -> list[dict]:
+            t, label, sketch, node = rows
+            k = len(t) - 1 if last else 0
+            same = np.flatnonzero((t == t[k]) & (label[:, :LEAST_DEPTH] == label[k, :LEAST_DEPTH]).all(axis=1))
+            same = same[-look_back:] if last else same[:look_back]
+            return [{"kind": 1, "a": None, "b": None, "tree": int(t[i]), "label": label[i].tobytes(), "digest": node[i], "sketch": sketch[i].tobytes()} for i in same.tolist()]
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             tree = batch.column(0).to_numpy()
             rows = [tree, _matrix(batch.column(1), ">u2", DEPTH), _matrix(batch.column(3), "u1", SKETCH), np.array(batch.column(2).to_pylist(), dtype=object)]
-            if not stitch and held is None:
-                ends += batch.slice(0, LOOK_BACK).to_pylist()
             old = 0 if held is None else len(held[0])
             if old:
                 rows = [np.concatenate([a, b]) for a, b in zip(held, rows, strict=True)]
             t, label, sketch, node = rows
-            taken = np.zeros(len(t), np.int8)
-            for j in range(1, LOOK_BACK + 1):
-                at = np.arange(max(j, old), len(t))
-                at = at[(taken[at] < KEEP) & (t[at] == t[at - j])]
-                at = at[(label[at, :LEAST_DEPTH] == label[at - j, :LEAST_DEPTH]).all(axis=1)]
-                at = at[(sketch[at] == sketch[at - j]).mean(axis=1) >= least_agreement]
-                taken[at] += 1
-                for i in at.tolist():
-                    union.join(node[i], node[i - j])
-            held = [x[-LOOK_BACK:] for x in rows]
-            last = batch
+            if not stitch and len(head) < look_back and (held is None or len(head) == old):
+                head = outer(rows, False)
+            ids = np.array([codes.setdefault(x, len(codes)) for x in node], dtype=np.int64)
+            root = np.array([union.find(x) for x in ids.tolist()], dtype=np.int64)
+            first = np.ones(len(t), bool)
+            first[1:] = (t[1:] != t[:-1]) | (label[1:, :LEAST_DEPTH] != label[:-1, :LEAST_DEPTH]).any(axis=1)
+            start = np.maximum.accumulate(np.where(first, np.arange(len(t)), 0))
+            far = np.arange(len(t)) - start
+            crowded.update(node[np.isin(start, start[far >= look_back])])
+            at, joined = np.arange(old, len(t)), 0
+            for j in range(1, look_back + 1):
+                at = at[far[at] >= j]
+                if not len(at):
+                    break
+                if joined and not j & (j - 1):
+                    touched = np.flatnonzero(np.isin(start, start[at]))
+                    root[touched] = [union.find(x) for x in ids[touched].tolist()]
+                    joined = 0
+                new = at[root[at] != root[at - j]]  # pairs already connected need no look
+                new = new[(sketch[new] == sketch[new - j]).mean(axis=1) >= least_agreement]
+                for i in new.tolist():
+                    union.join(int(ids[i]), int(ids[i - j]))
+                joined += len(new)
+            held = [x[-look_back:] for x in rows]
         if held is None:
             return
-        if not stitch:
-            ends += last.slice(max(0, last.num_rows - LOOK_BACK)).to_pylist()
-        stars = [(x, union.find(x)) for x in union.up]
-        edges = pa.RecordBatch.from_pylist([{"kind": 0, "a": x, "b": r} for x, r in stars if x != r] + [{"kind": 1, "a": None, "b": None} | e for e in ends], _EDGES)
-        yield edges
+        ends = [] if stitch else head + outer(held, True)
+        names = list(codes)
+        stars = [(names[x], names[union.find(x)]) for x in union.up]
+        yield pa.RecordBatch.from_pylist([{"kind": 0, "a": x, "b": r} for x, r in stars if x != r] + ends + [{"kind": 2, "a": x} for x in crowded], _EDGES)
 
     return run
 
@@ -159,6 +183,78 @@ _EDGES = pa.schema([("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())
 _EDGES_SQL = "kind int, a binary, b binary, tree int, label binary, digest binary, sketch binary"
 
 
+def _prefixes(tokens: np.ndarray, counts: np.ndarray, percent: int):
+    """(digest, comp, sketch, shingles) to (digest, comp, n, sketch, tokens): the rarest shingles, of which two sets at the
+    threshold share one; tokens (ascending) and counts order them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, out = [], []
+            for packed in batch.column(3):
+                s = np.frombuffer(packed.as_py(), dtype=np.uint64).view(np.int64)
+                at = np.minimum(np.searchsorted(tokens, s), max(0, len(tokens) - 1))
+                count = np.where(tokens[at] == s, counts[at], 0) if len(tokens) else np.zeros(len(s), np.int64)
+                n.append(len(s))
+                out.append(s[np.lexsort((s, count))][: len(s) - -(-percent * len(s) // 100) + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), batch.column(2), pa.array(out, pa.list_(pa.int64()))], ["digest", "comp", "n", "sketch", "tokens"])
+
+    return run
+
+
+def _pairs(least_agreement: float, percent: int):
+    """Rows (token, i, j, n, pos, comp, digest, sketch) sorted by (token, i, j, n) to candidate edges between components, contracted to stars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        union, key, group = Union(), None, []
+
+        def done() -> None:
+            n, pos = (np.array([r[c] for r in group], dtype=np.int64) for c in (0, 1))
+            comp = np.unique(np.array([r[2] for r in group], dtype=object), return_inverse=True)[1]
+            sketch = np.frombuffer(b"".join(r[4] for r in group), "u1").reshape(-1, SKETCH)
+            ends = np.searchsorted(n * percent, 100 * n, side="right")
+            for a in range(len(group) - 1):
+                b = np.arange(a + 1, ends[a])
+                # No shingle before this one is shared, if this pair is to be found here.
+                b = b[(comp[b] != comp[a]) & ((100 + percent) * np.minimum(n[a] - pos[a], n[b] - pos[b]) >= percent * (n[a] + n[b]))]
+                for x in b[(sketch[b] == sketch[a]).mean(axis=1) >= least_agreement].tolist():
+                    union.join(group[a][3], group[x][3])
+
+        for batch in batches:
+            for token, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (token, i, j) != key:
+                    if len(group) > 1:
+                        done()
+                    key, group = (token, i, j), []
+                group.append(row)
+        if len(group) > 1:
+            done()
+        stars = [(x, union.find(x)) for x in union.up]
+        yield pa.RecordBatch.from_pylist([{"a": x, "b": r} for x, r in stars if x != r], pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+
+    return run
+
+
+def _crowded_edges(sets: DataFrame, percent: int, least_agreement: float, postings: int) -> DataFrame:
+    """sets (digest, comp, sketch, shingles) to candidate edges (a, b) between classes of different comp."""
+    unpacked = sets.mapInArrow(_tokens_of, "token long")
+    frequent = unpacked.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas().sort_values("token")
+    shape = "digest binary, comp binary, n long, sketch binary, tokens array<long>"
+    prefixes = sets.mapInArrow(_prefixes(frequent["token"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64), percent), shape)
+    filed = written(prefixes.select("digest", "comp", "n", "sketch", F.posexplode("tokens").alias("pos", "token")), "prefixes")
+    shared = filed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x <> y")
+    shared = written(shared.select("token", F.ceil(F.col("c") / postings).cast("int").alias("blocks")), "postings")
+    own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, own).alias("i"), F.greatest(b, own).alias("j")))
+    tasks = filed.join(shared, "token").select("token", F.explode(others).alias("p"), "n", F.col("pos").cast("long").alias("pos"), "comp", "digest", "sketch")
+    tasks = tasks.select("token", "p.i", "p.j", "n", "pos", "comp", "digest", "sketch").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n")
+    return written(tasks.mapInArrow(_pairs(least_agreement, percent), "a binary, b binary"), "crowded-edges")
+
+
+def _tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.int64))], ["token"])
+
+
 def link_exactly(digests: list[bytes], sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
     """(member, smallest member of its component) of the graph that links sets with 100 * |a & b| >= percent * |a | b|.
 
@@ -225,7 +321,7 @@ def _confirm(percent: int):
     return run
 
 
-def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, block_bytes: int = BLOCK_BYTES, look_back: int = LOOK_BACK, postings: int = POSTINGS) -> DataFrame:
     """(id, n, component) of every row of docs, id as given.
 
     component: the smallest id that is reachable over links, the row's own included. Blank and null texts have n = 0 and link
@@ -242,12 +338,23 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.col("signature").substr(t * width + 1, F.lit(width)).alias("label")))
     forest = classes.select(F.explode(trees).alias("t"), "digest", "sketch").select("t.tree", "t.label", "digest", "sketch")
     agreement = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / SKETCH) ** 0.5
-    look = lambda df, stitch: df.mapInArrow(_neighbours(agreement, stitch), _EDGES_SQL)
+    look = lambda df, stitch: df.mapInArrow(_neighbours(agreement, look_back, stitch), _EDGES_SQL)
     found = written(look(forest.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label"), False), "neighbours")
-    ends = found.where("kind = 1").select("tree", "label", "digest", "sketch").distinct()  # a few rows a partition
-    stitched = look(ends.repartition(1).sortWithinPartitions("tree", "label"), True)
+    ends = found.where("kind = 1").select("tree", "label", "digest", "sketch").distinct()  # two regions a partition
+    region = F.substring("label", 1, 2 * LEAST_DEPTH)
+    stitched = written(look(ends.repartition("tree", region).sortWithinPartitions("tree", "label"), True), "stitched")
     edges = found.where("kind = 0").select("a", "b").union(stitched.where("kind = 0").select("a", "b"))
     star = components(edges)
+    crowded = written(found.where("kind = 2").union(stitched.where("kind = 2")).select(F.col("a").alias("digest")).distinct(), "crowded")
+    if crowded.limit(1).count():
+        roots = star.select(F.col("node").alias("digest"), F.col("root").alias("comp"))
+        crowd = crowded.join(classes.select("digest", "key", "sketch"), "digest").join(roots, "digest", "left").select("digest", "key", "sketch", F.coalesce("comp", "digest").alias("comp"))
+        crowd = written(crowd, "crowd")
+        full = keyed.join(crowd.select("key"), "key", "left_semi").mapInArrow(_features(k, True), "digest binary, shingles binary").where("digest is not null")
+        full = written(full.groupBy("digest").agg(F.first("shingles").alias("shingles")).join(crowd, "digest").select("digest", "comp", "sketch", "shingles"), "crowd-sets")
+        more = _crowded_edges(full, percent, agreement, postings)
+        if more.limit(1).count():
+            star = components(edges.union(more))
     members = star.select("node", F.col("root").alias("comp")).union(star.select(F.col("root").alias("node"), F.col("root").alias("comp")).distinct())
     members = written(members.join(classes.select(F.col("digest").alias("node"), "key", "n"), "node"), "members")
     sizes = members.groupBy("comp").agg(F.ceil(F.sum("n") * 8 / block_bytes).cast("int").alias("blocks"))

@@ -432,6 +432,30 @@ def test_exact_linking_agrees_with_all_pairs():
     assert {i: int.from_bytes(got.get(d, d), "big") for i, d in enumerate(digests)} == expected
 
 
+@pytest.mark.parametrize("postings", [4096, 50])
+def test_links_within_a_crowd_are_found(spark, postings):
+    shared, own = prose(60), lambda n: " ".join(f"w{rng.getrandbits(40)}" for _ in range(n))
+    texts = [f"{shared} {own(60)}" for _ in range(400)] + [f"{shared} {own(6)}" for _ in range(12)]
+    sets = {i: set(t.split()) for i, t in enumerate(texts)}
+    got = neardup.near_duplicates(docs_df(spark, texts), k=1, look_back=1, postings=postings).collect()
+    assert {r.doc_id: r.component_id for r in got} == components_of(sets)
+
+
+def test_crowded_edges_need_no_forest(spark):
+    """Every link is among the edges, whatever neighbours the orders give."""
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 2) for _ in range(rng.randint(10, 40))) for _ in range(150)]
+    sets = {i: neardup.shingle_set(t, 1) for i, t in enumerate(texts)}
+    rows = [(i.to_bytes(2, "big"), i.to_bytes(2, "big"), (neardup.signature(s)[::2][:64] & 0xFF).astype(np.uint8).tobytes(), s.tobytes()) for i, s in sets.items()]
+    df = spark.createDataFrame(rows, "digest binary, comp binary, sketch binary, shingles binary")
+    edges = neardup._crowded_edges(df, 80, 0.0, 20)
+    star = {int.from_bytes(r.node, "big"): int.from_bytes(r.root, "big") for r in graph.components(edges).collect()}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            both = len(np.intersect1d(a, b))
+            if i < j and 100 * both >= 80 * (len(a) + len(b) - both):
+                assert star.get(i, i) == star.get(j, j)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.root for r in graph.components(edges).collect()}
