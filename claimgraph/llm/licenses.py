@@ -1,6 +1,8 @@
 """License scans (DataFrame operations only): sparse TF-IDF cosine to templates, then inheritance from directories.
 
-A file's candidate statements are its sentences and lines that name a licence (all of a licence file's text is one more).
+A file's candidate statements are its headers (neighbouring paragraphs that name a licence, comment marks stripped), their
+paragraphs, and their sentences and lines that name a licence (all of a licence file's text is one more). A header that is like
+a template goes before its paragraphs, and these before their lines; of several headers the most alike counts.
 Equal statements are scored once: their words, weighted by tf-idf with document frequencies over all distinct
 statements and templates, are compared with every template by cosine. A file without a licence of its own takes that of
 the nearest ancestor directory with a licence file, found by joining each file's ancestors with the directories.
@@ -79,6 +81,27 @@ def _ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda k: F.struct((F.size(parts) - k).alias("far"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("dir")))
 
 
+def _statements(text: Column) -> Column:
+    """Array of (run, level, statement): of each run of paragraphs that hold a trigger the whole (3), the paragraphs (2) and
+    the sentences and lines with a trigger (1). A paragraph also ends where marked comment lines begin or end."""
+    marked = F.regexp_replace(text, r"(?m)^[ \t]*(?:/\*+|<!--+|[\"']{3}|\*+/?)|[ \t]*(?:\*+/|--+>)[ \t]*$", "\x02")
+    marked = F.regexp_replace(marked, r"(?m)^[ \t]*(?:#+|//+|;+|--+|%+)", "\x01")
+    marked = F.regexp_replace(marked, r"(?m)^(\x01.*)\n(?=[^\x01\x02\n])", "$1\n\n")
+    marked = F.regexp_replace(marked, r"(?m)^([^\x01\x02\n].*)\n(?=\x01)", "$1\n\n")
+    paragraphs = F.split(F.translate(marked, "\x01\x02\x03\x04", ""), r"\n(?:[ \t\r]*\n)+")
+    held = F.array_join(F.transform(paragraphs, lambda x: F.when(x.rlike(TRIGGER), x).otherwise(F.lit("\x03"))), "\x04")
+    runs = F.filter(F.split(held, "\x03"), lambda x: x.rlike(TRIGGER))
+    plain = lambda x: F.btrim(F.regexp_replace(x, r"[\s\x04]+", " "), F.lit(SPACES + "#*/-"))
+
+    def of(run: Column, k: Column) -> Column:
+        lines = F.filter(F.split(run, r"[\n\x04]|(?<=[.!?;])[ \t]+(?=[A-Z#*/])"), lambda x: x.rlike(TRIGGER))
+        row = lambda level, x: F.struct(k.alias("run"), F.lit(level).alias("level"), plain(x).alias("statement"))
+        parts = F.concat(F.transform(F.split(run, "\x04"), lambda x: row(2, x)), F.transform(lines, lambda x: row(1, x)))
+        return F.concat(F.array(row(3, run)), F.filter(parts, lambda x: (x["statement"] != plain(run)) & x["statement"].rlike(TRIGGER)))
+
+    return F.flatten(F.transform(runs, of))
+
+
 def scan(files: DataFrame, path: str = "path", text_col: str = "text", license_file: Column | None = None, least: float = LEAST, keep: list[str] | None = None) -> DataFrame:
     """files (or its columns `keep`) with license, score, origin ('file', 'header', 'inherited' or null) and from_path.
 
@@ -89,14 +112,15 @@ def scan(files: DataFrame, path: str = "path", text_col: str = "text", license_f
     names = [c for c in (files.columns if keep is None else keep) if c.lower() not in OUTPUTS]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     is_file = F.coalesce(F.element_at(F.split(F.col(f"`{path}`"), "/"), -1).rlike(LICENSE_FILE) if license_file is None else license_file, F.lit(False))
-    sentences = F.filter(F.split(text, r"\n|(?<=[.!?;])[ \t]+(?=[A-Z#*/])"), lambda x: x.rlike(TRIGGER))
-    found = F.when(text.rlike(TRIGGER), F.concat(sentences, F.when(is_file, F.array(text)).otherwise(F.array().cast("array<string>")))).otherwise(F.array().cast("array<string>"))
-    trimmed = F.array_distinct(F.transform(found, lambda x: F.btrim(F.regexp_replace(x, r"\s+", " "), F.lit(SPACES + "#*/-"))))
-    base = files.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{path}`").alias("path"), is_file.alias("is_file"), trimmed.alias("found")).withColumn("id", F.monotonically_increasing_id())
+    shape = "array<struct<run:int,level:int,statement:string>>"
+    whole = F.array(F.struct(F.lit(-1).alias("run"), F.lit(1).alias("level"), F.btrim(F.regexp_replace(text, r"\s+", " "), F.lit(SPACES + "#*/-")).alias("statement"))).cast(shape)
+    found = F.when(text.rlike(TRIGGER), F.concat(_statements(text).cast(shape), F.when(is_file, whole).otherwise(F.array().cast(shape)))).otherwise(F.array().cast(shape))
+    base = files.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{path}`").alias("path"), is_file.alias("is_file"), F.array_distinct(found).alias("found")).withColumn("id", F.monotonically_increasing_id())
     base = written(base, "license-files")
-    mention = base.select("id", F.explode("found").alias("statement")).withColumn("key", F.sha2("statement", 256))
+    mention = base.select("id", F.inline("found")).withColumn("key", F.sha2("statement", 256))
     scored = written(similar(mention.select("key", "statement").dropDuplicates(["key"]), least), "license-scores")
-    own = mention.select("id", "key").join(scored, "key").groupBy("id").agg(F.max(F.struct("score", "license")).alias("own"))
+    headers = mention.select("id", "run", "level", "key").join(scored, "key").groupBy("id", "run").agg(F.max(F.struct("level", "score", "license")).alias("h"))
+    own = headers.groupBy("id").agg(F.max(F.struct(F.col("h.score").alias("score"), F.col("h.license").alias("license"))).alias("own"))
     judged = written(base.drop("found").join(own, "id", "left"), "license-own")
     parents = F.regexp_replace("path", r"/?[^/]*$", "")
     held = judged.where("is_file and own is not null and path is not null").select(parents.alias("dir"), F.col("own.score").alias("score"), F.col("own.license").alias("license"), F.col("path").alias("from_path"))

@@ -243,6 +243,14 @@ def test_licences_are_found_and_inherited(spark):
     assert all(got[p].license is None for p in ("z/f.txt", "top.txt", None))
 
 
+def test_wrapped_headers_are_scored_whole(spark):
+    gpl = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
+    rows = [("a.py", "".join(f"# {x}\n" for x in gpl.split("\n")) + "import os\nprint(os.name)\n" * 30), ("c.js", "/* " + mpl.replace("\n", "\n * ") + " */\n\nlet x = 1;\n"), ("d.txt", mpl)]
+    got = {r.path: r.license for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"a.py": "GPL-2.0", "c.js": "MPL-2.0", "d.txt": "MPL-2.0"}
+
+
 def test_every_template_is_nearest_to_itself(spark):
     rows = [(str(i), t) for i, (_, t) in enumerate(licenses.TEMPLATES)]
     got = {r.key: r for r in licenses.similar(spark.createDataFrame(rows, "key string, statement string")).collect()}
