@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, without, word_count, written
+from .common import SPACES, fresh, without, word_count, written
 
 SHARD_LEVELS = 3
 BLOCK_WORDS = 1024
@@ -26,6 +26,7 @@ BIN = 4096
 CAP = 3
 WEIGHTS = (1, 2, 3)
 OUTPUTS = ("size", "source_size", "target", "taken", "pieces")
+PLACED = ("epoch", "shard", "place", "from_word")
 #: Modulus of the affine block permutation's multiplier; a prime far above any block count's factors of interest.
 PRIME = 1_000_003
 
@@ -191,3 +192,32 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         on = on & (F.col(nth) == F.col(order))
     kept = here.join(found.where("taken > 0"), on)
     return kept.select(*[F.col(f"`{c}`") for c in without(docs, *OUTPUTS).columns], *OUTPUTS)
+
+
+def _spaced_words(text: Column) -> Column:
+    """The words, each with the white space after it."""
+    return F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+
+
+def _cut(words: Column, piece: Column) -> Column:
+    return F.btrim(F.array_join(F.slice(words, (piece["from_word"] + 1).cast("int"), piece["n_words"].cast("int")), ""), F.lit(SPACES))
+
+
+def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **options) -> DataFrame:
+    """mixed_documents() with the words taken alone as text_col, repeats included: the pieces in their order, a line break between."""
+    kept = mixed_documents(docs, id_col, text_col, source_col, seed=seed, **options)
+    word, = fresh(kept, "words")
+    cut = kept.withColumn(word, _spaced_words(F.col(f"`{text_col}`")))
+    return cut.withColumn(text_col, F.array_join(F.transform("pieces", lambda p: _cut(F.col(word), p)), "\n")).drop(word)
+
+
+def mixed_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **options) -> DataFrame:
+    """The mixed text: a row per piece, in shard and place order. text_col holds the piece's words alone, taken their number;
+    epoch, shard, place and from_word say where it stands, size, source_size and target are those of its document."""
+    kept = mixed_documents(docs, id_col, text_col, source_col, seed=seed, **options)
+    names = [c for c in kept.columns if c not in ("taken", "pieces") and c.lower() not in PLACED]
+    cut = kept.select(*[F.col(f"`{c}`") for c in names], F.explode("pieces").alias("__piece"))
+    piece = F.col("__piece")
+    text = _cut(_spaced_words(F.col(f"`{text_col}`")), piece)
+    out = cut.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], piece["n_words"].alias("taken"), *[piece[c].alias(c) for c in PLACED])
+    return out.orderBy("shard", "place", "epoch", f"`{id_col}`", "from_word")

@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs of
 the next. All but the last return the columns of `documents`; the last returns the documents of the mix with
-what the mix takes of each (size, source_size, target, taken).
+the words taken as text and what the mix takes of each (size, source_size, target, taken, pieces).
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, and how many of their words."""
-    return mixing.mixed_documents(docs).drop("pieces")
+    """The documents of the mix; text holds the words that the mix takes, repeats included, pieces where each of them stands."""
+    return mixing.mixed_texts(docs)
 
 
 STAGES = [

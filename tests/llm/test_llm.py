@@ -187,6 +187,22 @@ def test_mix_meets_targets_and_splits_disjoint_blocks(spark):
     assert set(per_shard) == set(range(8))
 
 
+def test_mixed_pieces_hold_the_words_taken(spark):
+    rows = [(i, f"{prose(rng.randint(0, 90))}\n", rng.choice("abbbbc")) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wanted = {r.id: r for r in mixing.mix(df, block_words=16).collect()}
+    got = mixing.mixed_pieces(df, block_words=16).collect()
+    assert [(r.shard, r.place) for r in got] == sorted((r.shard, r.place) for r in got)
+    taken, words = Counter(), dict((a, spaced(b)) for a, b, _ in rows)
+    for r in mixing.mixed_texts(df, block_words=16).collect():
+        assert spaced(r.text) == [w for p in r.pieces for w in words[r.doc_id][p["from_word"] : p["from_word"] + p["n_words"]]] and len(spaced(r.text)) == r.taken
+    for r in got:
+        assert spaced(r.text) == words[r.doc_id][r.from_word : r.from_word + r.taken]
+        taken[r.doc_id] += r.taken
+    assert taken == Counter({k: r.taken for k, r in wanted.items() if r.taken})
+    assert sorted((r.doc_id, r.epoch, r.shard, r.from_word) for r in got) == sorted((k, p["epoch"], p["shard"], p["from_word"]) for k, r in wanted.items() for p in r.pieces)
+
+
 def test_splitting_tree_is_hypergeometric(spark):
     quotas = spark.createDataFrame([(1, 60), (2, 30), (3, 10)], "rank int, quota long")
     firsts = []
