@@ -17,7 +17,7 @@ TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*
 ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 
 
-#: Elements nested deeper than this are closed at once, so that their text stands in the ancestor; browsers have such a limit too.
+#: Text of elements nested deeper than this stands in the ancestor; their end tags close them alone, and what is no article text stays out.
 DEEPEST = 200
 
 
@@ -61,6 +61,8 @@ def parse(page: str) -> Node:
                 continue
             if depth:
                 del stack[depth:]
+                if depth >= DEEPEST and tag in BLOCK:
+                    stack[-1].children.append(Node(tag))
             continue
         closes = ENDS.get(tag, ()) + (("p",) if tag in ENDS_P else ())
         if closes:
@@ -80,11 +82,25 @@ def parse(page: str) -> Node:
             node.children.append(page[at:end])
             close = page.find(">", end)
             at = n if close < 0 else close + 1
-        elif tag not in VOID and not m[5].endswith("/") and len(stack) < DEEPEST:
+        elif tag not in VOID and not m[5].endswith("/"):
+            if len(stack) >= DEEPEST:
+                node = _deep(node, stack)
             stack.append(node)
     return root
 
 
+def _deep(node: Node, stack: list[Node]) -> Node:
+    """What is open for an element past DEEPEST: the outermost that says it is no article text as it is, others hand what they hold to their ancestor."""
+    from .html import is_boilerplate
+
+    own = any(stack[i].children is not stack[i - 1].children for i in range(DEEPEST, len(stack)))
+    if not own and is_boilerplate(node, any(x.tag in ("article", "main") for x in stack)):
+        return node
+    flat = Node(node.tag, node.attributes)
+    flat.children = stack[-1].children
+    return flat
+
+
 class Slot:
     """A skeleton node: neighbouring siblings of one label taken together."""
 

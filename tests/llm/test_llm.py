@@ -399,6 +399,11 @@ def test_deep_nesting_keeps_its_text():
     dom.Slot("#root", [root]).signature()
 
 
+def test_deep_nesting_closes_nothing_else():
+    root = dom.parse("<div class=page><article><p>A</p>" + "<div>" * 250 + "<nav><div>menu</div></nav>b" + "</div>" * 250 + "<p>end</p></article></div>")
+    assert html.extract(root, html.template_nodes(root, None, {})) == "A\nb\nend"
+
+
 def test_simple_tree_matching():
     a, b = (dom.Slot("#root", [dom.parse(x)]) for x in ("<div><p>1</p><ul><li>2</ul></div>", "<div><h1>0</h1><p>1</p><table></table><ul><li>3</ul></div>"))
     size, _ = dom.match(a, b, {})
