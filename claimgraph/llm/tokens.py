@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch_dir, without, written
 
-#: Words remembered by a Python worker; beyond this it forgets and starts anew, which bounds its memory.
+#: Words in each of the two generations that a Python worker remembers, which bounds its memory.
 WORD_MEMORY = 400_000
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 _ENCODERS: dict[str, WordCounter | PieceCounter] = {}
@@ -35,7 +35,9 @@ class WordCounter:
 
     def __init__(self, path: str):
         import json
+        import os
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would only spin
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -43,26 +45,29 @@ class WordCounter:
         self.tokenizer.no_truncation()
         with open(path, encoding="utf-8") as f:
             self.by_word = _splits_at_spaces(json.load(f))
-        self.known: dict[bytes, int] = {}
+        self.young: dict[bytes, int] = {}
+        self.old: dict[bytes, int] = {}
 
     def encode(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def count(self, texts: list[str]) -> list[int]:
         if not self.by_word:
             return self.encode(texts)
-        out = []
-        for text in texts:
-            found = text.encode("utf-8", "surrogatepass").split()
-            known = self.known
-            missing = list({w for w in found if w not in known})
-            if missing:
-                if len(known) > WORD_MEMORY:
-                    known.clear()
-                    missing = list(set(found))
-                known.update(zip(missing, self.encode([w.decode("utf-8", "surrogatepass") for w in missing]), strict=True))
-            out.append(sum(map(known.__getitem__, found)))
-        return out
+        if len(self.young) > WORD_MEMORY:
+            # Words met since the last turn stay known, so common ones are never encoded again; the others are forgotten.
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        split = [text.encode("utf-8", "surrogatepass").split() for text in texts]
+        missing = []
+        for word in {w for found in split for w in found if w not in young}:
+            if word in old:
+                young[word] = old[word]
+            else:
+                missing.append(word)
+        if missing:
+            young.update(zip(missing, self.encode([w.decode("utf-8", "surrogatepass") for w in missing]), strict=True))
+        return [sum(map(young.__getitem__, found)) for found in split]
 
 
 def _splits_at_spaces(spec: dict) -> bool:
