@@ -1,13 +1,15 @@
 """Quality rules: robust multivariate outliers (DataFrame operations only).
 
 Every document gets a vector of transformed statistics. For each language and source a minimum-covariance-determinant
-estimate is made: start from medians and interquartile ranges, then concentration steps, each taking mean and covariance
-of the h documents nearest to the last estimate; then one reweighting step. A document far from its group's estimate by
-Mahalanobis distance is rejected.
-
-A group is never gathered: order statistics come from counts over a fixed grid of bins, means and covariances are
-sums, and all of them are pre-aggregated before they are shuffled. A group below MIN_GROUP documents is
-judged by its language's estimate, or, where that has too few as well, by that of all documents.
+estimate is made from several deterministic starts (medians and quartile ranges alone, with correlations of the squashed
+values, and with those of the spatial signs). Concentration steps take mean and covariance of the h documents nearest
+to the last estimate; after FIRST_STEPS of them the start with the least determinant stays, and goes on until its
+determinant settles. One reweighting step follows. A document far from its group's estimate by Mahalanobis distance is rejected.
+
+A group is never gathered: order statistics come from counts over a fixed grid of bins, means and covariances are sums
+per bin of distance, and all of them are pre-aggregated before they are shuffled. The h-subset ends within a bin, whose
+documents count by the share of it that is wanted, so every subset weighs h and determinants can be compared. A group
+below MIN_GROUP documents is judged by its language's estimate, or, where that has too few as well, by that of all documents.
 """
 
 from __future__ import annotations
@@ -24,7 +26,10 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_GROUP = 60
 SUBSET = 0.75
-STEPS = 3
+#: Steps that every start takes, steps after which an estimate that has not settled is an error, and when it has settled.
+FIRST_STEPS, MOST_STEPS, SETTLED = 3, 60, 1e-3
+#: Bins of the distance per unit of its logarithm.
+BINS = 32
 REWEIGHT = 0.975
 #: A distance counts in full for long texts and by n / (n + SHORT) for a text of n words, whose statistics vary more.
 SHORT = 60
@@ -64,26 +69,34 @@ def _consistency(share: float) -> float:
     return share / chi2_cdf(chi2_quantile(share, P), P + 2)
 
 
-def measured(df: DataFrame, text_col: str, prefix: str = "") -> DataFrame:
-    """df with the base statistics, base_failed and the features. Null and blank texts have no words and all counts 0."""
-    w, tri, starts, lines, safe = (f"{prefix}{x}" for x in fresh(df, "w", "tri", "starts", "lines", "safe"))
+def measured(df: DataFrame, text_col: str) -> DataFrame:
+    """df with the base statistics, base_failed and the features. Null and blank texts have no words and all counts 0.
+
+    Three-word windows that occur twice are found without an object per window: 32 bits of a window's hash and its place are
+    one long, and a primitive sort brings equal hashes together. Only windows whose 32 bits meet another's are hashed in full.
+    """
+    w, packed, near, starts, lines, safe = fresh(df, "w", "packed", "near", "starts", "lines", "safe")
     columns = [F.col(f"`{c}`") for c in df.columns]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     df = df.select(*columns, text.alias(safe), words(F.col(f"`{text_col}`")).alias(w), F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "").alias(lines))
-    windows = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("at"))))
-    letters = F.length(F.translate(safe, SPACES, ""))
+    window = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    high = lambda x: F.shiftrightunsigned(x, 32)
     df = df.select(
         *columns,
+        w,
         F.size(w).cast("long").alias("n_words"),
-        letters.cast("long").alias("word_chars"),
-        (F.length(safe) - F.length(F.translate(safe, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        (F.length(safe) - F.length(F.regexp_replace(safe, f"[{SYMBOLS}]", ""))).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.size(lines).alias(lines),
         F.length(F.regexp_replace(safe, r"[^\p{Lu}]+", "")).alias("f_capitals"),
         F.length(F.regexp_replace(safe, r"[\p{L}\p{N}\s]+", "")).alias("f_marks"),
-        F.sort_array(windows).alias(tri),
+        F.when(F.size(w) >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.shiftleft(window(i), 32).bitwiseOR(i.cast("long"))))).alias(packed),
     )
-    twice = F.transform(tri, lambda x, i: F.when((x["h"] == F.get(tri, i - 1)["h"]) | (x["h"] == F.get(tri, i + 1)["h"]), x["at"]))
+    meets = F.filter(packed, lambda x, i: (high(x) == high(F.get(packed, i - 1))) | (high(x) == high(F.get(packed, i + 1))))
+    at = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    df = df.withColumn(near, F.sort_array(F.transform(meets, lambda x: F.struct(window(at(x)).alias("h"), at(x).alias("at"))))).drop(w, packed)
+    twice = F.transform(near, lambda x, i: F.when((x["h"] == F.get(near, i - 1)["h"]) | (x["h"] == F.get(near, i + 1)["h"]), x["at"]))
     df = df.withColumn(starts, F.sort_array(F.filter(twice, lambda x: x.isNotNull())))
     covered = F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda s, x: F.struct((s["n"] + F.least(F.lit(3), x - s["last"])).alias("n"), x.alias("last")), lambda s: s["n"])
     df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
@@ -123,15 +136,19 @@ def _groups(stats: DataFrame, min_group: int) -> DataFrame:
     return every.select("lang_key", "source_key", group.alias("group"), F.array_compact(feeds).alias("feeds"))
 
 
-def _distance(x: dict[str, Column]) -> Column:
+def _centred() -> list[Column]:
+    return [F.col(name) - F.col(f"mean_{i}") for i, (name, _) in enumerate(FEATURES)]
+
+
+def _distance() -> Column:
     """Squared Mahalanobis distance from the params columns mean_i and w_i_j (inverse of the covariance's Cholesky factor)."""
-    centred = [x[name] - F.col(f"mean_{i}") for i, (name, _) in enumerate(FEATURES)]
+    centred = _centred()
     parts = [reduce(lambda a, b: a + b, [F.col(f"w_{i}_{j}") * centred[j] for j in range(i + 1)]) for i in range(P)]
     return reduce(lambda a, b: a + b, [p * p for p in parts])
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Params from medians and interquartile ranges, each from counts over a grid of a quarter of the least deviation."""
+def _middles(rows: DataFrame) -> DataFrame:
+    """(group, mean_i, sd_i): medians and interquartile ranges, from counts over a grid of a quarter of the least deviation."""
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(name) / (least / 4)).cast("long").alias("bin")) for i, (name, least) in enumerate(FEATURES)])
     counts = rows.select("group", F.inline(cells)).groupBy("group", "i", "bin").agg(F.count("*").alias("n"))
     up_to = F.sum("n").over(Window.partitionBy("group", "i").orderBy("bin"))
@@ -140,15 +157,35 @@ def _start(rows: DataFrame) -> DataFrame:
     quartiles = ranked.groupBy("group", "i").agg(*[F.min(F.when(F.col("share") >= q, F.col("bin"))).alias(f"q{k}") for k, q in enumerate((0.25, 0.5, 0.75))])
     least = F.element_at(F.array(*[F.lit(f) for _, f in FEATURES]), F.col("i") + 1)
     quartiles = quartiles.select("group", "i", ((F.col("q1") + 0.5) * least / 4).alias("mean"), F.greatest(least, (F.col("q2") - F.col("q0")) * least / 4 / 1.349).alias("sd"))
-    wide = quartiles.groupBy("group").agg(*[F.max(F.when(F.col("i") == i, F.col("mean"))).alias(f"mean_{i}") for i in range(P)], *[F.max(F.when(F.col("i") == i, 1 / F.col("sd"))).alias(f"w_{i}_{i}") for i in range(P)])
-    return wide.select("group", *[f"mean_{i}" for i in range(P)], *[F.col(f"w_{i}_{j}") if i == j else F.lit(0.0).alias(f"w_{i}_{j}") for i in range(P) for j in range(i + 1)])
-
-
-def _estimate(chosen: DataFrame, factor: float) -> DataFrame:
-    """Params from the mean and the covariance (times a consistency factor, plus the least variances) of the chosen rows."""
-    names = [name for name, _ in FEATURES]
-    sums = chosen.groupBy("group").agg(*[F.avg(n).alias(f"mean_{i}") for i, n in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"s_{i}_{j}") for i in range(P) for j in range(i + 1)])
-    df = sums.select("group", *[f"mean_{i}" for i in range(P)], *[(F.col(f"s_{i}_{j}") * factor + (FEATURES[i][1] ** 2 if i == j else 0.0)).alias(f"s_{i}_{j}") for i in range(P) for j in range(i + 1)])
+    return quartiles.groupBy("group").agg(*[F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{c}_{i}") for c in ("mean", "sd") for i in range(P)])
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """(group, start, mean_i, s_i_j): medians, with three covariances."""
+    middles = written(_middles(rows), "middles")
+    z = [F.col(name) / F.col(f"sd_{i}") - F.col(f"mean_{i}") / F.col(f"sd_{i}") for i, (name, _) in enumerate(FEATURES)]
+    squashed = [F.tanh(x) for x in z]
+    norm = F.sqrt(F.greatest(reduce(lambda a, b: a + b, [x * x for x in z]), F.lit(1e-12)))
+    signs = [x / norm for x in z]
+    kinds = {"t": squashed, "u": signs}
+    made = rows.join(middles, "group").select("group", *[x.alias(f"{k}_{i}") for k, v in kinds.items() for i, x in enumerate(v)])
+    sums = made.groupBy("group").agg(*[F.avg(F.col(f"{k}_{i}") * F.col(f"{k}_{j}")).alias(f"{k}_{i}_{j}") for k in kinds for i in range(P) for j in range(i + 1)])
+    both = middles.join(sums, "group")
+
+    def covariance(kind: str | None, i: int, j: int) -> Column:
+        if i == j:
+            return F.col(f"sd_{i}") * F.col(f"sd_{i}")
+        if kind is None:
+            return F.lit(0.0)
+        scale = F.sqrt(F.col(f"{kind}_{i}_{i}") * F.col(f"{kind}_{j}_{j}"))
+        return F.when(scale > 0, F.col(f"{kind}_{i}_{j}") / scale).otherwise(0.0) * F.col(f"sd_{i}") * F.col(f"sd_{j}")
+
+    starts = F.array(*[F.struct(F.lit(k).alias("start"), *[covariance(kind, i, j).alias(f"s_{i}_{j}") for i in range(P) for j in range(i + 1)]) for k, kind in enumerate((None, "t", "u"))])
+    return both.select("group", *[f"mean_{i}" for i in range(P)], F.inline(starts))
+
+
+def _solved(df: DataFrame) -> DataFrame:
+    """(group, start, mean_i, s_i_j) to (group, start, mean_i, w_i_j, logdet): the inverse of the Cholesky factor, and the determinant."""
     total = lambda terms: reduce(lambda a, b: a + b, terms, F.lit(0.0))
     for i in range(P):  # Cholesky factor l, row by row
         for j in range(i + 1):
@@ -157,32 +194,61 @@ def _estimate(chosen: DataFrame, factor: float) -> DataFrame:
     for i in range(P):  # its inverse w
         for j in range(i + 1):
             df = df.withColumn(f"w_{i}_{j}", 1 / F.col(f"l_{i}_{i}") if i == j else -total([F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}") for k in range(j, i)]) / F.col(f"l_{i}_{i}"))
-    return df.select("group", *[f"mean_{i}" for i in range(P)], *[f"w_{i}_{j}" for i in range(P) for j in range(i + 1)])
+    logdet = 2 * total([F.log(f"l_{i}_{i}") for i in range(P)])
+    return df.select("group", "start", *[f"mean_{i}" for i in range(P)], *[f"w_{i}_{j}" for i in range(P) for j in range(i + 1)], logdet.alias("logdet"))
+
+
+def _concentrated(rows: DataFrame, params: DataFrame, share: float | None) -> DataFrame:
+    """Params from the mean and the covariance (times a consistency factor, plus the least variances) of the share of each
+    group's rows nearest to its params; without a share, of those nearer than the reweighting cutoff."""
+    far = rows.join(params, "group").select("group", "start", *[f"mean_{i}" for i in range(P)], _distance().alias("d2"), *[c.alias(f"x_{i}") for i, c in enumerate(_centred())])
+    products = [(i, j) for i in range(P) for j in range(i + 1)]
+    moments = [F.sum(f"x_{i}").alias(f"x_{i}") for i in range(P)] + [F.sum(F.col(f"x_{i}") * F.col(f"x_{j}")).alias(f"p_{i}_{j}") for i, j in products]
+    centre = [F.max(f"mean_{i}").alias(f"mean_{i}") for i in range(P)]
+    if share is None:
+        held = far.where(F.col("d2") <= chi2_quantile(REWEIGHT, P)).groupBy("group", "start").agg(F.count("*").cast("double").alias("n"), *centre, *moments)
+    else:
+        binned = far.withColumn("bin", F.floor(BINS * F.log(F.col("d2") + 1e-3)).cast("long"))
+        sums = binned.groupBy("group", "start", "bin").agg(F.count("*").alias("n"), *centre, *moments)
+        by = Window.partitionBy("group", "start")
+        sums = sums.withColumn("want", share * F.sum("n").over(by)).withColumn("before", F.sum("n").over(by.orderBy("bin")) - F.col("n"))
+        part = F.least(F.lit(1.0), (F.col("want") - F.col("before")) / F.col("n"))
+        held = sums.where("before < want").withColumn("part", part)
+        held = held.groupBy("group", "start").agg(F.sum(F.col("n") * F.col("part")).alias("n"), *centre, *[F.sum(F.col(c) * F.col("part")).alias(c) for c in [f"x_{i}" for i in range(P)] + [f"p_{i}_{j}" for i, j in products]])
+    factor = _consistency(REWEIGHT if share is None else share)
+    cov = lambda i, j: (F.col(f"p_{i}_{j}") - F.col(f"x_{i}") * F.col(f"x_{j}") / F.col("n")) / F.col("n") * factor + (FEATURES[i][1] ** 2 if i == j else 0.0)
+    return _solved(held.select("group", "start", *[(F.col(f"mean_{i}") + F.col(f"x_{i}") / F.col("n")).alias(f"mean_{i}") for i in range(P)], *[cov(i, j).alias(f"s_{i}_{j}") for i, j in products]))
+
+
+def fitted(rows: DataFrame) -> DataFrame:
+    """(group, start, mean_i, w_i_j, logdet) from rows (group, features), read anew for each step: the estimate of the start whose determinant is the least."""
+    params = written(_solved(_starts(rows)), "params")
+    for step in range(MOST_STEPS):
+        new = written(_concentrated(rows, params, 0.5 if step == 0 else SUBSET), "params")
+        if step == FIRST_STEPS - 1:
+            best = Window.partitionBy("group").orderBy("logdet", "start")
+            new = written(new.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth"), "params")
+        elif step >= FIRST_STEPS:
+            change = new.join(params.select("group", F.col("logdet").alias("was")), "group").agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+            if change is None or change < SETTLED:
+                params = new
+                break
+        params = new
+    else:
+        raise RuntimeError(f"an estimate did not settle in {MOST_STEPS} steps")
+    return written(_concentrated(rows, params, None), "params")
 
 
 def estimates(stats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """(lang_key, source_key, group, mean_i, w_i_j) from a written table of statistics."""
     groups = written(_groups(stats, min_group), "groups")
-    rows = written(stats.where("not base_failed").join(groups, ["lang_key", "source_key"]).select(F.explode("feeds").alias("group"), *[n for n, _ in FEATURES]), "vectors")
-    x = {name: F.col(name) for name, _ in FEATURES}
-    params = written(_start(rows), "params")
-    for step in range(STEPS):
-        share = 0.5 if step == 0 else SUBSET
-        far = rows.join(params, "group").select("group", *x, _distance(x).alias("d2"))
-        far = far.withColumn("bin", F.floor(16 * F.log(F.col("d2") + 1e-3)).cast("long"))
-        counts = far.groupBy("group", "bin").agg(F.count("*").alias("n"))
-        by = Window.partitionBy("group")
-        ranked = counts.withColumn("share", F.sum("n").over(by.orderBy("bin")) / F.sum("n").over(by))
-        cut = ranked.where(F.col("share") >= share).groupBy("group").agg(F.min("bin").alias("cut"))
-        params = written(_estimate(far.join(written(cut, "cut"), "group").where("bin <= cut"), _consistency(share)), "params")
-    far = rows.join(params, "group").select("group", *x, _distance(x).alias("d2"))
-    params = written(_estimate(far.where(F.col("d2") <= chi2_quantile(REWEIGHT, P)), _consistency(REWEIGHT)), "params")
-    return written(groups.join(params, "group", "left"), "estimates")
+    rows = stats.where("not base_failed").join(groups, ["lang_key", "source_key"]).select(F.explode("feeds").alias("group"), *[n for n, _ in FEATURES])
+    return written(groups.join(fitted(rows).drop("start", "logdet"), "group", "left"), "estimates")
 
 
 def _judged(stats: DataFrame, params: DataFrame) -> DataFrame:
     joined = stats.join(params, ["lang_key", "source_key"], "left")
-    d2 = _distance({name: F.col(name) for name, _ in FEATURES}) * F.col("n_words") / (F.col("n_words") + SHORT)
+    d2 = _distance() * F.col("n_words") / (F.col("n_words") + SHORT)
     cutoff = chi2_quantile(1 - TAIL, P)
     # One sum, not a conjunction: the optimizer would push the base rule alone below the join and inline into its lambdas
     # the arrays that measured() computes once.
@@ -203,9 +269,13 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
-    """docs without those that assess() rejects, columns as they were; the text is read twice rather than shuffled."""
+    """docs without those that assess() rejects, columns as they were, in a written table beside their statistics meanwhile.
+
+    Null and blank texts are rejected (fewer than 50 words); null languages and sources are values of their own; each of
+    repeated rows stays or goes by itself, with one verdict; an empty table stays empty.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     source = docs.select(row.alias("__row"), F.col(f"`{text_col}`").alias("__text"), _key(F.col(f"`{lang_col}`")).alias("lang_key"), _key(F.col(f"`{source_col}`")).alias("source_key"))
-    stats = written(measured(source.drop("__row"), "__text").drop("__text"), "stats")
-    kept = _judged(measured(source, "__text").drop("__text"), estimates(stats, min_group)).where("kept")
+    stats = written(measured(source, "__text").drop("__text"), "stats")
+    kept = _judged(stats, estimates(stats.drop("__row"), min_group)).where("kept")
     return kept.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
