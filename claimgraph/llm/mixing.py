@@ -7,7 +7,8 @@ first, the last of them cut so that the words taken are the rounded target.
 The exact block quotas of all sources are divided among output shards by a binary tree: a node with n blocks, of which
 q_s from source s, gives its left child half of them, drawn without replacement. The draw is sequential over the
 sources, each a hypergeometric draw by inversion around its mean. Each leaf then owns a run of every source's permuted
-blocks, disjoint from the others', and orders its blocks by a hash.
+blocks, disjoint from the others', and orders its blocks by a hash. The permutation is a keyed Feistel network on the block
+numbers, so no block is sorted or gathered; the number of shards goes with the words of the mix.
 
 Orders come from two-level prefix sums: documents are dealt by hash into bins of about BIN documents, so a source with a
 third of all rows is never gathered in a task.
@@ -20,15 +21,17 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, fresh, without, word_count, written
 
-SHARD_LEVELS = 3
+#: Words in a shard, about, and the least depth of the tree.
+SHARD_WORDS, LEAST_LEVELS = 1 << 27, 3
 BLOCK_WORDS = 1024
 BIN = 4096
 CAP = 3
 WEIGHTS = (1, 2, 3)
 OUTPUTS = ("size", "source_size", "target", "taken", "pieces")
 PLACED = ("epoch", "shard", "place", "from_word")
-#: Modulus of the affine block permutation's multiplier; a prime far above any block count's factors of interest.
-PRIME = 1_000_003
+PIECE = "array<struct<epoch:int,shard:int,place:bigint,from_word:bigint,n_words:bigint>>"
+#: The Feistel network's left side has at most as many values, and it has as many rounds.
+LEFT, ROUNDS = 32, 6
 
 
 def targets(sizes: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -91,7 +94,7 @@ def _unit(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)).cast("double") / float(1 << 52)
 
 
-def split(quotas: DataFrame, levels: int = SHARD_LEVELS, seed: int = 0) -> DataFrame:
+def split(quotas: DataFrame, levels: int = LEAST_LEVELS, seed: int = 0) -> DataFrame:
     """quotas (rank, quota) to (shard, rank, first, quota): the run of each source's blocks that each of 2**levels shards owns."""
     nodes = quotas.select(F.lit(0).alias("shard"), "rank", F.lit(0).cast("long").alias("first"), F.col("quota").cast("long").alias("quota"))
     for level in range(levels):
@@ -119,28 +122,65 @@ def split(quotas: DataFrame, levels: int = SHARD_LEVELS, seed: int = 0) -> DataF
     return nodes
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", levels: int = SHARD_LEVELS, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
-    """(id, size, source_size, target, taken, pieces) of every row of docs.
+def permuted(block: Column, blocks: Column, *key: Column) -> Column:
+    """Where a keyed permutation of [0, blocks) puts a block.
+
+    A Feistel network permutes left * ceil(blocks / left) numbers, left being LEFT or, for few blocks, their root; from one of
+    the fewer than left that are no block it goes on, so a block is reached within left steps.
+    """
+    left = F.least(F.ceil(F.sqrt(blocks)).cast("long"), F.lit(LEFT))
+    right = F.ceil(blocks / left).cast("long")
+
+    def stirred(x: Column) -> Column:
+        def turn(s: Column, k: Column) -> Column:
+            far = F.pmod(s["l"] + F.pmod(F.xxhash64(*key, k, F.lit(0), s["r"]), left), left)
+            near = lambda one: F.pmod(s["r"] + F.pmod(F.xxhash64(*key, k, F.lit(1), one), right), right)
+            return F.struct(far.cast("long").alias("l"), near(far.cast("long")).cast("long").alias("r"))
+
+        state = F.struct(F.floor(x / right).cast("long").alias("l"), F.pmod(x, right).cast("long").alias("r"))
+        return F.aggregate(F.array(*[F.lit(k) for k in range(ROUNDS)]), state, turn, lambda s: s["l"] * right + s["r"])
+
+    steps = F.sequence(F.lit(0).cast("long"), left * right - blocks)
+    return F.aggregate(steps, block.cast("long") - blocks, lambda x, _: F.when((x >= 0) & (x < blocks), x).otherwise(stirred(F.when(x < 0, x + blocks).otherwise(x))))
+
+
+def planned(sources: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
+    """targets() with docs to the plan of each source: epochs (whole ones), rest (words of the last), blocks, quota (blocks taken) and last_at."""
+    want, size = F.round(F.col("target")).cast("long"), F.col("source_size")
+    plan = sources.select("*", F.when(size > 0, F.floor(want / size)).otherwise(0).cast("long").alias("epochs"), F.greatest(F.ceil(size / block_words).cast("long"), F.lit(1)).alias("blocks"), F.ceil(F.col("docs") / BIN).cast("long").alias("bins"), want.alias("want"))
+    plan = plan.withColumn("rest", F.when(size > 0, F.col("want") - F.col("epochs") * size).otherwise(0).cast("long"))
+    plan = plan.withColumn("last_at", permuted(F.col("blocks") - 1, F.col("blocks"), F.lit(seed), F.col("rank")))
+    # Blocks of the last epoch: one more may be needed where the short block is among them.
+    full = F.ceil(F.col("rest") / block_words).cast("long")
+    with_short = F.ceil((F.col("rest") + F.col("blocks") * block_words - size) / block_words).cast("long")
+    return plan.withColumn("quota", F.col("epochs") * F.col("blocks") + F.when(F.col("last_at") < full, with_short).otherwise(full))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", levels: int | None = None, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
+    """(id, source, size, source_size, target, taken, pieces, place) of every row of docs.
 
     pieces: array of (epoch, shard, place, from_word, n_words): which words of the document each shard holds, and the
-    hash that orders the blocks within the shard. taken is their sum and at most 3 times the size. Null and blank texts have
-    size 0 and are not taken. A null source is a source like others, last in order. Rows that repeat an id are mixed
-    like any; equal rows may be taken differently but reruns give the same rows. Sources of size 0 have target 0. An
-    empty table gives no rows.
+    hash that orders the blocks within the shard. taken is their sum and at most 3 times the size. levels: depth of the tree, by
+    default as the words of the mix ask. Null and blank texts have size 0 and are not taken. A null source is a source like
+    others, last in order. Rows that repeat an id are mixed like any; equal rows may be taken differently but reruns give
+    the same rows. Sources of size 0 have target 0. An empty table gives no rows.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("place"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("place"))
     rows = written(rows, "sizes")
-    sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
-    counts = rows.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("docs"))
-    plan = sources.join(counts, sources["source"].eqNullSafe(counts["s"])).drop("s")
-    want = F.round(F.col("target")).cast("long")
-    plan = plan.select("*", F.when(F.col("source_size") > 0, F.floor(want / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"), F.greatest(F.ceil(F.col("source_size") / block_words).cast("long"), F.lit(1)).alias("blocks"), F.ceil(F.col("docs") / BIN).cast("long").alias("bins"), want.alias("want"))
-    plan = plan.withColumn("rest", F.when(F.col("source_size") > 0, F.col("want") - F.col("epochs") * F.col("source_size")).otherwise(0).cast("long"))
-    plan = plan.withColumn("quota", F.col("epochs") * F.col("blocks") + F.ceil(F.col("rest") / block_words).cast("long"))
-    plan = written(plan, "mix-plan")
-    leaves = split(plan.select("rank", "quota"), levels, seed)
-    runs = leaves.where("quota > 0").groupBy("rank").agg(F.sort_array(F.collect_list(F.struct(F.col("first").alias("first"), F.col("shard").alias("shard")))).alias("runs"))
-    plan = plan.join(runs, "rank", "left")
+    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    counts = totals.select(F.col("source").alias("s"), "docs")
+    sources = targets(totals.select("source", "source_size")).join(counts, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    plan = written(planned(sources, block_words, seed), "mix-plan")
+    if levels is None:
+        words = plan.agg(F.coalesce(F.sum("want"), F.lit(0))).first()[0]
+        levels = max(LEAST_LEVELS, (max(0, words - 1) // SHARD_WORDS).bit_length())
+    leaves = written(split(plan.select("rank", "quota"), levels, seed), "mix-leaves").where("quota > 0")
+    # Runs are found by buckets of about a leaf's length, a few in each, however many shards there are.
+    plan = plan.withColumn("width", F.greatest(F.ceil(F.col("quota") / (1 << levels)).cast("long"), F.lit(1)))
+    spans = leaves.withColumnRenamed("quota", "share").join(plan.select("rank", "width"), "rank")
+    spans = spans.select("rank", F.struct("first", "shard").alias("run"), F.explode(F.sequence(F.floor(F.col("first") / F.col("width")), F.floor((F.col("first") + F.col("share") - 1) / F.col("width")))).alias("bucket"))
+    runs = spans.groupBy("rank", "bucket").agg(F.sort_array(F.collect_list("run")).alias("runs"))
+
     dealt = rows.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source"))).drop("s")
     dealt = dealt.withColumn("bin", F.floor(F.col("bins") * (F.col("place") / float(1 << 64) + 0.5)).cast("long"))
     bins = dealt.groupBy("rank", "bin").agg(F.sum("size").alias("words"))
@@ -151,10 +191,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     begin, size = F.col("start"), F.col("size")
     first_block, last_block = F.floor(begin / block_words), F.floor((begin + size - 1) / block_words)
     short = F.col("blocks") * block_words - F.col("source_size")  # what the last block lacks
-    # The permutation: an affine map where its multiplier has no factor in common with the number of blocks, else a rotation.
-    step = F.when(F.pmod(F.col("blocks"), F.lit(PRIME)) != 0, F.lit(PRIME)).otherwise(F.lit(1)).cast("decimal(20,0)")
-    turn = F.pmod(F.xxhash64(F.lit(seed), F.col("rank"), F.lit("turn")), F.col("blocks"))
-    where = lambda b: F.pmod(F.pmod(b.cast("decimal(18,0)") * step, F.col("blocks").cast("decimal(38,0)")).cast("long") + turn, F.col("blocks"))
 
     def piece(epoch: Column, b: Column, at: Column) -> Column:
         block_len = F.when(b == F.col("blocks") - 1, block_words - short).otherwise(F.lit(block_words))
@@ -162,24 +198,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         take = F.when(epoch < F.col("epochs"), block_len).otherwise(F.least(F.greatest(F.col("rest") - before, F.lit(0)), block_len))
         a = F.greatest(begin, b * block_words)
         z = F.least(begin + size, b * block_words + take)
-        stream = epoch * F.col("blocks") + at
-        shard = F.element_at(F.filter("runs", lambda r: r["first"] <= stream), -1)["shard"]
-        return F.struct(epoch.cast("int").alias("epoch"), shard.alias("shard"), F.xxhash64(F.lit(seed), F.col("rank"), stream).alias("place"), (a - begin).cast("long").alias("from_word"), (z - a).cast("long").alias("n_words"))
+        return F.struct(epoch.cast("int").alias("epoch"), (epoch * F.col("blocks") + at).alias("stream"), (a - begin).cast("long").alias("from_word"), (z - a).cast("long").alias("n_words"))
 
-    laid = laid.withColumn("last_at", where(F.col("blocks") - 1))
-    here = F.transform(F.sequence(first_block, last_block), lambda b: F.struct(b.alias("b"), where(b).alias("at")))
+    here = F.transform(F.sequence(first_block, last_block), lambda b: F.struct(b.alias("b"), permuted(b, F.col("blocks"), F.lit(seed), F.col("rank")).alias("at")))
     laid = laid.withColumn("here", F.when((size > 0) & (F.col("quota") > 0), here))
     laps = F.sequence(F.lit(0).cast("long"), F.col("epochs"))
-    pieces = F.filter(F.flatten(F.transform(laps, lambda e: F.transform("here", lambda x: piece(e, x["b"], x["at"])))), lambda p: p["n_words"] > 0)
-    empty = "array<struct<epoch:int,shard:int,place:bigint,from_word:bigint,n_words:bigint>>"
-    laid = laid.withColumn("pieces", F.coalesce(F.when(F.col("here").isNotNull(), pieces), F.array().cast(empty)).cast(empty))
+    drawn = F.filter(F.flatten(F.transform(laps, lambda e: F.transform("here", lambda x: piece(e, x["b"], x["at"])))), lambda p: p["n_words"] > 0)
+    laid = written(laid.select("row", "id", "source", "size", "source_size", "target", "place", "rank", "width", F.when(F.col("here").isNotNull(), drawn).alias("drawn")), "mix-laid")
+    each = laid.select("row", "rank", "width", F.explode("drawn").alias("p")).withColumn("bucket", F.floor(F.col("p.stream") / F.col("width")))
+    placed = each.join(runs, ["rank", "bucket"])
+    shard = F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("p.stream")), -1)["shard"]
+    held = F.struct(F.col("p.epoch"), shard.alias("shard"), F.xxhash64(F.lit(seed), F.col("rank"), F.col("p.stream")).alias("place"), F.col("p.from_word"), F.col("p.n_words"))
+    pieces = placed.groupBy("row").agg(F.sort_array(F.collect_list(held)).alias("pieces"))  # no more than the blocks of one document
+    out = laid.drop("drawn", "rank", "width").join(pieces, "row", "left").withColumn("pieces", F.coalesce(F.col("pieces").cast(PIECE), F.array().cast(PIECE)))
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda acc, p: acc + p["n_words"])
-    return laid.select("id", "source", "size", "source_size", "target", taken.alias("taken"), "pieces", "place")
+    return out.select("id", "source", "size", "source_size", "target", taken.alias("taken"), "pieces", "place")
+
+
+def shards_of(pieces: Column) -> Column:
+    """(shard, words) of each shard that holds words of a document, by shard."""
+    numbers = F.array_sort(F.array_distinct(F.transform(pieces, lambda p: p["shard"])))
+    return F.transform(numbers, lambda n: F.struct(n.alias("shard"), F.aggregate(F.filter(pieces, lambda p: p["shard"] == n), F.lit(0).cast("long"), lambda a, p: a + p["n_words"]).alias("words")))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **options) -> DataFrame:
     """The documents that the mix takes, with size, source_size, target, taken and pieces; input columns of these names are
-    replaced. A document of the mix keeps its whole text; pieces say which of its words which shard holds, and how often."""
+    replaced. A document of the mix keeps its whole text; pieces say which of its words which shard holds, and how often.
+    Each of repeated rows is taken or not by itself. An empty table gives no rows."""
     place, nth, key, home, order = fresh(docs, "mix_place", "mix_nth", "mix_key", "mix_home", "mix_order")
     mixed = written(mix(docs, id_col, text_col, source_col, seed=seed, **options), "mixed")
     here = without(docs, *OUTPUTS).withColumn(place, F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))

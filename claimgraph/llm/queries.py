@@ -27,7 +27,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    mixed = mixing.mix(docs).withColumn("shards", mixing.shards_of(F.col("pieces")))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "shards")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
