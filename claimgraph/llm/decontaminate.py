@@ -5,9 +5,9 @@ suffixes are sorted (only those that begin like some test suffix can ever match
 test suffix is binary-searched in it. Matches are verbatim runs of at least a window (13 words, or a whole shorter item);
 along a diagonal they join into the longest match, reported with its location. No shuffle: the shards are independent.
 
-The test items are read in blocks of bounded size; each block is broadcast and one pass over the documents is chained
-per block, the marks of earlier blocks travelling with the row. So neither the driver nor a task ever holds more than a
-block of test text, however large the test set is.
+The test items are read in blocks of bounded size, each a few flat arrays that are broadcast. One pass over the documents
+searches all of them, a batch of documents against a block at a time, and lets go of a block before it loads the next where
+there are several. So neither the driver nor a task ever holds more than a block of test text, however large the test set is.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import without
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: A-Z to a-z, then everything but digits, letters and non-ASCII bytes to a space.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 OUTPUTS = ("n_words", "n_hit", "n_items", "items", "items_sha256", "matches", "contaminated")
@@ -36,27 +36,40 @@ def text_words(text: str | None) -> list[bytes]:
 
 
 class TestBlock:
-    """The suffixes of one block of test items: windows as word ranks, and which items have each."""
+    """The suffixes of one block of test items: sorted windows of word ranks, and which items have each and where."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         self.window, self.rank = window, {}
-        owners: dict[tuple, list[tuple[str, int]]] = {}
+        self.items = sorted({item for item, _ in items})
+        place = {item: k for k, item in enumerate(self.items)}
+        rows, owners, starts = [], [], []
         for item, text in items:
-            ids = [self.rank.setdefault(w, len(self.rank) + 1) for w in text_words(text)]
-            for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners.setdefault(tuple(ids[at : at + window]), []).append((item, at))
-        self.windows = list(owners)
-        self.owners = [owners[w] for w in self.windows]
-        self.lengths = np.array([len(w) for w in self.windows], dtype=np.int64)
-        low, high = np.zeros((len(self.windows), window), dtype=">u4"), np.full((len(self.windows), window), 0xFFFFFFFF, dtype=">u4")
-        for k, w in enumerate(self.windows):
-            low[k, : len(w)] = high[k, : len(w)] = w
-        self.low, self.high = _keys(low), _keys(high)
+            ids = np.array([self.rank.setdefault(w, len(self.rank) + 1) for w in text_words(text)], dtype=np.uint32)
+            if not len(ids):
+                continue
+            padded = np.concatenate([ids, np.zeros(max(0, window - len(ids)), np.uint32)])
+            rows.append(np.lib.stride_tricks.sliding_window_view(padded, window))
+            owners.append(np.full(len(rows[-1]), place[item], np.int32))
+            starts.append(np.arange(len(rows[-1]), dtype=np.int32))
+        matrix = np.concatenate(rows) if rows else np.zeros((0, window), np.uint32)
+        low, of = np.unique(_keys(matrix.astype(">u4")), return_inverse=True)
+        self.low = low.astype(f"S{window * 4}")
+        plain = np.frombuffer(self.low.tobytes(), dtype=">u4").reshape(-1, window)
+        self.lengths = (plain > 0).sum(axis=1)
+        # A whole window matches itself alone; a shorter item all suffixes that begin with it.
+        self.short = np.flatnonzero(self.lengths < window)
+        high = plain[self.short].copy()
+        high[high == 0] = 0xFFFFFFFF
+        self.high = _keys(high)
+        order = np.argsort(of, kind="stable")
+        self.owner = np.concatenate(owners)[order] if rows else np.empty(0, np.int32)
+        self.start = np.concatenate(starts)[order] if rows else np.empty(0, np.int32)
+        self.offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(self.low)))]).astype(np.int64)
         self.least = int(self.lengths.min(initial=window))
         self.gram = min(self.least, 4)
-        self.heads = np.unique(_gram_hash([low[:, j].astype(np.uint64) for j in range(self.gram)])) if self.windows else np.empty(0, np.uint64)
+        self.heads = np.unique(_gram_hash([plain[:, j].astype(np.uint64) for j in range(self.gram)])) if len(plain) else np.empty(0, np.uint64)
 
 
 def _keys(matrix: np.ndarray) -> np.ndarray:
@@ -73,7 +86,7 @@ def _gram_hash(columns: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def search(block: TestBlock, docs: list[list[int]] | list[np.ndarray], begins: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(block: TestBlock, begins: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, window, position) of every occurrence of a test window in a shard.
 
     begins: where each document starts in ranks; ranks: word ranks with a 0 after each document, 0 also for words
@@ -81,7 +94,7 @@ def search(block: TestBlock, docs: list[list[int]] | list[np.ndarray], begins: n
     """
     none = np.empty(0, np.int64)
     n, w = len(ranks), block.window
-    if not n or not block.windows:
+    if not n or not len(block.low):
         return none, none, none
     zero = np.flatnonzero(ranks == 0)
     nxt = np.full(n, n, dtype=np.int64)
@@ -100,87 +113,86 @@ def search(block: TestBlock, docs: list[list[int]] | list[np.ndarray], begins: n
     keys = _keys(padded[starts[:, None] + np.arange(w)].astype(">u4"))
     order = np.argsort(keys, kind="stable")
     suffixes, keys = starts[order], keys[order]
-    first, last = np.searchsorted(keys, block.low, "left"), np.searchsorted(keys, block.high, "right")
+    first, last = np.searchsorted(keys, block.low, "left"), np.searchsorted(keys, block.low, "right")
+    last[block.short] = np.searchsorted(keys, block.high, "right")
     count = np.maximum(last - first, 0)
     window = np.repeat(np.arange(len(count)), count)
     position = suffixes[np.repeat(first, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))]
     return np.searchsorted(begins, position, "right") - 1, window, position
 
 
-def _scan(block: TestBlock, text_col: str, state: str, keep: list[str], first: bool, last: bool, percent: int):
-    """The pass of one block, as a function of Arrow batches."""
+def _scan(blocks: list, keep: list[str], percent: int):
+    """(text and the columns to keep) to these and OUTPUTS, as a function of Arrow batches; the text is the last column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, get = block.value, block.value.rank.get
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            before = None if first else batch.column(batch.schema.get_field_index(state)).to_pylist()
-            parts, begins, lengths, at = [], [], [], 0
-            for k in range(len(texts)):
-                found = text_words(texts[k].as_py())
-                lengths.append(len(found))
-                begins.append(at)
-                ids = np.zeros(len(found) + 1, np.int32)
-                if found:
-                    ids[:-1] = [get(x, 0) for x in found]
-                parts.append(ids)
-                at += len(ids)
-            ranks, offsets = np.concatenate(parts) if parts else np.empty(0, np.int32), np.array(begins, np.int64)
-            doc, window, position = search(b, parts, offsets, ranks)
-            marks: dict[int, list] = {}
-            if len(doc):
-                by = np.lexsort((window, position, doc))
-                cuts = np.flatnonzero(np.diff(doc[by])) + 1
-                for group in np.split(by, cuts):
-                    d = int(doc[group[0]])
-                    marks[d] = _matches(b, window[group], position[group] - offsets[d])
-            rows = []
-            for k in range(len(texts)):
-                own = ([] if before is None else before[k]) + [dict(zip(("item", "item_word", "word", "n"), m, strict=True)) for m in marks.get(k, [])]
-                rows.append(own)
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            names = list(keep)
-            if last:
-                out = [_digest(n, own, percent) for n, own in zip(lengths, rows, strict=True)]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.list_(ARROW_MATCH), pa.bool_())
-                columns += [pa.array([o[j] for o in out], kinds[j]) for j in range(len(kinds))]
-                names += OUTPUTS
-            else:
-                columns.append(pa.array(rows, pa.list_(ARROW_MATCH)))
-                names.append(state)
-            yield pa.RecordBatch.from_arrays(columns, names)
+            texts = batch.column(len(keep))
+            found: list[list[tuple]] = [[] for _ in range(len(texts))]
+            lengths: list[int] = []
+            for sent in blocks:
+                lengths = _search_batch(sent.value, texts, found)
+                if len(blocks) > 1:
+                    del sent._value  # it is on the executor's disk; the next use reads it again
+            out = [_digest(n, own, percent) for n, own in zip(lengths, found, strict=True)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.list_(ARROW_MATCH), pa.bool_())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], *[pa.array([o[j] for o in out], kinds[j]) for j in range(len(kinds))]], [*keep, *OUTPUTS])
 
     return run
 
 
+def _search_batch(b: TestBlock, texts: pa.Array, found: list[list[tuple]]) -> list[int]:
+    """The numbers of words of the texts; the matches with one block are added to found."""
+    get = b.rank.get
+    parts, begins, lengths, at = [], [], [], 0
+    for text in texts:
+        split = text_words(text.as_py())
+        lengths.append(len(split))
+        begins.append(at)
+        ids = np.zeros(len(split) + 1, np.int32)
+        if split:
+            ids[:-1] = [get(x, 0) for x in split]
+        parts.append(ids)
+        at += len(ids)
+    ranks, offsets = np.concatenate(parts) if parts else np.empty(0, np.int32), np.array(begins, np.int64)
+    doc, window, position = search(b, offsets, ranks)
+    if len(doc):
+        by = np.lexsort((window, position, doc))
+        for group in np.split(by, np.flatnonzero(np.diff(doc[by])) + 1):
+            d = int(doc[group[0]])
+            found[d] += _matches(b, window[group], position[group] - offsets[d])
+    return lengths
+
+
 ARROW_MATCH = pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("word", pa.int64()), ("n", pa.int64())])
 
 
 def _matches(b: TestBlock, windows: np.ndarray, positions: np.ndarray) -> list[tuple[str, int, int, int]]:
     """Longest verbatim matches of one document: occurrences that follow each other in the item and in the document join."""
-    open_: dict[tuple[str, int], list[int]] = {}
+    open_: dict[tuple[int, int], list[int]] = {}
     done = []
     for w, p in zip(windows.tolist(), positions.tolist(), strict=True):
         n = int(b.lengths[w])
-        for item, at in b.owners[w]:
-            run = open_.get((item, p - at))
+        for k in range(b.offsets[w], b.offsets[w + 1]):
+            owner, at = int(b.owner[k]), int(b.start[k])
+            run = open_.get((owner, p - at))
             if run and run[1] + run[2] >= p + n - 1 and run[1] + run[2] < p + n:
                 run[2] += 1
             else:
-                open_[(item, p - at)] = run = [at, p, n]
-                done.append((item, run))
-    return [(item, *run) for item, run in done]
+                open_[(owner, p - at)] = run = [at, p, n]
+                done.append((owner, run))
+    return [(b.items[owner], *run) for owner, run in done]
 
 
-def _digest(n_words: int, matches: list[dict], percent: int) -> tuple:
+def _digest(n_words: int, matches: list[tuple[str, int, int, int]], percent: int) -> tuple:
     hit = 0
     end = -1
-    for a, z in sorted((m["word"], m["word"] + m["n"]) for m in matches):
+    for a, z in sorted((word, word + n) for _, _, word, n in matches):
         hit += max(0, z - max(a, end))
         end = max(end, z)
-    items = sorted({m["item"] for m in matches})
+    items = sorted({m[0] for m in matches})
     sha = hashlib.sha256(",".join(items).encode()).hexdigest()
-    return n_words, hit, len(items), items, sha, matches, hit > 0 and 100 * hit >= percent * n_words
+    rows = [dict(zip(("item", "item_word", "word", "n"), m, strict=True)) for m in matches]
+    return n_words, hit, len(items), items, sha, rows, hit > 0 and 100 * hit >= percent * n_words
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -204,20 +216,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     """
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in OUTPUTS]
-    state, text = "__cg_matches", "__cg_text"
+    text = "__cg_text"
     df = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(text))
-    kept = T.StructType([f for f in df.schema.fields if f.name != text])
+    kept = [f for f in df.schema.fields if f.name != text]
     outputs = [T.StructField(n, t) for n, t in zip(OUTPUTS, (T.LongType(), T.LongType(), T.LongType(), T.ArrayType(T.StringType()), T.StringType(), T.ArrayType(MATCH), T.BooleanType()), strict=True)]
-    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
-    block, first = next(blocks), True
-    while block is not None:
-        following = next(blocks, None)
-        last = following is None
-        schema = T.StructType(kept.fields + (outputs if last else [T.StructField(text, T.StringType()), T.StructField(state, T.ArrayType(MATCH))]))
-        sent = spark.sparkContext.broadcast(TestBlock(block, window))
-        df = df.mapInArrow(_scan(sent, text, state, keep + ([] if last else [text]), first, last, percent), schema)
-        block, first = following, False
-    return df
+    blocks = [spark.sparkContext.broadcast(TestBlock(items, window)) for items in _blocks(benchmark, item_col, item_text_col, block_bytes)]
+    for block in blocks:
+        if hasattr(block, "_value"):
+            del block._value  # the driver needs it no more
+    return df.mapInArrow(_scan(blocks, keep, percent), T.StructType(kept + outputs))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
