@@ -1,10 +1,15 @@
-"""A forgiving HTML tree, its skeleton, and wrappers aligned by simple tree matching."""
+"""A forgiving HTML tree, its skeleton of blocks, and wrappers aligned by simple tree matching.
+
+Nothing here recurses, so a page may nest as deep as it likes.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -13,14 +18,12 @@ BLOCK = frozenset("address article aside blockquote body br caption center dd de
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody"), "body": ("head",)}
 SCOPE = frozenset("ul ol dl table select article section div nav aside main body html".split())
 ENDS_P = BLOCK - {"br", "body", "html", "option"}
+#: Elements within a line; they are part of their block's text, not of the skeleton.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 
 
-#: Text of elements nested deeper than this stands in the ancestor; their end tags close them alone, and what is no article text stays out.
-DEEPEST = 200
-
-
 class Node:
     """An element; text stands among the children as str."""
 
@@ -39,9 +42,15 @@ class Node:
 def parse(page: str) -> Node:
     """The tree of a page. Unclosed and misnested tags are mended as browsers do in the common cases; raw elements hold text only."""
     root = Node("#root")
-    stack = [root]
+    stack, opened = [root], Counter()
     at, n = 0, len(page)
     lower = None
+
+    def close(depth: int) -> None:
+        for node in stack[depth:]:
+            opened[node.tag] -= 1
+        del stack[depth:]
+
     while at < n:
         m = TOKEN.search(page, at)
         if not m:
@@ -56,19 +65,17 @@ def parse(page: str) -> Node:
             continue
         tag = m[4].lower()
         if m[3]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if tag == "p" and not depth:
-                continue
-            if depth:
-                del stack[depth:]
-                if depth >= DEEPEST and tag in BLOCK:
-                    stack[-1].children.append(Node(tag))
+            if opened[tag]:
+                depth = len(stack) - 1
+                while stack[depth].tag != tag:
+                    depth -= 1
+                close(depth)
             continue
         closes = ENDS.get(tag, ()) + (("p",) if tag in ENDS_P else ())
-        if closes:
+        if any(opened[c] for c in closes):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in closes:
-                    del stack[i:]
+                    close(i)
                     if tag not in ("tbody", "tfoot", "tr"):
                         break
                 elif stack[i].tag in SCOPE and not (tag in ("tr", "td", "th", "tbody", "tfoot") and stack[i].tag in ("div", "section")):
@@ -80,55 +87,105 @@ def parse(page: str) -> Node:
             end = lower.find(f"</{tag}", at) if len(lower) == n else -1
             end = n if end < 0 else end
             node.children.append(page[at:end])
-            close = page.find(">", end)
-            at = n if close < 0 else close + 1
+            after = page.find(">", end)
+            at = n if after < 0 else after + 1
         elif tag not in VOID and not m[5].endswith("/"):
-            if len(stack) >= DEEPEST:
-                node = _deep(node, stack)
             stack.append(node)
+            opened[tag] += 1
     return root
 
 
-def _deep(node: Node, stack: list[Node]) -> Node:
-    """What is open for an element past DEEPEST: the outermost that says it is no article text as it is, others hand what they hold to their ancestor."""
-    from .html import is_boilerplate
-
-    own = any(stack[i].children is not stack[i - 1].children for i in range(DEEPEST, len(stack)))
-    if not own and is_boilerplate(node, any(x.tag in ("article", "main") for x in stack)):
-        return node
-    flat = Node(node.tag, node.attributes)
-    flat.children = stack[-1].children
-    return flat
+class Slot:
+    """A skeleton node: a block, or a run of neighbouring sibling blocks of one shape, or every other of a run like dt dd dt dd.
 
+    text: a digest of all that stands in it; own and links: code points of its text outside blocks within, and of these in links.
+    """
 
-class Slot:
-    """A skeleton node: neighbouring siblings of one label taken together."""
+    __slots__ = ("children", "label", "links", "nodes", "own", "shape", "size", "text")
 
-    __slots__ = ("children", "label", "nodes", "text")
+    def __init__(self, label: str, nodes: list[Node], flag=None):
+        """The skeleton of a page; flag(node) marks the label of an element that says it is no article text."""
+        self._bare(label, nodes)
+        _build(self, flag or (lambda node: False))
 
-    def __init__(self, label: str, nodes: list[Node]):
-        self.label, self.nodes = label, nodes
-        self.children: list[Slot] = []
-        digest = hashlib.blake2b(digest_size=8)
-        for node in nodes:
-            for child in node.children:
-                if isinstance(child, str):
-                    digest.update(child.encode("utf-8", "surrogatepass"))
-                elif self.children and self.children[-1].label == label_of(child):
-                    self.children[-1].nodes.append(child)
-                else:
-                    self.children.append(Slot.__new__(Slot))
-                    self.children[-1].label, self.children[-1].nodes = label_of(child), [child]
-        for slot in self.children:
-            slot.__init__(slot.label, slot.nodes)
-            digest.update(slot.text)
-        self.text = digest.digest()
-
-    def signature(self) -> str:
-        return f"{self.label}({''.join(c.signature() for c in self.children)})"
+    def _bare(self, label: str, nodes: list[Node]) -> Slot:
+        self.label, self.nodes, self.children = label, nodes, []
+        self.own = self.links = 0
+        self.text = self.shape = b""
+        self.size = 1
+        return self
 
     def walk(self) -> list[Slot]:
-        return [self, *[x for c in self.children for x in c.walk()]]
+        """The slot and all within, each before what it holds."""
+        out, stack = [], [self]
+        while stack:
+            slot = stack.pop()
+            out.append(slot)
+            stack.extend(reversed(slot.children))
+        return out
+
+
+    def add(self, other: Slot) -> None:
+        """Take in a slot of the same shape."""
+        for x, y in zip(self.walk(), other.walk(), strict=True):
+            x.nodes += y.nodes
+            x.own += y.own
+            x.links += y.links
+            x.text = hashlib.blake2b(x.text + y.text, digest_size=8).digest()
+
+
+def _build(top: Slot, flag) -> None:
+    """Fill the slots within, from the leaves up."""
+    order, stack = [], [top]
+    while stack:
+        slot = stack.pop()
+        order.append(slot)
+        digest = hashlib.blake2b(digest_size=8)
+        todo = [(c, False) for node in reversed(slot.nodes) for c in reversed(node.children)]
+        while todo:
+            child, linked = todo.pop()
+            if isinstance(child, str):
+                digest.update(child.encode("utf-8", "surrogatepass"))
+                n = len(child) - child.count(" ")
+                slot.own += n
+                slot.links += n * linked
+            elif child.tag in INLINE:
+                todo.extend((c, linked or child.tag == "a") for c in reversed(child.children))
+            else:
+                slot.children.append(Slot.__new__(Slot)._bare(label_of(child) + ("!" if flag(child) else ""), [child]))
+        slot.text = digest.digest()
+        stack.extend(slot.children)
+    for slot in reversed(order):
+        digest = hashlib.blake2b(slot.text, digest_size=8)
+        for c in slot.children:
+            digest.update(c.text)
+        slot.text = digest.digest()
+        slot.children = _folded(slot.children)
+        shape = hashlib.blake2b(slot.label.encode("utf-8", "surrogatepass"), digest_size=8)
+        for c in slot.children:
+            shape.update(c.shape)
+            slot.size += c.size
+        slot.shape = shape.digest()
+
+
+def _folded(found: list[Slot]) -> list[Slot]:
+    """Sibling slots, where a run of shapes with a period of at most four becomes one slot for each shape of the period."""
+    out: list[Slot] = []
+    at, n = 0, len(found)
+    while at < n:
+        for period in (1, 2, 3, 4):
+            end = at + period
+            while end < n and found[end].shape == found[end - period].shape:
+                end += 1
+            if end - at >= period * (2 if period == 1 else 3):
+                break
+        else:
+            period, end = 1, at + 1
+        for k in range(at + period, end):
+            found[at + (k - at) % period].add(found[k])
+        out += found[at : at + period]
+        at = end
+    return out
 
 
 def label_of(node: Node) -> str:
@@ -137,76 +194,161 @@ def label_of(node: Node) -> str:
 
 
 class Template:
-    """A wrapper node: in how many pages it occurs, and up to DISTINCT digests of what it held there."""
+    """A wrapper node: in how many pages it occurs, up to DISTINCT digests of what it held there, and the code points of its own text."""
 
-    __slots__ = ("children", "label", "n", "texts")
+    __slots__ = ("children", "label", "links", "n", "own", "shape", "size", "texts")
     DISTINCT = 3
 
-    def __init__(self, label: str, n: int = 0, texts: tuple = (), children: list[Template] | None = None):
-        self.label, self.n, self.texts, self.children = label, n, set(texts), children or []
+    def __init__(self, label: str, n: int = 0, texts: tuple = (), own: int = 0, links: int = 0):
+        self.label, self.n, self.texts, self.own, self.links = label, n, set(texts), own, links
+        self.children: list[Template] = []
+        self.shape, self.size = b"", 1
 
-    def see(self, n: int, texts) -> None:
+    def see(self, n: int, texts, own: int, links: int) -> None:
         self.n += n
         self.texts = set(sorted(self.texts.union(texts))[: self.DISTINCT])
+        self.own += own
+        self.links += links
+
+    walk = Slot.walk
 
     def pack(self) -> list:
-        return [self.label, self.n, sorted(t.hex() for t in self.texts), [c.pack() for c in self.children]]
+        """The tree as a flat list, each node with the place of its parent."""
+        nodes = self.walk()
+        place = {id(t): k for k, t in enumerate(nodes)}
+        parent = {id(c): place[id(t)] for t in nodes for c in t.children}
+        return [[parent.get(id(t), -1), t.label, t.n, sorted(x.hex() for x in t.texts), t.own, t.links] for t in nodes]
 
     @classmethod
-    def unpack(cls, x: list) -> Template:
-        return cls(x[0], x[1], tuple(bytes.fromhex(t) for t in x[2]), [cls.unpack(c) for c in x[3]])
-
-    def size(self) -> int:
-        return 1 + sum(c.size() for c in self.children)
-
-
-def match(a, b, memo: dict) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching of two nodes of one label: the size of the largest top-down order-preserving matching, and
-    which children it pairs."""
-    key = (id(a), id(b))
-    if key not in memo:
-        m, n = len(a.children), len(b.children)
-        best = [[0] * (n + 1) for _ in range(m + 1)]
-        weight = {}
-        for i in range(1, m + 1):
-            for j in range(1, n + 1):
-                w = match(a.children[i - 1], b.children[j - 1], memo)[0] if a.children[i - 1].label == b.children[j - 1].label else 0
-                weight[i, j] = w
-                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w)
-        pairs, i, j = [], m, n
-        while i and j:
-            if weight[i, j] and best[i][j] == best[i - 1][j - 1] + weight[i, j]:
-                i, j = i - 1, j - 1
-                pairs.append((i, j))
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        memo[key] = best[m][n] + 1, pairs[::-1]
-    return memo[key]
-
-
-def align(template: Template, other, grow: bool, room: list[int], memo: dict | None = None, out: list | None = None) -> list[tuple[Template, object]]:
+    def unpack(cls, rows: list) -> Template:
+        nodes: list[Template] = []
+        for parent, label, n, texts, own, links in rows:
+            nodes.append(cls(label, n, tuple(bytes.fromhex(t) for t in texts), own, links))
+            if parent >= 0:
+                nodes[parent].children.append(nodes[-1])
+        return nodes[0]
+
+    def measure(self) -> int:
+        """Bring size and shape up to date; the number of nodes."""
+        for t in reversed(self.walk()):
+            shape = hashlib.blake2b(t.label.encode("utf-8", "surrogatepass"), digest_size=8)
+            t.size = 1
+            for c in t.children:
+                shape.update(c.shape)
+                t.size += c.size
+            t.shape = shape.digest()
+        return self.size
+
+    def prune(self, room: int) -> None:
+        """Forget the nodes on the fewest pages where the wrapper is larger than room, until half of it is free.
+
+        A node on more than half of the pages stays while pages have fewer than room / 4 nodes on average, as no more than
+        twice that many nodes can be on so many.
+        """
+        if self.measure() <= room:
+            return
+        least = sorted((t.n for t in self.walk()), reverse=True)[room // 2]
+        stack = [self]
+        while stack:
+            t = stack.pop()
+            t.children = [c for c in t.children if c.n > least]
+            stack.extend(t.children)
+        self.measure()
+
+
+def match(a, b, memo: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]]) -> tuple[int, list[tuple[int, int]]]:
+    """Simple tree matching of two nodes of one label, whose size and shape are known: the size of the largest top-down
+    order-preserving matching, and which children it pairs. memo holds the answers for pairs of nodes."""
+    stack = [(a, b)]
+    while stack:
+        x, y = stack[-1]
+        if (id(x), id(y)) in memo:
+            stack.pop()
+            continue
+        front, back, middle = _candidates(x, y)
+        todo = [(c, d) for _, _, c, d in middle if c.children and d.children and c.shape != d.shape and (id(c), id(d)) not in memo]
+        if todo:
+            stack.extend(todo)
+            continue
+        stack.pop()
+        weighed = [(i, j, c.size if c.shape == d.shape else memo[id(c), id(d)][0] if c.children and d.children else 1) for i, j, c, d in middle]
+        total, pairs = _heaviest(weighed)
+        pairs = [*front, *pairs, *back]
+        total += sum(x.children[i].size for i, _ in (*front, *back))
+        memo[id(x), id(y)] = 1 + total, pairs
+    return memo[id(a), id(b)]
+
+
+def _candidates(x, y) -> tuple[list, list, list]:
+    """Pairs of children: those of one shape at either end, which some largest matching pairs, and between these all of one label."""
+    m, n = len(x.children), len(y.children)
+    low = 0
+    while low < min(m, n) and x.children[low].shape == y.children[low].shape:
+        low += 1
+    high = 0
+    while high < min(m, n) - low and x.children[m - 1 - high].shape == y.children[n - 1 - high].shape:
+        high += 1
+    at: dict[str, list[int]] = {}
+    for j in range(low, n - high):
+        at.setdefault(y.children[j].label, []).append(j)
+    middle = [(i, j, x.children[i], y.children[j]) for i in range(low, m - high) for j in at.get(x.children[i].label, ())]
+    return [(k, k) for k in range(low)], [(m - high + k, n - high + k) for k in range(high)], middle
+
+
+def _heaviest(pairs: list[tuple[int, int, int]]) -> tuple[int, list[tuple[int, int]]]:
+    """The chain of pairs (i, j, weight > 0), rising in both, with the largest weight; pairs come by i, then j.
+
+    ends and sums hold the chains worth keeping: for every last j the heaviest, both rising. Memory goes with the pairs, not
+    with the product of the children.
+    """
+    ends, sums, tips = [], [], []
+    links: list[tuple[int, int, int]] = []
+    at = 0
+    while at < len(pairs):
+        to = at
+        while to < len(pairs) and pairs[to][0] == pairs[at][0]:
+            to += 1
+        for i, j, w in reversed(pairs[at:to]):  # by falling j, so that none extends another of the same i
+            k = bisect_left(ends, j)
+            total, tip = (sums[k - 1] + w, tips[k - 1]) if k else (w, -1)
+            if k < len(ends) and ends[k] == j and sums[k] >= total:
+                continue
+            links.append((i, j, tip))
+            z = k
+            while z < len(ends) and sums[z] <= total:
+                z += 1
+            ends[k:z], sums[k:z], tips[k:z] = [j], [total], [len(links) - 1]
+        at = to
+    if not sums:
+        return 0, []
+    chain, tip = [], tips[-1]
+    while tip >= 0:
+        i, j, tip = links[tip]
+        chain.append((i, j))
+    return sums[-1], chain[::-1]
+
+
+def align(template: Template, other, grow: bool) -> list[tuple[Template, object]]:
     """Pairs of template nodes and the nodes of other (a Slot or Template tree) that match them; with grow, what has no
-    match is inserted where it stands, as long as there is room."""
-    memo, out = {} if memo is None else memo, [] if out is None else out
-    out.append((template, other))
-    pairs = dict((j, i) for i, j in match(template, other, memo)[1])
-    children, shift, last = list(template.children), 0, 0
-    for j, child in enumerate(other.children):
-        if j in pairs:
-            align(children[pairs[j]], child, grow, room, memo, out)
-            last = pairs[j] + shift + 1
-        elif grow and room[0] > 0:
-            new = _grown(child, room, out)
-            template.children.insert(last, new)
-            shift, last = shift + 1, last + 1
+    match is inserted where it stands. Sizes and shapes of both must be up to date."""
+    memo, out, stack = {}, [], [(template, other)]
+    while stack:
+        t, o = stack.pop()
+        out.append((t, o))
+        pairs = {j: i for i, j in match(t, o, memo)[1]}
+        children, shift, last = list(t.children), 0, 0
+        for j, child in enumerate(o.children):
+            if j in pairs:
+                stack.append((children[pairs[j]], child))
+                last = pairs[j] + shift + 1
+            elif grow:
+                new = Template(child.label)
+                fresh = [(new, child)]
+                while fresh:
+                    made, source = fresh.pop()
+                    out.append((made, source))
+                    made.children = [Template(c.label) for c in source.children]
+                    fresh.extend(zip(made.children, source.children, strict=True))
+                t.children.insert(last, new)
+                shift, last = shift + 1, last + 1
     return out
-
-
-def _grown(other, room: list[int], out: list) -> Template:
-    new = Template(other.label)
-    room[0] -= 1
-    out.append((new, other))
-    new.children = [_grown(c, room, out) for c in other.children if room[0] > 0]
-    return new

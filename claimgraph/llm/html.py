@@ -1,9 +1,12 @@
 """HTML extraction by wrapper induction.
 
-Pages of a host are parsed and their trees aligned by simple tree matching into the host's wrapper. A wrapper node whose
-content is the same on all its pages, while the pages differ, is template; a node whose content varies is a slot. A page's
-text is what its slots hold, less the elements that say by tag, role, class or id that they are no article
-(menus, headers, footers, sidebars, notices, adverts, forms, comments).
+Pages of a host are parsed and the skeletons of their blocks aligned by simple tree matching into the host's wrapper. A wrapper
+node whose content is the same on all its pages, while the pages differ, is template; a node whose content varies is
+a slot. The content is where the wrapper's slots hold their text: from the root down, as long as one child holds nearly all of
+it, over all pages of the host. A page's text is what its own nodes at that place hold, less the template and less
+elements that say by tag, role, class or id that they are no article (menus, headers, footers, sidebars, notices, adverts,
+forms, comments). Only where a host has too few different pages to tell, or a page lacks the place, does the page's
+own article or main element, or else its body, take its part.
 
 Wrappers are merged: each task aligns its own pages, partial wrappers of a host meet first by salted groups and then by
 host, so a host with a third of all pages costs a task no more than one small tree per task before it.
@@ -23,8 +26,10 @@ from pyspark.sql import types as T
 from .common import written
 from .dom import BLOCK, Node, Slot, Template, align, parse
 
-#: Nodes that a wrapper may have; a node beyond that is in no wrapper and so counts as a slot.
-ROOM = 4000
+#: Nodes of a wrapper beyond which those on the fewest pages are forgotten (see Template.prune); what is on most pages stays.
+ROOM = 20_000
+#: The content's place is as deep as one child holds this share of the varying text of its parent.
+SHARE = 0.9
 #: Pages, and different pages, that a node must be on before it can be template.
 LEAST_PAGES = 3
 SALTS = 32
@@ -38,8 +43,15 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search fo
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial banner banners breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies copyright disqus "
     "dropdown footer footnav gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted "
-    "promotion related recommended respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
+    "promotion related recommended respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets adsbygoogle".split()
 )
+#: Words that may stand beside these in one class name ("comment-list"); any other ("share-price") makes it say something else.
+NEUTRAL_WORDS = frozenset(
+    "area bar block blocks body bottom box btn button buttons center col column container content entries entry form global google group holder icon icons inner input item items "
+    "js left link links list main mobile module outer page panel post posts primary reader readers right row secondary section site slot sticky story stories the thread top unit user users wrap wrapper".split()
+)
+#: Elements that hold lines of text; the content's place is never one of them, and constant ones between varying ones stay.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd td th caption figcaption summary ul ol dl table tbody tr br hr address figure".split())
 
 
 def is_boilerplate(node: Node, inside: bool) -> bool:
@@ -55,75 +67,133 @@ def is_boilerplate(node: Node, inside: bool) -> bool:
     if node.attribute("hidden") or node.attribute("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", node.attribute("style")):
         return True
     if node.tag in ("html", "body", "article", "main"):
-        return node.tag == "article" and bool({"comment", "comments", "related", "promo", "ad"}.intersection(_parts(node)))
-    found = _parts(node)
-    if inside and node.tag == "header":
-        found = [w for w in found if w != "header"]
-    return bool(DROPPED_WORDS.intersection(found))
-
+        return node.tag == "article" and any({"comment", "comments", "related", "promo", "ad"}.intersection(t) for t in _tokens(node))
+    tokens = _tokens(node)
+    return any(DROPPED_WORDS.intersection(t) and all(w in DROPPED_WORDS or w in NEUTRAL_WORDS or len(w) == 1 for w in t) and not (inside and node.tag == "header" and t == ["header"]) for t in tokens)
 
-def _parts(node: Node) -> list[str]:
-    return re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", node.attribute("class", "id")).lower())
 
-
-def _text_of(node: Node, constant: set[int], inside: bool, blocks: list[list[str]]) -> None:
-    for child in node.children:
-        if isinstance(child, str):
-            blocks[-1].append(child)
-            continue
-        if child.tag in BLOCK:
-            blocks.append([])
-        if id(child) not in constant and not is_boilerplate(child, inside):
-            _text_of(child, constant, inside or child.tag in ("article", "main"), blocks)
-        if child.tag in BLOCK:
-            blocks.append([])
+def _tokens(node: Node) -> list[list[str]]:
+    """The words of each class name and id."""
+    return [re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()) for x in node.attribute("class", "id").split()]
 
 
-def _length(node: Node, constant: set[int]) -> int:
+def _blocks_of(top: Node, left_out: set[int], inside: bool) -> list[str]:
+    """The text of an element, block by block."""
     blocks: list[list[str]] = [[]]
-    _text_of(node, constant, True, blocks)
-    return sum(len("".join(b).strip()) for b in blocks)
-
-
-def _containers(node: Node, tag: str, constant: set[int], out: list[Node]) -> list[Node]:
-    for child in node.children:
-        if not isinstance(child, str) and id(child) not in constant and not is_boilerplate(child, False):
-            if child.tag == tag or (tag == "main" and child.attribute("role") == "main"):
-                out.append(child)
-            else:
-                _containers(child, tag, constant, out)
+    todo: list = [(top, inside)]
+    while todo:
+        node, inside = todo.pop()
+        if node is None:
+            blocks.append([])
+        elif isinstance(node, str):
+            blocks[-1].append(node)
+        elif node is not top and (id(node) in left_out or is_boilerplate(node, inside)):
+            if node.tag in BLOCK:
+                blocks.append([])
+        else:
+            inside = inside or node.tag in ("article", "main")
+            if node.tag in BLOCK and node is not top:
+                blocks.append([])
+                todo.append((None, False))
+            todo.extend((c, inside) for c in reversed(node.children))
+    lines = (" ".join("".join(b).split()) for b in blocks)
+    return [x for x in lines if x]
+
+
+def _containers(root: Node, tag: str) -> list[Node]:
+    """The outermost elements of a tag, main also by its role."""
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node is not root and node.tag == tag or (tag == "main" and node.attribute("role") == "main"):
+            out.append(node)
+        else:
+            todo.extend(c for c in reversed(node.children) if not isinstance(c, str) and not is_boilerplate(c, False))
     return out
 
 
-def extract(root: Node, constant: set[int]) -> str:
-    """Blocks of the article: of the longest article element, else of main, else of the whole page."""
-    top = root
+def by_elements(root: Node, left_out: set[int]) -> str:
+    """The text of the longest article element, else of main, else of the whole page but what is left out."""
     for tag in ("article", "main"):
-        found = _containers(root, tag, constant, [])
-        if found:
-            best = max(found, key=lambda x: _length(x, constant)) if len(found) > 1 else found[0]
-            if len(found) == 1 or _length(best, constant):
-                top = best
-                break
-    blocks: list[list[str]] = [[]]
-    _text_of(top, constant, top is not root, blocks)
-    lines = (" ".join("".join(b).split()) for b in blocks)
-    return "\n".join(x for x in lines if x)
-
-
-def template_nodes(root: Node, wrapper: Template | None, plans: dict) -> set[int]:
-    """ids of the page's nodes that the wrapper knows as template."""
-    if wrapper is None or wrapper.n < LEAST_PAGES or len(wrapper.texts) < min(LEAST_PAGES, Template.DISTINCT):
-        return set()
-    slot = Slot("#root", [root])
-    signature = slot.signature()
-    slots = slot.walk()
-    if signature not in plans:
-        if len(plans) >= SHAPES_HELD:
-            plans.clear()
-        index = {id(s): k for k, s in enumerate(slots)}
-        plans[signature] = [(index[id(s)], t.texts) for t, s in align(wrapper, slot, False, [0]) if t.n >= LEAST_PAGES and len(t.texts) == 1 and t.n > wrapper.n // 2]
-    return {id(n) for k, texts in plans[signature] if slots[k].text in texts for n in slots[k].nodes if n.tag not in ("html", "body", "article", "main", "#root")}
+        found = [_blocks_of(x, set(), True) for x in _containers(root, tag)]
+        if found and (len(found) == 1 or any(found)):
+            return "\n".join(max(found, key=lambda blocks: sum(map(len, blocks))))
+    return "\n".join(_blocks_of(root, left_out, False))
+
+
+class Wrapper:
+    """What a host's wrapper says: which of its nodes are template, and which holds the content (None where there are too few pages to tell)."""
+
+    def __init__(self, top: Template):
+        self.top, self.plans = top, {}
+        top.measure()
+        self.known = top.n >= LEAST_PAGES and len(top.texts) >= Template.DISTINCT
+        self.template: set[int] = set()
+        self.place: Template | None = None
+        if self.known:
+            nodes = top.walk()
+            self.template = {id(t) for t in nodes if len(t.texts) == 1 and t.n >= LEAST_PAGES and t.n > top.n // 2 and t is not top}
+            mass: dict[int, int] = {}
+            for t in reversed(nodes):
+                if id(t) in self.template or t.label.endswith("!"):
+                    mass[id(t)] = 0
+                else:
+                    mass[id(t)] = max(0, t.own - t.links) + sum(mass[id(c)] for c in t.children)
+            place = top if mass[id(top)] else None
+            while place is not None and tag_of(place) not in ("article", "main"):
+                best = max(place.children, key=lambda c: mass[id(c)], default=None)
+                if best is None or not mass[id(best)] or mass[id(best)] < SHARE * mass[id(place)] or tag_of(best) in TEXT_TAGS:
+                    break
+                place = best
+            self.place = place
+
+    def plan(self, page: Slot, slots: list[Slot]) -> tuple[list[int], list[tuple[int, set]]]:
+        """Numbers of the page's slots at the content's place, and of those that may be template, with what that holds."""
+        if page.shape not in self.plans:
+            if len(self.plans) >= SHAPES_HELD:
+                self.plans.clear()
+            index = {id(s): k for k, s in enumerate(slots)}
+            pairs = align(self.top, page, False)
+            self.plans[page.shape] = [index[id(s)] for t, s in pairs if t is self.place], [(index[id(s)], t.texts) for t, s in pairs if id(t) in self.template]
+        return self.plans[page.shape]
+
+
+def tag_of(x: Template | Slot) -> str:
+    return x.label.partition(".")[0].rstrip("!")
+
+
+def extract(root: Node, wrapper: Wrapper | None) -> str:
+    """The text of a page."""
+    if wrapper is None or not wrapper.known:
+        return by_elements(root, set())
+    page = Slot("#root", [root], says_no)
+    slots = page.walk()
+    places, constants = wrapper.plan(page, slots)
+    constant = {k for k, texts in constants if slots[k].text in texts}
+    if not places or places[0] in constant:
+        return by_elements(root, {id(n) for k in constant for n in slots[k].nodes if tag_of(slots[k]) not in ("html", "body", "article", "main")})
+    place = slots[places[0]]
+    tag = tag_of(place)
+    if tag in ("article", "main"):  # what is the same on all pages may stand within an article
+        found = [_blocks_of(x, set(), True) for x in place.nodes]
+        return "\n".join(max(found, key=lambda blocks: sum(map(len, blocks))))
+    varying = {id(s) for k, s in enumerate(slots) if k not in constant}
+    here = [k for k, s in enumerate(place.children) if id(s) in varying and not s.label.endswith("!")]
+    between = {id(s) for s in place.children[here[0] : here[-1]] if tag_of(s) in TEXT_TAGS} if here else set()
+    left_out = {id(n) for k in constant if id(slots[k]) not in between for n in slots[k].nodes}
+    return "\n".join(line for x in place.nodes for line in _blocks_of(x, left_out, False))
+
+
+def says_no(node: Node) -> bool:
+    return is_boilerplate(node, False)
+
+
+def _seen(wrapper: Template, pairs: list) -> None:
+    for t, o in pairs:
+        if isinstance(o, Template):
+            t.see(o.n, o.texts, o.own, o.links)
+        else:
+            t.see(1, (o.text,), o.own, o.links)
 
 
 def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,22 +206,25 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pylist(rows, pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
 
     for batch in batches:
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            slot = Slot("#root", [parse(page.as_py() or "")])
+        for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            page = Slot("#root", [parse(html.as_py() or "")], says_no)
             if host not in held:
                 if len(held) >= HOSTS_HELD:
                     yield out()
                 held[host] = (Template("#root"), {})
             wrapper, plans = held[host]
-            signature, slots = slot.signature(), slot.walk()
-            if signature not in plans:
-                if len(plans) >= SHAPES_HELD:
-                    plans.clear()
+            slots = page.walk()
+            if page.shape not in plans:
+                wrapper.measure()
                 index = {id(s): k for k, s in enumerate(slots)}
-                room = [ROOM - wrapper.size()]
-                plans[signature] = [(t, index[id(s)]) for t, s in align(wrapper, slot, True, room)]
-            for t, k in plans[signature]:
-                t.see(1, (slots[k].text,))
+                plan = [(t, index[id(s)]) for t, s in align(wrapper, page, True)]
+                if wrapper.measure() > ROOM or len(plans) >= SHAPES_HELD:
+                    plans.clear()
+                plans[page.shape] = plan
+            _seen(wrapper, [(t, slots[k]) for t, k in plans[page.shape]])
+            if wrapper.size > ROOM:
+                wrapper.prune(ROOM)
+                plans.clear()
     yield out()
 
 
@@ -171,8 +244,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield done()
                 key, merged = (host, salt), other
             else:
-                for t, o in align(merged, other, True, [ROOM - merged.size()]):
-                    t.see(o.n, o.texts)
+                merged.measure()
+                other.measure()
+                _seen(merged, align(merged, other, True))
+                merged.prune(ROOM)
     if key is not None:
         yield done()
 
@@ -195,7 +270,7 @@ def host_of(url_col: str):
 
 def _extract(keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[Template, dict]] = {}
+        cache: dict[str, Wrapper | None] = {}
         for batch in batches:
             texts = []
             column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
@@ -203,9 +278,8 @@ def _extract(keep: list[str]):
                 if host not in cache:
                     if len(cache) >= HOSTS_HELD:
                         cache.clear()
-                    cache[host] = (Template.unpack(json.loads(packed)) if packed else None, {})
-                root = parse(page.as_py() or "")
-                texts.append(extract(root, template_nodes(root, *cache[host])))
+                    cache[host] = Wrapper(Template.unpack(json.loads(packed))) if packed else None
+                texts.append(extract(parse(page.as_py() or ""), cache[host]))
             yield pa.RecordBatch.from_arrays([*[column[c] for c in keep], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
     return run
