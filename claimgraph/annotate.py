@@ -103,7 +103,7 @@ class RuleAnnotator:
         return t | {"lemma": nominative(low, ending, gender, number), "grammar": {"Gender": gender or "Masc", "Number": number, "Case": cases[0]}, "cases": cases}
 
     def _cases(self, tokens: list[dict]) -> None:
-        governed, noun_before = None, False
+        governed, noun_before, adjective = None, False, None
         for t in tokens:
             if t["pos"] == "ADP":
                 governed, noun_before = CASES_AFTER[t["text"].lower()], False
@@ -111,10 +111,15 @@ class RuleAnnotator:
                 options = t.pop("cases", (t["grammar"]["Case"],))
                 wanted = governed or (("Gen",) if noun_before and t["pos"] == "NOUN" else ())
                 t["grammar"]["Case"] = next((c for c in wanted if c in options), wanted[0] if governed and t["pos"] == "ADJ" else options[0])
-                if t["pos"] == "NOUN":
-                    governed, noun_before = None, True
+                if t["pos"] == "ADJ":
+                    adjective = t
+                elif t["text"].lower() == "виде" and governed:  # "в виде" is a preposition of two words
+                    t["deprel"], governed, noun_before = "fixed", None, True
+                else:
+                    _settle(t, adjective)
+                    governed, noun_before, adjective = None, True, None
             elif t["pos"] != "NUM":
-                governed, noun_before = None, False
+                governed, noun_before, adjective = None, False, None
 
     def _phrases(self, tokens: list[dict]) -> None:
         number, inside = 1, False
@@ -138,6 +143,8 @@ class RuleAnnotator:
             after = next((x for x in tokens[k + 1 :] if x["pos"] == "NOUN"), None)
             if t["pos"] in ("ADJ", "NUM", "ADP") and after:
                 t["parent"], t["deprel"] = after["id"], {"ADJ": "amod", "NUM": "nummod", "ADP": "case"}[t["pos"]]
+            elif t["deprel"] == "fixed":
+                t["parent"] = tokens[k - 1]["id"]
             elif t["pos"] == "NOUN":
                 conj = noun and k and tokens[k - 1]["pos"] == "CCONJ"
                 if conj or (noun and t["grammar"]["Case"] == "Gen" and t["mark"] == noun["mark"]):
@@ -149,6 +156,25 @@ class RuleAnnotator:
                 t["parent"], t["deprel"] = "0", "root"
 
 
+def _settle(noun: dict, adjective: dict | None) -> None:
+    """What a noun's case, or the adjective before it, tells of its gender, number and dictionary form."""
+    low, g = noun["text"].lower(), noun["grammar"]
+    of = (adjective or {}).get("grammar") or {}
+    if g["Number"] == "Plur" and low.endswith("и") and of.get("Number") == "Sing" and of.get("Gender") == "Fem":
+        g |= {"Number": "Sing", "Gender": "Fem"}
+        noun["lemma"] = low[:-1] + "ь"
+    elif g["Number"] == "Sing" and g["Case"] == "Gen" and low.endswith("а"):
+        g["Gender"], noun["lemma"] = "Masc", low[:-1]
+    elif g["Number"] == "Sing" and g["Case"] == "Gen" and low.endswith("я") and not low.endswith("ия"):
+        g["Gender"], noun["lemma"] = "Masc", low[:-1] + "ь"
+    elif g["Case"] == "Loc" and low.endswith("е") and of.get("Gender") != "Fem":
+        noun["lemma"] = low[:-1]
+    elif g["Case"] == "Loc" and low.endswith("е"):
+        g["Gender"], noun["lemma"] = "Fem", low[:-1] + "а"
+    elif g["Case"] == "Ins" and low.endswith("ем"):
+        noun["lemma"] = low[:-2] + "ь"
+
+
 def nominative(word: str, ending: str, gender: str | None, number: str) -> str:
     """A noun's dictionary form, as far as its ending tells."""
     base = word[: len(word) - len(ending)] if ending else word
@@ -167,6 +193,27 @@ def nominative(word: str, ending: str, gender: str | None, number: str) -> str:
     return word
 
 
+def inflected(token: dict, head: dict) -> str:
+    """A word of a phrase in the nominative, adjectives and participles in the head's gender and number, as far as endings tell."""
+    low, grammar, of = token["text"].lower(), token.get("grammar") or {}, head.get("grammar") or {}
+    if token["pos"] == "NOUN":
+        if grammar.get("Case") == "Nom" or not grammar:
+            return low
+        if grammar.get("Number") != "Plur":
+            return token["lemma"]
+        ending = next((e for e in ("ями", "ами", "ях", "ах", "ям", "ам", "ев", "ов") if low.endswith(e)), "")
+        return low[: -len(ending)] + ("и" if ending[0] in "яе" or low[-len(ending) - 1] in "кгхжшщч" else "ы") if ending else low
+    found = ADJECTIVE.search(low) if token["pos"] == "ADJ" or grammar.get("VerbForm") == "Part" else None
+    if not found:
+        return low
+    stem, tail = low[: -len(found[1])], ""
+    soft = found[1] in ("ий", "яя", "ее", "его", "ему", "ем", "юю", "ей") and stem[-1] == "н" or (stem[-1] in "кгхжшщч")
+    if of.get("Number") == "Plur":
+        return stem + ("ие" if soft else "ые") + tail
+    hard = stem[-1] in "кгхжшщч"
+    return stem + {"Fem": "яя" if soft and not hard else "ая", "Neut": "ее" if (soft and not hard) or stem[-1] in "жшщч" else "ое"}.get(of.get("Gender"), "ий" if soft else "ый")
+
+
 class ConlluAnnotator:
     """Tokens looked up by text, for annotations made elsewhere."""
 

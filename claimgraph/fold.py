@@ -1,294 +1,249 @@
-"""What is order-dependent within a document, as pure functions: linking segments, extracting subject-action-object triplets,
-and folding them into an invention graph. A document is folded in one call; documents are independent."""
+"""Triplets of a document folded into its invention graph, as pure functions; documents are independent.
+
+The sides of a triplet are split into concepts, a concept into its name in dictionary form and its genitive tail. Concepts of
+one name are one term; a pronoun stands for the invention, 'который' for its antecedent; what is someone's is linked to it.
+"""
 
 from __future__ import annotations
 
-from .operators.lexicon import PREPOSITIONS, SYNONYMS, verbs
+from .annotate import inflected
+from .extraction import Side, phrase_at
+from .linking import feature
+from .operators.lexicon import PREPOSITIONS
 
-VERBS = verbs()
 ROOT = "0.0"
-DIRECT = ("Nom", "Acc")
-SKIPPED = ("SEPARATOR", "PURPOSE", "NAMED")
-FUZZY = ({"Acc", "Gen"}, {"Acc", "Nom"}, {"Loc", "Ins"})
-
-
-def describe(lemma: str) -> dict | None:
-    return VERBS.get(SYNONYMS.get(lemma, lemma))
-
-
-def case_of(token: dict) -> str | None:
-    return (token.get("grammar") or {}).get("Case")
-
-
-def agrees(noun: dict, verb: dict, exact: bool = True) -> bool:
-    """Number, and gender in the singular; with exact also a participle's case."""
-    a, b = noun.get("grammar") or {}, verb.get("grammar") or {}
-    if a.get("Number") != b.get("Number"):
-        return False
-    if b.get("Number") == "Sing" and a.get("Gender") != b.get("Gender"):
-        return False
-    return not exact or "Case" not in b or a.get("Case") == b.get("Case") or {a.get("Case"), b.get("Case")} in FUZZY
-
-
-def key(segment: dict, token: dict) -> str:
-    return f"{segment['id']}.{token['id']}"
-
-
-def phrase(tokens: list[dict], at: int) -> list[dict]:
-    """The noun phrase around a token: its neighbours with the same mark."""
-    mark = tokens[at]["mark"]
-    a = z = at
-    while a and tokens[a - 1]["mark"] == mark:
-        a -= 1
-    while z + 1 < len(tokens) and tokens[z + 1]["mark"] == mark:
-        z += 1
-    return tokens[a : z + 1]
-
-
-def concept(segment: dict, tokens: list[dict]) -> dict | None:
-    """A phrase as a concept: its head noun's key, its text, and the genitive tail after the head."""
-    heads = [t for t in tokens if t["pos"] in ("NOUN", "PRON", "X", "NUM")]
-    if not heads:
-        return None
-    head = heads[0]
-    at = tokens.index(head)
-    normal = [t["lemma"] if t is head else t["text"].lower() for t in tokens]
-    return {"key": key(segment, head), "text": " ".join(normal), "tail": " ".join(t["text"].lower() for t in tokens[at + 1 :]), "head": head, "segment": segment["id"]}
-
-
-# --- links ------------------------------------------------------------------------------------------------------------
-
-
-def link_segments(segments: list[dict]) -> list[dict]:
-    """Give each segment a link {type, parent, point, child}; parent 0 is the root. A verb's carry is reset where the part changes."""
-    composition = active = None
-    before = None
-    for s in segments:
-        if before is None or before["part"] != s["part"] or before["type"] == "SEPARATOR":
-            composition = active = None
-            s["after_sep"] = before is not None
-        tokens, kind = s["tokens"], s["type"]
-        verb = next((t for t in tokens if t["pos"] == "VERB"), None)
-        link = {"type": "unkn", "parent": 0, "point": None, "child": None}
-        if before is None or (kind in ("N_V_N", "N_V", "SC") and kind != "A0"):
-            link["type"] = "self"
-        elif kind in ("V_N", "A0", "V<C>"):
-            finite = verb and (verb["grammar"] or {}).get("VerbForm") == "Fin"
-            child = verb or (tokens[0] if tokens else None)
-            found = None if s.get("after_sep") or child is None else nearest_noun(segments, s, child)
-            if kind == "V<C>":
-                found, link["type"] = nearest_finite(segments, s), "gerund"
-            elif finite and not found:
-                found, link["type"] = nearest_subject(segments, s), "gap"
-            else:
-                link["type"] = "sub"
-            if found:
-                link |= {"parent": found[0], "point": found[1], "child": child["id"]}
-            else:
-                link |= {"type": "self"}
-        elif kind in ("N", "AV") and (carried := active or composition):
-            link |= {"type": "homo" if kind == "N" else "comp", "parent": carried[0], "point": carried[1], "child": tokens[0]["id"]}
-        elif kind == "N":
-            link["type"] = "self"
-        elif kind in ("N_который_V_N", "который_V_N"):
-            which = next((t for t in tokens if t["lemma"] == "который"), tokens[0])
-            found = nearest_noun(segments, s, which, exact=False)
-            if found:
-                link |= {"type": "spec", "parent": found[0], "point": found[1], "child": which["id"]}
-        elif kind == "N_-_N" and (carried := active or composition):
-            link |= {"type": "dupl", "parent": carried[0], "point": carried[1], "child": next((t["id"] for t in tokens if t["text"] in "-–—"), tokens[0]["id"])}
-        elif kind in SKIPPED:
-            link |= {"type": {"PURPOSE": "spec", "NAMED": "named"}.get(kind, "unkn"), "parent": before["id"]}
-        s["link"] = link
-        for t in tokens:
-            d = describe(t["lemma"]) if t["pos"] == "VERB" else None
-            if d and d["kind"] == "comp" and d["approved"]:
-                composition = active = (s["id"], t["id"])
-            elif d:
-                active = (s["id"], t["id"])
-        before = s
-    return segments
-
-
-def nearest_noun(segments: list[dict], s: dict, child: dict, exact: bool = True) -> tuple[int, str] | None:
-    """The nearest earlier noun of the part that the child agrees with, first exactly and then without case."""
-    for strict in ((True, False) if exact else (False,)):
-        for p in reversed([x for x in segments if x["id"] < s["id"] and x["part"] == s["part"] and x["type"] not in SKIPPED]):
-            for t in reversed(p["tokens"]):
-                if t["pos"] == "NOUN" and agrees(t, child, strict):
-                    return p["id"], t["id"]
-    return None
-
-
-def nearest_finite(segments: list[dict], s: dict) -> tuple[int, str] | None:
-    return next(((p["id"], t["id"]) for p in reversed(segments) if p["id"] < s["id"] and p["part"] == s["part"] for t in p["tokens"] if t["pos"] == "VERB" and (t["grammar"] or {}).get("VerbForm") == "Fin"), None)
-
-
-def nearest_subject(segments: list[dict], s: dict) -> tuple[int, str] | None:
-    return next(((p["id"], t["id"]) for p in reversed(segments) if p["id"] < s["id"] and p["part"] == s["part"] and p["type"] in ("N", "A0", "SC", "N_V_N") for t in p["tokens"] if t["pos"] == "NOUN" and case_of(t) == "Nom"), None)
-
-
-# --- triplets ---------------------------------------------------------------------------------------------------------
-
-
-def generic_term(segments: list[dict]) -> dict | None:
-    """The invention's own name: the first direct noun phrase of the first segment."""
-    if not segments:
-        return None
-    s = segments[0]
-    at = next((i for i, t in enumerate(s["tokens"]) if t["pos"] == "NOUN" and case_of(t) in DIRECT), None)
-    return None if at is None else concept(s, phrase(s["tokens"], at))
-
-
-def find_objects(s: dict, start: int, description: dict, stop: int) -> tuple[list[dict], str | None]:
-    """Concepts right of a verb that the first fitting valence allows, with the preposition that introduces them."""
-    tokens = s["tokens"]
-    low = " ".join(t["text"].lower() for t in tokens[start + 1 : stop]) + " "
-    for v in [*description["objects"], *description["additions"]]:
-        anchor, at = None, start + 1
-        if v["phrase"]:
-            if v["anchors"][0] + " " not in low:
-                continue
-            words = v["anchors"][0].split()
-            at = next(i for i in range(start + 1, stop) if [t["text"].lower() for t in tokens[i : i + len(words)]] == words) + len(words)
-            anchor = v["anchors"][0]
-        elif v["anchors"]:
-            hit = next((i for i in range(start + 1, stop) if tokens[i]["text"].lower() in v["anchors"]), None)
-            if hit is None:
-                continue
-            anchor, at = PREPOSITIONS.get(tokens[hit]["text"].lower(), tokens[hit]["text"].lower()), hit + 1
-        found, i = [], at
-        while i < stop:
-            t = tokens[i]
-            if t["pos"] in ("NOUN", "PRON", "X") and t["mark"] not in ("O", "S"):
-                governed = i and any(x["pos"] == "ADP" for x in tokens[at:i])
-                if (case_of(t) in v["cases"] or case_of(t) is None) and not governed:
-                    p = phrase(tokens, i)
-                    found.append(concept(s, p))
-                    i = tokens.index(p[-1]) + 1
-                    continue
-                break
-            if t["pos"] == "VERB" or (t["pos"] == "ADP" and found):
-                break
-            i += 1
-        if found:
-            return found, anchor
-    return [], None
-
-
-def extract_triplets(segments: list[dict]) -> tuple[dict | None, list[dict]]:
-    """(generic term, triplets {subjects, verb, preposition, objects, key, kind, reversed, segment})."""
-    root = generic_term(segments)
-    by_id = {s["id"]: s for s in segments}
-    out: list[dict] = []
-    for s in segments:
-        if s["type"] in SKIPPED:
-            continue
-        tokens, link = s["tokens"], s["link"]
-        targets = [i for i, t in enumerate(tokens) if t["pos"] == "VERB" and describe(t["lemma"])]
-        for n, i in enumerate(targets):
-            d = describe(tokens[i]["lemma"])
-            objects, preposition = find_objects(s, i, d, targets[n + 1] if n + 1 < len(targets) else len(tokens))
-            left = next((k for k in range(i - 1, -1, -1) if tokens[k]["pos"] in ("NOUN", "PRON") and tokens[k]["lemma"] != "который" and case_of(tokens[k]) in DIRECT and not (k and tokens[k - 1]["pos"] == "ADP")), None)
-            which = next((t for t in tokens[:i] if t["lemma"] == "который"), None)
-            right = None
-            if left is None and (tokens[i]["grammar"] or {}).get("VerbForm") == "Fin" and d["entry"] != 0:
-                right = next((k for k in range(i + 1, len(tokens)) if tokens[k]["pos"] == "NOUN" and case_of(tokens[k]) == "Nom"), None)
-            subjects = []
-            if which is not None and link["parent"] in by_id:
-                antecedent = _at(by_id[link["parent"]], link["point"])
-                if case_of(which) in DIRECT:
-                    subjects = [antecedent]
-                elif right is not None or left is not None:
-                    k = right if right is not None else left
-                    subjects, objects = [concept(s, phrase(tokens, k))], objects or [antecedent]
-            elif left is not None:
-                subjects = [concept(s, phrase(tokens, left))]
-            elif link["type"] in ("sub", "gap") and link["parent"] in by_id:
-                subjects = [_at(by_id[link["parent"]], link["point"])]
-            elif right is not None and objects:
-                subjects = [concept(s, phrase(tokens, right))]
-            elif root:
-                subjects = [root]
-            objects = [o for o in objects if o]
-            subjects = [x for x in subjects if x]
-            if subjects and objects:
-                out.append({"subjects": subjects, "verb": d["lemma"], "preposition": preposition, "objects": objects, "key": key(s, tokens[i]), "kind": d["kind"], "reversed": d["reversed"], "segment": s["id"]})
-        if not targets and link["type"] == "homo":
-            known = next((t for t in out if t["key"] == f"{link['parent']}.{link['point']}"), None)
-            head = next((i for i, t in enumerate(tokens) if t["pos"] == "NOUN" and t["mark"] != "S"), None)
-            if known and head is not None:
-                # A further object of the same verb: it joins the triplet, coordinated phrases one by one.
-                i = head
-                while i < len(tokens):
-                    if tokens[i]["pos"] == "NOUN" and not (i and tokens[i - 1]["pos"] == "ADP") and case_of(tokens[i]) not in ("Ins", "Loc"):
-                        p = phrase(tokens, i)
-                        known["objects"].append(concept(s, p))
-                        i = tokens.index(p[-1])
-                    i += 1
-    return root, out
-
-
-def _at(segment: dict, token_id: str | None) -> dict | None:
-    i = next((k for k, t in enumerate(segment["tokens"]) if t["id"] == token_id), None)
-    return None if i is None else concept(segment, phrase(segment["tokens"], i))
+HAVE = {"verb_key": None, "preposition": None, "type": "have"}
 
 
-# --- graph ------------------------------------------------------------------------------------------------------------
+# --- concepts ---------------------------------------------------------------------------------------------------------
+
+
+def corrected(side: Side, role: str) -> None:
+    """Heads that hang on another head are no heads, unless they are its equals; a conjunction is neither first nor last."""
+    heads = {side.tokens[i]["id"]: i for i, (place, r) in side.labels.items() if place == "N" and r == role}
+    for i in [i for i in heads.values() if side.tokens[i]["parent"] in heads and side.tokens[i]["deprel"] != "conj"]:
+        side.labels[i] = ("I", role)
+    own = sorted(i for i, (_, r) in side.labels.items() if r == role)
+    for i in {own[0], own[-1]} if own else ():
+        if side.tokens[i]["pos"] == "CCONJ":
+            del side.labels[i]
 
 
-def fold_graph(root: dict | None, triplets: list[dict], deprecated=None) -> dict:
-    """terms, verbs, edges and refs of a document. Equal texts are one term; a pronoun stands for the root if it agrees;
-    a term that ends in another's text as genitive tail is had by it. Later edges replace earlier ones between the same terms."""
-    terms: dict[str, str] = {ROOT: root["text"] if root else "<UNKNOWN>"}
-    refs: dict[str, str] = {}
-    by_text = {terms[ROOT]: ROOT}
-    verbs_seen: dict[str, dict] = {}
-    edges: dict[tuple[str, str], dict] = {}
-
-    def resolve(c: dict) -> str:
-        k = refs.get(c["key"], c["key"])
-        if k in terms:
-            return k
-        if c["head"]["pos"] == "PRON" and root:
-            a, b = c["head"].get("grammar") or {}, root["head"].get("grammar") or {}
-            if a.get("Number") == b.get("Number") and a.get("Gender") == b.get("Gender"):
-                refs[k] = ROOT
-                return ROOT
-        if c["text"] in by_text:
-            refs[k] = by_text[c["text"]]
-            return by_text[c["text"]]
-        terms[k] = c["text"]
-        by_text[c["text"]] = k
-        if c["tail"]:
-            owner = next((o for t, o in by_text.items() if o not in (k, ROOT) and len(t) > 3 and _same_stem(t, c["tail"])), None)
-            if owner:
-                edges[owner, k] = {"verb_key": None, "preposition": None, "type": "have"}
-        return k
+def concepts(side: Side, role: str) -> tuple[list[dict], str | None]:
+    """The side's coordinated phrases as concepts, and the words that introduce them."""
+    heads = [i for i, (place, r) in sorted(side.labels.items()) if place == "N" and r == role]
+    found: list[dict] = []
+    held: list[int] = []
+    introduced: list[str] = []
+    open_ = True
+
+    def close() -> None:
+        if any(i in heads for i in held):
+            found.append(concept(side, held, next(i for i in held if i in heads)))
+        held.clear()
+
+    for i, (place, r) in sorted(side.labels.items()):
+        if r != role:
+            continue
+        if place == "P":
+            if held:
+                close()
+            if open_:
+                introduced.append(side.tokens[i]["text"].lower())
+            continue
+        open_ = open_ and not introduced
+        if place == "N" and held and held[-1] != i - 1 and any(h in held for h in heads):
+            close()  # another head beyond words that belong to neither
+        between = side.tokens[i]["lemma"] == "и" and any(h < i for h in heads) and any(h > i for h in heads)
+        if between and any(h in held for h in heads):
+            close()
+        else:
+            held.append(i)
+    close()
+    return found, " ".join(introduced) or None
+
+
+def concept(side: Side, places: list[int], head: int) -> dict:
+    """key, text (in dictionary form up to its head), tail (what follows the head in the genitive), tokens' keys, head token."""
+    tokens = side.tokens
+    rest = [i for i in places if i > head and tokens[i]["lemma"] != "который"]
+    genitive = bool(rest) and all(tokens[i]["pos"] in ("ADP", "CCONJ") or feature(tokens[i], "Case") in ("Gen", "Acc") for i in rest)
+    name = [inflected(tokens[i], tokens[head]) for i in places if i <= head]
+    if rest and not genitive:
+        name += [tokens[i]["text"].lower() for i in rest]
+    return {
+        "key": f"{side.segment['id']}.{tokens[head]['id']}", "text": " ".join(name), "tail": " ".join(tokens[i]["text"].lower() for i in rest) if genitive else "",
+        "keys": [f"{side.segment['id']}.{tokens[i]['id']}" for i in places], "tails": {f"{side.segment['id']}.{tokens[i]['id']}" for i in rest} if genitive else set(),
+        "head": tokens[head], "which": side.which,
+    }
 
+
+def prepared(triplets: list[dict]) -> list[dict]:
+    """Triplets as concepts; those of one verb are one, with the concepts of all on the side that continues."""
+    out: dict[str, dict] = {}
     for t in triplets:
-        seen = verbs_seen.setdefault(t["verb"], {"key": t["key"], "type": t["kind"], "prepositions": {}})
+        corrected(t["subject"], "SBJ")
+        corrected(t["object"], "OBJ")
+        subjects, objects = concepts(t["subject"], "SBJ"), concepts(t["object"], "OBJ")
+        known = out.get(t["act"]["key"])
+        if known and t["act"]["side"] == "r":
+            known["objects"] += objects[0]
+        elif known:
+            known["subjects"] += subjects[0]
+        else:
+            out[t["act"]["key"]] = {"subjects": subjects[0], "objects": objects[0], "verb": t["act"]["verb"], "key": t["act"]["key"], "preposition": objects[1]}
+    return list(out.values())
+
+
+# --- graph ------------------------------------------------------------------------------------------------------------
+
+
+def stems(text: str) -> list[str]:
+    """Words without their endings, as far as two forms of a word must agree."""
+    return [w[: max(3, len(w) - 2)] for w in text.split()]
+
+
+def same_words(a: list[str], b: list[str]) -> bool:
+    return len(a) == len(b) and all(x[: min(len(x), len(y))] == y[: min(len(x), len(y))] for x, y in zip(a, b, strict=True))
+
+
+class Graph:
+    """terms, verbs, edges and refs of a document; later edges replace earlier ones between the same terms."""
+
+    def __init__(self, root: Side | None, triplets: list[dict], segments: list[dict], deprecated=None):
+        self.by_id, self.deprecated = {s["id"]: s for s in segments}, deprecated
+        self.triplets = prepared(triplets)
+        self.terms: dict[str, str] = {ROOT: "<UNKNOWN>"}
+        self.head = None
+        if root:
+            corrected(root, "SBJ")
+            named, _ = concepts(root, "SBJ")
+            if named:
+                self.head = named[0]["head"]
+                self.terms[ROOT] = full(named[0])
+        self.refs: dict[str, str] = {}
+        self.verbs: dict[str, dict] = {}
+        self.edges: dict[tuple[str, str], dict] = {}
+        for at, t in enumerate(self.triplets):
+            subjects = self.points(t["subjects"], at)
+            objects = self.points(t["objects"], at) if subjects else []
+            if objects:
+                self.connect(t, subjects, objects)
+
+    def connect(self, t: dict, subjects: list[str], objects: list[str]) -> None:
+        verb = t["verb"]
+        seen = self.verbs.setdefault(verb["lemma"], {"key": t["key"], "type": verb["kind"], "prepositions": {}})
         number = 0
         if t["preposition"]:
-            number = seen["prepositions"].setdefault(t["preposition"], len(seen["prepositions"]) + 1)
-        sides = [[resolve(c) for c in side if not (deprecated and deprecated(c["head"]["lemma"]))] for side in (t["subjects"], t["objects"])]
-        for a in sides[0]:
-            for b in sides[1]:
-                if a == b:
+            word = PREPOSITIONS.get(t["preposition"], t["preposition"])
+            number = seen["prepositions"].setdefault(word, len(seen["prepositions"]) + 1)
+        for a in subjects:
+            for b in objects:
+                turn = verb["reversed"] or (b == ROOT and seen["type"] == "comp")
+                if a != b:
+                    self.link(*((b, a) if turn else (a, b)), {"verb_key": seen["key"], "preposition": number, "type": seen["type"]})
+
+    def link(self, a: str, b: str, edge: dict) -> None:
+        self.edges.pop((a, b), None)
+        self.edges[a, b] = edge
+
+    def points(self, found: list[dict], at: int) -> list[str]:
+        """The terms of a side's concepts, made where they are new."""
+        out = []
+        for c in found:
+            point = self.antecedent(c, at) if c["which"] and c["which"][0] == "which2" else self.point(c, at)
+            if point is not None:
+                out.append(point)
+                if c["which"] and c["which"][0] == "which1":
+                    owner = self.antecedent(c, at)
+                    if owner is not None and owner != point:
+                        self.link(owner, point, HAVE)
+        return out
+
+    def point(self, c: dict, at: int) -> str | None:
+        if c["head"]["pos"] == "PRON":
+            same = self.head and all(feature(c["head"], n) == feature(self.head, n) for n in ("Gender", "Number"))
+            return ROOT if same else None
+        if self.deprecated and self.deprecated(c["head"]["lemma"]):
+            return None
+        known = self.known(c)
+        if known:
+            if known != c["key"]:
+                self.refs[c["key"]] = known
+            return known
+        owners, rest = self.owners(c["tail"], at) if c["tail"] else ([], "")
+        self.terms[c["key"]] = " ".join(filter(None, (c["text"], rest)))
+        for owner in owners:
+            self.link(owner, c["key"], HAVE)
+        return c["key"]
+
+    def known(self, c: dict) -> str | None:
+        k = self.refs.get(c["key"], c["key"])
+        return k if k in self.terms else next((k for k, term in self.terms.items() if term == full(c)), None)
+
+    def owners(self, tail: str, at: int) -> tuple[list[str], str]:
+        """Earlier concepts that a genitive tail names, and what of the tail names none."""
+        words, found = tail.split(), []
+        for t in reversed(self.triplets[:at]):
+            for c in (*t["subjects"], *t["objects"]):
+                whole, name = stems(full(c)), stems(c["text"])
+                tail_stems = stems(" ".join(words))
+                owner = self.known(c)
+                if owner is None:
                     continue
-                turn = t["reversed"] or (b == ROOT and t["kind"] == "comp")
-                pair = (b, a) if turn else (a, b)
-                edges.pop(pair, None)
-                edges[pair] = {"verb_key": seen["key"], "preposition": number, "type": seen["type"]}
-    return {
-        "terms": [{"key": k, "term": v, "ord": i} for i, (k, v) in enumerate(terms.items())],
-        "verbs": [{"key": v["key"], "text": lemma, "type": v["type"], "prepositions": [{"number": n, "text": p} for p, n in v["prepositions"].items()]} for lemma, v in verbs_seen.items()],
-        "edges": [{"sbj_key": a, "obj_key": b, "verb_key": e["verb_key"], "prep_key": e["preposition"], "type": e["type"], "ord": i} for i, ((a, b), e) in enumerate(edges.items())],
-        "refs": [{"key": v, "alias": k} for k, v in refs.items()],
-    }
-
-
-def _same_stem(a: str, b: str) -> bool:
-    """Equal but for endings of at most three letters, word by word."""
-    x, y = a.split(), b.split()
-    return len(x) == len(y) and all(p[: max(3, min(len(p), len(q)) - 2)] == q[: max(3, min(len(p), len(q)) - 2)] for p, q in zip(x, y, strict=True))
+                if same_words(tail_stems, name) or same_words(tail_stems, whole[: len(words)]):
+                    return [*found, owner], ""
+                if len(whole) < len(words) and same_words(tail_stems[: len(whole)], whole):
+                    words = words[len(whole) :]
+                elif len(whole) < len(words) and same_words(tail_stems[-len(whole) :], whole):
+                    words = words[: -len(whole)]
+                else:
+                    continue
+                found.append(owner)
+                words = [w for k, w in enumerate(words) if w != "и" or 0 < k < len(words) - 1]
+                if not words:
+                    return found, ""
+        return found, " ".join(words)
+
+    def antecedent(self, c: dict, at: int) -> str | None:
+        """The term that a 'который' in a concept stands for: a term, the concept that holds it, or a phrase not met so far."""
+        link = c["which"][1]
+        if not link["parent"] or not link["point"]:
+            return None
+        key = f"{link['parent']}.{link['point']}"
+        key = self.refs.get(key, key)
+        if key in self.terms:
+            return key
+        holder = next((x for t in reversed(self.triplets[:at]) for x in (*t["subjects"], *t["objects"]) if key in x["keys"]), None)
+        if holder and key not in holder["tails"]:
+            return self.point(holder, at)
+        segment = self.by_id.get(link["parent"])
+        side = segment and phrase_at(segment, link["point"])
+        if not side:
+            return None
+        heads = [i for i, (place, _) in side.labels.items() if place == "N"]
+        made = concept(side, sorted(i for i in side.labels if i <= heads[0]), heads[0])
+        known = self.known(made)
+        if known is None:
+            known = made["key"]
+            self.terms[known] = made["text"]
+        elif known != key:
+            self.refs[key] = known
+        return known
+
+    def packed(self) -> dict:
+        return {
+            "terms": [{"key": k, "term": v, "ord": i} for i, (k, v) in enumerate(self.terms.items())],
+            "verbs": [{"key": v["key"], "text": lemma, "type": v["type"], "prepositions": [{"number": n, "text": p} for p, n in v["prepositions"].items()]} for lemma, v in self.verbs.items()],
+            "edges": [{"sbj_key": a, "obj_key": b, "verb_key": e["verb_key"], "prep_key": e["preposition"], "type": e["type"], "ord": i} for i, ((a, b), e) in enumerate(self.edges.items())],
+            "refs": [{"key": v, "alias": k} for k, v in self.refs.items()],
+        }
+
+
+def full(c: dict) -> str:
+    return " ".join(filter(None, (c["text"], c["tail"])))
+
+
+def fold_graph(root: Side | None, triplets: list[dict], deprecated=None, segments: list[dict] = ()) -> dict:
+    """The graph of a generic term and triplets as Extraction finds them in the segments."""
+    return Graph(root, triplets, segments, deprecated).packed()

@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 
 #: Phrases dropped from claims, in order.
 TURNOVERS = ("по меньшей мере", "по крайней мере", "однако", "однако же", "например", "по существу", "наоборот", "в частности", "в свою очередь")
-#: Entities that are decoded, by their standard names.
-ENTITY_NAMES = "amp lt gt quot nbsp copy reg deg plusmn sup1 sup2 sup3 micro middot frac12 frac14 frac34 times divide alpha beta gamma delta epsilon lambda mu pi rho sigma tau phi psi omega ndash mdash laquo raquo hellip bull le ge ne minus infin sum radic prime".split()
-ENTITIES = {f"&{n};": " " if n == "nbsp" else chr(name2codepoint[n]) for n in ENTITY_NAMES} | {"&#160;": " ", "&#176;": "°", "&#215;": "×", "&#8211;": "–", "&#8212;": "—"}
+#: Entities that are decoded.
+ENTITIES = {
+    "&nbsp;": " ", "&shy;": "", "&lt;": "<", "&gt;": ">", "&laquo;": "«", "&raquo;": "»", "&lsaquo;": "‹", "&rsaquo;": "›", "&quot;": '"', "&prime;": "′", "&Prime;": "″",
+    "&lsquo;": "‘", "&rsquo;": "’", "&sbquo;": "‚", "&ldquo;": "“", "&rdquo;": "”", "&bdquo;": "„", "&#10076;": "❜", "&#10075;": "❛", "&amp;": "&", "&apos;": "'", "&sect;": "§",
+    "&copy;": "©", "&not;": "¬", "&reg;": "®", "&macr;": "¯", "&deg;": "°", "&plusmn;": "±", "&sup1;": "¹", "&sup2;": "²", "&sup3;": "³", "&frac14;": "¼", "&frac12;": "½", "&frac34;": "¾",
+    "&acute;": "´", "&micro;": "µ", "&para;": "¶", "&middot;": "·", "&iquest;": "¿", "&fnof;": "ƒ", "&trade;": "™", "&bull;": "•", "&hellip;": "…", "&oline;": "‾", "&ndash;": "–", "&mdash;": "—",
+    "&permil;": "‰", "&#125;": "}", "&#123;": "{", "&#61;": "=", "&ne;": "≠", "&cong;": "≅", "&asymp;": "≈", "&le;": "≤", "&ge;": "≥", "&ang;": "∠", "&perp;": "⊥", "&radic;": "√", "&sum;": "∑",
+    "&int;": "∫", "&#8251;": "※", "&divide;": "÷", "&infin;": "∞", "&#64;": "@", "&#91;": "[", "&#93;": "]",
+}
+#: Further ones, by their standard names and numbers.
+ENTITIES |= {f"&{n};": chr(name2codepoint[n]) for n in "times alpha beta gamma delta epsilon lambda mu pi rho sigma tau phi psi omega minus".split()}
+ENTITIES |= {f"&#{n};": chr(n) for n in (176, 215, 8211, 8212)} | {"&#160;": " "}
 ENTITY = r"&#?[a-z0-9]+;"
 SPLIT_PHRASES = (r", отличающ[а-я]+ тем, что", r", характеризующ[а-я]+ тем, что")
 

@@ -6,6 +6,7 @@ left, without a shuffle. A document that fails keeps its row with an error.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import clean_claim, split_parts
 from ..operators import graph, numbering, rdf
+from ..operators.segments import SURROGATES
 from ..sources import patents
 from ..storage import saved
 
@@ -26,43 +28,46 @@ FACTS = "array<struct<action:string,object:string,condit:string>>"
 RESULT = f"code string, segments {SEGMENTS}, graph {GRAPH}, facts {FACTS}, fold_error string"
 
 
+def symbol_of(t: dict, k: int, tokens: list[dict], text: str) -> str | None:
+    """What a token is in its segment's template; as operators.classify.template, on tokens in Python."""
+    g, kinds = t["grammar"] or {}, {x["pos"] for x in tokens}
+    if t["mark"] == "S":
+        return None
+    if t["pos"] == "NOUN":
+        return {None: None, "Nom": "N0", "Acc": "N0"}.get(g.get("Case"), "N")
+    if t["pos"] == "PRON":
+        return "который" if t["lemma"] == "который" else "PR0" if g.get("Case") == "Nom" else "PR"
+    if t["pos"] == "VERB":
+        return f"V<{g.get('VerbForm', 'U')[0]}>"
+    if t["lemma"] == "-":
+        return "-"
+    if t["pos"] in ("CCONJ", "SCONJ") and t["mark"] == "O":
+        return t["pos"][:2]
+    if t["pos"] in ("ADV", "NUM") and not kinds & {"VERB", "NOUN"}:
+        return "AV"
+    if t["pos"] == "X" and text.find("-") > 0:
+        return "X"
+    final = int(tokens[-1]["id"])
+    if t["pos"] == "ADJ" and "VERB" not in kinds and ((k == 0 and int(t["id"]) > int(t["parent"])) or (t is tokens[-1] and int(t["parent"]) >= final)):
+        return "A0"
+    return None
+
+
 def template_of(tokens: list[dict], text: str) -> str:
-    """As operators.classify.template, on tokens in Python."""
-    verb, noun = any(t["pos"] == "VERB" for t in tokens), any(t["pos"] == "NOUN" for t in tokens)
-    out: list[str] = []
+    out: list[str] = [""]
     for k, t in enumerate(tokens):
-        g = t["grammar"] or {}
-        direct, s = g.get("Case") in ("Nom", "Acc"), None
-        if t["mark"] == "S":
+        s = symbol_of(t, k, tokens, text)
+        said = out[-1] == s and s in ("N", "N0", "PR", "PR0", "который", "CC", "SC")
+        covered = (s in ("N", "N0") and out[-1] in ("PR", "PR0")) or (s in ("PR", "PR0") and out[-1] in ("N", "N0")) or (s == "N" and out[-1] == "N0")
+        if s is None or said or covered:
             continue
-        if t["pos"] == "NOUN":
-            s = "N0" if direct else "N"
-        elif t["lemma"] == "который":
-            s = "который"
-        elif t["pos"] == "PRON":
-            s = "PR0" if direct else "PR"
-        elif t["pos"] == "VERB":
-            s = f"V<{g.get('VerbForm', 'U')[0]}>"
-        elif t["text"] in ("-", "–", "—"):
-            s = "-"
-        elif t["pos"] in ("CCONJ", "SCONJ") and t["mark"] == "O":
-            s = {"CCONJ": "CC", "SCONJ": "SC"}[t["pos"]]
-        elif t["pos"] in ("ADV", "NUM") and not verb and not noun:
-            s = "AV"
-        elif t["pos"] == "X" and "-" in text:
-            s = "X"
-        elif t["pos"] == "ADJ" and not verb and k in (0, len(tokens) - 1):
-            s = "A0" if direct else "A"
-        if s is None or (out and (out[-1] == s or (out[-1] == "N0" and s == "N"))):
-            continue
-        if out and out[-1] == "N" and s == "N0":
-            out[-1] = s
-        else:
-            out.append(s)
-    if not out or out == ["CC"]:
+        if s == "N0" and out[-1] == "N":
+            out.pop()
+        out.append(s)
+    if out[1:] in ([], ["CC"]):
         kinds = {t["pos"] for t in tokens}
         return next((s for p, s in (("ADJ", "A"), ("SCONJ", "SC"), ("X", "X")) if p in kinds), "UNKNOWN")
-    return "_".join(out)
+    return "_".join(out[1:])
 
 
 def classify_segment(tokens: list[dict], text: str) -> tuple[str | None, str]:
@@ -87,25 +92,45 @@ def classify_segment(tokens: list[dict], text: str) -> tuple[str | None, str]:
     return FINAL[state], template
 
 
+def set_aside(text: str, originals: list[str]) -> str:
+    """As operators.segments.with_surrogates, numbered on from the originals of the parts before."""
+    for pattern in SURROGATES:
+        for found in re.findall(pattern, text):
+            hit = found[0] if isinstance(found, tuple) else found
+            if not hit.isdigit():
+                originals.append(hit)
+                text = text.replace(hit, f"REP{len(originals)} ", 1)
+    return text
+
+
+def put_back(text: str, originals: list[str]) -> str:
+    """A label's original may hold a label itself, so the last go first."""
+    for k in range(len(originals), 0, -1):
+        text = re.sub(rf"REP{k}(?![0-9]) ?", lambda m: originals[k - 1] + m[0][len(f"REP{k}") :], text)  # noqa: B023
+    return text
+
+
 def fold_document(parts: list[str], candidates: list[str], annotator, deprecated=None) -> dict:
     """Segments, graph (None with fewer than two terms) and facts of one document."""
-    import re
-
-    from ..fold import extract_triplets, fold_graph, link_segments
+    from ..extraction import Extraction
+    from ..fold import fold_graph
+    from ..linking import link_segments
     from ..operators.facts import match_facts
 
-    segments, n = [], 0
+    segments, n, originals = [], 0, []
     for p, part in enumerate(parts):
-        for text in re.split(r"[,;]", part):
+        for text in re.split(r"[,;]", set_aside(part, originals)):
             n += 1
             text = text.strip(" ,")
             if text:
                 tokens = annotator.annotate(text)
                 kind, template = classify_segment(tokens, text)
-                segments.append({"id": n, "part": 0 if len(parts) == 1 else p + 1, "text": text, "tokens": tokens, "type": kind, "template": template})
+                for t in tokens:
+                    t["text"] = put_back(t["text"], originals)
+                segments.append({"id": n, "part": 0 if len(parts) == 1 else p + 1, "text": put_back(text, originals), "tokens": tokens, "type": kind, "template": template})
     link_segments(segments)
-    root, triplets = extract_triplets(segments)
-    folded = fold_graph(root, triplets, deprecated) if triplets else None
+    found = Extraction(segments)
+    folded = fold_graph(found.root, found.triplets, deprecated, segments) if found.triplets else None
     facts, seen = [], set()
     for text in candidates:
         for f in match_facts(annotator.annotate(text)):
