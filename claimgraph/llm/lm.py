@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from math import exp, log
 
 import pyarrow as pa
@@ -39,66 +40,101 @@ def vocabulary(path: str) -> list[str]:
 
 
 class Lattice:
-    """Natural-log piece weights and the recursions over a word's segmentations."""
+    """Natural-log piece weights and the recursions over a word's segmentations.
+
+    An automaton over the pieces gives all that end at a place. Long words are read in windows, so beside a number per
+    character only one window's pieces are held.
+    """
+
+    WINDOW = 4096
 
     def __init__(self, weights: dict[str, float]):
         total = sum(weights.values())
         self.logs = {p: math.log(w / total) for p, w in weights.items()}
-        self.prefixes = {p[:k] for p in self.logs for k in range(1, len(p))}
-        self.bytes = [self.logs[f"<0x{b:02X}>"] for b in range(256)]
-        self.names = [f"<0x{b:02X}>" for b in range(256)]
-
-    def edges(self, s: str) -> list[list[tuple[int, float, str | None]]]:
-        """For each end j the (start, log weight, piece) of what ends there; a character that is no piece is spelt by bytes (None)."""
-        n = len(s)
-        into: list[list] = [[] for _ in range(n + 1)]
-        logs, prefixes = self.logs.get, self.prefixes
-        for i in range(n):
-            for j in range(i + 1, n + 1):
-                piece = s[i:j]
-                w = logs(piece)
-                if w is not None:
-                    into[j].append((i, w, piece))
-                elif j == i + 1:
-                    into[j].append((i, sum([self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]), None))
-                if piece not in prefixes:
-                    break
+
+    def __getstate__(self):
+        return {"logs": self.logs}
+
+    @cached_property
+    def automaton(self):
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for p, w in self.logs.items():
+            found.add_word(p, (len(p), w, p))
+        found.make_automaton()
+        return found
+
+    @cached_property
+    def spelt(self) -> dict[str, tuple[int, float, None]]:
+        """Characters that are no piece, which bytes spell; filled as they are met."""
+        return {}
+
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.logs))
+
+    def ends(self, s: str, low: int, high: int) -> list[list[tuple[int, float, str | None]]]:
+        """For each character in [low, high) the (length, log weight, piece) of the pieces that end with it."""
+        into: list[list] = [[] for _ in range(high - low)]
+        if low:
+            for e, found in self.automaton.iter(s, max(0, low - self.longest + 1), high):
+                if e >= low:
+                    into[e - low].append(found)
+        else:
+            for e, found in self.automaton.iter(s, 0, high):
+                into[e].append(found)
+        logs, spelt = self.logs, self.spelt
+        for k, c in enumerate(s[low:high]):
+            if c not in logs:
+                if c not in spelt:
+                    spelt[c] = (1, sum([logs[f"<0x{b:02X}>"] for b in c.encode("utf-8", "surrogatepass")]), None)
+                into[k].append(spelt[c])
         return into
 
-    def forward(self, edges: list[list[tuple[int, float, str | None]]]) -> list[float]:
-        a = [0.0]
-        for ends in edges[1:]:
+    def forward(self, s: str, low: int, into: list, before: list[float]) -> list[float]:
+        """Log probabilities of the prefixes up to each character of a window, after those in before (the last longest at least)."""
+        a, shift = before, len(before) - low
+        for j, ends in enumerate(into, low + shift):
             if len(ends) == 1:
-                a.append(a[ends[0][0]] + ends[0][1])
+                a.append(a[j - ends[0][0]] + ends[0][1])
                 continue
-            terms = [a[i] + w for i, w, _ in ends]
+            terms = [a[j - n] + w for n, w, _ in ends]
             top = max(terms)
             a.append(top + log(sum([exp(t - top) for t in terms])))
         return a
 
-    def expect(self, s: str, count: float, into: dict) -> None:
+    def expect(self, s: str, count: float, uses: dict) -> None:
         """Add count times the expected uses of each piece in s."""
-        edges = self.edges(s)
-        a = self.forward(edges)
-        n = len(s)
+        n, into = len(s), []
+        a = [0.0]
+        for low in range(0, n, self.WINDOW):
+            into = self.ends(s, low, min(n, low + self.WINDOW))
+            a = self.forward(s, low, into, a)
         # Shares of the whole: gain[j] is how much of it passes j, so the numbers stay near 1 at any length.
         gain = [0.0] * n + [count]
-        for j in range(n, 0, -1):
-            here = gain[j]
-            if not here:
-                continue
-            aj = a[j]
-            for i, w, piece in edges[j]:
-                p = here * exp(a[i] + w - aj)
-                gain[i] += p
-                if piece is None:
-                    for x in s[i].encode("utf-8", "surrogatepass"):
-                        into[self.names[x]] = into.get(self.names[x], 0.0) + p
-                else:
-                    into[piece] = into.get(piece, 0.0) + p
+        for low in range((n - 1) // self.WINDOW * self.WINDOW, -1, -self.WINDOW):
+            if low + self.WINDOW < n:
+                into = self.ends(s, low, low + self.WINDOW)
+            for j in range(low + len(into), low, -1):
+                here = gain[j]
+                if not here:
+                    continue
+                aj = a[j]
+                for size, w, piece in into[j - low - 1]:
+                    p = here * exp(a[j - size] + w - aj)
+                    gain[j - size] += p
+                    if piece is None:
+                        for x in s[j - 1].encode("utf-8", "surrogatepass"):
+                            uses[f"<0x{x:02X}>"] = uses.get(f"<0x{x:02X}>", 0.0) + p
+                    else:
+                        uses[piece] = uses.get(piece, 0.0) + p
 
     def score(self, s: str) -> float:
-        return self.forward(self.edges(s))[-1]
+        a = [0.0]
+        for low in range(0, len(s), self.WINDOW):
+            a = self.forward(s, low, self.ends(s, low, min(len(s), low + self.WINDOW)), a[-self.longest :])
+        return a[-1]
 
 
 def _marked(word: bytes) -> str:
@@ -211,7 +247,6 @@ def fit(word_table: DataFrame, n_train: int, path: str, rounds: int = EM_ROUNDS)
     lattice = Lattice(weights)
     share = math.log1p(-end)
     lattice.logs = {p: w + share for p, w in lattice.logs.items()}
-    lattice.bytes = [w + share for w in lattice.bytes]
     return lattice, math.log10(end)
 
 
