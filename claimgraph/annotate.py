@@ -24,6 +24,7 @@ CASES_AFTER = {
     "в": ("Loc", "Acc"), "во": ("Loc", "Acc"), "на": ("Loc", "Acc"), "из": ("Gen",), "изо": ("Gen",), "с": ("Ins", "Gen"), "со": ("Ins", "Gen"), "к": ("Dat",), "ко": ("Dat",), "для": ("Gen",), "от": ("Gen",),
     "до": ("Gen",), "у": ("Gen",), "без": ("Gen",), "через": ("Acc",), "между": ("Ins",), "под": ("Ins", "Acc"), "над": ("Ins",), "перед": ("Ins",), "по": ("Dat",), "о": ("Loc",), "об": ("Loc",), "при": ("Loc",), "внутри": ("Gen",), "вокруг": ("Gen",), "посредством": ("Gen",), "за": ("Ins", "Acc"),
 }
+UNITS = frozenset("мм см дм км мкм нм кг мг гц кгц мгц вт квт мпа кпа мин".split())
 CLOSED = {"и": "CCONJ", "или": "CCONJ", "а": "CCONJ", "но": "CCONJ", "либо": "CCONJ", "что": "SCONJ", "чтобы": "SCONJ", "если": "SCONJ", "как": "SCONJ", "причем": "SCONJ", "не": "PART", "же": "PART", "также": "ADV", "при этом": "ADV", "соосно": "ADV", "жестко": "ADV", "вертикально": "ADV"}
 PRONOUNS = {"он": "Masc", "она": "Fem", "оно": "Neut", "они": None, "его": "Masc", "ее": "Fem", "её": "Fem", "их": None, "им": "Masc", "ним": "Masc", "ней": "Fem", "ними": None, "них": None}
 WHICH = {"который": ("Masc", "Nom"), "которая": ("Fem", "Nom"), "которое": ("Neut", "Nom"), "которые": (None, "Nom"), "которого": ("Masc", "Gen"), "которой": ("Fem", "Loc"), "котором": ("Masc", "Loc"), "которую": ("Fem", "Acc"), "которым": ("Masc", "Ins"), "которых": (None, "Loc"), "которыми": (None, "Ins")}
@@ -58,6 +59,10 @@ class RuleAnnotator:
 
     def annotate(self, text: str) -> list[dict]:
         tokens = [self._token(i + 1, w) for i, w in enumerate(WORD.findall(text))]
+        for t, following in zip(tokens, [*tokens[1:], None], strict=True):
+            low = t["text"].lower()
+            if t["pos"] == "ADJ" and low.endswith(("ном", "вом")) and (following is None or following["pos"] not in ("NOUN", "ADJ")):
+                t |= {"pos": "NOUN", "lemma": low[:-2], "grammar": {"Gender": "Masc", "Number": "Sing", "Case": "Ins"}, "cases": ("Ins",)}
         self._cases(tokens)
         self._phrases(tokens)
         self._heads(tokens)
@@ -72,6 +77,10 @@ class RuleAnnotator:
             return t | {"pos": "X"}
         if re.fullmatch(r"[0-9]+", word):
             return t | {"pos": "NUM"}
+        if low in UNITS:
+            return t | {"pos": "SYM"}
+        if low == "себя":
+            return t | {"pos": "PRON", "grammar": {"Case": "Gen"}}
         if low in CASES_AFTER:
             return t | {"pos": "ADP"}
         if low in CLOSED:
@@ -103,13 +112,13 @@ class RuleAnnotator:
         return t | {"lemma": nominative(low, ending, gender, number), "grammar": {"Gender": gender or "Masc", "Number": number, "Case": cases[0]}, "cases": cases}
 
     def _cases(self, tokens: list[dict]) -> None:
-        governed, noun_before, adjective = None, False, None
+        governed, noun_before, adjective, before = None, False, None, ()
         for t in tokens:
             if t["pos"] == "ADP":
                 governed, noun_before = CASES_AFTER[t["text"].lower()], False
             elif t["pos"] in ("NOUN", "ADJ"):
                 options = t.pop("cases", (t["grammar"]["Case"],))
-                wanted = governed or (("Gen",) if noun_before and t["pos"] == "NOUN" else ())
+                wanted = governed or before or (("Gen",) if noun_before and t["pos"] == "NOUN" else ())
                 t["grammar"]["Case"] = next((c for c in wanted if c in options), wanted[0] if governed and t["pos"] == "ADJ" else options[0])
                 if t["pos"] == "ADJ":
                     adjective = t
@@ -117,14 +126,17 @@ class RuleAnnotator:
                     t["deprel"], governed, noun_before = "fixed", None, True
                 else:
                     _settle(t, adjective)
-                    governed, noun_before, adjective = None, True, None
+                    governed, noun_before, adjective, before = None, True, None, ()
             elif t["pos"] != "NUM":
+                # Behind a conjunction the case of the noun before it is likely.
+                last = next((x for x in reversed(tokens[: int(t["id"]) - 1]) if x["pos"] == "NOUN"), None)
+                before = (last["grammar"]["Case"],) if t["pos"] == "CCONJ" and noun_before and last else ()
                 governed, noun_before, adjective = None, False, None
 
     def _phrases(self, tokens: list[dict]) -> None:
         number, inside = 1, False
         for k, t in enumerate(tokens):
-            nominal = t["pos"] in ("NOUN", "ADJ", "NUM", "DET", "X") or (t["pos"] == "PRON" and t["lemma"] != "который")
+            nominal = t["pos"] in ("NOUN", "ADJ", "NUM", "DET", "X") or (t["pos"] == "SYM" and t["text"].isalpha()) or (t["pos"] == "PRON" and t["lemma"] not in ("который", "себя"))
             starts = nominal and inside and t["pos"] == "NOUN" and tokens[k - 1]["pos"] == "NOUN" and t["grammar"]["Case"] != "Gen"
             if inside and (not nominal or starts):
                 number, inside = number + 1, False
@@ -171,6 +183,8 @@ def _settle(noun: dict, adjective: dict | None) -> None:
         noun["lemma"] = low[:-1]
     elif g["Case"] == "Loc" and low.endswith("е"):
         g["Gender"], noun["lemma"] = "Fem", low[:-1] + "а"
+    elif g["Case"] == "Dat" and low.endswith("у"):
+        g["Gender"], noun["lemma"] = "Masc", low[:-1]
     elif g["Case"] == "Ins" and low.endswith("ем"):
         noun["lemma"] = low[:-2] + "ь"
 

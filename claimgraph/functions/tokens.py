@@ -82,3 +82,63 @@ def bracketed(words: Column, bio: Column) -> Column:
     """The words with [ ] around phrases."""
     zipped = F.arrays_zip(words.alias("w"), bio.alias("b"), F.concat(F.slice(bio, F.lit(2), F.greatest(F.size(bio) - 1, F.lit(0))), F.array(F.lit("O"))).alias("next"))
     return F.array_join(F.transform(zipped, lambda z: F.concat(F.when(z["b"] == "B", F.lit("[ ")).otherwise(""), z["w"], F.when((z["b"] != "O") & (z["next"] != "I"), F.lit(" ]")).otherwise(""))), " ")
+
+
+def starts_with_separator(tokens: Column, text: Column, except_begins: tuple[str, ...] = ("а также",)) -> Column:
+    """The first token is marked as a separator's, and the text begins with none of the exceptions."""
+    excepted = reduce(lambda a, b: a | b, [F.startswith(text, F.lit(e)) for e in except_begins], F.lit(False))
+    return F.coalesce((F.get(tokens, F.lit(0))["mark"] == "S") & ~excepted, F.lit(False))
+
+
+def label_positions(labels: Column, wanted: tuple[str, ...]) -> Column:
+    """Where (from 0) labels of a kind stand."""
+    return F.filter(F.transform(labels, lambda x, i: F.when(x.isin(*wanted), i)), lambda i: i.isNotNull())
+
+
+def has_label(labels: Column, wanted: tuple[str, ...]) -> Column:
+    return F.exists(labels, lambda x: x.isin(*wanted))
+
+
+def between_heads(positions: Column, at: Column) -> Column:
+    """A place with a head before and a head after it."""
+    return F.exists(positions, lambda p: p < at) & F.exists(positions, lambda p: p > at)
+
+
+def position_of_text(tokens: Column, text: str) -> Column:
+    """Where (from 0) a token's text first occurs; null if nowhere."""
+    found = F.array_position(F.transform(tokens, lambda t: t["text"]), text)
+    return F.when(found > 0, found - 1)
+
+
+def bound_case(tokens: Column, verb_id: Column) -> Column:
+    """The case of the first nominal after a verb."""
+    after = lambda t: (t["id"].cast("int") > verb_id.cast("int")) & t["pos"].isin("NOUN", "PRON", "ADJ")
+    return feature(first_token(tokens, after), "Case")
+
+
+def last_phrase(tokens: Column) -> Column:
+    """The tokens of the phrase that ends the segment; empty where none does."""
+    mark = F.element_at(tokens, -1)["mark"]
+    return F.when(mark.rlike("^[0-9]+$"), F.filter(tokens, lambda t: t["mark"] == mark)).otherwise(F.filter(tokens, lambda t: F.lit(False)))
+
+
+def first_in_case(tokens: Column, pos: tuple[str, ...], cases: tuple[str, ...]) -> Column:
+    """The id of the first token of a part of speech in one of the cases."""
+    return first_token(tokens, lambda t: t["pos"].isin(*pos) & F.coalesce(feature(t, "Case").isin(*cases), F.lit(False)))["id"]
+
+
+def fixed_words(udpipe: Column, dictionary: Column) -> Column:
+    """Tokens with what a second analyser knows better: its part of speech, lemma and features where both give the same word, unless
+    it has none for it. The two arrays need not be cut alike; a word is looked up by its text, the k-th by the k-th."""
+    word = lambda t: F.lower(t["text"])
+
+    def mended(t: Column, i: Column) -> Column:
+        k = F.size(F.filter(F.slice(udpipe, F.lit(1), i + 1), lambda x: word(x) == word(t)))
+        same = F.get(F.filter(dictionary, lambda x: word(x) == word(t)), k - 1)
+        known = same.isNotNull() & same["pos"].isNotNull()
+        return F.struct(
+            t["id"].alias("id"), t["text"].alias("text"), F.when(known, F.coalesce(same["lemma"], t["lemma"])).otherwise(t["lemma"]).alias("lemma"), F.when(known, same["pos"]).otherwise(t["pos"]).alias("pos"),
+            F.when(known, F.coalesce(same["grammar"], t["grammar"])).otherwise(t["grammar"]).alias("grammar"), t["parent"].alias("parent"), t["deprel"].alias("deprel"), t["mark"].alias("mark"),
+        )
+
+    return F.transform(udpipe, mended)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import saved
@@ -41,6 +41,29 @@ def similar_terms(loose: DataFrame, terms: DataFrame) -> DataFrame:
     return found.groupBy("code", "key").agg(F.count("*").alias("n"), F.min("into").alias("into")).where("n = 1").drop("n")
 
 
+def similar_in_order(loose: DataFrame, terms: DataFrame) -> DataFrame:
+    """similar_terms() one after the other by ord: a term that is merged no longer counts for those after it.
+
+    A document's terms, a row's worth, are folded in its own array; documents are independent.
+    """
+    marked = terms.join(loose.select("code", "key", F.lit(True).alias("loose")), ["code", "key"], "left")
+    packed = marked.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("ord", "key", "term", F.coalesce("loose", F.lit(False)).alias("loose")))).alias("terms"))
+    merged = "array<struct<key:string,into:string>>"
+    state = F.struct(F.col("terms").alias("left"), F.array().cast(merged).alias("merged"))
+
+    def one(s: Column, t: Column) -> Column:
+        longer = F.filter(s["left"], lambda x: (x["key"] != t["key"]) & F.contains(x["term"], t["term"]))
+        into = F.get(longer, F.lit(0))["key"]
+        left = F.filter(s["left"], lambda x: x["key"] != t["key"])
+        moved = F.transform(s["merged"], lambda m: F.struct(m["key"].alias("key"), F.when(m["into"] == t["key"], into).otherwise(m["into"]).alias("into")))
+        done = F.concat(moved, F.array(F.struct(t["key"].alias("key"), into.alias("into"))))
+        fits = F.size(longer) == 1
+        return F.struct(F.when(fits, left).otherwise(s["left"]).alias("left"), F.when(fits, done).otherwise(s["merged"]).cast(merged).alias("merged"))
+
+    folded = packed.select("code", F.filter("terms", lambda t: t["loose"]).alias("loose"), "terms")
+    return folded.select("code", F.inline(F.aggregate("loose", state, one, lambda s: s["merged"])))
+
+
 def synonyms(terms: DataFrame, edges: DataFrame) -> DataFrame:
     """(code, key, into): of equal terms under one parent by edges other than conn, the first stays."""
     children = edges.where("type <> 'conn'").select("code", F.col("sbj_key").alias("parent"), F.col("obj_key").alias("key")).distinct()
@@ -60,22 +83,27 @@ def merge_keys(terms: DataFrame, edges: DataFrame, mapping: DataFrame) -> tuple[
 def post_process(terms: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Similar terms merged, then synonyms. Each step reads its input several times, so inputs are written once."""
     terms, edges = saved(terms, "terms"), saved(edges, "edges")
-    terms, edges = merge_keys(terms, edges, saved(similar_terms(floating(terms, edges), terms), "similar"))
+    terms, edges = merge_keys(terms, edges, saved(similar_in_order(floating(terms, edges), terms), "similar"))
     terms, edges = saved(terms, "terms"), saved(edges, "edges")
     terms, edges = merge_keys(terms, edges, saved(synonyms(terms, edges), "synonyms"))
     return saved(terms, "terms"), saved(edges, "edges")
 
 
-def closure(edges: DataFrame, types: tuple[str, ...] = ("comp", "have"), deepest: int = 50) -> DataFrame:
-    """(code, ancestor, descendant, depth) along containment edges, by a recursive query; each pair at its least depth."""
-    spark = edges.sparkSession
-    edges.where(F.col("type").isin(*types)).select("code", "sbj_key", "obj_key").createOrReplaceTempView("__contains")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(code, ancestor, descendant, depth) AS (
-            SELECT code, sbj_key, obj_key, 1 FROM __contains
-            UNION ALL
-            SELECT w.code, w.ancestor, e.obj_key, w.depth + 1 FROM walk w JOIN __contains e ON e.code = w.code AND e.sbj_key = w.descendant WHERE w.depth < {deepest}
-        ) SELECT code, ancestor, descendant, min(depth) AS depth FROM walk GROUP BY code, ancestor, descendant""")
+def closure(edges: DataFrame, types: tuple[str, ...] = ("comp", "have")) -> DataFrame:
+    """(code, ancestor, descendant, depth) along containment edges; each pair at its least depth, to any depth.
+
+    Each round follows the pairs found last by one edge and keeps those not known yet, so cycles end and no pair is found twice.
+    """
+    step = saved(edges.where(F.col("type").isin(*types)).select("code", "sbj_key", "obj_key").distinct(), "contains")
+    pair = ["code", "ancestor", "descendant"]
+    last = saved(step.select("code", F.col("sbj_key").alias("ancestor"), F.col("obj_key").alias("descendant"), F.lit(1).alias("depth")), "closure")
+    known = last
+    while last.limit(1).count():
+        ahead = last.join(step.withColumnRenamed("sbj_key", "descendant"), ["code", "descendant"])
+        found = ahead.select("code", "ancestor", F.col("obj_key").alias("descendant"), (F.col("depth") + 1).alias("depth")).distinct()
+        last = saved(found.join(known.select(*pair), pair, "left_anti"), "closure")
+        known = known.unionByName(last)
+    return known
 
 
 def dot(terms: DataFrame, edges: DataFrame) -> DataFrame:

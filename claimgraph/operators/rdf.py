@@ -79,6 +79,11 @@ def header() -> str:
     return f'<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:cg="{NAMESPACE}">\n' + "\n".join(declared)
 
 
+def file_name(started: Column, n: Column) -> Column:
+    """The name of a chunk's file: patents_<time of the run>_<n>.owl."""
+    return F.concat(F.lit("patents_"), F.date_format(started, "yyyyMMddHHmmss"), F.lit("_"), n.cast("string"), F.lit(".owl"))
+
+
 def write_chunks(rdf: DataFrame, chunks: DataFrame, folder: str) -> None:
     """One text file per chunk in folder/chunk=<n>: at most a chunk's documents meet in one task. chunks: (code, chunk)."""
     docs = documents_xml(rdf).join(chunks, "code")

@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import clean_claim, split_parts
@@ -106,7 +106,7 @@ def set_aside(text: str, originals: list[str]) -> str:
 def put_back(text: str, originals: list[str]) -> str:
     """A label's original may hold a label itself, so the last go first."""
     for k in range(len(originals), 0, -1):
-        text = re.sub(rf"REP{k}(?![0-9]) ?", lambda m: originals[k - 1] + m[0][len(f"REP{k}") :], text)  # noqa: B023
+        text = re.sub(rf"REP{k}(?![0-9]) ?", lambda _: originals[k - 1], text)  # noqa: B023
     return text
 
 
@@ -193,16 +193,35 @@ def load_plugin(spec: str | None):
         return None
 
 
-def records(found: DataFrame, annotator: str = "rules", plugin: str | None = None) -> DataFrame:
-    """read_patents() rows to (code, name, org, ipc, segments, graph, facts) of those with a graph or facts."""
+def folded(found: DataFrame, annotator: str = "rules", plugin: str | None = None) -> DataFrame:
+    """read_patents() rows that could be read and are device claims, through the fold; a document that fails keeps its row, with fold_error."""
     good = found.where("error is null").where(F.coalesce(patents.is_device_claim(F.col("main_claim")), F.lit(False)))
     text = F.regexp_replace(clean_claim(F.col("main_claim")), r"\.\s*$", "")
-    base = good.select("code", "name", "org", "ipc", split_parts(text).alias("parts"), patents.fact_candidates(F.col("abstract"), F.col("description")).alias("candidates"))
+    base = good.select("path", "code", "name", "org", "ipc", split_parts(text).alias("parts"), patents.fact_candidates(F.col("abstract"), F.col("description")).alias("candidates"))
     # The record travels through the fold, so nothing is joined back by a code that may repeat.
-    folded = base.select(F.to_json(F.struct("code", "name", "org", "ipc")).alias("code"), "parts", "candidates").mapInArrow(_fold(annotator, plugin), RESULT)
-    meta = F.from_json("code", "code string, name string, org string, ipc array<string>")
-    out = folded.withColumn("meta", meta).select("meta.code", "meta.name", "meta.org", "meta.ipc", "segments", "graph", "facts", "fold_error")
-    return out.where(F.col("graph").isNotNull() | (F.size("facts") > 0))
+    done = base.select(F.to_json(F.struct("path", "code", "name", "org", "ipc")).alias("code"), "parts", "candidates").mapInArrow(_fold(annotator, plugin), RESULT)
+    meta = F.from_json("code", "path string, code string, name string, org string, ipc array<string>")
+    return done.withColumn("meta", meta).select("meta.path", "meta.code", "meta.name", "meta.org", "meta.ipc", "segments", "graph", "facts", "fold_error")
+
+
+def has_result(graph: Column, facts: Column) -> Column:
+    return graph.isNotNull() | F.coalesce(F.size(facts) > 0, F.lit(False))
+
+
+def with_results(done: DataFrame) -> DataFrame:
+    """folded() rows that have a graph or facts."""
+    return done.where(has_result(F.col("graph"), F.col("facts"))).drop("path")
+
+
+def records(found: DataFrame, annotator: str = "rules", plugin: str | None = None) -> DataFrame:
+    """read_patents() rows to (code, name, org, ipc, segments, graph, facts, fold_error) of those with a graph or facts."""
+    return with_results(folded(found, annotator, plugin))
+
+
+def failures(found: DataFrame, done: DataFrame) -> DataFrame:
+    """(path, code, error) of the files that could not be read and of the documents that could not be folded."""
+    read = found.where("error is not null").select("path", "code", "error")
+    return read.unionByName(done.where("fold_error is not null").select("path", "code", F.col("fold_error").alias("error")))
 
 
 def tables(found: DataFrame) -> dict[str, DataFrame]:
@@ -233,4 +252,8 @@ def ontology(found: DataFrame, folder: str, limit: int = 1000, chunk: int = 500)
 
 
 def batch(spark: SparkSession, source: str, target: str, limit: int = 1000, chunk: int = 500, annotator: str = "rules") -> DataFrame:
-    return ontology(records(patents.read_patents(patents.find_files(spark, source)), annotator), target, limit, chunk)
+    """The ontology of all XML files below a folder; what failed goes to <target>-errors as JSON lines."""
+    found = saved(patents.read_patents(patents.find_files(spark, source)), "patents")
+    done = saved(folded(found, annotator), "folded")
+    failures(found, done).write.mode("overwrite").json(f"{target.rstrip('/')}-errors")
+    return ontology(with_results(done), target, limit, chunk)

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean, tokens
-from ..operators import classify, graph, lexicon, matching, numbering, ordered, rdf, segments
-from ..sources import patents
+from ..operators import classify, graph, intervals, lexicon, matching, numbering, ordered, rdf, segments
+from ..sources import conllu, patents
+from . import expected
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,11 +54,20 @@ def clean_brackets(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", clean.clear_first_number(clean.clear_brackets(F.col("text"))).alias("text"))
 
 
-@query(
-    "SELECT page_id, list_reduce(list_prepend(html, regexp_extract_all(html, '&#?[a-z0-9]+;')), lambda t, e: replace(t, e, CASE e "
-    + " ".join(f"WHEN '{e}' THEN '{v}'" for e, v in clean.ENTITIES.items())
-    + " ELSE e END)) AS text FROM pages"
-)
+@query("""SELECT page_id, list_reduce(list_prepend(html, regexp_extract_all(html, '&#?[a-z0-9]+;')), lambda t, e: replace(t, e, CASE e
+WHEN '&nbsp;' THEN ' ' WHEN '&shy;' THEN '' WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&laquo;' THEN '«' WHEN '&raquo;' THEN '»' WHEN '&lsaquo;' THEN '‹' WHEN '&rsaquo;' THEN '›'
+WHEN '&quot;' THEN '"' WHEN '&prime;' THEN '′' WHEN '&Prime;' THEN '″' WHEN '&lsquo;' THEN '‘' WHEN '&rsquo;' THEN '’' WHEN '&sbquo;' THEN '‚' WHEN '&ldquo;' THEN '“'
+WHEN '&rdquo;' THEN '”' WHEN '&bdquo;' THEN '„' WHEN '&#10076;' THEN '❜' WHEN '&#10075;' THEN '❛' WHEN '&amp;' THEN '&' WHEN '&apos;' THEN '''' WHEN '&sect;' THEN '§' WHEN '&copy;' THEN '©'
+WHEN '&not;' THEN '¬' WHEN '&reg;' THEN '®' WHEN '&macr;' THEN '¯' WHEN '&deg;' THEN '°' WHEN '&plusmn;' THEN '±' WHEN '&sup1;' THEN '¹' WHEN '&sup2;' THEN '²' WHEN '&sup3;' THEN '³'
+WHEN '&frac14;' THEN '¼' WHEN '&frac12;' THEN '½' WHEN '&frac34;' THEN '¾' WHEN '&acute;' THEN '´' WHEN '&micro;' THEN 'µ' WHEN '&para;' THEN '¶' WHEN '&middot;' THEN '·'
+WHEN '&iquest;' THEN '¿' WHEN '&fnof;' THEN 'ƒ' WHEN '&trade;' THEN '™' WHEN '&bull;' THEN '•' WHEN '&hellip;' THEN '…' WHEN '&oline;' THEN '‾' WHEN '&ndash;' THEN '–'
+WHEN '&mdash;' THEN '—' WHEN '&permil;' THEN '‰' WHEN '&#125;' THEN '}' WHEN '&#123;' THEN '{' WHEN '&#61;' THEN '=' WHEN '&ne;' THEN '≠' WHEN '&cong;' THEN '≅' WHEN '&asymp;' THEN '≈'
+WHEN '&le;' THEN '≤' WHEN '&ge;' THEN '≥' WHEN '&ang;' THEN '∠' WHEN '&perp;' THEN '⊥' WHEN '&radic;' THEN '√' WHEN '&sum;' THEN '∑' WHEN '&int;' THEN '∫' WHEN '&#8251;' THEN '※'
+WHEN '&divide;' THEN '÷' WHEN '&infin;' THEN '∞' WHEN '&#64;' THEN '@' WHEN '&#91;' THEN '[' WHEN '&#93;' THEN ']' WHEN '&times;' THEN '×' WHEN '&alpha;' THEN 'α' WHEN '&beta;' THEN 'β'
+WHEN '&gamma;' THEN 'γ' WHEN '&delta;' THEN 'δ' WHEN '&epsilon;' THEN 'ε' WHEN '&lambda;' THEN 'λ' WHEN '&mu;' THEN 'μ' WHEN '&pi;' THEN 'π' WHEN '&rho;' THEN 'ρ' WHEN '&sigma;' THEN 'σ'
+WHEN '&tau;' THEN 'τ' WHEN '&phi;' THEN 'φ' WHEN '&psi;' THEN 'ψ' WHEN '&omega;' THEN 'ω' WHEN '&minus;' THEN '−' WHEN '&#176;' THEN '°' WHEN '&#215;' THEN '×' WHEN '&#8211;' THEN '–'
+WHEN '&#8212;' THEN '—' WHEN '&#160;' THEN ' '
+ELSE e END)) AS text FROM pages""")
 def replace_entities(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", clean.replace_entities(F.col("html")).alias("text"))
 
@@ -114,13 +124,13 @@ def split_two_parts(spark, sf_dir):
 m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS rn FROM l WHERE regexp_matches(line, '(?i)(^|[^a-z])(the|que|der) [a-z]+tion'))
 SELECT doc_id, line FROM m WHERE rn = 1""")
 def first_matching_line(spark, sf_dir):
-    line = F.get(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"(?i)(^|[^a-z])(the|que|der) [a-z]+tion")), F.lit(0))
+    line = F.get(patents.fact_candidates(F.split("text", "\n"), F.array().cast("array<string>"), r"(?i)(^|[^a-z])(the|que|der) [a-z]+tion"), F.lit(0))
     return read(spark, sf_dir, "documents").select("doc_id", line.alias("line")).where("line is not null")
 
 
 @query("""SELECT doc_id FROM documents WHERE strpos(text, 'License') = 0 AND strpos(text, '|') IN (0, 1)""")
 def device_filter(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where(~F.contains("text", F.lit("License")) & F.instr("text", "|").isin(0, 1)).select("doc_id")
+    return read(spark, sf_dir, "documents").where(patents.is_device_claim(F.col("text"), "License", "|")).select("doc_id")
 
 
 @query("""WITH t AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'B' WHEN 'assistant' THEN 'I' ELSE 'O' END AS bio FROM conversations),
@@ -138,15 +148,14 @@ def phrase_numbers(spark, sf_dir):
 _SYMBOLS = {"signup": "N", "click": "V<F>", "view": "CC", "purchase": "который", "error": "-"}
 
 
-@query(
-    "WITH s AS (SELECT user_id, list(CASE event_type "
-    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SYMBOLS.items())
-    + " END ORDER BY event_id) AS a FROM events GROUP BY user_id), f AS (SELECT user_id, list_reduce(list_prepend('P0', a), lambda st, i: CASE st || '~' || i "
-    + " ".join(f"WHEN '{s}~{i}' THEN '{t}'" for (s, i), t in classify.TRANSITIONS.items())
-    + " ELSE st END) AS state FROM s) SELECT user_id, state, CASE state "
-    + " ".join(f"WHEN '{s}' THEN '{t}'" for s, t in classify.FINAL.items())
-    + " END AS type FROM f"
-)
+@query("""WITH s AS (SELECT user_id, list(CASE event_type WHEN 'signup' THEN 'N' WHEN 'click' THEN 'V<F>' WHEN 'view' THEN 'CC' WHEN 'purchase' THEN 'который' WHEN 'error' THEN '-' END ORDER BY event_id) AS a FROM events GROUP BY user_id),
+f AS (SELECT user_id, list_reduce(list_prepend('P0', a), lambda st, i: CASE st || ' ' || i
+WHEN 'P0 N' THEN 'P1' WHEN 'P0 V<F>' THEN 'P14' WHEN 'P0 который' THEN 'P13' WHEN 'P0 -' THEN 'P9' WHEN 'P1 V<F>' THEN 'P3' WHEN 'P1 который' THEN 'P7' WHEN 'P1 -' THEN 'P9'
+WHEN 'P2 N' THEN 'P8' WHEN 'P2 который' THEN 'P7' WHEN 'P2 -' THEN 'P9' WHEN 'P3 N' THEN 'P4' WHEN 'P3 который' THEN 'P7' WHEN 'P3 -' THEN 'P9' WHEN 'P5 V<F>' THEN 'P3'
+WHEN 'P6 V<F>' THEN 'P3' WHEN 'P6 который' THEN 'P7' WHEN 'P6 -' THEN 'P9' WHEN 'P8 CC' THEN 'P2' WHEN 'P8 V<F>' THEN 'P4' WHEN 'P8 который' THEN 'P13' WHEN 'P8 -' THEN 'P9' WHEN 'P11 который' THEN 'P7' WHEN 'P11 -' THEN 'P9'
+ELSE st END) AS state FROM s)
+SELECT user_id, state, CASE state WHEN 'P0' THEN 'X' WHEN 'P1' THEN 'N' WHEN 'P2' THEN 'V_N' WHEN 'P3' THEN 'N_V' WHEN 'P4' THEN 'N_V_N' WHEN 'P5' THEN 'A0' WHEN 'P6' THEN 'A0' WHEN 'P7' THEN 'N_который_V_N'
+WHEN 'P8' THEN 'V_N' WHEN 'P9' THEN 'N_-_N' WHEN 'P10' THEN 'AV' WHEN 'P11' THEN 'SC' WHEN 'P12' THEN 'V<C>' WHEN 'P13' THEN 'который_V_N' WHEN 'P14' THEN 'V_N' END AS type FROM f""")
 def template_states(spark, sf_dir):
     symbol = F.create_map(*[F.lit(x) for p in _SYMBOLS.items() for x in p])
     e = read(spark, sf_dir, "events").select("user_id", "event_id", F.try_element_at(symbol, F.col("event_type")).alias("symbol"))
@@ -214,7 +223,17 @@ def verb_types(spark, sf_dir):
     return lexicon.lookup(read(spark, sf_dir, "events"), "event_type", comp, conn, syn, "key", "type").select("event_id", "type")
 
 
-@query("SELECT lemma, kind, approved, entry, reversed, n_objects, n_additions FROM (VALUES " + ", ".join(f"('{v['lemma']}', '{v['kind']}', {v['approved']}, {v['entry']}, {v['reversed']}, {len(v['objects'])}, {len(v['additions'])})" for v in lexicon.verbs().values()) + ") AS t(lemma, kind, approved, entry, reversed, n_objects, n_additions)")
+@query("""SELECT lemma, kind, approved, entry, reversed, n_objects, n_additions FROM (VALUES
+('устанавливать', 'conn', true, 1, false, 3, 0), ('подключать', 'conn', true, 1, false, 1, 2), ('подтягивать', 'conn', true, 1, false, 1, 2), ('соединять', 'conn', true, 1, false, 3, 2),
+('взаимодействовать', 'conn', true, 1, false, 1, 2), ('скреплять', 'conn', false, 0, false, 2, 2), ('крепиться', 'conn', true, 1, false, 1, 3),
+('согласовывать', 'conn', true, 1, false, 1, 3), ('закреплять', 'conn', true, 1, false, 1, 0), ('пересекаться', 'conn', true, 1, false, 1, 0), ('связанный', 'conn', true, 1, false, 1, 2),
+('шунтировать', 'conn', false, 0, false, 1, 0), ('находиться', 'conn', false, 1, false, 2, 0), ('надевать', 'conn', false, 1, false, 1, 0), ('размещать', 'conn', false, 1, false, 1, 0),
+('располагать', 'conn', true, 1, false, 5, 0), ('сообщаться', 'conn', true, 1, false, 1, 2), ('сопряженный', 'conn', true, 1, false, 1, 2), ('открывать', 'conn', false, 0, false, 1, 0),
+('изолировать', 'conn', false, 1, false, 1, 1), ('содержать', 'comp', true, 0, false, 1, 1), ('оснащать', 'comp', true, 0, false, 1, 0), ('включать', 'comp', true, 1, false, 4, 0),
+('иметь', 'comp', true, 0, false, 1, 0), ('снабжать', 'comp', true, 0, false, 1, 0), ('вводить', 'comp', true, 1, true, 2, 0), ('состоять', 'comp', true, 0, false, 1, 0),
+('изготавливать', 'comp', true, 0, false, 2, 0), ('составлять', 'comp', false, 0, false, 2, 0), ('выполнять', 'comp', true, 0, false, 7, 0), ('использоваться', 'comp', true, 1, false, 1, 0),
+('являться', 'comp', false, 1, false, 1, 0), ('служить', 'comp', false, 1, false, 1, 0), ('образовывать', 'comp', false, 0, false, 1, 0), ('добавлять', 'comp', false, 2, true, 1, 0),
+('помещать', 'comp', true, 1, false, 2, 0), ('укладывать', 'comp', true, 0, false, 1, 0)) AS t(lemma, kind, approved, entry, reversed, n_objects, n_additions)""")
 def verb_valences(spark, sf_dir):
     return lexicon.verb_table(spark).select("lemma", "kind", "approved", "entry", "reversed", F.size("objects").alias("n_objects"), F.size("additions").alias("n_additions"))
 
@@ -236,7 +255,7 @@ _HIERARCHY_SQL = """e AS (SELECT 'w' AS code, 'r' || n_regionkey AS sbj_key, 'n'
 
 @query(f"WITH {_HIERARCHY_SQL} SELECT code, sbj_key, obj_key, type FROM e")
 def typed_edges(spark, sf_dir):
-    return _hierarchy(spark, sf_dir)
+    return graph.merged_edges(_hierarchy(spark, sf_dir).withColumn("ord", F.lit(0))).drop("ord")
 
 
 @query(f"""WITH RECURSIVE {_HIERARCHY_SQL}, w AS (SELECT code, sbj_key AS ancestor, obj_key AS descendant, 1 AS depth FROM e UNION ALL SELECT w.code, w.ancestor, e.obj_key, w.depth + 1 FROM w JOIN e ON e.code = w.code AND e.sbj_key = w.descendant)
@@ -294,7 +313,8 @@ def cross_points(spark, sf_dir):
 
 @query("SELECT DISTINCT lang, source FROM documents")
 def distinct_facts(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("lang", "source").distinct()
+    docs = read(spark, sf_dir, "documents").select("lang", "source")
+    return intervals.set_union(docs, docs.limit(0))
 
 
 @query("""SELECT doc_id, CAST(floor((rn - 1) / 50) + 1 AS BIGINT) AS chunk FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents WHERE strpos(text, '|') = 0) WHERE rn <= 700""")
@@ -318,12 +338,15 @@ def rdf_rows(spark, sf_dir):
 
 @query("""WITH c AS (SELECT doc_id, regexp_matches(text, '(?i)token|license') AS hit, lang FROM documents) SELECT doc_id, lang FROM c WHERE hit OR lang = 'fr'""")
 def record_filter(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where(F.col("text").rlike("(?i)token|license") | (F.col("lang") == "fr")).select("doc_id", "lang")
+    from . import claims
+
+    result = claims.has_result(F.when(F.col("text").rlike("(?i)token|license"), F.col("text")), F.when(F.col("lang") == "fr", F.array("lang")))
+    return read(spark, sf_dir, "documents").where(result).select("doc_id", "lang")
 
 
 @query("""SELECT doc_id, regexp_extract_all(text, '[0-9]{4}') AS nums FROM (SELECT doc_id, text FROM documents) WHERE len(regexp_extract_all(text, '[0-9]{4}')) > 0""")
 def simple_claims(spark, sf_dir):
-    found = F.regexp_extract_all("text", F.lit("[0-9]{4}"), F.lit(0))
+    found = patents.simple_claims(F.col("text"), "([0-9]{4})")
     return read(spark, sf_dir, "documents").select("doc_id", found.alias("nums")).where(F.size("nums") > 0)
 
 
@@ -390,45 +413,251 @@ def tag_features(spark, sf_dir):
     return df.select("tags", *[F.try_element_at("f", F.lit(k)).alias(n) for k, n in (("Case", "case_value"), ("Gender", "gender"), ("VerbForm", "verb_form"))])
 
 
+# --- tokens: a conversation's turns stand for a segment's tokens -----------------------------------------------------------
+
+
+def _segments_of_turns(spark, sf_dir):
+    """(conv_id, tokens, labels, bio): turns in order as tokens, with features that their lengths give."""
+    n = F.length("text")
+    pick = lambda m, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (n % m + 1).cast("int"))
+    by_role = lambda user, assistant, other: F.when(F.col("role") == "user", user).when(F.col("role") == "assistant", assistant).otherwise(other)
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    turns = turns.withColumn("at", at)
+    grammar = F.create_map(
+        F.lit("Case"), pick(4, "Nom", "Acc", "Gen", "Loc"), F.lit("Number"), pick(2, "Sing", "Plur"), F.lit("Gender"), pick(3, "Masc", "Fem", "Neut"), F.lit("Aspect"), pick(2, "Perf", "Imp"), F.lit("Voice"), pick(5, "Pass", "Act", "Act", "Act", "Act")
+    )
+    token = F.struct(
+        F.col("at").cast("string").alias("id"), "text", by_role("вал", "содержать", "для").alias("lemma"), by_role("NOUN", "VERB", "ADP").alias("pos"), grammar.alias("grammar"), F.floor(F.col("at") / 2).cast("string").alias("parent"),
+        F.when(n % 6 == 0, "conj").otherwise("nmod").alias("deprel"), F.when(n % 7 == 0, "O").when(n % 11 == 0, "S").otherwise(F.floor(F.col("at") / 3).cast("string")).alias("mark"),
+    )
+    each = F.collect_list(F.struct("at", token.alias("t"), pick(3, "N-OBJ", "I-OBJ", "").alias("label"), by_role("B", "I", "O").alias("bio")))
+    packed = turns.groupBy("conv_id").agg(F.array_sort(each, lambda a, b: a["at"] - b["at"]).alias("s"))
+    return packed.select("conv_id", F.transform("s", lambda x: x["t"]).alias("tokens"), F.transform("s", lambda x: x["label"]).alias("labels"), F.transform("s", lambda x: x["bio"]).alias("bio"))
+
+
+_TURNS_SQL = """c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations), t AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS INTEGER) AS ix, length(text) AS n FROM c),
+k AS (SELECT conv_id, ix, text, n, CASE role WHEN 'user' THEN 'вал' WHEN 'assistant' THEN 'содержать' ELSE 'для' END AS lemma, CASE role WHEN 'user' THEN 'NOUN' WHEN 'assistant' THEN 'VERB' ELSE 'ADP' END AS pos,
+['Nom', 'Acc', 'Gen', 'Loc'][n % 4 + 1] AS case_, ['Sing', 'Plur'][n % 2 + 1] AS number, ['Masc', 'Fem', 'Neut'][n % 3 + 1] AS gender, n % 2 = 0 AND n % 5 = 0 AS passive, ix // 2 AS parent,
+CASE WHEN n % 6 = 0 THEN 'conj' ELSE 'nmod' END AS deprel, CASE WHEN n % 7 = 0 THEN 'O' WHEN n % 11 = 0 THEN 'S' ELSE CAST(ix // 3 AS VARCHAR) END AS mark, ['N-OBJ', 'I-OBJ', ''][n % 3 + 1] AS label, CASE role WHEN 'user' THEN 'B' WHEN 'assistant' THEN 'I' ELSE 'O' END AS bio FROM t)"""
+
+
+@query(f"""WITH {_TURNS_SQL} SELECT conv_id, bool_or(pos = 'VERB') AS has_verb, bool_or(lemma = 'для') AS has_for, bool_or(parent = 1 AND pos = 'NOUN') AS governs_noun,
+arg_min(CAST(ix AS VARCHAR), ix) FILTER (pos = 'NOUN') AS first_noun, arg_max(CAST(ix AS VARCHAR), ix) FILTER (pos = 'VERB') AS last_verb, arg_min(CAST(ix AS VARCHAR), ix) FILTER (pos = 'NOUN' AND case_ IN ('Nom', 'Acc')) AS direct_noun,
+arg_min(case_, ix) FILTER (ix > 1 AND pos = 'NOUN') AS bound_case, arg_min(lemma, ix) = 'для' AND NOT bool_or(pos = 'VERB' AND lemma = 'содержать') AS is_purpose, arg_min(mark, ix) = 'S' AND NOT starts_with(arg_min(text, ix), 'The ') AS after_separator FROM k GROUP BY conv_id""")
+def token_predicates(spark, sf_dir):
+    t = F.col("tokens")
+    noun, verb = (lambda x: x["pos"] == "NOUN"), (lambda x: x["pos"] == "VERB")
+    return _segments_of_turns(spark, sf_dir).select(
+        "conv_id", tokens.has_pos(t, "VERB").alias("has_verb"), tokens.has_lemma(t, "для").alias("has_for"), tokens.is_parent_of_pos(t, F.lit("1"), "NOUN").alias("governs_noun"), tokens.first_token(t, noun)["id"].alias("first_noun"),
+        tokens.last_token(t, verb)["id"].alias("last_verb"), tokens.first_in_case(t, ("NOUN",), ("Nom", "Acc")).alias("direct_noun"), tokens.bound_case(t, F.lit("1")).alias("bound_case"), tokens.is_purpose(t, ("содержать",)).alias("is_purpose"),
+        tokens.starts_with_separator(t, F.get(t, F.lit(0))["text"], ("The ",)).alias("after_separator"),
+    )
+
+
+@query(f"""WITH {_TURNS_SQL}, p AS (SELECT *, lead(case_) OVER (PARTITION BY conv_id ORDER BY ix) AS next_case FROM k)
+SELECT conv_id, CAST(ix AS VARCHAR) AS id, gender, number, case_ AS case_value, passive AS is_passive, coalesce((case_ IN ('Acc', 'Gen') AND next_case IN ('Acc', 'Gen')) OR (case_ IN ('Acc', 'Nom') AND next_case IN ('Acc', 'Nom')) OR (case_ IN ('Loc', 'Ins') AND next_case IN ('Loc', 'Ins')), false) AS fits_next FROM p""")
+def token_features(spark, sf_dir):
+    each = _segments_of_turns(spark, sf_dir).select("conv_id", "tokens", F.posexplode("tokens").alias("i", "t"))
+    following = F.get("tokens", F.col("i") + 1)
+    g = tokens.gnc(F.col("t"))
+    return each.select("conv_id", "t.id", g["gender"].alias("gender"), g["number"].alias("number"), g["case"].alias("case_value"), tokens.is_passive(F.col("t")).alias("is_passive"), tokens.fuzzy_same_case(g["case"], tokens.feature(following, "Case")).alias("fits_next"))
+
+
+@query(f"""WITH {_TURNS_SQL} SELECT conv_id, string_agg(text, ' ' ORDER BY ix) AS whole, coalesce(lower(string_agg(text, ' ' ORDER BY ix) FILTER (label IN ('N-OBJ', 'I-OBJ'))), '') AS labelled, string_agg(text || ' ' || ix, '  ' ORDER BY ix) AS numbered FROM k GROUP BY conv_id""")
+def token_texts(spark, sf_dir):
+    t = F.col("tokens")
+    return _segments_of_turns(spark, sf_dir).select("conv_id", tokens.joined_text(t).alias("whole"), tokens.joined_text(t, F.col("labels"), ("N-OBJ", "I-OBJ")).alias("labelled"), tokens.numbered_text(t).alias("numbered"))
+
+
+@query(f"""WITH {_TURNS_SQL}, p AS (SELECT *, lead(bio, 1, 'O') OVER (PARTITION BY conv_id ORDER BY ix) AS next_bio FROM k)
+SELECT conv_id, string_agg(CASE WHEN bio = 'B' THEN '[ ' ELSE '' END || pos || CASE WHEN bio <> 'O' AND next_bio <> 'I' THEN ' ]' ELSE '' END, ' ' ORDER BY ix) AS bracketed FROM p GROUP BY conv_id""")
+def bracketed_phrases(spark, sf_dir):
+    return _segments_of_turns(spark, sf_dir).select("conv_id", tokens.bracketed(F.transform("tokens", lambda t: t["pos"]), F.col("bio")).alias("bracketed"))
+
+
+@query(f"""WITH {_TURNS_SQL}, h AS (SELECT conv_id, list(ix - 1 ORDER BY ix) FILTER (label = 'N-OBJ') AS heads, list(label ORDER BY ix) AS labels, arg_max(mark, ix) AS mark FROM k GROUP BY conv_id),
+l AS (SELECT h.conv_id, count(*) AS last_size FROM h JOIN k ON k.conv_id = h.conv_id AND k.mark = h.mark WHERE regexp_full_match(h.mark, '[0-9]+') GROUP BY h.conv_id)
+SELECT h.conv_id, array_to_string(coalesce(heads, []), ',') AS heads, list_contains(labels, 'I-OBJ') AS has_inner, coalesce(list_min(heads) < 2 AND list_max(heads) > 2, false) AS third_is_between, CAST(coalesce(last_size, 0) AS INTEGER) AS last_size FROM h LEFT JOIN l USING (conv_id)""")
+def label_spans(spark, sf_dir):
+    heads = tokens.label_positions(F.col("labels"), ("N-OBJ",))
+    df = _segments_of_turns(spark, sf_dir).select("conv_id", "labels", "tokens", heads.alias("at"))
+    return df.select("conv_id", F.array_join(F.col("at").cast("array<string>"), ",").alias("heads"), tokens.has_label(F.col("labels"), ("I-OBJ",)).alias("has_inner"), tokens.between_heads(F.col("at"), F.lit(2)).alias("third_is_between"), F.size(tokens.last_phrase(F.col("tokens"))).alias("last_size"))
+
+
+@query(f"""WITH {_TURNS_SQL}, r AS (SELECT conv_id, list(ix) FILTER (label = 'N-OBJ') AS roots FROM k GROUP BY conv_id),
+d AS (SELECT k.*, CASE WHEN label = 'N-OBJ' AND deprel <> 'conj' AND list_contains(roots, parent) THEN '' ELSE label END AS demoted FROM k JOIN r USING (conv_id)),
+a AS (SELECT conv_id, bool_and(case_ IN ('Gen', 'Acc')) FILTER (ix > 1 AND pos <> 'ADP') AS fits, lower(string_agg(text, ' ' ORDER BY ix) FILTER (ix > 1)) AS rest FROM k GROUP BY conv_id)
+SELECT d.conv_id, string_agg(demoted, '|' ORDER BY ix) AS labels, max(CASE WHEN fits THEN rest END) AS tail FROM d JOIN a ON a.conv_id = d.conv_id GROUP BY d.conv_id""")
+def corrected_labels(spark, sf_dir):
+    df = _segments_of_turns(spark, sf_dir)
+    return df.select("conv_id", F.array_join(matching.demoted_roots(F.col("tokens"), F.col("labels"), "N-OBJ"), "|").alias("labels"), matching.genitive_tail(F.col("tokens"), F.lit(0)).alias("tail"))
+
+
+@query(f"""WITH {_TURNS_SQL}, a AS (SELECT conv_id, ix, text, pos, lemma, row_number() OVER (PARTITION BY conv_id, lower(text) ORDER BY ix) AS r FROM k),
+b AS (SELECT conv_id, text, CASE WHEN n % 3 = 0 THEN 'ADJ' END AS pos, CASE WHEN n % 2 = 0 THEN 'ось' END AS lemma, row_number() OVER (PARTITION BY conv_id, lower(text) ORDER BY ix DESC) AS r FROM k WHERE n % 5 <> 0)
+SELECT a.conv_id, CAST(a.ix AS VARCHAR) AS id, coalesce(b.pos, a.pos) AS pos, CASE WHEN b.pos IS NOT NULL THEN coalesce(b.lemma, a.lemma) ELSE a.lemma END AS lemma FROM a LEFT JOIN b ON b.conv_id = a.conv_id AND lower(b.text) = lower(a.text) AND b.r = a.r""")
+def words_of_two_analysers(spark, sf_dir):
+    n = lambda t: F.length(t["text"])
+    other = F.transform(F.reverse(F.filter("tokens", lambda t: n(t) % 5 != 0)), lambda t: F.struct(t["text"].alias("text"), F.when(n(t) % 2 == 0, "ось").alias("lemma"), F.when(n(t) % 3 == 0, "ADJ").alias("pos"), t["grammar"].alias("grammar")))
+    df = _segments_of_turns(spark, sf_dir).select("conv_id", "tokens", other.alias("other"))
+    return df.select("conv_id", F.explode(tokens.fixed_words(F.col("tokens"), F.col("other"))).alias("t")).select("conv_id", "t.id", "t.pos", "t.lemma")
+
+
+@query("""SELECT * FROM (VALUES ('N_V<P>_N', 'N_V_N'), ('V<P>_N', 'V_N'), ('V<F>_N', 'V_N'), ('N_который_V<F>_N', 'N_который_V_N'), ('PR_который_V<F>', 'N_который_V_N'), ('который_V<F>_N', 'который_V_N'), ('N_-_N', 'N_-_N'), ('A0', 'A0'),
+('SC_N_V<F>', 'SC'), ('V<C>_N', 'V<C>'), ('X', 'X'), ('V<P>_PR', 'V_N'), ('V<P>_PR_V<F>', 'V_N'), ('V<P>_N_V<F>', 'N_V_N'), ('V<P>_N_CC_V<P>', 'V_N'), ('N_A0', 'A0'), ('N_A0_V<F>', 'N_V'), ('A0_V<P>_N0', 'N_V_N'), ('AV_CC_AV', 'AV'), ('CC', 'X'), ('N_V<T>', 'N')) AS t(template, type)""")
+def segment_types(spark, sf_dir):
+    """Templates through the state machine; the last holds an input that no state knows."""
+    given = "N_V<P>_N V<P>_N V<F>_N N_который_V<F>_N PR_который_V<F> который_V<F>_N N_-_N A0 SC_N_V<F> V<C>_N X V<P>_PR V<P>_PR_V<F> V<P>_N_V<F> V<P>_N_CC_V<P> N_A0 N_A0_V<F> A0_V<P>_N0 AV_CC_AV CC N_V<T>".split()
+    return spark.createDataFrame([(x,) for x in given], "template string").select("template", classify.segment_type(F.col("template")).alias("type"))
+
+
+# --- relations --------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH s AS (SELECT user_id, event_id AS low, event_id + 500 AS high FROM events WHERE event_type = 'purchase') SELECT e.user_id, e.event_id, s.low FROM events e JOIN s ON s.user_id = e.user_id AND e.event_id >= s.low AND e.event_id < s.high""")
+def points_in_intervals(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    spans = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("low"), (F.col("event_id") + 500).alias("high"))
+    return intervals.within(e.drop("event_type"), spans, ["user_id"], "event_id", "low", "high", 500).select("user_id", "event_id", "low")
+
+
+@query("""SELECT user_id FROM events WHERE event_type = 'purchase' UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'""")
+def set_union(spark, sf_dir):
+    buyers = read(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id")
+    return intervals.set_union(buyers, read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN year(o_orderdate) END AS year, CASE WHEN o_orderkey % 3 > 0 THEN month(o_orderdate) END AS month, CASE WHEN o_orderkey % 3 > 0 THEN day(o_orderdate) END AS day FROM orders""")
+def publication_dates(spark, sf_dir):
+    text = F.when(F.col("o_orderkey") % 3 > 0, F.date_format("o_orderdate", "yyyyMMdd")).otherwise("no date")
+    day = read(spark, sf_dir, "orders").select("o_orderkey", intervals.published(text).alias("d"))
+    return day.select("o_orderkey", F.year("d").cast("long").alias("year"), F.month("d").cast("long").alias("month"), F.day("d").cast("long").alias("day"))
+
+
+@query("""SELECT doc_id, text FROM documents""")
+def set_aside_round_trip(spark, sf_dir):
+    """Numbers and formulas set aside and put back: the text as it was."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", segments.with_surrogates(F.col("text")).alias("s"))
+    return docs.select("doc_id", segments.restore(F.col("s.text"), F.col("s.originals")).alias("text"))
+
+
+@query("""SELECT doc_id, regexp_replace(regexp_replace(text, '\\([0-9]+\\)', '', 'g'), '\\s*([,.;:!?()])\\s*', ' \\1 ', 'g') AS spaced, regexp_replace(regexp_replace(text, '([0-9]+) (/)', '\\1\\2', 'g'), '([а-я]+)/([а-я]+)', '\\1 / \\2', 'g') AS slashes,
+replace(replace(text, ', и,', ', и'), 'а именно,', 'а именно') AS conjunctions, regexp_replace(text, '([а-я])'' ', '\\1 ', 'g') AS quotes FROM documents""")
+def clean_marks(spark, sf_dir):
+    t = F.col("text")
+    return read(spark, sf_dir, "documents").select("doc_id", clean.space_punctuation(clean.clear_reference_brackets(t)).alias("spaced"), clean.correct_slashes(t).alias("slashes"), clean.merge_conjunctions(t).alias("conjunctions"), clean.clear_quotes(t).alias("quotes"))
+
+
+@query("""SELECT p_partkey, 'patents_20200115120000_' || (p_partkey % 500) || '.owl' AS name FROM part""")
+def owl_file_names(spark, sf_dir):
+    started = F.to_timestamp(F.lit("2020-01-15 12:00:00"))
+    return read(spark, sf_dir, "part").select("p_partkey", rdf.file_name(started, F.col("p_partkey") % 500).alias("name"))
+
+
+@query("""SELECT * FROM (VALUES (0, 0, '1', 'Вал', 'вал', 'NOUN', 'Nom', '2'), (0, 1, '2', 'вращается', 'вращаться', 'VERB', NULL, '0'), (1, 0, '1', 'Насос', 'насос', 'NOUN', 'Nom', '0')) AS t(sent_id, pos_idx, id, text, lemma, pos, case_value, parent)""")
+def conllu_tokens(spark, sf_dir):
+    text = "# text = Вал вращается\n1\tВал\tвал\tNOUN\t_\tCase=Nom|Number=Sing\t2\tnsubj\t_\t_\n1.1\tx\tx\tX\t_\t_\t0\tdep\t_\t_\n2\tвращается\tвращаться\tVERB\t_\t_\t0\troot\t_\t_\n\n1\tНасос\tнасос\tNOUN\t_\tCase=Nom\t0\troot\t_\t_\n"
+    rows = conllu.read_conllu(spark.createDataFrame([("a", text)], "path string, value string"))
+    return rows.select("sent_id", "pos_idx", "id", "text", "lemma", "pos", F.try_element_at("grammar", F.lit("Case")).alias("case_value"), "parent")
+
+
+@query("""WITH r AS (SELECT DISTINCT n_regionkey FROM nation), d AS (SELECT 'r' || n_regionkey AS code FROM r), n AS (SELECT 'r' || n_regionkey AS code, 'n' || n_nationkey AS key, n_name AS term, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k FROM nation),
+i AS (SELECT *, code || '_com_' || k AS iri FROM n)
+SELECT code, code || '_dev_0' AS s, 'rdf:type' AS p, 'Device' AS o, 'iri' AS o_kind FROM d UNION ALL SELECT code, code || '_dev_0', 'concept_name', 'name of ' || code, 'literal' FROM d UNION ALL SELECT code, code || '_dev_0', 'doc_name', 'Name of ' || code, 'literal' FROM d
+UNION ALL SELECT code, code || '_dev_0', 'doc_num', code, 'literal' FROM d UNION ALL SELECT code, code || '_ipc_0', 'rdf:type', 'IPC', 'iri' FROM d UNION ALL SELECT code, code || '_dev_0', 'has_ipc', code || '_ipc_0', 'iri' FROM d UNION ALL SELECT code, code || '_ipc_0', 'ipc_code', 'F16K1/00', 'literal' FROM d
+UNION ALL SELECT code, code || '_pbl_1', 'rdf:type', 'Problem', 'iri' FROM d UNION ALL SELECT code, code || '_pbl_1', 'problem_name', 'увеличение срока', 'literal' FROM d UNION ALL SELECT code, code || '_dev_0', 'solution_for', code || '_pbl_1', 'iri' FROM d
+UNION ALL SELECT code, iri, 'rdf:type', 'Component', 'iri' FROM i UNION ALL SELECT code, iri, 'concept_name', term, 'literal' FROM i UNION ALL SELECT code, iri, 'part_of', code || '_dev_0', 'iri' FROM i UNION ALL SELECT code, code || '_dev_0', 'contains', iri, 'iri' FROM i""")
+def rdf_of_tables(spark, sf_dir):
+    """Regions as inventions, nations as their parts, through the ontology emitter."""
+    n = read(spark, sf_dir, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("code"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("key"), F.col("n_name").alias("term"), F.col("n_nationkey").alias("ord"))
+    facts = F.array(F.struct(F.lit("увеличение").alias("action"), F.lit("срока").alias("object"), F.lit(None).cast("string").alias("condit")))
+    records = n.select("code").distinct().select("code", F.concat(F.lit("Name of "), "code").alias("name"), F.lit(None).cast("string").alias("org"), F.array(F.lit("F16K1/00")).alias("ipc"), facts.alias("facts"))
+    edges = n.select("code", F.lit(graph.ROOT).alias("sbj_key"), F.col("key").alias("obj_key"), F.lit("comp").alias("type"))
+    return rdf.emit(records, n, edges)
+
+
+@query("""WITH e(id, a, b) AS (VALUES (1, 'a', 'b'), (1, 'b', 'c'), (1, 'c', 'a'), (1, 'c', 'd'), (2, 'x', 'x')) SELECT 'g' || id AS code, ancestor, descendant, CAST(depth AS INTEGER) AS depth FROM (VALUES (1, 'a', 'b', 1), (1, 'b', 'c', 1), (1, 'c', 'a', 1), (1, 'c', 'd', 1), (1, 'a', 'c', 2), (1, 'b', 'a', 2), (1, 'b', 'd', 2), (1, 'c', 'b', 2),
+(1, 'a', 'a', 3), (1, 'a', 'd', 3), (1, 'b', 'b', 3), (1, 'c', 'c', 3), (2, 'x', 'x', 1)) AS t(id, ancestor, descendant, depth)""")
+def closure_of_cycles(spark, sf_dir):
+    rows = [("g1", "a", "b"), ("g1", "b", "c"), ("g1", "c", "a"), ("g1", "c", "d"), ("g2", "x", "x")]
+    return graph.closure(spark.createDataFrame(rows, "code string, sbj_key string, obj_key string").withColumn("type", F.lit("comp")))
+
+
+@query("""SELECT * FROM (VALUES ('d', '1.1', '1.2'), ('d', '2.1', '1.2'), ('d', '2.2', '2.3')) AS t(code, key, "into")""")
+def merge_similar_in_order(spark, sf_dir):
+    """'ток' stands in two other terms until 'генератор тока' is merged, and then follows it to where that went."""
+    terms = [("d", "0.0", "насос", 0), ("d", "1.1", "генератор тока", 1), ("d", "1.2", "генератор тока сети", 2), ("d", "2.1", "генератор", 3), ("d", "2.2", "вал", 4), ("d", "2.3", "вал насоса малый", 5), ("d", "2.4", "ось", 6)]
+    t = spark.createDataFrame(terms, "code string, key string, term string, ord int")
+    loose = t.where(F.col("key").isin("1.1", "2.1", "2.2", "2.4"))
+    return graph.similar_in_order(loose, t)
+
+
 def _sample_files(spark):
     from .samples import PATENTS
 
     return spark.createDataFrame(PATENTS, "path string, value string")
 
 
+def _sample_claims(spark):
+    """The sample claims as patents, through the fold."""
+    from . import claims
+    from .samples import CLAIMS
+
+    files = spark.createDataFrame(CLAIMS, "path string, main_claim string").select("path", F.col("path").alias("code"), "main_claim", F.lit(None).cast("string").alias("error"))
+    empty = F.array().cast("array<string>")
+    return claims.folded(files.select("*", F.lit("").alias("name"), F.lit(None).cast("string").alias("org"), empty.alias("ipc"), empty.alias("abstract"), empty.alias("description")))
+
+
+@query(expected.CLAIM_LINKS)
+def claim_links(spark, sf_dir):
+    """Segments, types, templates and links of the sample claims."""
+    s = _sample_claims(spark).select("code", F.inline("segments"))
+    return s.select("code", "id", "part", "text", "type", "template", F.col("link.type").alias("link"), "link.parent", "link.point", "link.child")
+
+
+@query(expected.CLAIM_EDGES_BY_NAME)
+def claim_edges_by_name(spark, sf_dir):
+    """Edges of the sample claims' graphs, with the names of their ends and verbs."""
+    g = _sample_claims(spark).select("code", "graph")
+    term = lambda key: F.get(F.filter("graph.terms", lambda t: t["key"] == key), F.lit(0))["term"]
+    verb = F.get(F.filter("graph.verbs", lambda v: v["key"] == F.col("e.verb_key")), F.lit(0))["text"]
+    return g.select("code", "graph", F.explode("graph.edges").alias("e")).select("code", term(F.col("e.sbj_key")).alias("sbj"), verb.alias("verb"), "e.type", term(F.col("e.obj_key")).alias("obj"))
+
+
 def _records(spark):
     from . import claims
 
     return claims.records(patents.read_patents(_sample_files(spark)))
 
 
-@query(None)
+@query(expected.READ_PATENT_XML)
 def read_patent_xml(spark, sf_dir):
     """Small patents through the XML source: fields, codes and errors (the driver's tables hold no XML patents)."""
     return patents.read_patents(_sample_files(spark))
 
 
-@query(None)
+@query(expected.CLAIM_RECORDS)
 def claim_records(spark, sf_dir):
     """The same through annotation, linking, extraction, folding and the fact grammar."""
     return _records(spark).select("code", "name", "org", "ipc", F.size("segments").alias("n_segments"), F.size("graph.terms").alias("n_terms"), F.size("facts").alias("n_facts"))
 
 
-@query(None)
+@query(expected.CLAIM_GRAPH_EDGES)
 def claim_graph_edges(spark, sf_dir):
     from . import claims
 
     return claims.tables(_records(spark))["edges"]
 
 
-@query(None)
+@query(expected.CLAIM_FACTS)
 def claim_facts(spark, sf_dir):
     from . import claims
 
     return claims.tables(_records(spark))["facts"]
 
 
-@query(None)
+@query(expected.CLAIM_RDF)
 def claim_rdf(spark, sf_dir):
     from . import claims
 
@@ -437,13 +666,13 @@ def claim_rdf(spark, sf_dir):
     return rdf.emit(found.select("code", "name", "org", "ipc", "facts"), t["terms"], t["edges"], t["refs"])
 
 
-@query(None)
+@query(expected.SEGMENT_DOT)
 def segment_dot(spark, sf_dir):
     rows = _records(spark).select("code", F.inline("segments")).select("code", F.col("id").alias("seg_id"), "type", "text", "link.parent")
     return matching.segment_dot(rows)
 
 
-@query(None)
+@query(expected.GRAPH_DOT)
 def graph_dot(spark, sf_dir):
     from . import claims
 

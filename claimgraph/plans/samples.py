@@ -25,3 +25,11 @@ PATENTS = [
     ("d.xml", "<other-document><a/></other-document>"),
     ("e.xml", patent("01000005", CLAIM_1)[:-30]),
 ]
+#: Invented claims with the constructions that links and triplets are made for.
+CLAIMS = [
+    ("probe", "1. Зонд, содержащий корпус, в котором размещены датчик и антенна, а также кабель диаметром 0,5 мм, соединенный с датчиком."),
+    ("gear", "1. Редуктор, включающий в себя корпус, крышку, вал, причем вал соединен с валом двигателя через муфту, отличающийся тем, что крышка закреплена на корпусе, вал - на штоке, для повышения надежности."),
+    ("filter", "1. Фильтр, состоящий из корпуса и ротора с колесом, предназначенного для очистки воды, корпус, имеющий отверстия, снабжен крышкой."),
+    ("device", "1. Прибор, содержащий блок, вход которого соединен с выходом датчика, а выход блока подключен к индикатору, он снабжен экраном."),
+    ("case", "1. Изделие, содержащее корпус, выполненный в виде цилиндра, в котором размещены плата, блоки питания, характеризующееся тем, что блок подключен к насосу."),
+]

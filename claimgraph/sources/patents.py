@@ -76,14 +76,14 @@ def read_patents(files: DataFrame) -> DataFrame:
     return df.withColumn("error", F.coalesce("__error", F.when(F.col("code").isNull(), "no code"))).drop("__error")
 
 
-def simple_claims(value: Column) -> Column:
+def simple_claims(value: Column, pattern: str = r"<claim-text>(.*)</claim-text>") -> Column:
     """Everything between claim-text tags, by pattern alone."""
-    return F.regexp_extract_all(value, F.lit(r"<claim-text>(.*)</claim-text>"), F.lit(1))
+    return F.regexp_extract_all(value, F.lit(pattern), F.lit(1))
 
 
-def is_device_claim(claim: Column) -> Column:
+def is_device_claim(claim: Column, method: str = "Способ", colon: str = ":") -> Column:
     """Method claims, and claims with a colon past the first character, are left out."""
-    return ~F.contains(claim, F.lit("Способ")) & F.instr(claim, ":").isin(0, 1)
+    return ~F.contains(claim, F.lit(method)) & F.instr(claim, colon).isin(0, 1)
 
 
 CANDIDATE = r"(?iu)техническ[а-я]+ результа[а-я:]+"
