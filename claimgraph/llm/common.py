@@ -16,13 +16,30 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 LOWER_TABLE = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where that is unset (local tests) a folder of our own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Where it is unset, in local mode alone, one of our own: a machine's own folder is of no
+    use to the others of a cluster, so there it is an error."""
+    conf = spark.sparkContext.getConf()
+    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="claimgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/claimgraph-scratch"
+    return found.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """Where this application's tables between steps are; see drop_scratch()."""
+    return f"{shared_dir(spark)}/claimgraph-scratch/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete this application's tables between steps. Frames that read them cannot be computed any more, so call it when all results
+    are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -330,7 +330,10 @@ def _heaviest(pairs: list[tuple[int, int, int]]) -> tuple[int, list[tuple[int, i
 
 def align(template: Template, other, grow: bool) -> list[tuple[Template, object]]:
     """Pairs of template nodes and the nodes of other (a Slot or Template tree) that match them; with grow, what has no
-    match is inserted where it stands. Sizes and shapes of both must be up to date."""
+    match is inserted where it stands."""
+    for x in (template, other):
+        if isinstance(x, Template):
+            x.measure()
     memo, out, stack = {}, [], [(template, other)]
     while stack:
         t, o = stack.pop()

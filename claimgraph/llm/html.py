@@ -126,7 +126,6 @@ class Wrapper:
 
     def __init__(self, top: Template):
         self.top, self.plans = top, {}
-        top.measure()
         self.known = top.n >= LEAST_PAGES and len(top.texts) >= Template.DISTINCT
         self.template: set[int] = set()
         self.place: Template | None = None
@@ -215,7 +214,6 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wrapper, plans = held[host]
             slots = page.walk()
             if page.shape not in plans:
-                wrapper.measure()
                 index = {id(s): k for k, s in enumerate(slots)}
                 plan = [(t, index[id(s)]) for t, s in align(wrapper, page, True)]
                 if wrapper.measure() > ROOM or len(plans) >= SHAPES_HELD:
@@ -244,8 +242,6 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield done()
                 key, merged = (host, salt), other
             else:
-                merged.measure()
-                other.measure()
                 _seen(merged, align(merged, other, True))
                 merged.prune(ROOM)
     if key is not None:

@@ -65,6 +65,10 @@ class Lattice:
         found.make_automaton()
         return found
 
+    @cached_property
+    def bytes(self) -> list[float]:
+        return [self.logs[f"<0x{b:02X}>"] for b in range(256)]
+
     @cached_property
     def spelt(self) -> dict[str, tuple[int, float, None]]:
         """Characters that are no piece, which bytes spell; filled as they are met."""
@@ -88,7 +92,7 @@ class Lattice:
         for k, c in enumerate(s[low:high]):
             if c not in logs:
                 if c not in spelt:
-                    spelt[c] = (1, sum([logs[f"<0x{b:02X}>"] for b in c.encode("utf-8", "surrogatepass")]), None)
+                    spelt[c] = (1, sum([self.bytes[b] for b in c.encode("utf-8", "surrogatepass")]), None)
                 into[k].append(spelt[c])
         return into
 

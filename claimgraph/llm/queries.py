@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_file(name: str) -> str:
+    """Looked up when a query runs, so that the others do without the vocabulary files."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per turn; the rendered parts of a conversation follow each other by turn (place, an internal number, is left out)."""
+    """A row per turn; the rendered parts of a conversation follow each other by place."""
     fixed = chat.repair(table(spark, sf_dir, "conversations"))
-    return fixed.select("conv_id", "turn", "role", "new_role", "action", "inserted", "rendered")
+    return fixed.select("conv_id", "turn", "place", "role", "new_role", "action", "inserted", "rendered")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,12 +52,12 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tokens.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
+    return tokens.count_tokens(docs, vocabulary_file("word_bpe_49k.json"), keep=["doc_id"])
 
 
 def op7_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm.score(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return lm.score(docs, vocabulary_file("piece_bpe_32k.model"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,6 +216,33 @@ def test_splitting_tree_is_hypergeometric(spark):
     assert 28 < np.mean(firsts) < 32 and 1.2 < np.std(firsts) < 4  # mean 30, deviation 2.46
 
 
+def test_blocks_are_permuted(spark):
+    for n in (1, 2, 3, 31, 32, 33, 1000, 4097):
+        got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(7), F.lit(1))).collect()]
+        assert sorted(got) == list(range(n))
+        assert n < 31 or sum((b - a) % n in (1, n - 1) for a, b in zip(got, got[1:], strict=False)) < n / 3
+
+
+def test_the_tree_deals_the_shards(spark):
+    rows = [(i, prose(rng.randint(20, 400)), "abc"[i % 3]) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by_seed = {}
+    for seed in (0, 1):
+        got = mixing.mix(df, block_words=32, seed=seed).withColumn("shards", mixing.shards_of(F.col("pieces"))).collect()
+        taken, shards, blocks = Counter(), Counter(), set()
+        for r in got:
+            taken[r.source] += r.taken
+            assert sum(s.words for s in r.shards) == r.taken == sum(p.n_words for p in r.pieces)
+            for s in r.shards:
+                shards[s.shard] += s.words
+            for p in r.pieces:
+                blocks.add((r.source, p.shard, p.place))
+        places = Counter((s, place) for s, _, place in blocks)
+        assert max(places.values()) == 1 and len(shards) == 8 and max(shards.values()) < 1.3 * min(shards.values())  # a block is in one shard, shards are alike
+        by_seed[seed] = (taken, {r.id: tuple((s.shard, s.words) for s in r.shards) for r in got})
+    assert by_seed[0][0] == by_seed[1][0] and by_seed[0][1] != by_seed[1][1]
+
+
 # --- 4 quality ---------------------------------------------------------------------------------------------------------
 
 
@@ -249,6 +276,42 @@ def test_estimate_is_near_a_plain_one(spark):
     assert abs(np.median(d2) - quality.chi2_quantile(0.5, quality.P)) < 1
 
 
+def plain_mcd(x, share, steps=60, starts=40):
+    """Least determinant over random starts, each concentrated until it settles."""
+    n, p = x.shape
+    h, g, best = int(share * n), np.random.default_rng(1), None
+    for _ in range(starts):
+        rows = g.choice(n, p + 1, replace=False)
+        before = None
+        for _ in range(steps):
+            mean, cov = x[rows].mean(0), np.cov(x[rows].T, bias=True) + np.eye(p) * 1e-9
+            d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            rows = np.argsort(d2)[:h]
+            if before is not None and set(rows) == before:
+                break
+            before = set(rows)
+        det = np.linalg.slogdet(np.cov(x[rows].T, bias=True))[1]
+        if best is None or det < best[0]:
+            best = (det, x[rows].mean(0), np.cov(x[rows].T, bias=True))
+    return best
+
+
+def test_estimate_is_that_of_least_determinant(spark):
+    g = np.random.default_rng(8)
+    mix = np.linalg.qr(g.normal(size=(quality.P, quality.P)))[0] @ np.diag(np.linspace(0.4, 1.5, quality.P))
+    x = g.normal(size=(1500, quality.P)) @ mix.T + 2
+    x[:300] = g.normal(size=(300, quality.P)) * 0.4 + np.linspace(6, 9, quality.P)
+    rows = neardup.written(spark.createDataFrame([("g", *map(float, v)) for v in x], "group string, " + ", ".join(f"{n} double" for n, _ in quality.FEATURES)), "test")
+    found = quality.fitted(rows).first()
+    _, mean, cov = plain_mcd(x, quality.SUBSET)
+    cov = cov * quality._consistency(quality.SUBSET)
+    w = np.array([[found[f"w_{i}_{j}"] if j <= i else 0 for j in range(quality.P)] for i in range(quality.P)])
+    ours = (((x - [found[f"mean_{i}"] for i in range(quality.P)]) @ w.T) ** 2).sum(1)
+    plain = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    cut = quality.chi2_quantile(1 - quality.TAIL, quality.P)
+    assert (ours[:300] > cut).all() and ((ours > cut) != (plain > cut)).mean() < 0.01
+
+
 # --- 5 licences --------------------------------------------------------------------------------------------------------
 
 
@@ -273,6 +336,26 @@ def test_every_template_is_nearest_to_itself(spark):
     assert all(got[str(i)].license == name and got[str(i)].score > 0.999 for i, (name, _) in enumerate(licenses.TEMPLATES))
 
 
+def test_cosines_are_plain_ones(spark):
+    rows = [(str(i), t) for i, t in enumerate(["Released under the MIT License, see LICENSE.", "Licensed under the Apache License", "public domain work, the author has waived all rights", "copyright of nobody in particular", "GNU General Public License version 2 license license"])]
+    got = {r.key: (r.license, r.score) for r in licenses.similar(spark.createDataFrame(rows, "key string, statement string"), least=0.0).collect()}
+    cut = lambda t: Counter(re.findall(r"[a-z]+|[0-9]+(?:\.[0-9]+)?", t.lower()))
+    texts = [cut(t) for _, t in rows] + [cut(t) for _, t in licenses.TEMPLATES]
+    df = Counter(w for t in texts for w in t)
+
+    def vector(t):
+        v = {w: (1 + math.log(c)) * (math.log((1 + len(texts)) / (1 + df[w])) + 1) for w, c in t.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    known = [(name, vector(cut(t))) for name, t in licenses.TEMPLATES]
+    for key, t in rows:
+        v = vector(cut(t))
+        scores = [(round(sum(x * k.get(w, 0) for w, x in v.items()), 9), name) for name, k in known]
+        best = max(s for s, _ in scores)
+        assert math.isclose(got[key][1], best, abs_tol=1e-8) and got[key][0] == min(n for s, n in scores if abs(s - best) < 1e-8)
+
+
 # --- 6 token counts ----------------------------------------------------------------------------------------------------
 
 
@@ -304,6 +387,14 @@ def test_cache_is_used_and_appended(spark, tmp_path, monkeypatch):
     assert [r.n_tokens for r in got] == [77, 3] and spark.read.parquet(cache + "2").count() == 3
 
 
+def test_words_forgotten_are_counted_again(corpus, monkeypatch):
+    monkeypatch.setattr(tokens, "WORD_MEMORY", 40)
+    counter = tokens.WordCounter(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [t or "" for t in corpus] * 2
+    got = [n for k in range(0, len(texts), 3) for n in counter.count(texts[k : k + 3])]
+    assert got == counter.encode(texts) and counter.by_word
+
+
 # --- 7 language model --------------------------------------------------------------------------------------------------
 
 
@@ -340,6 +431,31 @@ def test_base_scores(spark, corpus, hot):
         assert got[i].score < 0
 
 
+def test_scores_are_sums_over_words(spark, corpus):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    got = {r.doc_id: r for r in lm.score(docs_df(spark, corpus), path, hot=7).collect()}
+    cut = {i: (t or "").translate(LOWER).encode().split() for i, t in enumerate(corpus)}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in cut}
+    count = Counter(w for i in cut if not held[i] for w in cut[i])
+    words = neardup.written(spark.createDataFrame([(bytearray(w), c) for w, c in count.items()], "word binary, c long"), "test")
+    lattice, end = lm.fit(words, sum(not h for h in held.values()), path)
+    for i, ws in cut.items():
+        assert math.isclose(got[i].score, sum(lattice.score("▁" + w.decode()) for w in ws) / math.log(10) + end, rel_tol=1e-6)
+
+
+def test_long_words_in_windows(monkeypatch):
+    weights = {p: rng.random() + 0.1 for p in ["▁", "a", "b", "ab", "aba", "bb", "▁ab"]} | {f"<0x{b:02X}>": 0.1 for b in range(256)}
+    word_ = "▁" + "".join(rng.choice("abé") for _ in range(60))
+    found = []
+    for window in (4096, 7, 1):
+        monkeypatch.setattr(lm.Lattice, "WINDOW", window)
+        lattice, uses = lm.Lattice(weights), {}
+        lattice.expect(word_, 3.0, uses)
+        found.append((lattice.score(word_), uses))
+    for score, uses in found[1:]:
+        assert math.isclose(score, found[0][0], rel_tol=1e-9) and all(math.isclose(uses[p], u, rel_tol=1e-9) for p, u in found[0][1].items())
+
+
 # --- 8 personal data ---------------------------------------------------------------------------------------------------
 
 
@@ -372,6 +488,35 @@ def test_checksums_context_and_redaction(spark):
     assert out[3].text == "write [EMAIL] or [PHONE]!" and out[3].n_chars == len(out[3].text) and out[2].text == texts[2]
 
 
+def mod97(s):
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def test_added_spans_are_those_of_plain_patterns(spark):
+    near = lambda t, a, z, words: re.search(rf"(?:^|[^a-z])(?:{words})", (t[max(0, a - 40) : a] + " " + t[z : z + 20]).translate(LOWER))
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33", "FR1420041010050500013M02606"]
+    secrets = ["a1" * 14, "A" * 30, "0" * 30, "x9_-" * 8, "ab12" * 70]
+    texts = [prose(rng.randint(0, 12)) + rng.choice([" token = ", " iban ", " ssn ", " my key: ", " "]) + rng.choice([*ibans, *secrets, "123-45-6789", "123-45-67890"]) + rng.choice([" ", ".", "x", ""]) + prose(rng.randint(0, 9)) for _ in range(250)]
+    for r in pii.find(docs_df(spark, texts)).collect():
+        t, found = r.text, []
+        for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", t):
+            s = m.group().replace(" ", "")
+            if 15 <= len(s) <= 34 and mod97(s):
+                found.append(("iban", *m.span()))
+        found += [("ssn", *m.span()) for m in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", t) if near(t, *m.span(), "ssn|social security|taxpayer")]
+        found += [("secret", *m.span()) for m in re.finditer(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,256}(?![A-Za-z0-9_-])", t) if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group()) and near(t, *m.span(), "token|secret|api|key|password|passwd|credential|bearer")]
+        assert [(x.kind, x.start, x.end) for x in r.found if x.kind not in pii.BASE] == found
+
+
+def test_a_text_with_very_many_matches(spark):
+    parts = [rng.choice(["4111111111111111", "1.2.3.4", "12", "word", "a@b.co", "+1 (212) 555 0100", "漢"]) for _ in range(60000)]
+    r = pii.find(docs_df(spark, ["\n".join(parts)])).first()
+    c = Counter(parts)
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (c["a@b.co"], c["1.2.3.4"], c["4111111111111111"], c["+1 (212) 555 0100"])
+    marks = {"4111111111111111": "[CARD]", "1.2.3.4": "[IP]", "a@b.co": "[EMAIL]", "+1 (212) 555 0100": "[PHONE]"}
+    assert pii.redact(docs_df(spark, ["\n".join(parts)])).first().text == "\n".join(marks.get(x, x) for x in parts)
+
+
 # --- 9 html ------------------------------------------------------------------------------------------------------------
 
 
@@ -395,13 +540,13 @@ def test_wrapper_drops_what_is_constant_and_keeps_copies(spark):
 
 def test_deep_nesting_keeps_its_text():
     root = dom.parse("<article>" + "<div>a" * 5000 + "</div>" * 5000 + "<p>end</article>")
-    assert html.extract(root, html.template_nodes(root, None, {})).split("\n") == ["a"] * 5000 + ["end"]
-    dom.Slot("#root", [root]).signature()
+    assert html.extract(root, None).split("\n") == ["a"] * 5000 + ["end"]
+    assert len(dom.Slot("#root", [root]).walk()) == 5003
 
 
 def test_deep_nesting_closes_nothing_else():
     root = dom.parse("<div class=page><article><p>A</p>" + "<div>" * 250 + "<nav><div>menu</div></nav>b" + "</div>" * 250 + "<p>end</p></article></div>")
-    assert html.extract(root, html.template_nodes(root, None, {})) == "A\nb\nend"
+    assert html.extract(root, None) == "A\nb\nend"
 
 
 def test_simple_tree_matching():
@@ -409,12 +554,63 @@ def test_simple_tree_matching():
     size, _ = dom.match(a, b, {})
     assert size == 5  # root, div, p, ul, li
     t = dom.Template.unpack(json.loads(json.dumps(dom.Template("#root").pack())))
-    room = [100]
-    dom.align(t, a, True, room)
-    dom.align(t, b, True, room)
+    dom.align(t, a, True)
+    dom.align(t, b, True)
     assert [c.label for c in t.children[0].children] == ["h1", "p", "table", "ul"]
 
 
+def plain_matching(a, b):
+    """Simple tree matching, as it is written down: the size of the largest top-down matching that keeps order."""
+    m, n = len(a.children), len(b.children)
+    best = [[0] * (n + 1) for _ in range(m + 1)]
+    for i in range(1, m + 1):
+        for j in range(1, n + 1):
+            x, y = a.children[i - 1], b.children[j - 1]
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + (plain_matching(x, y) if x.label == y.label else 0))
+    return best[m][n] + 1
+
+
+def test_matching_is_that_of_the_plain_recursion():
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1) if depth else ''}</{t}>" for t in rng.choices(["div", "section", "ul", "p"], k=rng.randint(0, 5)))
+
+    for _ in range(150):
+        a, b = (dom.Slot("#root", [dom.parse(tree(2))]) for _ in range(2))
+        size, pairs = dom.match(a, b, {})
+        assert size == plain_matching(a, b)
+        assert all(x < y and v < w for (x, v), (y, w) in zip(pairs, pairs[1:], strict=False))
+
+
+def test_wrapper_finds_the_content_where_no_element_says_it(spark):
+    page = lambda i: f"<html><body><div><a href=/>{word()}</a> <a href=/a>{word()}</a></div><div>Ad {i}</div><div><h2>{word()}</h2><p>{prose(30)}</p><p>{prose(9)}</p></div><div>All rights reserved</div></body></html>"
+    rows = [(i, f"http://w.x/{i}", page(i)) for i in range(9)]
+    got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()}
+    for i, _, h in rows:
+        assert got[i] == "\n".join(re.findall(r"<(?:h2|p)>([^<]*)</", h))
+        assert html.by_elements(dom.parse(h), set()) != got[i]
+
+
+def test_constant_text_of_an_article_stays():
+    pages = [f"<body><nav>Menu</nav><article><h2>Summary</h2><p>{prose(9)}</p><p class='share-price ad-hoc'>Price</p><div class='share-buttons'>Tweet</div></article></body>" for _ in range(6)]
+    wrapper = dom.Template("#root")
+    for p in pages:
+        slot = dom.Slot("#root", [dom.parse(p)], html.says_no)
+        html._seen(wrapper, dom.align(wrapper, slot, True))
+    for p in pages:
+        assert html.extract(dom.parse(p), html.Wrapper(wrapper)) == "Summary\n" + re.search(r"<p>([^<]*)", p)[1] + "\nPrice"
+
+
+def test_a_full_wrapper_keeps_what_is_on_most_pages():
+    wrapper = dom.Template("#root")
+    for k in range(40):
+        odd = "".join(f"<div class={'x' * rng.randint(1, 30)}{'y' * rng.randint(0, 30)}>a</div>" for _ in range(8))
+        slot = dom.Slot("#root", [dom.parse(f"<body><div class=top>T</div>{odd}<div class=end>E</div></body>")])
+        html._seen(wrapper, dom.align(wrapper, slot, True))
+        wrapper.prune(60)
+    body = wrapper.children[0]
+    assert wrapper.measure() <= 60 and {c.label: c.n for c in body.children if c.label in ("div.top", "div.end")} == {"div.top": 40, "div.end": 40}
+
+
 # --- 10 near duplicates ------------------------------------------------------------------------------------------------
 
 
@@ -507,3 +703,49 @@ def test_pipeline_stages_take_effect(spark):
             assert docs.columns == columns, name
     assert docs.where("taken < 1 or taken > 3 * size").count() == 0
     assert pii.find(docs.select("doc_id", "text")).where("n_email + n_ip + n_card + n_phone > 0").count() == 0
+
+
+def test_pipeline_stages_are_those_of_brute_force(spark):
+    import corpus_pipeline
+
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    kept = neardup.written(stages[0](spark, docs, FOLDER), "test")
+    verdict = {r.doc_id for r in quality.assess(docs).where("kept").collect()}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.collect() if r.doc_id in verdict)
+
+    texts = {r.doc_id: r.text for r in kept.collect()}
+    sets = {}
+    for i, t in texts.items():
+        w = spaced(t.translate(LOWER))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    one = neardup.written(stages[1](spark, kept, FOLDER), "test")
+    assert {r.doc_id for r in one.collect()} == {i for i, c in components_of(sets).items() if i == c}
+
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))
+    windows = {tuple(w[k : k + 13]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect() for w in [cut(r.text)] for k in range(max(1, len(w) - 12) if w else 0)}
+    clean = neardup.written(stages[2](spark, one, FOLDER), "test")
+    left = set()
+    for r in one.collect():
+        w, hit = cut(r.text), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit.update(range(k, k + n))
+        if not (hit and 20 * len(hit) >= len(w)):
+            left.add(r.doc_id)
+    assert {r.doc_id for r in clean.collect()} == left
+
+    spans = {r.doc_id: r.found for r in pii.find(clean).collect()}
+    for r in stages[3](spark, clean, FOLDER).collect():
+        t, at, out = texts[r.doc_id], 0, ""
+        for x in sorted(spans[r.doc_id], key=lambda x: (x.start, -x.end)):
+            if x.start >= at:
+                out += t[at : x.start] + f"[{x.kind.upper()}]"
+            at = max(at, x.end)
+        assert r.text == out + t[at:]
+
+    mixed = stages[4](spark, clean, FOLDER).collect()
+    for r in mixed:
+        words = spaced(texts[r.doc_id])
+        assert spaced(r.text) == [w for p in r.pieces for w in words[p.from_word : p.from_word + p.n_words]] and len(spaced(r.text)) == r.taken
