@@ -238,6 +238,21 @@ class ConlluAnnotator:
         return [dict(t) for t in self.known.get(text, [])]
 
 
+def bracketed(text: str, annotator: Annotator) -> str:
+    """A text's lines with [ ] around their noun phrases."""
+    lines = []
+    for line in text.split("\n"):
+        tokens = annotator.annotate(line)
+        out = []
+        for k, t in enumerate(tokens):
+            inside = t["mark"].isdigit()
+            opens = inside and (not k or tokens[k - 1]["mark"] != t["mark"])
+            closes = inside and (k + 1 == len(tokens) or tokens[k + 1]["mark"] != t["mark"])
+            out.append(("[ " if opens else "") + t["text"] + (" ]" if closes else ""))
+        lines.append(" ".join(out))
+    return "\n".join(lines)
+
+
 _FACTORIES: dict[str, Callable[[], Annotator]] = {"rules": RuleAnnotator}
 
 

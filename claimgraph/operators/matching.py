@@ -81,8 +81,9 @@ def tag_features(tags: Column, table: dict[str, tuple[str, str]]) -> Column:
 
 #: Grammatical tags of a dictionary analyser and what they are in universal features.
 RUSSIAN_TAGS = {
-    "муж": ("Gender", "Masc"), "жен": ("Gender", "Fem"), "сред": ("Gender", "Neut"), "ед": ("Number", "Sing"), "мн": ("Number", "Plur"), "им": ("Case", "Nom"), "род": ("Case", "Gen"), "дат": ("Case", "Dat"), "вин": ("Case", "Acc"), "твор": ("Case", "Ins"), "пр": ("Case", "Loc"),
-    "прош": ("Tense", "Past"), "наст": ("Tense", "Pres"), "изъяв": ("VerbForm", "Fin"), "инф": ("VerbForm", "Inf"), "прич": ("VerbForm", "Part"), "деепр": ("VerbForm", "Conv"), "сов": ("Aspect", "Perf"), "несов": ("Aspect", "Imp"), "страд": ("Voice", "Pass"), "действ": ("Voice", "Act"),
+    "муж": ("Gender", "Masc"), "жен": ("Gender", "Fem"), "сред": ("Gender", "Neut"), "ед": ("Number", "Sing"), "мн": ("Number", "Plur"), "им": ("Case", "Nom"), "род": ("Case", "Gen"), "дат": ("Case", "Dat"), "вин": ("Case", "Acc"), "местн": ("Case", "Loc"), "твор": ("Case", "Ins"), "пр": ("Case", "Loc"), "парт": ("Case", "Gen"),
+    "инф": ("VerbForm", "Inf"), "прич": ("VerbForm", "Part"), "деепр": ("VerbForm", "Trans"), "изъяв": ("Mood", "Ind"), "пов": ("Mood", "Imp"), "прош": ("Tense", "Past"), "наст": ("Tense", "Pres"), "непрош": ("Tense", "Fut"), "несов": ("Aspect", "Imp"), "сов": ("Aspect", "Perf"), "действ": ("Voice", "Act"), "страд": ("Voice", "Pass"),
+    "1-л": ("Person", "1"), "2-л": ("Person", "2"), "3-л": ("Person", "3"), "срав": ("Degree", "Cmp"), "прев": ("Degree", "Sup"), "од": ("Animacy", "Anim"), "неод": ("Animacy", "Inan"),
 }
 
 

@@ -180,6 +180,21 @@ ARROW = pa.schema(
 )
 
 
+def phrases(df: DataFrame, key: str, text: str, annotator: str = "rules") -> DataFrame:
+    """(key, text with its noun phrases in brackets) of any texts; a null text stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .. import annotate
+
+        tool = annotate.get(annotator)
+        for batch in batches:
+            found = [None if t is None else annotate.bracketed(t, tool) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["key", "text"])
+
+    kind = dict(df.dtypes)[key]
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
+
+
 def load_plugin(spec: str | None):
     """'module:function' to a test of lemmas that are no concepts; None where it cannot be had."""
     import importlib

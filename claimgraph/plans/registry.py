@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import clean, tokens
+from ..functions import clean, morphology, tokens
 from ..operators import classify, graph, intervals, lexicon, matching, numbering, ordered, rdf, segments
 from ..sources import conllu, patents
 from . import expected
@@ -512,6 +512,44 @@ def segment_types(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in given], "template string").select("template", classify.segment_type(F.col("template")).alias("type"))
 
 
+@query(f"""WITH {_TURNS_SQL}, w AS (SELECT conv_id, ix, ['-', 'a-', '-b', 'c'][n % 4 + 1] AS text, lemma, ['NOUN', 'ADJ', 'ADP', 'VERB', 'ADV'][n % 5 + 1] AS pos, n % 3 <> 0 AS joined, count(*) OVER (PARTITION BY conv_id) AS total FROM k),
+f AS (SELECT *, ends_with(text, '-') AND joined AND ix < total AS right_ FROM w), g AS (SELECT *, starts_with(text, '-') AND pos IN ('ADJ', 'NOUN', 'VERB', 'ADP') AND NOT right_ AS left_, right_ AND text = '-' AS lone FROM f),
+h AS (SELECT *, coalesce(lag(text) OVER p, '') AS t1, coalesce(lag(text, 2) OVER p, '') AS t2, coalesce(lag(right_) OVER p, false) AS r1, coalesce(lag(lone) OVER p, false) AS l1, coalesce(lead(lone) OVER p, false) AS n_lone, coalesce(lead(left_) OVER p, false) AS n_left FROM g WINDOW p AS (PARTITION BY conv_id ORDER BY ix))
+SELECT conv_id, CAST(ix AS VARCHAR) AS id, CASE WHEN l1 THEN t2 || t1 || text WHEN r1 OR left_ THEN t1 || text ELSE text END AS text, CASE WHEN left_ AND pos <> 'ADJ' THEN substr(text, 2) ELSE lemma END AS lemma, CASE WHEN left_ AND pos = 'ADP' THEN 'NOUN' ELSE pos END AS pos FROM h WHERE NOT (right_ OR n_lone OR n_left)""")
+def joined_dashes(spark, sf_dir):
+    """Words cut at dashes put together; each turn's length gives it a word with or without a dash."""
+    n = lambda t: F.length(t["text"])
+    pick = lambda c, m, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (c % m + 1).cast("int"))
+    words = F.transform("tokens", lambda t: F.struct(t["id"].alias("id"), pick(n(t), 4, "-", "a-", "-b", "c").alias("text"), t["lemma"].alias("lemma"), pick(n(t), 5, "NOUN", "ADJ", "ADP", "VERB", "ADV").alias("pos"), (n(t) % 3 == 0).alias("space_after")))
+    df = _segments_of_turns(spark, sf_dir).select("conv_id", words.alias("words"))
+    return df.select("conv_id", F.inline(morphology.joined_dashes(F.col("words"))))
+
+
+@query(f"""WITH {_TURNS_SQL}, w AS (SELECT *, ['PART', 'ADJ', 'VERB', 'ADV', 'NOUN'][n % 5 + 1] AS kind FROM k), a AS (SELECT DISTINCT conv_id, parent FROM w WHERE kind = 'ADV')
+SELECT w.conv_id, CAST(w.ix AS VARCHAR) AS id, CASE WHEN n % 2 = 0 AND (kind IN ('PART', 'ADJ') OR (kind IN ('VERB', 'ADV') AND a.parent IS NULL AND regexp_full_match(mark, '[0-9]+'))) THEN 'NOUN' ELSE kind END AS pos FROM w LEFT JOIN a ON a.conv_id = w.conv_id AND a.parent = w.ix""")
+def settled_words(spark, sf_dir):
+    n = lambda t: F.length(t["text"])
+    kind = lambda t: F.element_at(F.array(*[F.lit(v) for v in ("PART", "ADJ", "VERB", "ADV", "NOUN")]), (n(t) % 5 + 1).cast("int"))
+    words = F.transform("tokens", lambda t: F.struct(t["id"].alias("id"), t["text"].alias("text"), t["lemma"].alias("lemma"), kind(t).alias("pos"), t["grammar"].alias("grammar"), t["parent"].alias("parent"), t["deprel"].alias("deprel"), t["mark"].alias("mark")))
+    can_be = F.transform("tokens", lambda t: F.when(n(t) % 2 == 0, t["grammar"]))
+    df = _segments_of_turns(spark, sf_dir).select("conv_id", words.alias("words"), can_be.alias("can_be"))
+    return df.select("conv_id", F.explode(morphology.settled_words(F.col("words"), F.col("can_be"))).alias("t")).select("conv_id", "t.id", "t.pos")
+
+
+@query("""SELECT * FROM (VALUES ('S,муж,неод=им,ед', 'S', 'S,m,inan,nom,sg'), ('A=(вин,ед,полн,муж,неод|им,ед,полн,муж)', 'A', 'A,acc,sg,plen,m,inan'), ('V,сов,пе=прош,ед,изъяв,муж', 'V', 'V'), ('ADV=', 'ADV', 'ADV'), ('PR=', 'PR', 'PR'), ('S,гео,жен,неод=(пр,ед|дат,ед)', 'S', 'S,geo,f,inan,abl,sg'), ('NUM=твор', 'NUM', 'NUM,ins')) AS t(tags, pos, feature)""")
+def chunk_features(spark, sf_dir):
+    given = ["S,муж,неод=им,ед", "A=(вин,ед,полн,муж,неод|им,ед,полн,муж)", "V,сов,пе=прош,ед,изъяв,муж", "ADV=", "PR=", "S,гео,жен,неод=(пр,ед|дат,ед)", "NUM=твор"]
+    return spark.createDataFrame([(x,) for x in given], "tags string").select("tags", morphology.part_of_speech(F.col("tags")).alias("pos"), morphology.chunk_feature(F.col("tags")).alias("feature"))
+
+
+@query("""SELECT * FROM (VALUES (1, 'содержащий [ корпус ] и [ пружину ]'), (2, '[ верхний клапан стравливания газа ]' || chr(10) || 'соединен с [ трубой ]'), (3, 'а также [ блок ]'), (4, NULL)) AS t(id, text)""")
+def phrases_in_brackets(spark, sf_dir):
+    from . import claims
+
+    df = spark.createDataFrame([(1, "содержащий корпус и пружину"), (2, "верхний клапан стравливания газа\nсоединен с трубой"), (3, "а также блок"), (4, None)], "id int, text string")
+    return claims.phrases(df, "id", "text")
+
+
 # --- relations --------------------------------------------------------------------------------------------------------
 
 
