@@ -40,25 +40,42 @@ def _first(xml: Column, path: str) -> Column:
     return F.get(_texts(xml, path), F.lit(0))
 
 
-def _fields(xml: Column) -> dict[str, Column]:
-    attribute = {n: _first(xml, f"/{ROOT_TAG}/@{n}") for n in ("country", "doc-number", "kind", "date-publ")}
-    ipc = "(//B510EP)[1]/classification-ipcr"
-    part = {n: _texts(xml, f"{ipc}/{n}/text()") for n in ("section", "class", "main-group", "subgroup")}
-    # A blank subclass leaves no text node, so it is read per entry from the entry's own string instead.
-    entries = F.transform(F.sequence(F.lit(0), F.size(part["section"]) - 1), lambda i: F.concat(F.trim(F.get(part["section"], i)), F.trim(F.get(part["class"], i)), F.trim(F.coalesce(F.get(_texts(xml, f"{ipc}/subclass/text()"), i), F.lit(""))), F.trim(F.get(part["main-group"], i)), F.lit("/"), F.trim(F.get(part["subgroup"], i))))
+def _section(xml: Column, name: str) -> Column:
+    """The elements of a name as a document of their own, so that a path is evaluated over them alone and not over the whole file."""
+    found = F.regexp_extract_all(xml, F.lit(rf"(?s)<{name}(?=[\s/>])(?:[^>]*/>|.*?</{name}\s*>)"), F.lit(0))
+    return F.when(xml.isNotNull(), F.concat(F.lit("<r>"), F.array_join(found, ""), F.lit("</r>")))
+
+
+SECTIONS = ("SDOBI", "claims", "abstract", "description")
+
+
+def _sections(xml: Column) -> dict[str, Column]:
+    """The root's start tag alone, and the sections that fields are read from."""
+    head = F.concat(F.regexp_replace(F.regexp_extract(xml, rf"(?s)<{ROOT_TAG}(?=[\s>])[^>]*", 0), "/$", ""), F.lit("/>"))
+    return {"head": F.when(xml.isNotNull(), head)} | {n: _section(xml, n) for n in SECTIONS}
+
+
+def _fields(part: dict[str, Column]) -> dict[str, Column]:
+    """The fields from _sections()."""
+    attribute = {n: _first(part["head"], f"/{ROOT_TAG}/@{n}") for n in ("country", "doc-number", "kind", "date-publ")}
+    first_ipc = F.get(F.regexp_extract_all(part["SDOBI"], F.lit(r"(?s)<B510EP(?=[\s>]).*?</B510EP\s*>"), F.lit(0)), F.lit(0))
+    entries = F.regexp_extract_all(first_ipc, F.lit(r"(?s)<classification-ipcr(?=[\s>]).*?</classification-ipcr\s*>"), F.lit(0))
+    # An entry is small, and its blank parts are empty text rather than no node.
+    of = lambda e, n: F.trim(F.xpath_string(e, F.lit(f"/classification-ipcr/{n}")))
+    codes = F.transform(entries, lambda e: F.concat(of(e, "section"), of(e, "class"), of(e, "subclass"), of(e, "main-group"), F.lit("/"), of(e, "subgroup")))
     return {
         "code": all_or_null(*attribute.values()),
         "country": attribute["country"],
         "doc_number": attribute["doc-number"],
         "kind": attribute["kind"],
         "date_publ": attribute["date-publ"],
-        "name": _first(xml, "//ru-b542/text()"),
-        "org": _first(xml, "//SDOBI[@lang='ru']//B731/*[1]/text()"),
-        "ipc": F.when(F.size(part["section"]) > 0, entries).otherwise(F.array().cast("array<string>")),
-        "main_claim": _first(xml, "//claims[@lang='ru']/claim[@num='1']/*[1]/text()[1]"),
-        "claims": _texts(xml, "//claims[@lang='ru']/claim/*[1]/text()[1]"),
-        "abstract": _texts(xml, "//abstract[@lang='ru']/*/text()[1]"),
-        "description": _texts(xml, "//description[@lang='ru']/*/text()[1]"),
+        "name": _first(part["SDOBI"], "//ru-b542/text()"),
+        "org": _first(part["SDOBI"], "//SDOBI[@lang='ru']//B731/*[1]/text()"),
+        "ipc": F.coalesce(codes, F.array().cast("array<string>")),
+        "main_claim": _first(part["claims"], "//claims[@lang='ru']/claim[@num='1']/*[1]/text()[1]"),
+        "claims": _texts(part["claims"], "//claims[@lang='ru']/claim/*[1]/text()[1]"),
+        "abstract": _texts(part["abstract"], "//abstract[@lang='ru']/*/text()[1]"),
+        "description": _texts(part["description"], "//description[@lang='ru']/*/text()[1]"),
     }
 
 
@@ -72,7 +89,9 @@ def read_patents(files: DataFrame) -> DataFrame:
     patent, closed = F.coalesce(is_patent(F.col("value")), F.lit(False)), F.coalesce(is_closed(F.col("value")), F.lit(False))
     safe = F.when(patent & closed, xml)
     df = files.select("path", safe.alias("__xml"), F.when(~patent, "not a patent").when(~closed, "broken XML").alias("__error"))
-    df = df.select("path", *[c.alias(n) for n, c in _fields(F.col("__xml")).items()], "__error")
+    names = {n: f"__{n}" for n in ("head", *SECTIONS)}
+    df = df.select("path", *[c.alias(names[n]) for n, c in _sections(F.col("__xml")).items()], "__error")
+    df = df.select("path", *[c.alias(n) for n, c in _fields({n: F.col(c) for n, c in names.items()}).items()], "__error")
     return df.withColumn("error", F.coalesce("__error", F.when(F.col("code").isNull(), "no code"))).drop("__error")
 
 

@@ -23,7 +23,7 @@ def new_patents(spark: SparkSession, folder: str, delay: str = "1 day") -> DataF
     """Patents as they arrive, each code once within the delay."""
     files = file_stream(spark, folder)
     xml = patents.plain_xml(F.col("value"))
-    fields = patents._fields(xml)
+    fields = patents._fields(patents._sections(xml))
     coded = files.where(patents.is_patent(F.col("value")) & patents.is_closed(F.col("value"))).select("path", "seen_at", fields["code"].alias("code"), fields["name"].alias("name"))
     return coded.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["code"])
 
