@@ -20,17 +20,26 @@ def align_tokens(left: DataFrame, right: DataFrame, keys: list[str], order: str,
     return placed(left, "left_at").join(placed(right, "right_at"), [*keys, "start", "end"])
 
 
-def nearest_earlier(df: DataFrame, other: DataFrame, keys: list[str], order: str, matches: Column, take: list[str]) -> DataFrame:
-    """For each row the nearest earlier row of `other` (columns prefixed o_) with equal keys for which `matches` holds."""
-    renamed = other.select(*[F.col(k) for k in keys], *[F.col(c).alias(f"o_{c}") for c in other.columns if c not in keys])
-    found = df.join(renamed, keys).where((F.col(f"o_{order}") < F.col(order)) & matches)
-    best = found.groupBy(*keys, order).agg(F.max(F.struct(f"o_{order}", *[F.col(f"o_{c}") for c in take if c != order])).alias("__best"))
-    return best.select(*keys, order, *[F.col(f"__best.o_{c}").alias(f"o_{c}") for c in dict.fromkeys([order, *take])])
+def nearest_holder(df: DataFrame, other: DataFrame, keys: list[str], order: str, ids: str, name: str) -> DataFrame:
+    """(keys, order, name): for each row the order of the nearest earlier row of `other` whose array `ids` holds the row's order value.
 
-
-def tail_matches(tail: Column, form: Column) -> Column:
-    """A genitive tail stands for a term whose form equals it or begins or ends it."""
-    return (tail == form) | F.startswith(tail, F.concat(form, F.lit(" "))) | F.endswith(tail, F.concat(F.lit(" "), form))
+    The arrays are filed by what they hold, so the join is on equal values; rows without a holder are left out.
+    """
+    filed = other.select(*keys, F.col(order).alias(name), F.explode(ids).alias("__id")).distinct()
+    found = df.join(filed.withColumnRenamed("__id", order), [*keys, order])
+    return found.where(F.col(name) < F.col(order)).groupBy(*keys, order).agg(F.max(name).alias(name))
+
+
+def nearest_form(df: DataFrame, other: DataFrame, keys: list[str], order: str, tail: str, form: str, name: str) -> DataFrame:
+    """(keys, order, name): for each row the order of the nearest earlier row of `other` whose form begins, ends or is the row's tail,
+    word by word. A tail is filed under all its beginnings and ends, so the join is on equal texts."""
+    words = F.split(F.col(tail), " ")
+    size = F.size(words)
+    cuts = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda n: F.array(F.array_join(F.slice(words, F.lit(1), n), " "), F.array_join(F.slice(words, size - n + 1, n), " "))))
+    tails = df.where(F.col(tail).isNotNull()).select(*keys, order, F.explode(F.array_distinct(cuts)).alias("__form"))
+    forms = other.select(*keys, F.col(order).alias(name), F.col(form).alias("__form"))
+    found = tails.join(forms, [*keys, "__form"]).where(F.col(name) < F.col(order))
+    return found.groupBy(*keys, order).agg(F.max(name).alias(name))
 
 
 def merge_ordered(df: DataFrame, keys: list[str], order: str, values: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import saved
+
 
 def nearest_preceding(df: DataFrame, keys: list[str], order: list[str], matches: Column, value: Column, name: str, back: int = 1) -> DataFrame:
     """Add the value of the nearest earlier row of the same keys for which `matches` holds, at least `back` rows before."""
@@ -27,15 +29,18 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], value: str, bef
 
 
 def kth_occurrence_join(left: DataFrame, right: DataFrame, key: str, left_order: str, right_order: str) -> DataFrame:
-    """The k-th row of a key on the left with the k-th on the right."""
-    number = lambda df, order: df.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    return number(left, left_order).join(number(right, right_order), [key, "k"])
+    """The k-th row of a key on the left with the k-th on the right.
 
+    Places come from one global order by key and order, less the key's first place, so a key with most of the rows is no task of its own.
+    """
+    from .numbering import numbered
 
-def first_match(df: DataFrame, keys: list[str], order: list[str], matches: Column) -> DataFrame:
-    """The first matching row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.where(matches).withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
+    def placed(df: DataFrame, order: str) -> DataFrame:
+        ranked = saved(numbered(df, [key, order], "__rn"), "places")
+        first = ranked.groupBy(key).agg(F.min("__rn").alias("__first"))
+        return ranked.join(first, key).withColumn("k", (F.col("__rn") - F.col("__first") + 1).cast("int")).drop("__rn", "__first")
+
+    return placed(left, left_order).join(placed(right, right_order), [key, "k"])
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

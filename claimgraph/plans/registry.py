@@ -374,8 +374,8 @@ def align_tokens(spark, sf_dir):
 AND (p.p_name = split_part(o.p_name, ' ', 1) OR starts_with(p.p_name, split_part(o.p_name, ' ', 1) || ' ') OR ends_with(p.p_name, ' ' || split_part(o.p_name, ' ', 1))) GROUP BY p.p_brand, p.p_partkey""")
 def genitive_tails(spark, sf_dir):
     p = read(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name")
-    form = F.split_part(F.col("o_p_name"), F.lit(" "), F.lit(1))
-    return matching.nearest_earlier(p, p, ["p_brand"], "p_partkey", matching.tail_matches(F.col("p_name"), form), []).select("p_brand", "p_partkey", "o_p_partkey")
+    forms = p.select("p_brand", "p_partkey", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("form"))
+    return matching.nearest_form(p, forms, ["p_brand"], "p_partkey", "p_name", "form", "o_p_partkey").select("p_brand", "p_partkey", "o_p_partkey")
 
 
 @query("""WITH o AS (SELECT user_id, event_id // 100 AS block, list(event_id ORDER BY event_id) AS ids, min(event_id) AS at FROM events GROUP BY 1, 2)
@@ -383,7 +383,7 @@ SELECT e.user_id, e.event_id, max(o.at) AS o_event_id FROM events e JOIN o ON o.
 def concept_of_point(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("user_id", "event_id")
     held = e.groupBy("user_id", F.floor(F.col("event_id") / 100).alias("block")).agg(F.sort_array(F.collect_list("event_id")).alias("ids"), F.min("event_id").alias("event_id")).drop("block")
-    return matching.nearest_earlier(e, held, ["user_id"], "event_id", F.array_contains("o_ids", F.col("event_id")), []).select("user_id", "event_id", "o_event_id")
+    return matching.nearest_holder(e, held, ["user_id"], "event_id", "ids", "o_event_id")
 
 
 @query("""SELECT l_orderkey, string_agg(l_suppkey || ',' || l_partkey, ',' ORDER BY l_linenumber, l_suppkey, l_partkey) AS keys FROM lineitem GROUP BY l_orderkey""")

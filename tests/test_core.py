@@ -162,3 +162,57 @@ def test_command_line_refuses_zero():
     assert parser().parse_args(["batch", "-i", "a", "-o", "b"]).limit == 1000
     with pytest.raises(SystemExit):
         parser().parse_args(["batch", "-i", "a", "-o", "b", "-l", "0"])
+
+
+def test_stream_keeps_a_patent_once(spark, tmp_path):
+    from claimgraph.streaming import files
+
+    (tmp_path / "in").mkdir()
+    for name in ("a.xml", "b.xml"):
+        (tmp_path / "in" / name).write_text(samples.PATENTS[0][1], encoding="utf-8")
+    (tmp_path / "in/c.xml").write_text(samples.PATENTS[1][1], encoding="utf-8")
+    q = files.write_records(files.new_patents(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
+    q.awaitTermination(120)
+    assert sorted(r.code for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["RU_01000001_C1_20200115", "RU_01000002_C1_20200115"]
+
+
+def test_other_annotations_can_be_used():
+    tokens_ = [{"id": "1", "text": "Вал", "lemma": "вал", "pos": "NOUN", "grammar": {"Case": "Nom"}, "parent": "0", "deprel": "root", "mark": "1"}]
+    annotate.register("given", lambda: annotate.ConlluAnnotator({"Вал": tokens_}))
+    assert annotate.get("given").annotate("Вал") == tokens_ and annotate.get("given").annotate("Ось") == []
+
+
+def test_links_of_one_claim():
+    parts = ["Привод, содержащий вал, причем вал установлен на опоре, при этом, для снижения трения, опора снабжена втулкой, называемой вкладышем, включая смазку"]
+    got = {s["text"]: (s["type"], s["link"]["type"], s["link"]["parent"]) for s in claims.fold_document(parts, [], annotate.get())["segments"]}
+    assert got["содержащий вал"] == ("V_N", "sub", 1) and got["причем вал установлен на опоре"][:2] == ("N_V_N", "self")
+    assert got["при этом"][0] == "SEPARATOR" and got["для снижения трения"] == ("PURPOSE", "spec", 6) and got["опора снабжена втулкой"][1] == "self"
+    assert got["называемой вкладышем"][0] == "NAMED"
+
+
+def test_failed_documents_are_kept_apart(spark):
+    found = patents.read_patents(spark.createDataFrame(samples.PATENTS, "path string, value string"))
+    annotate.register("broken", lambda: None)
+    got = {(r.path, r.error) for r in claims.failures(found, claims.folded(found)).collect()}
+    assert got == {("c.xml", "no code"), ("d.xml", "not a patent"), ("e.xml", "broken XML")}
+
+
+def test_valences_of_a_verb_are_tried_in_order():
+    from claimgraph import extraction
+
+    tokens_ = annotate.get().annotate("вал соединен с муфтой через шпонку")
+    segment = {"id": 1, "tokens": tokens_, "type": "N_V_N", "link": {}}
+    left, right = extraction.around(segment, 1)
+    verb = lexicon.describe("соединять")
+    assert extraction.find_both(left, right, verb) == "r"
+    assert (left.text("SBJ"), right.text("OBJ"), right.text("VIA")) == ("вал", "с муфтой", "через шпонку")
+
+
+def test_sets_and_dates(spark):
+    from claimgraph.operators import intervals
+
+    df = spark.createDataFrame([("20200115",), ("2020",), ("20201399",), (None,)], "t string").select(intervals.published(F.col("t")).alias("d"))
+    assert [str(r.d) for r in df.collect()] == ["2020-01-15", "None", "None", "None"]
+    points = spark.createDataFrame([(1, 5), (1, 20), (2, 5), (None, 5)], "k int, at int")
+    spans = spark.createDataFrame([(1, 0, 6), (1, 5, 21), (1, 7, 7), (2, 6, 9), (1, None, 9)], "k int, low int, high int")
+    assert sorted((r.k, r.at, r.low) for r in intervals.within(points, spans, ["k"], "at", "low", "high", 4).collect()) == [(1, 5, 0), (1, 5, 5), (1, 20, 5)]
