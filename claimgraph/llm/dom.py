@@ -265,22 +265,33 @@ def match(a, b, memo: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]])
         if (id(x), id(y)) in memo:
             stack.pop()
             continue
-        front, back, middle = _candidates(x, y)
-        todo = [(c, d) for _, _, c, d in middle if c.children and d.children and c.shape != d.shape and (id(c), id(d)) not in memo]
+        low, high = _alike(x, y)
+        at: dict[str, list[int]] = {}
+        for j in range(low, len(y.children) - high):
+            at.setdefault(y.children[j].label, []).append(j)
+        rows = [(i, at[x.children[i].label]) for i in range(low, len(x.children) - high) if x.children[i].label in at]
+        todo = [
+            (c, d) for i, js in rows if (c := x.children[i]).children for j in js if (d := y.children[j]).children and c.shape != d.shape and (id(c), id(d)) not in memo
+        ]
         if todo:
             stack.extend(todo)
             continue
         stack.pop()
-        weighed = [(i, j, c.size if c.shape == d.shape else memo[id(c), id(d)][0] if c.children and d.children else 1) for i, j, c, d in middle]
-        total, pairs = _heaviest(weighed)
-        pairs = [*front, *pairs, *back]
-        total += sum(x.children[i].size for i, _ in (*front, *back))
-        memo[id(x), id(y)] = 1 + total, pairs
+
+        def weight(i: int, j: int, x=x, y=y) -> int:
+            c, d = x.children[i], y.children[j]
+            return c.size if c.shape == d.shape else memo[id(c), id(d)][0] if c.children and d.children else 1
+
+        total, pairs = _heaviest(rows, weight)
+        m, n = len(x.children), len(y.children)
+        same = [(k, k) for k in range(low)], [(m - high + k, n - high + k) for k in range(high)]
+        total += sum(x.children[i].size for part in same for i, _ in part)
+        memo[id(x), id(y)] = 1 + total, [*same[0], *pairs, *same[1]]
     return memo[id(a), id(b)]
 
 
-def _candidates(x, y) -> tuple[list, list, list]:
-    """Pairs of children: those of one shape at either end, which some largest matching pairs, and between these all of one label."""
+def _alike(x, y) -> tuple[int, int]:
+    """How many children at either end have one shape in turn; some largest matching pairs these."""
     m, n = len(x.children), len(y.children)
     low = 0
     while low < min(m, n) and x.children[low].shape == y.children[low].shape:
@@ -288,44 +299,34 @@ def _candidates(x, y) -> tuple[list, list, list]:
     high = 0
     while high < min(m, n) - low and x.children[m - 1 - high].shape == y.children[n - 1 - high].shape:
         high += 1
-    at: dict[str, list[int]] = {}
-    for j in range(low, n - high):
-        at.setdefault(y.children[j].label, []).append(j)
-    middle = [(i, j, x.children[i], y.children[j]) for i in range(low, m - high) for j in at.get(x.children[i].label, ())]
-    return [(k, k) for k in range(low)], [(m - high + k, n - high + k) for k in range(high)], middle
+    return low, high
 
 
-def _heaviest(pairs: list[tuple[int, int, int]]) -> tuple[int, list[tuple[int, int]]]:
-    """The chain of pairs (i, j, weight > 0), rising in both, with the largest weight; pairs come by i, then j.
+def _heaviest(rows: list[tuple[int, list[int]]], weight) -> tuple[int, list[tuple[int, int]]]:
+    """The chain of pairs (i, j), rising in both, with the largest weight; rows: for rising i the j it may go with, rising too.
 
-    ends and sums hold the chains worth keeping: for every last j the heaviest, both rising. Memory goes with the pairs, not
-    with the product of the children.
+    ends, sums and tips hold the chains worth keeping: for every last j the heaviest, both rising. A chain is a link to the one it
+    extends, so what is not worth keeping is let go.
     """
-    ends, sums, tips = [], [], []
-    links: list[tuple[int, int, int]] = []
-    at = 0
-    while at < len(pairs):
-        to = at
-        while to < len(pairs) and pairs[to][0] == pairs[at][0]:
-            to += 1
-        for i, j, w in reversed(pairs[at:to]):  # by falling j, so that none extends another of the same i
+    ends: list[int] = []
+    sums: list[int] = []
+    tips: list[tuple] = []
+    for i, js in rows:
+        for j in reversed(js):  # by falling j, so that none extends another of the same i
             k = bisect_left(ends, j)
-            total, tip = (sums[k - 1] + w, tips[k - 1]) if k else (w, -1)
+            w = weight(i, j)
+            total, before = (sums[k - 1] + w, tips[k - 1]) if k else (w, None)
             if k < len(ends) and ends[k] == j and sums[k] >= total:
                 continue
-            links.append((i, j, tip))
             z = k
             while z < len(ends) and sums[z] <= total:
                 z += 1
-            ends[k:z], sums[k:z], tips[k:z] = [j], [total], [len(links) - 1]
-        at = to
-    if not sums:
-        return 0, []
-    chain, tip = [], tips[-1]
-    while tip >= 0:
-        i, j, tip = links[tip]
-        chain.append((i, j))
-    return sums[-1], chain[::-1]
+            ends[k:z], sums[k:z], tips[k:z] = [j], [total], [(i, j, before)]
+    chain, tip = [], tips[-1] if tips else None
+    while tip:
+        chain.append(tip[:2])
+        tip = tip[2]
+    return sums[-1] if sums else 0, chain[::-1]
 
 
 def align(template: Template, other, grow: bool) -> list[tuple[Template, object]]:

@@ -74,6 +74,13 @@ def _features(k: int, with_set: bool):
     """(key, id, text) batches to (digest, set) or (key, id, n, digest, signature, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from made(batches)
+        finally:  # the worker lives on for other stages
+            _WORDS.clear()
+            pa.default_memory_pool().release_unused()
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2)
             for at in range(0, max(1, len(texts)), 1000):

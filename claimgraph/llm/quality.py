@@ -6,8 +6,8 @@ values, and with those of the spatial signs). Concentration steps take mean and
 to the last estimate; after FIRST_STEPS of them the start with the least determinant stays, and goes on until its
 determinant settles. One reweighting step follows. A document far from its group's estimate by Mahalanobis distance is rejected.
 
-A group is never gathered: order statistics come from counts over a fixed grid of bins, means and covariances are sums
-per bin of distance, and all of them are pre-aggregated before they are shuffled. The h-subset ends within a bin, whose
+A group is never gathered: order statistics come from counts over a fixed grid of bins, means and covariances are sums,
+and all of them are pre-aggregated before they are shuffled. The h-subset ends within a bin, whose
 documents count by the share of it that is wanted, so every subset weighs h and determinants can be compared. A group
 below MIN_GROUP documents is judged by its language's estimate, or, where that has too few as well, by that of all documents.
 """
@@ -203,18 +203,19 @@ def _concentrated(rows: DataFrame, params: DataFrame, share: float | None) -> Da
     group's rows nearest to its params; without a share, of those nearer than the reweighting cutoff."""
     far = rows.join(params, "group").select("group", "start", *[f"mean_{i}" for i in range(P)], _distance().alias("d2"), *[c.alias(f"x_{i}") for i, c in enumerate(_centred())])
     products = [(i, j) for i in range(P) for j in range(i + 1)]
-    moments = [F.sum(f"x_{i}").alias(f"x_{i}") for i in range(P)] + [F.sum(F.col(f"x_{i}") * F.col(f"x_{j}")).alias(f"p_{i}_{j}") for i, j in products]
-    centre = [F.max(f"mean_{i}").alias(f"mean_{i}") for i in range(P)]
     if share is None:
-        held = far.where(F.col("d2") <= chi2_quantile(REWEIGHT, P)).groupBy("group", "start").agg(F.count("*").cast("double").alias("n"), *centre, *moments)
+        chosen = far.where(F.col("d2") <= chi2_quantile(REWEIGHT, P)).withColumn("part", F.lit(1.0))
     else:
+        # Counts per bin first, a few bytes each, then the sums of the chosen: a task hands on one row of sums for each group.
         binned = far.withColumn("bin", F.floor(BINS * F.log(F.col("d2") + 1e-3)).cast("long"))
-        sums = binned.groupBy("group", "start", "bin").agg(F.count("*").alias("n"), *centre, *moments)
         by = Window.partitionBy("group", "start")
-        sums = sums.withColumn("want", share * F.sum("n").over(by)).withColumn("before", F.sum("n").over(by.orderBy("bin")) - F.col("n"))
-        part = F.least(F.lit(1.0), (F.col("want") - F.col("before")) / F.col("n"))
-        held = sums.where("before < want").withColumn("part", part)
-        held = held.groupBy("group", "start").agg(F.sum(F.col("n") * F.col("part")).alias("n"), *centre, *[F.sum(F.col(c) * F.col("part")).alias(c) for c in [f"x_{i}" for i in range(P)] + [f"p_{i}_{j}" for i, j in products]])
+        counts = binned.groupBy("group", "start", "bin").agg(F.count("*").alias("n"))
+        counts = counts.withColumn("want", share * F.sum("n").over(by)).withColumn("before", F.sum("n").over(by.orderBy("bin")) - F.col("n")).where("before < want")
+        last = F.max(F.struct("bin", F.least(F.lit(1.0), (F.col("want") - F.col("before")) / F.col("n")).alias("share")))
+        cuts = counts.groupBy("group", "start").agg(last.alias("cut"))
+        chosen = binned.join(cuts, ["group", "start"]).where(F.col("bin") <= F.col("cut.bin")).withColumn("part", F.when(F.col("bin") < F.col("cut.bin"), 1.0).otherwise(F.col("cut.share")))
+    moments = [F.sum(F.col(f"x_{i}") * F.col("part")).alias(f"x_{i}") for i in range(P)] + [F.sum(F.col(f"x_{i}") * F.col(f"x_{j}") * F.col("part")).alias(f"p_{i}_{j}") for i, j in products]
+    held = chosen.groupBy("group", "start").agg(F.sum("part").alias("n"), *[F.max(f"mean_{i}").alias(f"mean_{i}") for i in range(P)], *moments)
     factor = _consistency(REWEIGHT if share is None else share)
     cov = lambda i, j: (F.col(f"p_{i}_{j}") - F.col(f"x_{i}") * F.col(f"x_{j}") / F.col("n")) / F.col("n") * factor + (FEATURES[i][1] ** 2 if i == j else 0.0)
     return _solved(held.select("group", "start", *[(F.col(f"mean_{i}") + F.col(f"x_{i}") / F.col("n")).alias(f"mean_{i}") for i in range(P)], *[cov(i, j).alias(f"s_{i}_{j}") for i, j in products]))
