@@ -34,7 +34,7 @@ BASE = ("email", "ip", "card", "phone")
 CHECKED, NEARBY, LEAST = 0.5, 0.2, 0.5
 BEFORE, AFTER = 40, 20
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
-OUTPUTS = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "found")
+OUTPUTS = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "found")
 
 
 #: Texts are cut into pieces of so many code points, so that what stands at a place is read without counting from the start.
@@ -124,8 +124,8 @@ def _scored(kind: str, kept: Column, parts: Column) -> Column:
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with OUTPUTS; input columns of these names are replaced.
 
-    found: every span with its score, by kind as in KINDS, then start; spans: the same as text. n_* and base_sha256 cover
-    the kinds of BASE. A null text is empty: no spans, and the digest of the empty string. Repeated rows each get theirs;
+    found: every span with its score, by kind as in KINDS, then start; spans: the same as text; n_spans: their number. The
+    other n_* and base_sha256 cover the kinds of BASE. A null text is empty: no spans, and the digest of the empty string. Repeated rows each get theirs;
     an empty table gives no rows. A text with very many matches takes time in proportion to them and the logarithm of their number.
     """
     base = without(docs, *OUTPUTS)
@@ -148,6 +148,7 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
         *[F.size(by[k]).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(listed(BASE), 256).alias("base_sha256"),
         listed(KINDS).alias("spans"),
+        F.size(F.flatten(F.array(*[F.col(by[k]) for k in KINDS]))).cast("long").alias("n_spans"),
         F.flatten(F.array(*[F.col(by[k]) for k in KINDS])).alias("found"),
     )
 
