@@ -704,6 +704,23 @@ def claim_rdf(spark, sf_dir):
     return rdf.emit(found.select("code", "name", "org", "ipc", "facts"), t["terms"], t["edges"], t["refs"])
 
 
+@query("""SELECT * FROM (VALUES ('c.xml', NULL, 'no code'), ('d.xml', NULL, 'not a patent'), ('e.xml', NULL, 'broken XML')) AS t(path, code, error)""")
+def read_failures(spark, sf_dir):
+    """The files that gave no record, and why."""
+    from . import claims
+
+    found = patents.read_patents(_sample_files(spark))
+    return claims.failures(found, claims.folded(found))
+
+
+@query("""SELECT n_regionkey AS region, '  <owl:NamedIndividual rdf:about="http://example.org/claimgraph#r' || n_regionkey || '">' || chr(10) || string_agg('    <cg:has rdf:resource="http://example.org/claimgraph#n' || n_nationkey || '"/>', chr(10) ORDER BY '    <cg:has rdf:resource="http://example.org/claimgraph#n' || n_nationkey || '"/>') || chr(10) || '  </owl:NamedIndividual>' AS xml FROM nation GROUP BY n_regionkey""")
+def rdf_xml(spark, sf_dir):
+    """RDF rows as RDF/XML, a document per region."""
+    n = read(spark, sf_dir, "nation")
+    rows = n.select(F.col("n_regionkey").alias("code"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("s"), F.lit("has").alias("p"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("o"), F.lit("iri").alias("o_kind"))
+    return rdf.documents_xml(rows).select(F.col("code").alias("region"), "xml")
+
+
 @query(expected.SEGMENT_DOT)
 def segment_dot(spark, sf_dir):
     rows = _records(spark).select("code", F.inline("segments")).select("code", F.col("id").alias("seg_id"), "type", "text", "link.parent")

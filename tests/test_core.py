@@ -216,3 +216,22 @@ def test_sets_and_dates(spark):
     points = spark.createDataFrame([(1, 5), (1, 20), (2, 5), (None, 5)], "k int, at int")
     spans = spark.createDataFrame([(1, 0, 6), (1, 5, 21), (1, 7, 7), (2, 6, 9), (1, None, 9)], "k int, low int, high int")
     assert sorted((r.k, r.at, r.low) for r in intervals.within(points, spans, ["k"], "at", "low", "high", 4).collect()) == [(1, 5, 0), (1, 5, 5), (1, 20, 5)]
+
+
+def test_templates_in_columns_are_those_of_the_fold(spark):
+    texts = [s["text"] for _, c in samples.CLAIMS for s in claims.fold_document([c], [], annotate.get())["segments"]]
+    texts += ["верхний", "и", "клапан установленный соединенный с валом", "который он", "5 - 7", "а также вал", "что вал", "он вал", "вал он", "выше 5"]
+    rows = [(i, t, annotate.get().annotate(t)) for i, t in enumerate(texts)]
+    plain = [(i, t, [{k: x.get(k) for k in ("id", "text", "lemma", "pos", "grammar", "parent", "deprel", "mark")} for x in ts]) for i, t, ts in rows]
+    df = spark.createDataFrame(plain, f"i int, text string, tokens array<{tokens.TOKEN}>")
+    got = {r.i: r.t for r in df.select("i", classify.template(F.col("tokens"), F.col("text")).alias("t")).collect()}
+    assert got == {i: claims.template_of(ts, t) for i, t, ts in rows}
+
+
+def test_numbers_set_aside_alike(spark):
+    texts = ["вал диаметром 0,5 мм, шаг 1,4·10-5, угол α1=55-65°, вес 5 кг", "12 об./с и 0,66…0,69, λ/8; 28b, 28c мас.% d2/d1=1,0-1,5", "без чисел", "", "±10° ±0,05 5-й 3/об. a<b REP7 1"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", segments.with_surrogates(F.col("t")).alias("s"))
+    for r in df.collect():
+        originals = []
+        assert r.s.text == claims.set_aside(texts[r.i], originals) and r.s.originals == originals
+        assert claims.put_back(r.s.text, originals) == texts[r.i]
