@@ -550,6 +550,41 @@ def phrases_in_brackets(spark, sf_dir):
     return claims.phrases(df, "id", "text")
 
 
+@query(f"""WITH {_HIERARCHY_SQL}, t AS (SELECT 'w' AS code, 'r' || r_regionkey AS key, r_name AS term FROM region UNION ALL SELECT 'w', 'n' || n_nationkey, n_name FROM nation UNION ALL SELECT 'w', '0.0', 'world')
+SELECT code, key, term FROM t WHERE key <> '0.0' AND key NOT IN (SELECT obj_key FROM e)""")
+def floating_terms(spark, sf_dir):
+    """Terms that no edge of composition leads to."""
+    r, n = read(spark, sf_dir, "region"), read(spark, sf_dir, "nation")
+    terms = r.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("key"), F.col("r_name").alias("term")).union(n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), "n_name")).union(spark.createDataFrame([("0.0", "world")], "key string, term string"))
+    return graph.floating(terms.select(F.lit("w").alias("code"), "key", "term"), _hierarchy(spark, sf_dir)).select("code", "key", "term")
+
+
+@query("""SELECT * FROM (VALUES ('d', '0.0', '1.2', 'comp'), ('d', '1.2', '2.1', 'have'), ('d', '1.2', '0.0', 'conn')) AS t(code, sbj_key, obj_key, type)""")
+def post_processed_edges(spark, sf_dir):
+    """'генератор' goes to 'генератор тока', the second 'выход' to the first, and edges with them."""
+    terms = spark.createDataFrame([("d", "0.0", "насос", 0), ("d", "1.1", "генератор", 1), ("d", "1.2", "генератор тока", 2), ("d", "2.1", "выход", 3), ("d", "2.2", "выход", 4)], "code string, key string, term string, ord int")
+    edges = spark.createDataFrame([("d", "0.0", "1.2", "comp", 0), ("d", "1.2", "2.1", "have", 1), ("d", "1.2", "2.2", "have", 2), ("d", "1.1", "0.0", "conn", 3)], "code string, sbj_key string, obj_key string, type string, ord int")
+    return graph.post_process(terms, edges)[1].select("code", "sbj_key", "obj_key", "type")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN 'c' || (o_custkey // 7) ELSE 'k' || o_custkey END AS sbj_key, 'o' || o_orderkey AS obj_key FROM orders""")
+def merged_keys(spark, sf_dir):
+    """Edges with the keys of merged terms replaced."""
+    o = read(spark, sf_dir, "orders")
+    key = F.concat(F.lit("k"), F.col("o_custkey").cast("string"))
+    edges = o.select(F.lit("w").alias("code"), key.alias("sbj_key"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("obj_key"), F.col("o_orderkey").alias("ord"))
+    merged = o.where("o_custkey % 7 = 0").select(F.lit("w").alias("code"), key.alias("key"), F.concat(F.lit("c"), F.expr("o_custkey div 7").cast("string")).alias("into")).distinct()
+    terms = edges.select("code", F.col("sbj_key").alias("key")).distinct()
+    return graph.merge_keys(terms, edges, merged)[1].select(F.col("ord").alias("o_orderkey"), "sbj_key", "obj_key")
+
+
+@query("""SELECT * FROM (VALUES (1, 'Вал , содержащий корпус и ось'), (2, 'Блок длиной 5-7 мм, вход / выход «А», и штырь'), (3, 'Насос а именно муфта и вал c d.'), (4, '')) AS t(id, text)""")
+def cleaned_claims(spark, sf_dir):
+    """Every cleaning step, in order."""
+    given = [(1, "  1. Вал (1), (2) , содержащий, например, корпус по существу и ось \n"), (2, "2. Блок длиной 5 -7 мм, вход/выход &laquo;А&raquo;, и, штырь"), (3, "Насос а именно, муфта' и вал<b>c</b>  d , ."), (4, "")]
+    return spark.createDataFrame(given, "id int, text string").select("id", clean.clean_claim(F.col("text")).alias("text"))
+
+
 # --- relations --------------------------------------------------------------------------------------------------------
 
 
