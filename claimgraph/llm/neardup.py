@@ -244,9 +244,9 @@ def _pairs(least_agreement: float, percent: int):
 def _crowded_edges(sets: DataFrame, percent: int, least_agreement: float, postings: int) -> DataFrame:
     """sets (digest, comp, sketch, shingles) to candidate edges (a, b) between classes of different comp."""
     unpacked = sets.mapInArrow(_tokens_of, "token long")
-    frequent = unpacked.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas().sort_values("token")
+    frequent = unpacked.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "token").limit(FREQUENT).toArrow().sort_by("token")
     shape = "digest binary, comp binary, n long, sketch binary, tokens array<long>"
-    prefixes = sets.mapInArrow(_prefixes(frequent["token"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64), percent), shape)
+    prefixes = sets.mapInArrow(_prefixes(frequent["token"].to_numpy(), frequent["c"].to_numpy(), percent), shape)
     filed = written(prefixes.select("digest", "comp", "n", "sketch", F.posexplode("tokens").alias("pos", "token")), "prefixes")
     shared = filed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x <> y")
     shared = written(shared.select("token", F.ceil(F.col("c") / postings).cast("int").alias("blocks")), "postings")
