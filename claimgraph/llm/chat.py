@@ -156,6 +156,8 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, before = [], run[0]["enter"]
         for k, (row, (role, action, inserted)) in enumerate(zip(run, path, strict=True)):
             text = row["text"] or ""
+            if action == "keep" and row["role"].strip().lower() != ROLES[role]:
+                action = "rename"
             if action == "merge":
                 piece = JOINT + text
             else:
@@ -170,7 +172,8 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_col, turn_col, place, role, new_role, action, inserted, rendered) of every row.
 
-    rendered: the row's part of the formatted conversation; the parts in order of place are the whole. Turns go by turn_col,
+    action: keep, rename (another name of the same role), relabel or merge. rendered: the row's part of the formatted
+    conversation; the parts in order of place are the whole. Turns go by turn_col,
     nulls first, then role and text; equal rows follow each other and are merged like other turns of one role. A null or
     unknown role is relabelled at the lowest cost. A null text is an empty turn. Rows of a null conversation form one of
     their own. An empty table gives no rows.

@@ -114,6 +114,7 @@ def test_chat_is_repaired_at_least_cost_across_chunks(spark, monkeypatch):
         roles = re.findall(r"<\|(system|user|assistant)\|>", "".join(r.rendered for r in got))
         assert all(b in [chat.ROLES[x] for x in chat.LEGAL[chat.ROLES.index(a)]] for a, b in zip(roles, roles[1:], strict=False)) and roles[0] != "assistant"
         assert "".join(r.rendered for r in got).count("<|end|>") == len(roles)
+        assert all((r.action == "rename") == (r.role == "human" and r.new_role == "user" and r.action != "merge") for r in got)
 
 
 # --- 2 decontamination -------------------------------------------------------------------------------------------------
