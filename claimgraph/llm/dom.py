@@ -27,15 +27,17 @@ ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 class Node:
     """An element; text stands among the children as str."""
 
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "named", "tag")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.children = tag, attributes, []
+        self.tag, self.attributes, self.children, self.named = tag, attributes, [], None
 
     def attribute(self, *names: str) -> str:
         if not self.attributes:
             return ""
-        found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(self.attributes)}
+        if self.named is None:
+            self.named = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(self.attributes)}
+        found = self.named
         return " ".join(found[n] or n for n in names if n in found)
 
 
