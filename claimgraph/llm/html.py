@@ -139,10 +139,14 @@ class Wrapper:
                 else:
                     mass[id(t)] = max(0, t.own - t.links) + sum(mass[id(c)] for c in t.children)
             place = top if mass[id(top)] else None
-            while place is not None and tag_of(place) not in ("article", "main"):
+            while place is not None and tag_of(place) != "article":
                 best = max(place.children, key=lambda c: mass[id(c)], default=None)
                 if best is None or not mass[id(best)] or mass[id(best)] < SHARE * mass[id(place)] or tag_of(best) in TEXT_TAGS:
                     break
+                if tag_of(place) == "main" and tag_of(best) != "article":
+                    break
+                if any(mass[id(c)] and c is not best and tag_of(c) in TEXT_TAGS for c in place.children):
+                    break  # a heading or a paragraph beside it belongs to it
                 place = best
             self.place = place
 

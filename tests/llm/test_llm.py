@@ -591,6 +591,17 @@ def test_wrapper_finds_the_content_where_no_element_says_it(spark):
         assert html.by_elements(dom.parse(h), set()) != got[i]
 
 
+def test_headings_beside_the_content_stay():
+    page = lambda i: f"<body><div class=page><h1>{word()} {i}</h1><div class=text><p>{prose(60)}</p><p>{prose(40)}</p></div></div><div class=foot>same</div></body>"
+    inside = lambda i: f"<body><main><div class=more>{word()} {i}</div><article><p>{prose(60)}</p></article></main></body>"
+    for make, tag in ((page, "h1|p"), (inside, "p")):
+        pages, wrapper = [make(i) for i in range(5)], dom.Template("#root")
+        for p in pages:
+            html._seen(wrapper, dom.align(wrapper, dom.Slot("#root", [dom.parse(p)], html.says_no), True))
+        for p in pages:
+            assert html.extract(dom.parse(p), html.Wrapper(wrapper)).split("\n") == re.findall(rf"<(?:{tag})>([^<]*)", p)
+
+
 def test_constant_text_of_an_article_stays():
     pages = [f"<body><nav>Menu</nav><article><h2>Summary</h2><p>{prose(9)}</p><p class='share-price ad-hoc'>Price</p><div class='share-buttons'>Tweet</div></article></body>" for _ in range(6)]
     wrapper = dom.Template("#root")
