@@ -42,8 +42,9 @@ def vocabulary(path: str) -> list[str]:
 class Lattice:
     """Natural-log piece weights and the recursions over a word's segmentations.
 
-    An automaton over the pieces gives all that end at a place. Long words are read in windows, so beside a number per
-    character only one window's pieces are held.
+    An automaton over the pieces gives all that end at a place. What the recursion holds of a prefix is kept for the next word, so
+    sorted words cost what they do not share with the one before. Words longer than WINDOW are read in windows, so beside a number
+    per character only one window's pieces are held.
     """
 
     WINDOW = 4096
@@ -60,8 +61,8 @@ class Lattice:
         import ahocorasick
 
         found = ahocorasick.Automaton()
-        for p, w in self.logs.items():
-            found.add_word(p, (len(p), w, p))
+        for k, p in enumerate(self.logs):
+            found.add_word(p, (len(p), self.logs[p], k))
         found.make_automaton()
         return found
 
@@ -70,74 +71,120 @@ class Lattice:
         return [self.logs[f"<0x{b:02X}>"] for b in range(256)]
 
     @cached_property
-    def spelt(self) -> dict[str, tuple[int, float, None]]:
-        """Characters that are no piece, which bytes spell; filled as they are met."""
+    def spelt(self) -> dict[str, tuple[int, float, int]]:
+        """Characters that are no piece, which bytes spell, with numbers beyond the pieces'; filled as they are met."""
         return {}
 
     @cached_property
     def longest(self) -> int:
         return max(map(len, self.logs))
 
-    def ends(self, s: str, low: int, high: int) -> list[list[tuple[int, float, str | None]]]:
-        """For each character in [low, high) the (length, log weight, piece) of the pieces that end with it."""
+    @cached_property
+    def held(self) -> list:
+        """The last word, the log probability of each of its prefixes, and the (length, number, share) of the pieces that end each."""
+        return ["", [0.0], []]
+
+    def ends(self, s: str, low: int, high: int) -> list[list[tuple]]:
+        """For each character in [low, high) the (length, log weight, number) of the pieces that end with it; numbers go by logs."""
         into: list[list] = [[] for _ in range(high - low)]
-        if low:
-            for e, found in self.automaton.iter(s, max(0, low - self.longest + 1), high):
-                if e >= low:
-                    into[e - low].append(found)
-        else:
-            for e, found in self.automaton.iter(s, 0, high):
-                into[e].append(found)
+        for e, found in self.automaton.iter(s, max(0, low - self.longest + 1), high):
+            if e >= low:
+                into[e - low].append(found)
         logs, spelt = self.logs, self.spelt
-        for k, c in enumerate(s[low:high]):
+        for k in range(low, high):
+            c = s[k]
             if c not in logs:
                 if c not in spelt:
-                    spelt[c] = (1, sum([self.bytes[b] for b in c.encode("utf-8", "surrogatepass")]), None)
-                into[k].append(spelt[c])
+                    spelt[c] = (1, sum([self.bytes[b] for b in c.encode("utf-8", "surrogatepass")]), len(logs) + len(spelt))
+                into[k - low].append(spelt[c])
         return into
 
-    def forward(self, s: str, low: int, into: list, before: list[float]) -> list[float]:
-        """Log probabilities of the prefixes up to each character of a window, after those in before (the last longest at least)."""
-        a, shift = before, len(before) - low
-        for j, ends in enumerate(into, low + shift):
+    @staticmethod
+    def forward(a: list[float], into: list[list[tuple]], paths: list | None) -> None:
+        """Add to a, which holds the log probabilities of the prefixes before into's characters (the last longest at least), those up to
+        each of them; to paths the length, the number and the part in it of each piece that ends there."""
+        j = len(a)
+        for ends in into:
             if len(ends) == 1:
-                a.append(a[j - ends[0][0]] + ends[0][1])
-                continue
-            terms = [a[j - n] + w for n, w, _ in ends]
-            top = max(terms)
-            a.append(top + log(sum([exp(t - top) for t in terms])))
-        return a
+                n, w, k = ends[0]
+                a.append(a[j - n] + w)
+                if paths is not None:
+                    paths.append([(n, k, 1.0)])
+            else:
+                terms = [a[j - n] + w for n, w, _ in ends]
+                top = max(terms)
+                parts = [exp(t - top) for t in terms]
+                total = sum(parts)
+                a.append(top + log(total))
+                if paths is not None:
+                    paths.append([(end[0], end[2], x / total) for end, x in zip(ends, parts)])  # noqa: B905
+            j += 1
+
+    def read(self, s: str, with_paths: bool) -> list:
+        """held, brought from the last word to this one."""
+        held = self.held
+        before, a, paths = held
+        k, most = 0, min(len(before), len(s), len(paths) if with_paths else len(s))
+        while k < most and before[k] == s[k]:
+            k += 1
+        del a[k + 1 :], paths[k:]
+        self.forward(a, self.ends(s, k, len(s)), paths if with_paths else None)
+        held[0] = s
+        return held
+
+    @staticmethod
+    def back(paths: list, gain: list[float], low: int, uses: list[float]) -> None:
+        """From the last of the characters after low backwards: gain[j] is how much of the whole passes j, handed on by shares."""
+        for j in range(low + len(paths), low, -1):
+            here = gain[j]
+            if here:
+                for size, number, share in paths[j - low - 1]:
+                    p = here * share
+                    gain[j - size] += p
+                    uses[number] += p
 
-    def expect(self, s: str, count: float, uses: dict) -> None:
-        """Add count times the expected uses of each piece in s."""
-        n, into = len(s), []
+    def expect_all(self, s: str, count: float, uses: list[float]) -> None:
+        """Add count times the expected uses of each piece in s to uses, by number; it grows as characters are spelt."""
+        n = len(s)
+        gain = [0.0] * n + [count]
+        if n <= self.WINDOW:
+            paths = self.read(s, True)[2]
+            if len(uses) < len(self.logs) + len(self.spelt):
+                uses.extend([0.0] * (len(self.logs) + len(self.spelt) - len(uses)))
+            self.back(paths, gain, 0, uses)
+            return
         a = [0.0]
         for low in range(0, n, self.WINDOW):
-            into = self.ends(s, low, min(n, low + self.WINDOW))
-            a = self.forward(s, low, into, a)
-        # Shares of the whole: gain[j] is how much of it passes j, so the numbers stay near 1 at any length.
-        gain = [0.0] * n + [count]
+            self.forward(a, self.ends(s, low, min(n, low + self.WINDOW)), None)
+        uses.extend([0.0] * (len(self.logs) + len(self.spelt) - len(uses)))
         for low in range((n - 1) // self.WINDOW * self.WINDOW, -1, -self.WINDOW):
-            if low + self.WINDOW < n:
-                into = self.ends(s, low, low + self.WINDOW)
-            for j in range(low + len(into), low, -1):
-                here = gain[j]
-                if not here:
-                    continue
-                aj = a[j]
-                for size, w, piece in into[j - low - 1]:
-                    p = here * exp(a[j - size] + w - aj)
-                    gain[j - size] += p
-                    if piece is None:
-                        for x in s[j - 1].encode("utf-8", "surrogatepass"):
-                            uses[f"<0x{x:02X}>"] = uses.get(f"<0x{x:02X}>", 0.0) + p
-                    else:
-                        uses[piece] = uses.get(piece, 0.0) + p
+            paths: list = []
+            self.forward(a[: low + 1], self.ends(s, low, min(n, low + self.WINDOW)), paths)
+            self.back(paths, gain, low, uses)
+
+    def by_piece(self, uses: list[float]) -> dict[str, float]:
+        """Uses by number as uses by piece, spelt characters as their bytes."""
+        found = {p: u for p, u in zip(self.logs, uses, strict=False) if u}
+        for c, (_, _, number) in self.spelt.items():
+            if number < len(uses) and uses[number]:
+                for b in c.encode("utf-8", "surrogatepass"):
+                    found[f"<0x{b:02X}>"] = found.get(f"<0x{b:02X}>", 0.0) + uses[number]
+        return found
+
+    def expect(self, s: str, count: float, uses: dict) -> None:
+        """expect_all() by piece."""
+        found: list[float] = []
+        self.expect_all(s, count, found)
+        for p, u in self.by_piece(found).items():
+            uses[p] = uses.get(p, 0.0) + u
 
     def score(self, s: str) -> float:
+        if len(s) <= self.WINDOW:
+            return self.read(s, False)[1][-1]
         a = [0.0]
         for low in range(0, len(s), self.WINDOW):
-            a = self.forward(s, low, self.ends(s, low, min(len(s), low + self.WINDOW)), a[-self.longest :])
+            a = a[-self.longest :]
+            self.forward(a, self.ends(s, low, min(len(s), low + self.WINDOW)), None)
         return a[-1]
 
 
@@ -166,11 +213,13 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _expect(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, into = sent.value, {}
+        lattice = sent.value
+        uses: list[float] = []
         for batch in batches:
             for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lattice.expect(_marked(word), c, into)
-        yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.string()), pa.array(list(into.values()), pa.float64())], ["piece", "uses"])
+                lattice.expect_all(_marked(word), c, uses)
+        found = lattice.by_piece(uses)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())], ["piece", "uses"])
 
     return run
 
@@ -265,7 +314,8 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     held = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % folds == held_fold
     counted = source.select("text", held.alias("held_out")).mapInArrow(_count_words, "word binary, c long, total long")
-    words = written(counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("total").alias("total")), "words")
+    counts = counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
+    words = written(counts.sortWithinPartitions("word"), "words")  # neighbours share their beginnings, see Lattice
     n_train = source.where(~held).count()
     n_words, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     n, v = n_words + n_train, distinct + (n_train > 0)
