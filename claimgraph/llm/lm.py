@@ -17,18 +17,18 @@ from collections.abc import Iterator
 from functools import cached_property
 from math import exp, log
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, written
+from .common import written
 
 HOT = 50_000
 EM_ROUNDS = 1
 SPACE_MARK = "▁"
 LOG10 = math.log(10)
-#: Partial counts that a task holds before it hands them on.
-HELD = 300_000
 
 
 def vocabulary(path: str) -> list[str]:
@@ -192,23 +192,23 @@ def _marked(word: bytes) -> str:
     return SPACE_MARK + word.decode("utf-8", "surrogatepass")
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, held_out) to partial (word, training count, count)."""
-    train, other = Counter(), Counter()
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(the row of each word, the words) of a batch of texts, A-Z in lower case; null texts have none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, rows = pc.list_flatten(lists), pc.list_parent_indices(lists)
+    there = pc.not_equal(pc.binary_length(words), 0)
+    return rows.filter(there).to_numpy(zero_copy_only=False).astype(np.int64), words.filter(there).cast(pa.binary())
 
-    def out() -> pa.RecordBatch:
-        both = list(train.keys() | other.keys())
-        return pa.RecordBatch.from_arrays([pa.array(both, pa.binary()), pa.array([train[w] for w in both], pa.int64()), pa.array([train[w] + other[w] for w in both], pa.int64())], ["word", "c", "total"])
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, held_out) to partial (word, training count, count)."""
     for batch in batches:
-        for text, held in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            t = text.as_py()
-            if t:
-                (other if held else train).update(t.encode("utf-8", "surrogatepass").translate(LOWER_TABLE).split())
-            if len(train) + len(other) > HELD:
-                yield out()
-                train, other = Counter(), Counter()
-    yield out()
+        rows, words = split_words(batch.column(0))
+        held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)[rows]
+        for part, trains in ((~held, True), (held, False)):
+            counts = pc.value_counts(words.filter(pa.array(part)))
+            n = counts.field("counts")
+            yield pa.RecordBatch.from_arrays([counts.field("values"), n if trains else pa.array(np.zeros(len(n), np.int64)), n], ["word", "c", "total"])
 
 
 def _expect(sent):
@@ -253,35 +253,38 @@ def _score_words(sent):
     return run
 
 
-def _read_documents(sent, kind: str):
+def _read_documents(sent):
     """(key, id, text) to a row of sums over hot words for each document, and a row for each other distinct word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, (base0, end_base, end_known, end_lp) = sent.value
+        hot, sums, ends = sent.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                key, word, tf, doc, n, known, base, lp = [], [], [], [], [], [], [], []
-                for k, (row, text) in enumerate(zip(part.column(0).to_pylist(), part.column(2), strict=True)):
-                    t = text.as_py()
-                    found = Counter(t.encode("utf-8", "surrogatepass").translate(LOWER_TABLE).split()) if t else {}
-                    total, s_known, s_base, s_lp = 1, end_known, end_base, end_lp
-                    for w, c in found.items():
-                        total += c
-                        if (h := hot.get(w)) is None:
-                            key.append(row), word.append(w), tf.append(c), doc.append(None), n.append(None), known.append(None), base.append(None), lp.append(None)
-                        else:
-                            s_known += c * h[0]
-                            s_base += c * h[1]
-                            s_lp += c * h[2]
-                    # A word never holds a space, so the document's own row joins nothing and its keys spread.
-                    key.append(row), word.append(b" %d" % row), tf.append(0), doc.append(k), n.append(total), known.append(s_known), base.append(s_base), lp.append(s_lp)
-                ids = part.column(1).take(pa.array(doc, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(word, pa.binary()), pa.array(tf, pa.int64()), ids, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(lp, pa.float64())], ["key", "word", "tf", "id", "n", "known", "base", "lp0"])
+            n_rows, keys = batch.num_rows, batch.column(0).to_numpy()
+            rows, words = split_words(batch.column(2))
+            coded = words.dictionary_encode()
+            values, width = coded.dictionary, max(1, len(coded.dictionary))
+            pairs, tf = np.unique(rows * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            doc, code = pairs // width, pairs % width
+            place = pc.fill_null(pc.index_in(values, value_set=hot), -1).to_numpy(zero_copy_only=False)
+            at = place[code] if len(code) else np.empty(0, np.int64)
+            seen = at >= 0
+            # A word never holds a space, so the document's own row joins nothing and its keys spread.
+            columns = [batch.column(0), pa.array([b" %d" % k for k in keys.tolist()], pa.binary()), pa.array(np.zeros(n_rows, np.int64)), batch.column(1), pa.array(np.bincount(rows, minlength=n_rows) + 1)]
+            for kind, values_of, end in zip((np.int64, np.float64, np.float64), sums, ends, strict=True):
+                columns.append(pa.array((end + np.bincount(doc[seen], weights=tf[seen] * values_of[at[seen]], minlength=n_rows)).astype(kind)))
+            yield pa.RecordBatch.from_arrays(columns, NAMES)
+            rest = ~seen
+            n = int(rest.sum())
+            if n:
+                others = [pa.array(keys[doc[rest]]), values.take(pa.array(code[rest])), pa.array(tf[rest].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([*others, *[pa.nulls(n, c.type) for c in columns[3:]]], NAMES)
 
     return run
 
 
+NAMES = ["key", "word", "tf", "id", "n", "known", "base", "lp0"]
+
+
 def fit(word_table: DataFrame, n_train: int, path: str, rounds: int = EM_ROUNDS) -> tuple[Lattice, float]:
     """The lattice fitted to words (word, c) with c > 0, and the log10 probability of an end."""
     pieces = vocabulary(path)
@@ -323,10 +326,12 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     scored = written(words.mapInArrow(_score_words(spark.sparkContext.broadcast(lattice)), "word binary, c long, total long, lp double"), "word-scores")
     floor = -math.log10(n + (v + 1))
     top = scored.orderBy(F.desc("total"), "word").limit(hot)
-    frequent = {bytes(r.word): (int(r.c > 0), math.log10(r.c + 1) + floor, r.lp) for r in top.select("word", "c", "lp").toLocalIterator()}
-    sent = spark.sparkContext.broadcast((frequent, (floor, math.log10(n_train + 1) + floor, int(n_train > 0), end_lp)))
+    frequent = top.select("word", "c", "lp").toArrow()
+    counts = frequent["c"].to_numpy()
+    sums = (counts > 0).astype(np.float64), np.log10(counts + 1.0) + floor, frequent["lp"].to_numpy()
+    sent = spark.sparkContext.broadcast((frequent["word"].combine_chunks().cast(pa.binary()), sums, (int(n_train > 0), math.log10(n_train + 1) + floor, end_lp)))
     kind = dict(source.dtypes)["id"]
-    rows = source.select(F.monotonically_increasing_id().alias("key"), "id", "text").mapInArrow(_read_documents(sent, kind), f"key long, word binary, tf long, id {kind}, n long, known long, base double, lp0 double")
+    rows = source.select(F.monotonically_increasing_id().alias("key"), "id", "text").mapInArrow(_read_documents(sent), f"key long, word binary, tf long, id {kind}, n long, known long, base double, lp0 double")
     joined = rows.join(scored.select("word", "c", "lp"), "word", "left")
     parts = joined.groupBy("key").agg(
         F.max("id").alias("id"),
