@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 HOT = 50_000
-EM_ROUNDS = 1
+EM_ROUNDS = 2
+#: Bytes of text that are split at once: many where words are counted, so that few partial counts are handed on.
+COUNTED_BYTES, READ_BYTES = 24 << 20, 4 << 20
 SPACE_MARK = "▁"
 LOG10 = math.log(10)
 
@@ -200,9 +202,19 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return rows.filter(there).to_numpy(zero_copy_only=False).astype(np.int64), words.filter(there).cast(pa.binary())
 
 
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have no more bytes together, a longer text alone: the arrays made of a run are bounded."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    run = np.cumsum(lengths.astype(np.int64)) // most_bytes
+    starts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist()]
+    for a, z in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+        if z > a:
+            yield batch.slice(a, z - a)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, held_out) to partial (word, training count, count)."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 0, COUNTED_BYTES)):
         rows, words = split_words(batch.column(0))
         held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)[rows]
         for part, trains in ((~held, True), (held, False)):
@@ -258,7 +270,7 @@ def _read_documents(sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, sums, ends = sent.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2, READ_BYTES)):
             n_rows, keys = batch.num_rows, batch.column(0).to_numpy()
             rows, words = split_words(batch.column(2))
             coded = words.dictionary_encode()
