@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
+
 #: ASCII white space, the only separator of `[^\x20\x09-\x0D]+` words.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -16,23 +17,9 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 LOWER_TABLE = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where it is unset, in local mode alone, one of our own: a machine's own folder is of no
-    use to the others of a cluster, so there it is an error."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = conf.get("spark.master", "")
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="claimgraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def scratch_dir(spark: SparkSession) -> str:
     """Where this application's tables between steps are; see drop_scratch()."""
-    return f"{shared_dir(spark)}/claimgraph-scratch/{spark.sparkContext.applicationId}"
+    return f"{shared_folder(spark)}/claimgraph-scratch/{spark.sparkContext.applicationId}"
 
 
 def drop_scratch(spark: SparkSession) -> None:
