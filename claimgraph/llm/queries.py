@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, licenses, lm, mixing, neardup, pii, quality, tokens
+from . import chat, decontaminate, divergence, html, licenses, lm, mixing, neardup, pii, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +74,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, k=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_decontaminate, op3_mix, op4_quality, op5_licenses, op6_token_counts, op7_lattice_score, op8_pii, op9_extract_text, op10_near_duplicates)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_decontaminate, op3_mix, op4_quality, op5_licenses, op6_token_counts, op7_lattice_score, op8_pii, op9_extract_text, op10_near_duplicates, op13_source_divergence)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES: dict[str, str] = {
     "op2_decontaminate": rf"""
@@ -100,4 +104,22 @@ r AS (SELECT rep AS a, rep AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON l.
 m AS (SELECT a AS rep, min(b) AS component_id FROM r GROUP BY a)
 SELECT s.doc_id, CAST(len(s.x) AS BIGINT) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(m.component_id, s.doc_id) AS kept
 FROM s LEFT JOIN c ON c.x = list_sort(s.x) LEFT JOIN m ON m.rep = c.rep""",
+    "op13_source_divergence": rf"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+k AS (SELECT lang, source, term, count(*) AS c FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+n AS (SELECT lang, source, sum(c) AS n FROM k GROUP BY ALL),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(k.c, 0) AS c, 1 + CAST((1000000000::HUGEINT * (coalesce(k.c, 0) + 5)) // (coalesce(n.n, 0) + 5 * v.v) AS BIGINT) AS p
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source) LEFT JOIN k USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + CAST((1000000000::HUGEINT * (sum(c) + 5)) // (any_value(total) + 5 * any_value(v)) AS BIGINT) AS q
+  FROM k JOIN (SELECT lang, sum(c) AS total FROM k GROUP BY ALL) USING (lang) JOIN v USING (lang) GROUP BY ALL),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 50""",
 }
