@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, html, licenses, lm, mixing, neardup, pii, quality, tokens
+from . import chat, decontaminate, divergence, html, licenses, lm, mixing, neardup, pii, quality, tokens, trie, vectors
+from .common import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,11 +75,21 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, k=2)
 
 
+def op11_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.near_copies(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = written(trie.paths(table(spark, sf_dir, "conversations")), "conversations")
+    return trie.prefix_trie(trie.rebuilt(own))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_decontaminate, op3_mix, op4_quality, op5_licenses, op6_token_counts, op7_lattice_score, op8_pii, op9_extract_text, op10_near_duplicates, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_decontaminate, op3_mix, op4_quality, op5_licenses, op6_token_counts, op7_lattice_score, op8_pii, op9_extract_text, op10_near_duplicates, op11_projection_passes, op12_prefix_trie, op13_source_divergence)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES: dict[str, str] = {
     "op2_decontaminate": rf"""
@@ -104,6 +115,26 @@ r AS (SELECT rep AS a, rep AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON l.
 m AS (SELECT a AS rep, min(b) AS component_id FROM r GROUP BY a)
 SELECT s.doc_id, CAST(len(s.x) AS BIGINT) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(m.component_id, s.doc_id) AS kept
 FROM s LEFT JOIN c ON c.x = list_sort(s.x) LEFT JOIN m ON m.rep = c.rep""",
+    "op11_projection_passes": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN n USING (vec_id)""",
+    "op12_prefix_trie": r"""
+WITH r AS (SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d, strlen(coalesce(text, '')) AS b FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({d: d, b: b} ORDER BY turn NULLS FIRST, d[1:32]) AS own FROM r GROUP BY conv_id),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) % 9 AS h FROM o),
+p AS (SELECT h.conv_id, list_concat(coalesce(f.own[1:h.h], []), h.own[h.h + 1:]) AS p FROM h LEFT JOIN o f ON f.conv_id = h.conv_id - h.conv_id % 5),
+x AS (SELECT conv_id, len(p) AS turns, p, unnest(range(0, len(p) + 1)) AS depth FROM p),
+k AS (SELECT conv_id, turns, depth, coalesce(p[depth].b, 0) AS b, md5(array_to_string(list_transform(p[1:depth], lambda t: t.d), '')) AS k, CASE WHEN depth > 0 THEN md5(array_to_string(list_transform(p[1:depth - 1], lambda t: t.d), '')) END AS up FROM x),
+n AS (SELECT k, depth, any_value(up) AS up, any_value(b) AS b, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (turns = depth), '')) AS ends_sha256 FROM k GROUP BY k, depth),
+c AS (SELECT up, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+s AS (SELECT a.k, count(*) FILTER (c.n_children IS NULL) AS n_leaves, CAST(sum((n.n_convs - 1) * n.b) AS BIGINT) AS saved_tokens FROM n JOIN k a ON a.conv_id = n.conv_id AND a.depth <= n.depth LEFT JOIN c ON c.up = n.k GROUP BY a.k)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN s USING (k) LEFT JOIN c ON c.up = n.k LEFT JOIN n u ON u.k = n.up""",
     "op13_source_divergence": rf"""
 WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
 g AS (SELECT DISTINCT lang, source FROM d),
