@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import carried
+
 
 def align_tokens(left: DataFrame, right: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
     """Pairs of tokens of two cuts of one text that begin and end at the same characters (white space aside).
@@ -51,16 +53,13 @@ def merge_ordered(df: DataFrame, keys: list[str], order: str, values: str) -> Da
 def first_by_priority(df: DataFrame, keys: list[str], kind: str, priority: tuple[str, ...], order: str) -> DataFrame:
     """The first row, in order, of the kind that comes first in the priority list; other kinds are passed over."""
     rank = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col(kind))
-    w = Window.partitionBy(*keys).orderBy("__rank", order)
-    return df.withColumn("__rank", rank).where("__rank > 0").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__rank", "__n")
+    first = df.withColumn("__rank", rank).where("__rank > 0").groupBy(*keys).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct("__rank", order)).alias("__first"))
+    return first.select("__first.*")
 
 
 def fill_labels(df: DataFrame, keys: list[str], order: str, label: str, breaks: Column, name: str) -> DataFrame:
     """Carry the last label over unlabelled rows until a row that breaks the run."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("__run", F.sum(F.when(breaks, 1).otherwise(0)).over(w))
-    own = Window.partitionBy(*keys, "__run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(F.when(breaks, None).otherwise(F.col(label)), ignorenulls=True).over(own)).drop("__run")
+    return carried(df, keys, [order], F.when(breaks, None).otherwise(F.col(label)), name, breaks)
 
 
 def demoted_roots(tokens: Column, labels: Column, root: str) -> Column:

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean, morphology, tokens
-from ..operators import classify, graph, intervals, lexicon, matching, numbering, ordered, rdf, segments
+from ..operators import antecedents, asof, classify, graph, intervals, lexicon, matching, numbering, ordered, rdf, scan, segments
 from ..sources import conllu, patents
+from ..storage import saved
 from . import expected
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -585,6 +586,75 @@ def cleaned_claims(spark, sf_dir):
     return spark.createDataFrame(given, "id int, text string").select("id", clean.clean_claim(F.col("text")).alias("text"))
 
 
+# --- as-of joins with agreement -----------------------------------------------------------------------------------------
+
+
+def _tokens_of_turns(spark, sf_dir):
+    """(conv_id, seg_id, ix, id, pos, number, gender, case, verb_form, parent, deprel): turns as tokens, three to a clause."""
+    t = _segments_of_turns(spark, sf_dir).select("conv_id", F.posexplode("tokens").alias("i", "t"))
+    f = lambda n: tokens.feature(F.col("t"), n)
+    n = F.length("t.text")
+    gender = F.when(n % 5 > 0, f("Gender"))
+    case = F.when(n % 7 > 0, f("Case"))
+    return t.select("conv_id", F.floor(F.col("i") / 3).cast("int").alias("seg_id"), (F.col("i") + 1).alias("ix"), "t.id", "t.pos", f("Number").alias("number"), gender.alias("gender"), case.alias("case"), F.when(n % 2 == 0, "Fin").alias("verb_form"), "t.parent", "t.deprel")
+
+
+_TOKENS_SQL = _TURNS_SQL + """, w AS (SELECT conv_id, (ix - 1) // 3 AS seg_id, ix, CAST(ix AS VARCHAR) AS id, pos, number, CASE WHEN n % 5 > 0 THEN gender END AS gender, CASE WHEN n % 7 > 0 THEN case_ END AS c, CASE WHEN n % 2 = 0 THEN 'Fin' END AS verb_form, CAST(parent AS VARCHAR) AS parent, deprel FROM k)"""
+
+
+@query(f"""WITH {_TOKENS_SQL}, m AS (SELECT v.conv_id, v.ix, n.ix AS found,
+n.number = v.number AND (n.gender IS NOT DISTINCT FROM v.gender OR (v.gender = 'Neut' AND n.gender = 'Masc') OR (v.number = 'Plur' AND v.gender IS NULL)) AND n.c IS NOT DISTINCT FROM v.c AS exact,
+(n.number = v.number OR v.number = 'Plur') AND (((n.gender IS NOT DISTINCT FROM v.gender OR v.gender IS NULL OR (v.gender = 'Neut' AND n.gender = 'Masc')) AND ((n.c IN ('Acc', 'Gen') AND v.c IN ('Acc', 'Gen')) OR (n.c IN ('Acc', 'Nom') AND v.c IN ('Acc', 'Nom')) OR (n.c IN ('Loc', 'Ins') AND v.c IN ('Loc', 'Ins'))))
+ OR (v.c IS NULL AND n.c = 'Nom' AND (n.gender IS NOT DISTINCT FROM v.gender OR (v.gender = 'Neut' AND n.gender = 'Masc'))) OR n.c IS NOT DISTINCT FROM v.c) AS loose
+FROM w v JOIN w n ON n.conv_id = v.conv_id AND n.seg_id < v.seg_id AND n.pos = 'NOUN' WHERE v.pos = 'VERB'),
+b AS (SELECT conv_id, ix, max(found) FILTER (exact) AS e, max(found) FILTER (loose) AS l FROM m GROUP BY ALL)
+SELECT v.conv_id, v.ix, CAST(coalesce(e, l) AS VARCHAR) AS noun, CASE WHEN e IS NOT NULL THEN 0 WHEN l IS NOT NULL THEN 1 END AS tier FROM w v LEFT JOIN b USING (conv_id, ix) WHERE v.pos = 'VERB'""")
+def agreeing_nouns(spark, sf_dir):
+    t = saved(_tokens_of_turns(spark, sf_dir), "tokens")
+    return antecedents.noun_for_participle(t.where("pos = 'VERB'"), t, ["conv_id"]).select("conv_id", "ix", F.col("noun.id").alias("noun"), F.col("noun_tier").alias("tier"))
+
+
+@query(f"""WITH {_TOKENS_SQL}, m AS (SELECT v.conv_id, v.ix, n.seg_id, n.ix AS found, n.id, n.parent, n.deprel FROM w v JOIN w n ON n.conv_id = v.conv_id AND n.seg_id < v.seg_id AND n.pos = 'NOUN' AND n.number = v.number AND (n.gender = v.gender OR n.number = 'Plur') WHERE v.pos <> 'NOUN'),
+x AS (SELECT * FROM m QUALIFY seg_id = max(seg_id) OVER (PARTITION BY conv_id, ix)),
+f AS (SELECT * FROM x WHERE deprel = 'conj' OR NOT EXISTS (SELECT 1 FROM x o WHERE o.conv_id = x.conv_id AND o.ix = x.ix AND o.id = x.parent AND o.found < x.found))
+SELECT v.conv_id, v.ix, arg_max(f.id, f.found) AS noun FROM w v LEFT JOIN f USING (conv_id, ix) WHERE v.pos <> 'NOUN' GROUP BY ALL""")
+def which_antecedents(spark, sf_dir):
+    t = saved(_tokens_of_turns(spark, sf_dir), "tokens")
+    return antecedents.noun_for_which(t.where("pos <> 'NOUN'"), t, ["conv_id"]).select("conv_id", "ix", F.col("noun.id").alias("noun"))
+
+
+@query(f"""WITH {_TOKENS_SQL} SELECT v.conv_id, v.ix, CAST(max(n.ix) AS VARCHAR) AS verb FROM w v LEFT JOIN w n ON n.conv_id = v.conv_id AND n.seg_id < v.seg_id AND n.pos = 'VERB' AND n.verb_form = 'Fin' GROUP BY ALL""")
+def finite_verbs_before(spark, sf_dir):
+    t = saved(_tokens_of_turns(spark, sf_dir), "tokens")
+    return antecedents.finite_verb_before(t, t, ["conv_id"]).select("conv_id", "ix", F.col("verb.id").alias("verb"))
+
+
+@query("""WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'), v AS (SELECT * FROM events WHERE event_type IN ('view', 'click')),
+m AS (SELECT p.event_id, v.event_id AS found, v.ts AS seen, CASE WHEN CAST(v.ts AS DATE) = CAST(p.ts AS DATE) AND floor(v.value / 10) = floor(p.value / 10) THEN 0 WHEN floor(v.value / 10) = floor(p.value / 10) THEN 1 WHEN CAST(v.ts AS DATE) = CAST(p.ts AS DATE) AND abs(floor(v.value / 10) - floor(p.value / 10)) = 1 THEN 2 ELSE 3 END AS tier
+FROM p JOIN v ON v.user_id = p.user_id AND v.ts < p.ts), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY tier, seen DESC, found DESC) = 1)
+SELECT p.event_id, b.found AS near_id, b.tier FROM p LEFT JOIN b USING (event_id)""")
+def nearest_like_event(spark, sf_dir):
+    """For each purchase the last view or click of its user that is most like it: same day and value step, same step, same day and next step, any."""
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", F.to_date("ts").cast("string").alias("day"), F.floor(F.col("value") / 10).alias("step"))
+    one = asof.Alternative
+    day, step = F.col("day"), F.col("step")
+    tiers = [[one([day, step], [day, step])], [one([step], [step])], [one([day, F.array(step - 1, step + 1)], [day, step])], [one()]]
+    found = asof.nearest_agreeing(e.where("event_type = 'purchase'"), e.where("event_type in ('view', 'click')"), ["user_id"], ["ts"], tiers, F.col("event_id"), "near_id")
+    return found.select("event_id", "near_id", F.col("near_id_tier").alias("tier"))
+
+
+@query("""WITH RECURSIVE t(s, i, o) AS (VALUES ('P0', 'signup', 'P1'), ('P0', 'click', 'P14'), ('P0', 'purchase', 'P13'), ('P0', 'error', 'P9'), ('P1', 'click', 'P3'), ('P1', 'purchase', 'P7'), ('P1', 'error', 'P9'), ('P3', 'signup', 'P4'), ('P3', 'purchase', 'P7'), ('P3', 'error', 'P9')),
+e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT DISTINCT user_id, NULL::BIGINT AS event_id, 'P0' AS state, 0::BIGINT AS k FROM e UNION ALL SELECT e.user_id, e.event_id, coalesce(t.o, r.state), e.k FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1 LEFT JOIN t ON t.s = r.state AND t.i = e.event_type)
+SELECT event_id, state FROM r WHERE event_id IS NOT NULL""")
+def running_states(spark, sf_dir):
+    """The state of the template machine after every event of a user, of the transitions out of its first states."""
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    names = {v: k for k, v in _SYMBOLS.items()}
+    some = {(s, names[i]): o for (s, i), o in classify.TRANSITIONS.items() if s in ("P0", "P1", "P3") and i in names and names[i] != "view"}
+    return scan.states(e, ["user_id"], ["ts", "event_id"], "event_type", some, "P0", "state").select("event_id", "state")
+
+
 # --- relations --------------------------------------------------------------------------------------------------------
 
 
