@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import saved
+from .containment import containing
 from .ordered import last_wins
 
 ROOT = "0.0"
@@ -19,6 +20,30 @@ def resolve_refs(df: DataFrame, refs: DataFrame, code: str, *keys: str) -> DataF
     return df
 
 
+def resolved(refs: DataFrame, rounds: int = 64) -> DataFrame:
+    """(code, alias, key): refs with each alias's chain of keys followed to its end, by pointer jumping: each round doubles how far every alias
+    sees, so a chain of n takes about log2 n rounds. Aliases that lead into a cycle stand for the cycle's smallest key. An alias with several keys
+    takes the greatest; null aliases and keys are left out, and so is an alias of itself.
+    """
+    one = refs.where("alias is not null and key is not null").groupBy("code", "alias").agg(F.max("key").alias("key")).where("alias <> key")
+    one = saved(one, "refs")
+    more = one.select("code", F.col("alias").alias("key"), F.lit(True).alias("open"))
+    state = saved(one.join(more, ["code", "key"], "left").select("code", "alias", "key", F.col("key").alias("least"), F.coalesce("open", F.lit(False)).alias("open")), "chains")
+    for _ in range(rounds):
+        ahead = state.select("code", F.col("alias").alias("key"), F.col("key").alias("far"), F.col("least").alias("far_least"), F.col("open").alias("far_open"))
+        seen = state.where("open").join(ahead, ["code", "key"])
+        seen = seen.select("code", "alias", F.col("far").alias("key"), F.least("least", "far_least").alias("least"), F.col("far_open").alias("open"), (~F.col("far_open") | (F.col("far_least") < F.col("least"))).alias("news"))
+        seen = saved(seen, "chains")
+        state = saved(state.where("not open").unionByName(seen.drop("news")), "chains")
+        # Without a chain that ended or a smaller key seen, what is open are cycles, and every key on them sees all of its own.
+        if not seen.where("news").limit(1).count():
+            break
+    else:
+        raise RuntimeError(f"chains did not end in {rounds} rounds")
+    cycles = state.where("open").select("code", F.col("alias").alias("key"), F.col("least").alias("cycle"))
+    return state.join(cycles, ["code", "key"], "left").select("code", "alias", F.when(F.col("open"), F.col("cycle")).otherwise(F.col("key")).alias("key"))
+
+
 def cross_points(df: DataFrame, left: str, right: str, keys: list[str]) -> DataFrame:
     """Each point of one side with each of the other, within a row."""
     return df.select(*keys, F.explode(left).alias("sbj_key"), F.col(right)).select(*keys, "sbj_key", F.explode(right).alias("obj_key"))
@@ -34,11 +59,11 @@ def floating(terms: DataFrame, edges: DataFrame) -> DataFrame:
     return terms.where(F.col("key") != ROOT).join(held, ["code", "key"], "left_anti")
 
 
-def similar_terms(loose: DataFrame, terms: DataFrame) -> DataFrame:
-    """(code, key, into): floating terms whose text exactly one other term of the document contains."""
-    other = terms.select("code", F.col("key").alias("into"), F.col("term").alias("longer"))
-    found = loose.join(other, "code").where((F.col("key") != F.col("into")) & F.contains("longer", F.col("term")))
-    return found.groupBy("code", "key").agg(F.count("*").alias("n"), F.min("into").alias("into")).where("n = 1").drop("n")
+def similar_terms(loose: DataFrame, terms: DataFrame, keys: tuple[str, ...] = ("code",)) -> DataFrame:
+    """(keys, key, into): floating terms whose text exactly one other term of equal keys contains."""
+    other = terms.select(*keys, F.col("key").alias("into"), F.col("term").alias("longer"))
+    found = containing(loose, other, list(keys), "term", "longer").where(F.col("key") != F.col("into"))
+    return found.groupBy(*keys, "key").agg(F.count("*").alias("n"), F.min("into").alias("into")).where("n = 1").drop("n")
 
 
 def similar_in_order(loose: DataFrame, terms: DataFrame) -> DataFrame:
@@ -92,18 +117,23 @@ def post_process(terms: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
 def closure(edges: DataFrame, types: tuple[str, ...] = ("comp", "have")) -> DataFrame:
     """(code, ancestor, descendant, depth) along containment edges; each pair at its least depth, to any depth.
 
-    Each round follows the pairs found last by one edge and keeps those not known yet, so cycles end and no pair is found twice.
+    Each round joins what is known with itself, so paths double in length and rounds are the logarithm of the depth; a pair stays at its
+    least depth, so cycles end.
     """
-    step = saved(edges.where(F.col("type").isin(*types)).select("code", "sbj_key", "obj_key").distinct(), "contains")
     pair = ["code", "ancestor", "descendant"]
-    last = saved(step.select("code", F.col("sbj_key").alias("ancestor"), F.col("obj_key").alias("descendant"), F.lit(1).alias("depth")), "closure")
-    known = last
-    while last.limit(1).count():
-        ahead = last.join(step.withColumnRenamed("sbj_key", "descendant"), ["code", "descendant"])
-        found = ahead.select("code", "ancestor", F.col("obj_key").alias("descendant"), (F.col("depth") + 1).alias("depth")).distinct()
-        last = saved(found.join(known.select(*pair), pair, "left_anti"), "closure")
-        known = known.unionByName(last)
-    return known
+    step = edges.where(F.col("type").isin(*types)).select("code", F.col("sbj_key").alias("ancestor"), F.col("obj_key").alias("descendant"), F.lit(1).alias("depth")).distinct()
+    known = saved(step, "closure")
+    reach = 1
+    while True:
+        # Paths longer than half of what is known so far go on; the shorter ones did so in an earlier round.
+        ahead = known.where(F.col("depth") > reach // 2) if reach > 1 else known
+        right = known.select("code", F.col("ancestor").alias("descendant"), F.col("descendant").alias("last"), F.col("depth").alias("more"))
+        found = ahead.join(right, ["code", "descendant"]).select("code", "ancestor", F.col("last").alias("descendant"), (F.col("depth") + F.col("more")).alias("depth"))
+        after = saved(known.unionByName(found).groupBy(*pair).agg(F.min("depth").alias("depth")), "closure")
+        reach *= 2
+        if not after.where(F.col("depth") > reach // 2).limit(1).count():
+            return after
+        known = after
 
 
 def dot(terms: DataFrame, edges: DataFrame) -> DataFrame:

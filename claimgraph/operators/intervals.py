@@ -1,21 +1,42 @@
-"""Joins on ranges, as equi-joins on bins."""
+"""Joins on ranges, as equi-joins on nodes of a binary tree."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import saved
 
-def within(points: DataFrame, spans: DataFrame, keys: list[str], at: str, low: str, high: str, width: int) -> DataFrame:
-    """Points joined to the spans of equal keys with low <= at < high.
 
-    A span is filed under every bin of `width` that it touches and a point under its own, so the join is an equi-join and each pair
-    is met once. A width near the usual span length keeps a span in a few bins. Null ends join nothing.
+def within(points: DataFrame, spans: DataFrame, keys: list[str], at: str, low: str, high: str) -> DataFrame:
+    """Points joined to the spans of equal keys with low <= at < high, whatever the spans' lengths.
+
+    The whole numbers are the leaves of a binary tree. A span is filed under the fewest nodes that cover it, two a level at most, and a
+    point under its ancestors on the levels that spans use, so the join is an equi-join, each pair is met once, and rows grow with the
+    logarithm of the length. Ends that are no whole numbers are widened for the filing and compared as they are. Null ends and empty spans join nothing.
     """
-    bin_of = lambda c: F.floor(c / width).cast("long")
-    filed = spans.where(F.col(low) < F.col(high)).withColumn("__bin", F.explode(F.sequence(bin_of(F.col(low)), bin_of(F.col(high) - 1))))
-    placed = points.withColumn("__bin", bin_of(F.col(at)))
-    return placed.join(filed, [*keys, "__bin"]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__bin")
+    filed = saved(spans.where(F.col(low) < F.col(high)).withColumn("__node", F.explode(cover(F.floor(low).cast("long"), F.ceil(high).cast("long")))), "filed")
+    levels = sorted(r[0] for r in filed.select("__node.level").distinct().collect())  # 63 at most
+    own = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.floor(at).cast("long"), k).alias("n")) for k in levels])
+    placed = points.where(F.col(at).isNotNull()).withColumn("__node", F.explode(own.cast("array<struct<level:int,n:bigint>>")))
+    return placed.join(filed, [*keys, "__node"]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__node")
+
+
+def cover(low: Column, high: Column) -> Column:
+    """The fewest nodes (level, n), each the whole numbers from n * 2^level to before (n + 1) * 2^level, that make up low .. high - 1."""
+    node = "struct<level:int,n:bigint>"
+    start = F.struct(low.alias("low"), high.alias("high"), F.array().cast(f"array<{node}>").alias("nodes"))
+    one = lambda k, n: F.array(F.struct(k.cast("int").alias("level"), n.alias("n")))
+    none = F.array().cast(f"array<{node}>")
+
+    def up(s: Column, k: Column) -> Column:
+        more = s["low"] < s["high"]
+        left, right = more & (s["low"].bitwiseAND(1) == 1), more & (s["high"].bitwiseAND(1) == 1)
+        right = right & (~left | (s["low"] + 1 < s["high"]))
+        nodes = F.concat(s["nodes"], F.when(left, one(k, s["low"])).otherwise(none), F.when(right, one(k, s["high"] - 1)).otherwise(none))
+        return F.struct(F.shiftright(s["low"] + F.when(left, 1).otherwise(0), 1).alias("low"), F.shiftright(s["high"], 1).alias("high"), nodes.alias("nodes"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), start, up, lambda s: s["nodes"])
 
 
 def set_union(a: DataFrame, b: DataFrame) -> DataFrame:

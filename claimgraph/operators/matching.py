@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import carried
+from ..storage import saved
+from .scan import carried, running_total
+
+
+def _ends(df: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """(keys, at, text, start, end): tokens with the characters they span in their text, white space aside."""
+    total = running_total(df.select(*keys, F.col(order).alias("at"), F.col(text).alias("text")), keys, ["at"], F.length("text"), "end")
+    return total.select(*keys, "at", "text", (F.col("end") - F.coalesce(F.length("text"), F.lit(0))).alias("start"), "end")
 
 
 def align_tokens(left: DataFrame, right: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
@@ -13,13 +20,24 @@ def align_tokens(left: DataFrame, right: DataFrame, keys: list[str], order: str,
 
     Token ends are running sums of lengths, so the alignment is an equi-join on (keys, start, end), not a two-pointer walk.
     """
+    named = lambda df, name: _ends(df, keys, order, text).withColumnsRenamed({"at": name, "text": f"{name}_text"})
+    return named(left, "left_at").join(named(right, "right_at"), [*keys, "start", "end"])
 
-    def placed(df: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        end = F.sum(F.length(text)).over(w)
-        return df.select(*keys, F.col(order).alias(name), F.col(text).alias(f"{name}_text"), (end - F.length(text)).alias("start"), end.alias("end"))
 
-    return placed(left, "left_at").join(placed(right, "right_at"), [*keys, "start", "end"])
+def align_groups(left: DataFrame, right: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """(keys, end, left_from, left_to, n_left, right_from, right_to, n_right): tokens of two cuts of one text in groups, m of the one for n of the other.
+
+    A group ends where both cuts have a token's end (`end` counts characters, white space aside); what is behind the last common end is one group whose end is
+    null, with the tokens of one side alone where the other has none. Every token of both sides is in one group. Each token takes the
+    next common end, by a scan from the back, so a text of any length is many tasks.
+    """
+    sides = [_ends(df, keys, order, text).withColumn("side", F.lit(n)) for n, df in enumerate((left, right))]
+    both = saved(sides[0].unionByName(sides[1]), "tokens")
+    common = both.where("end is not null").groupBy(*keys, "end").agg(F.countDistinct("side").alias("n")).where("n = 2").select(*keys, "end", F.lit(-1).alias("side"))
+    ahead = carried(both.unionByName(common, allowMissingColumns=True), keys, [F.desc("end"), F.asc("side")], F.when(F.col("side") < 0, F.col("end")), "group")
+    side = lambda n, f: f(F.when(F.col("side") == n, F.col("at")))
+    found = ahead.where("side >= 0").groupBy(*keys, "group").agg(*[f.alias(n) for k, name in ((0, "left"), (1, "right")) for f, n in ((side(k, F.min), f"{name}_from"), (side(k, F.max), f"{name}_to"), (side(k, F.count), f"n_{name}"))])
+    return found.withColumnRenamed("group", "end")
 
 
 def nearest_holder(df: DataFrame, other: DataFrame, keys: list[str], order: str, ids: str, name: str) -> DataFrame:

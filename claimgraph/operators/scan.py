@@ -66,6 +66,19 @@ def carried(df: DataFrame, keys: list[str], order: list, value: Column, name: st
     return joined.drop("__at", "__part", "__value", "__reset", "__since", "__last", "__before", "__next", "__key", "__in")
 
 
+def running_total(df: DataFrame, keys: list[str], order: list, value: Column, name: str) -> DataFrame:
+    """Add the sum of value over the rows of the same keys up to this one; null values count nothing."""
+    sort = [*[F.col(f"`{k}`") for k in keys], *order]
+    placed = saved(_in_ranges(df.withColumn("__value", F.coalesce(value, F.lit(0))), sort), "ranged").withColumn("__part", F.shiftright("__at", 33))
+    within = Window.partitionBy("__part", *[F.col(f"`{k}`") for k in keys]).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.withColumn("__sum", F.sum("__value").over(within))
+    ends = _next_range(local.groupBy(F.col("__part").alias("part")).agg(F.max_by(F.struct(_key(keys).alias("key"), "__sum"), "__at").alias("end")))
+    out = F.sum("end.__sum").over(Window.partitionBy("end.key").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    incoming = ends.withColumn("out", out).where("next is not null").select(F.col("next").alias("__next"), F.col("end.key").alias("__key"), F.col("out").alias("__in"))
+    joined = local.join(F.broadcast(incoming), (F.col("__part") == F.col("__next")) & _same_keys("__key", keys), "left")  # a row a range
+    return joined.withColumn(name, F.col("__sum") + F.coalesce("__in", F.lit(0))).drop("__at", "__part", "__value", "__sum", "__next", "__key", "__in")
+
+
 # --- finite-state machines --------------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean, morphology, tokens
-from ..operators import antecedents, asof, classify, graph, intervals, lexicon, matching, numbering, ordered, rdf, scan, segments
+from ..operators import antecedents, asof, classify, containment, graph, intervals, lexicon, matching, numbering, ordered, rdf, scan, segments
 from ..sources import conllu, patents
 from ..storage import saved
 from . import expected
@@ -662,7 +662,69 @@ def running_states(spark, sf_dir):
 def points_in_intervals(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     spans = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("low"), (F.col("event_id") + 500).alias("high"))
-    return intervals.within(e.drop("event_type"), spans, ["user_id"], "event_id", "low", "high", 500).select("user_id", "event_id", "low")
+    return intervals.within(e.drop("event_type"), spans, ["user_id"], "event_id", "low", "high").select("user_id", "event_id", "low")
+
+
+@query("""WITH s AS (SELECT user_id, event_id, event_id * 1000 - 7 AS low, event_id * 1000 - 7 + CAST(pow(10, event_id % 10) AS BIGINT) AS high FROM events)
+SELECT s.user_id, s.event_id, s.high - s.low AS length, count(*) AS n_points, min(e.event_id) AS first_point FROM s JOIN events e ON e.user_id = s.user_id AND e.event_id * 1000 >= s.low AND e.event_id * 1000 < s.high GROUP BY ALL""")
+def spans_of_all_lengths(spark, sf_dir):
+    """Spans of 1 to 10^9 in one table, with the events of their user inside them."""
+    e = read(spark, sf_dir, "events").select("user_id", "event_id")
+    low = F.col("event_id") * 1000 - 7
+    spans = e.select("user_id", F.col("event_id").alias("span"), low.alias("low"), (low + F.pow(F.lit(10.0), F.col("event_id") % 10).cast("long")).alias("high"))
+    points = e.withColumn("point", F.col("event_id") * 1000)
+    found = intervals.within(points, spans, ["user_id"], "point", "low", "high")
+    return found.groupBy("user_id", F.col("span").alias("event_id"), (F.col("high") - F.col("low")).alias("length")).agg(F.count("*").alias("n_points"), F.min("event_id").alias("first_point"))
+
+
+_CHAINS_SQL = """o AS (SELECT o_orderkey AS k, o_custkey AS c, lag(o_orderkey) OVER w AS before, max(o_orderkey) OVER (PARTITION BY o_custkey) AS most FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+r AS (SELECT k AS alias, coalesce(before, CASE WHEN c % 10 = 0 AND most <> k THEN most END) AS key FROM o)"""
+
+
+@query(f"""WITH RECURSIVE {_CHAINS_SQL}, e AS (SELECT * FROM r WHERE key IS NOT NULL), w AS (SELECT alias, key, 1 AS n FROM e UNION ALL SELECT w.alias, e.key, w.n + 1 FROM w JOIN e ON e.alias = w.key WHERE w.n < 200 AND w.alias <> w.key),
+g AS (SELECT o_custkey, min(o_orderkey) AS least FROM orders WHERE o_custkey % 10 = 0 GROUP BY ALL HAVING count(*) > 1)
+SELECT 'o' AS code, alias, CASE WHEN o_custkey % 10 = 0 THEN coalesce(g.least, 0) ELSE l.key END AS key FROM (SELECT alias, arg_max(key, n) AS key FROM w GROUP BY alias) l JOIN orders ON o_orderkey = alias LEFT JOIN g USING (o_custkey)""")
+def alias_chains(spark, sf_dir):
+    """Each order stands for its customer's order before it; those of every tenth customer go round in a cycle."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("alias"), "o_custkey")
+    w = Window.partitionBy("o_custkey").orderBy("alias")
+    most = F.max("alias").over(Window.partitionBy("o_custkey"))
+    key = F.coalesce(F.lag("alias").over(w), F.when((F.col("o_custkey") % 10 == 0) & (most != F.col("alias")), most))
+    return graph.resolved(o.select(F.lit("o").alias("code"), "alias", key.alias("key")))
+
+
+@query("""WITH s AS (SELECT p_partkey, substr(p_name, 1 + CAST(p_partkey % 5 AS INTEGER), 3 + CAST(p_partkey % 17 AS INTEGER)) AS cut FROM part)
+SELECT s.p_partkey, count(*) AS n_in, min(p.p_partkey) AS first_in FROM s JOIN part p ON p.p_partkey <> s.p_partkey AND contains(p.p_name, s.cut) GROUP BY s.p_partkey""")
+def contained_names(spark, sf_dir):
+    """Cuts of part names, of all lengths, in the names of all other parts."""
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    cut = F.substr(F.col("p_name"), (F.col("p_partkey") % 5 + 1).cast("int"), (F.col("p_partkey") % 17 + 3).cast("int"))
+    found = containment.containing(p.select(F.col("p_partkey").alias("of"), cut.alias("cut")), p, [], "cut", "p_name").where("of <> p_partkey")
+    return found.groupBy(F.col("of").alias("p_partkey")).agg(F.count("*").alias("n_in"), F.min("p_partkey").alias("first_in"))
+
+
+@query("""WITH x AS (SELECT 'x' || min(p_partkey) AS key, split_part(p_name, ' ', 2) || ' ' || p_size AS term FROM part GROUP BY 2), w AS (SELECT 'w' || p_partkey AS key, p_name || ' ' || p_size AS term FROM part), t AS (SELECT * FROM x UNION ALL SELECT * FROM w)
+SELECT x.key, min(t.key) AS "into" FROM x JOIN t ON t.key <> x.key AND contains(t.term, x.term) GROUP BY x.key HAVING count(*) = 1""")
+def merge_similar_everywhere(spark, sf_dir):
+    """Similar terms without a document to keep them apart: second words and sizes of names, in all names with sizes."""
+    p, size = read(spark, sf_dir, "part"), F.col("p_size").cast("string")
+    tag = lambda t, c: F.concat(F.lit(t), c.cast("string")).alias("key")
+    word = p.groupBy(F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" "), size).alias("term")).agg(tag("x", F.min("p_partkey"))).select("key", "term")
+    whole = p.select(tag("w", F.col("p_partkey")), F.concat("p_name", F.lit(" "), size).alias("term"))
+    return graph.similar_terms(word, word.unionByName(whole), keys=())
+
+
+@query("""WITH a AS (SELECT doc_id, unnest(string_split_regex(text, '[ \\n]+')) AS t, generate_subscripts(string_split_regex(text, '[ \\n]+'), 1) AS i FROM documents),
+b AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]+[ \\n]+[a-z]+|[,.]|[^ \\n,.]+')) AS t, generate_subscripts(regexp_extract_all(text, '[a-z]+[ \\n]+[a-z]+|[,.]|[^ \\n,.]+'), 1) AS i FROM documents),
+c AS (SELECT 'l' AS side, doc_id, i, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM a UNION ALL SELECT 'r', doc_id, i, sum(length(regexp_replace(t, '[ \\n]+', '', 'g'))) OVER (PARTITION BY doc_id ORDER BY i) FROM b),
+g AS (SELECT doc_id, e FROM c GROUP BY ALL HAVING count(DISTINCT side) = 2), h AS (SELECT c.*, g.e AS g FROM c ASOF LEFT JOIN g ON g.doc_id = c.doc_id AND g.e >= c.e)
+SELECT doc_id, CAST(g AS BIGINT) AS "end", CAST(min(i) FILTER (side = 'l') AS INTEGER) AS left_from, CAST(max(i) FILTER (side = 'l') AS INTEGER) AS left_to, count(*) FILTER (side = 'l') AS n_left, CAST(min(i) FILTER (side = 'r') AS INTEGER) AS right_from, CAST(max(i) FILTER (side = 'r') AS INTEGER) AS right_to, count(*) FILTER (side = 'r') AS n_right FROM h GROUP BY ALL""")
+def aligned_groups(spark, sf_dir):
+    """Words, and pairs of words with punctuation apart, as two cuts of every document."""
+    docs = read(spark, sf_dir, "documents")
+    cut = lambda c: docs.select("doc_id", F.posexplode(c).alias("i", "t")).select("doc_id", (F.col("i") + 1).alias("i"), F.regexp_replace("t", "[ \n]+", "").alias("t"))
+    left, right = cut(F.split("text", "[ \n]+")), cut(F.regexp_extract_all("text", F.lit("[a-z]+[ \n]+[a-z]+|[,.]|[^ \n,.]+"), F.lit(0)))
+    return matching.align_groups(left, right, ["doc_id"], "i", "t")
 
 
 @query("""SELECT user_id FROM events WHERE event_type = 'purchase' UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'""")
