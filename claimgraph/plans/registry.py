@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean, morphology, tokens
-from ..operators import antecedents, asof, classify, containment, graph, intervals, lexicon, matching, numbering, ordered, rdf, scan, segments
+from ..operators import antecedents, asof, classify, containment, graph, intervals, lexicon, matching, numbering, ordered, rdf, scan, segments, tails, valence
 from ..sources import conllu, patents
 from ..storage import saved
 from . import expected
@@ -655,6 +655,71 @@ def running_states(spark, sf_dir):
     return scan.states(e, ["user_id"], ["ts", "event_id"], "event_type", some, "P0", "state").select("event_id", "state")
 
 
+@query("""WITH RECURSIVE p AS (SELECT p_brand, p_partkey, ['small', 'red', 'widget', 'gear', 'ring', 'blue'][p_partkey % 6 + 1] || ' и ' || p_name || CASE WHEN p_partkey % 3 = 0 THEN ' и ' || split_part(p_name, ' ', 1) ELSE '' END AS tail, CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE split_part(p_name, ' ', CAST(p_partkey % 2 AS INTEGER) + 1) END AS form FROM part),
+w AS (SELECT p_brand, p_partkey, tail, p_partkey AS before, 0 AS step, NULL::BIGINT AS owner FROM p UNION ALL
+SELECT p_brand, p_partkey, regexp_replace(regexp_replace(CASE WHEN form = tail OR starts_with(form, tail || ' ') THEN '' WHEN starts_with(tail, form || ' ') THEN substr(tail, length(form) + 2) ELSE substr(tail, 1, length(tail) - length(form) - 1) END, '^(и( |$))+', ''), '(^| )и$', ''), found, step + 1, found
+FROM (SELECT w.p_brand, w.p_partkey, w.tail, w.step, max(o.p_partkey) AS found, arg_max(o.form, o.p_partkey) AS form FROM w JOIN p o ON o.p_brand = w.p_brand AND o.p_partkey < w.before AND w.tail <> '' AND (o.form = w.tail OR starts_with(o.form, w.tail || ' ') OR starts_with(w.tail, o.form || ' ') OR ends_with(w.tail, ' ' || o.form)) GROUP BY ALL))
+SELECT p_brand, p_partkey, CAST(step AS INTEGER) AS step, owner FROM w WHERE step > 0""")
+def genitive_tail_owners(spark, sf_dir):
+    """Names, with words before and behind, as tails; words and names of earlier parts of the brand as their owners."""
+    p, k = read(spark, sf_dir, "part"), F.col("p_partkey")
+    first = F.element_at(F.array(*[F.lit(w) for w in ("small", "red", "widget", "gear", "ring", "blue")]), (k % 6 + 1).cast("int"))
+    tail = F.concat(first, F.lit(" и "), "p_name", F.when(k % 3 == 0, F.concat(F.lit(" и "), F.split_part("p_name", F.lit(" "), F.lit(1)))).otherwise(""))
+    form = F.when(k % 4 == 0, F.col("p_name")).otherwise(F.split_part("p_name", F.lit(" "), (k % 2 + 1).cast("int")))
+    return tails.owners(p.select("p_brand", "p_partkey", tail.alias("tail")), p.select("p_brand", "p_partkey", form.alias("form")), ["p_brand"], "p_partkey", "tail", "form")[0]
+
+
+def _valence_tables(spark, sf_dir):
+    """Events as tokens of their user: purchases are verbs, errors break; what is said and the cases come from the values."""
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", F.floor("value").cast("int").alias("n"))
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), F.pmod("n", F.lit(len(v))) + 1)
+    kind = F.when(F.col("event_type") == "purchase", "VERB").when(F.col("event_type") == "error", "ADV").when(F.col("event_type") == "signup", "ADP").otherwise("NOUN")
+    t = e.select("user_id", "event_id", "ts", kind.alias("pos"), pick("на", "с", "в", "из", "к").alias("text"), pick("Nom", "Acc", "Gen", "Loc", "Ins", "Dat").alias("case"), pick("a", "b", "c").alias("lemma"))
+    t = saved(numbering.numbered(t, ["user_id", "ts", "event_id"], "ix"), "tokens").withColumn("ix", F.col("ix").cast("int"))
+    table = [("a", 1, ["на", "с"], ["Gen"]), ("a", 2, [], ["Nom", "Acc"]), ("b", 1, [], ["Loc"]), ("b", 2, ["к"], ["Acc", "Dat"]), ("b", 3, [], ["Gen", "Ins"]), ("c", 1, [], ["Ins", "Dat"]), ("c", 2, [], ["Dat", "Nom"])]
+    return t, spark.createDataFrame(table, "lemma string, alt int, anchors array<string>, cases array<string>")
+
+
+_VALENCE_SQL = """t AS (SELECT user_id, event_id, CAST(row_number() OVER (ORDER BY user_id, ts, event_id) AS INTEGER) AS ix, CASE event_type WHEN 'purchase' THEN 'VERB' WHEN 'error' THEN 'ADV' WHEN 'signup' THEN 'ADP' ELSE 'NOUN' END AS pos,
+['на', 'с', 'в', 'из', 'к'][CAST(floor(value) AS INTEGER) % 5 + 1] AS text, ['Nom', 'Acc', 'Gen', 'Loc', 'Ins', 'Dat'][CAST(floor(value) AS INTEGER) % 6 + 1] AS c, ['a', 'b', 'c'][CAST(floor(value) AS INTEGER) % 3 + 1] AS lemma FROM events),
+v(lemma, alt, anchors, cases) AS (VALUES ('a', 1, ['на', 'с'], ['Gen']), ('a', 2, [], ['Nom', 'Acc']), ('b', 1, [], ['Loc']), ('b', 2, ['к'], ['Acc', 'Dat']), ('b', 3, [], ['Gen', 'Ins']), ('c', 1, [], ['Ins', 'Dat']), ('c', 2, [], ['Dat', 'Nom'])),
+o AS (SELECT s.user_id, s.ix AS verb, v.alt, v.cases, CASE WHEN len(v.anchors) = 0 THEN s.ix + 1 ELSE (SELECT min(x.ix) FROM t x WHERE x.user_id = s.user_id AND x.ix > s.ix AND list_contains(v.anchors, x.text)) END AS low, (SELECT min(x.ix) FROM t x WHERE x.user_id = s.user_id AND x.pos = 'VERB' AND x.ix >= s.ix + 4) AS side_end FROM t s JOIN v USING (lemma) WHERE s.pos = 'VERB'),
+i AS (SELECT *, least(coalesce((SELECT min(x.ix) FROM t x WHERE x.user_id = o.user_id AND x.pos = 'VERB' AND x.ix >= greatest(low, verb + 4)), 2147483647), coalesce((SELECT min(x.ix) FROM t x WHERE x.user_id = o.user_id AND x.pos = 'ADV' AND x.ix > low), 2147483647)) AS high FROM o WHERE low < coalesce(side_end, 2147483647)),
+f AS (SELECT DISTINCT i.user_id, i.verb, i.alt, t.ix FROM i JOIN t ON t.user_id = i.user_id AND t.ix >= low AND t.ix < high AND t.pos = 'NOUN' AND list_contains(i.cases, t.c))"""
+
+
+@query(f"""WITH {_VALENCE_SQL} SELECT f.user_id, f.verb, f.alt, f.ix FROM f JOIN (SELECT user_id, verb, min(alt) AS alt FROM f GROUP BY ALL) USING (user_id, verb, alt)""")
+def valence_objects(spark, sf_dir):
+    t, table = _valence_tables(spark, sf_dir)
+    verbs = t.where("pos = 'VERB'").select("user_id", F.col("ix").alias("verb"), "lemma")
+    return valence.objects(verbs, t, table, ["user_id"])
+
+
+@query(f"""WITH {_VALENCE_SQL}, a AS (SELECT user_id, verb, min(ix) AS ix FROM f WHERE alt = 1 GROUP BY ALL), b AS (SELECT f.user_id, f.verb, min(f.ix) AS ix FROM f LEFT JOIN a USING (user_id, verb) WHERE alt = 2 AND f.ix IS DISTINCT FROM a.ix GROUP BY ALL),
+d AS (SELECT f.user_id, f.verb, min(f.ix) AS ix FROM f LEFT JOIN a USING (user_id, verb) LEFT JOIN b USING (user_id, verb) WHERE alt = 3 AND f.ix IS DISTINCT FROM a.ix AND f.ix IS DISTINCT FROM b.ix GROUP BY ALL)
+SELECT user_id, verb, 1 AS alt, ix FROM a UNION ALL SELECT user_id, verb, 2, ix FROM b UNION ALL SELECT user_id, verb, 3, ix FROM d""")
+def valence_additions(spark, sf_dir):
+    """Each alternative takes a token that none before it has taken."""
+    t, table = _valence_tables(spark, sf_dir)
+    verbs = t.where("pos = 'VERB'").select("user_id", F.col("ix").alias("verb"), "lemma")
+    return valence.additions(verbs, t, table, ["user_id"])
+
+
+@query(f"""WITH {_TURNS_SQL}, x AS (SELECT conv_id, ix, CASE WHEN n % 8 = 3 THEN 'CCONJ' WHEN n % 8 = 5 THEN 'ADJ' WHEN n % 16 = 9 THEN 'ADV' ELSE pos END AS pos, mark, nullif(label, '') AS own FROM k), l AS (SELECT *, CASE WHEN own = 'N-OBJ' THEN 'OBJ' END AS label FROM x),
+s AS (SELECT *, pos IN ('CCONJ', 'ADP') AS light, label IS NULL AND pos <> 'ADV' AND (regexp_full_match(mark, '[0-9]+') OR pos IN ('CCONJ', 'ADP')) AS inside, lead(pos) OVER w AS next_pos, lead(mark) OVER w AS next_mark, lag(pos) OVER w AS last_pos FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY ix)),
+r AS (SELECT *, sum(CASE WHEN inside THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY ix) AS run, sum(CASE WHEN label IS NOT NULL OR NOT (coalesce(mark = next_mark, false) OR (pos = 'CCONJ' AND coalesce(last_pos IN ('ADJ', 'NUM'), false)) OR (pos IN ('ADJ', 'NUM') AND coalesce(next_pos = 'CCONJ', false))) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY ix DESC) AS back FROM s),
+h AS (SELECT *, max(label) OVER (PARTITION BY conv_id, run) AS filled, max(CASE WHEN inside AND NOT light THEN ix END) OVER (PARTITION BY conv_id, run) AS tip, max(label) OVER (PARTITION BY conv_id, back) AS filled_back FROM r)
+SELECT conv_id, ix, coalesce(label, CASE WHEN inside AND filled IS NOT NULL AND (NOT light OR ix < tip) THEN filled END) AS rightwards, coalesce(label, filled_back) AS leftwards FROM h""")
+def filled_phrases(spark, sf_dir):
+    """Labels of objects carried to the words of their phrases on either side."""
+    t = _segments_of_turns(spark, sf_dir).select("conv_id", F.posexplode(F.arrays_zip("tokens", "labels")).alias("i", "z"))
+    n = F.length("z.tokens.text")
+    pos = F.when(n % 8 == 3, "CCONJ").when(n % 8 == 5, "ADJ").when(n % 16 == 9, "ADV").otherwise(F.col("z.tokens.pos"))
+    t = t.select("conv_id", (F.col("i") + 1).alias("ix"), pos.alias("pos"), "z.tokens.mark", F.when(F.col("z.labels") == "N-OBJ", "OBJ").alias("label"))
+    out = valence.fill_left(valence.fill_right(t, ["conv_id"], "label", "rightwards"), ["conv_id"], "label", "leftwards")
+    return out.select("conv_id", "ix", "rightwards", "leftwards")
+
+
 # --- relations --------------------------------------------------------------------------------------------------------
 
 
