@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean, morphology, tokens
-from ..operators import antecedents, asof, classify, containment, graph, intervals, lexicon, matching, numbering, ordered, rdf, scan, segments, tails, valence
+from ..operators import antecedents, asof, classify, containment, facts, graph, intervals, lexicon, matching, numbering, ordered, patterns, rdf, scan, segments, tails, valence
 from ..sources import conllu, patents
 from ..storage import saved
 from . import expected
@@ -720,6 +720,38 @@ def filled_phrases(spark, sf_dir):
     return out.select("conv_id", "ix", "rightwards", "leftwards")
 
 
+_LETTERS_SQL = "string_agg(CASE event_type WHEN 'signup' THEN 's' WHEN 'click' THEN 'c' WHEN 'view' THEN 'v' WHEN 'purchase' THEN 'p' ELSE 'e' END || CAST(floor(value) AS BIGINT) % 2, '' ORDER BY ts, event_id)"
+
+
+@query(f"""WITH u AS (SELECT user_id, {_LETTERS_SQL} AS s FROM events GROUP BY user_id),
+m AS (SELECT user_id, unnest(regexp_extract_all(s, 'v[01](?:c0|v0)*p0|v[01](?:c1|v1)*p1')) AS hit FROM u)
+SELECT user_id, count(*) AS n_matches, CAST(sum(length(hit) // 2) AS BIGINT) AS n_rows, CAST(max(length(hit) // 2) AS INTEGER) AS longest FROM m GROUP BY user_id""")
+def row_patterns(spark, sf_dir):
+    """A view, any clicks and views, and a purchase, where all after the first are of the same parity as their row before."""
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", (F.floor("value") % 2).alias("parity"))
+    e = numbering.numbered(e, ["user_id", "ts", "event_id"], "at")
+    kind = F.col("event_type")
+    steps = [patterns.Step("view"), patterns.Step("more", 0, None, (("more", "parity"),)), patterns.Step("purchase", agrees=(("more", "parity"),))]
+    found = patterns.match_rows(e, ["user_id"], "at", steps, {"view": kind == "view", "more": kind.isin("click", "view"), "purchase": kind == "purchase"}, {"parity": F.col("parity")})
+    return found.groupBy("user_id").agg(F.count("*").alias("n_matches"), F.sum("n").cast("long").alias("n_rows"), F.max("n").cast("int").alias("longest"))
+
+
+@query(f"""WITH u AS (SELECT user_id, {_LETTERS_SQL} AS s FROM events GROUP BY user_id), m AS (SELECT user_id, unnest(regexp_extract_all(s, 'p[01](?:v[01])*c[01](?:v[01]|c[01])*(?:s[01](?:v[01]|c[01])+)?')) AS hit FROM u)
+SELECT user_id, count(*) AS n_facts, CAST(sum(length(hit) // 2) AS BIGINT) AS n_rows, count(*) FILTER (contains(hit, 's')) AS n_conditions FROM m GROUP BY user_id""")
+def fact_patterns(spark, sf_dir):
+    """The facts' grammar over events: purchases for keywords, views for adjectives, clicks for nouns, signups for prepositions."""
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    e = numbering.numbered(e, ["user_id", "ts", "event_id"], "at")
+    kind, word = F.col("event_type"), F.col("event_type").isin("view", "click")
+    takes = {"action": kind == "purchase", "before": kind == "view", "object": kind == "click", "more": word, "preposition": kind == "signup", "condition": word}
+    steps = [*facts.FACT, patterns.Step("preposition", 0), patterns.Step("condition", 0, None)]
+    found = patterns.match_rows(e, ["user_id"], "at", steps, takes)
+    has = F.exists("steps", lambda s: s["step"] == "condition") & F.exists("steps", lambda s: s["step"] == "preposition")
+    # A preposition without a phrase behind it is no condition: the match is cut before it.
+    bare = F.exists("steps", lambda s: s["step"] == "preposition") & ~has
+    return found.groupBy("user_id").agg(F.count("*").alias("n_facts"), F.sum(F.col("n") - F.when(bare, 1).otherwise(0)).cast("long").alias("n_rows"), F.count_if(has).alias("n_conditions"))
+
+
 # --- relations --------------------------------------------------------------------------------------------------------
 
 
