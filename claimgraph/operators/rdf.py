@@ -84,8 +84,8 @@ def file_name(started: Column, n: Column) -> Column:
     return F.concat(F.lit("patents_"), F.date_format(started, "yyyyMMddHHmmss"), F.lit("_"), n.cast("string"), F.lit(".owl"))
 
 
-def write_chunks(rdf: DataFrame, chunks: DataFrame, folder: str) -> None:
-    """One text file per chunk in folder/chunk=<n>: at most a chunk's documents meet in one task. chunks: (code, chunk)."""
+def chunk_files(rdf: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(n, text): a file per chunk; at most a chunk's documents meet in one row. chunks: (code, chunk)."""
     docs = documents_xml(rdf).join(chunks, "code")
-    files = docs.groupBy("chunk").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("code", "xml"))), lambda x: x["xml"]), "\n").alias("body"))
-    files.select(F.concat(F.lit(header() + "\n"), "body", F.lit("\n</rdf:RDF>")).alias("value"), "chunk").write.partitionBy("chunk").mode("overwrite").text(folder)
+    files = docs.groupBy(F.col("chunk").alias("n")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("code", "xml"))), lambda x: x["xml"]), "\n").alias("body"))
+    return files.select("n", F.concat(F.lit(header() + "\n"), "body", F.lit("\n</rdf:RDF>\n")).alias("text"))

@@ -7,6 +7,7 @@ left, without a shuffle. A document that fails keeps its row with an error.
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import clean_claim, split_parts
 from ..operators import graph, numbering, rdf
 from ..operators.segments import SURROGATES
-from ..sources import patents
+from ..sources import owl, patents
 from ..storage import saved
 
 GRAPH = (
@@ -256,13 +257,13 @@ def tables(found: DataFrame) -> dict[str, DataFrame]:
 
 
 def ontology(found: DataFrame, folder: str, limit: int = 1000, chunk: int = 500) -> DataFrame:
-    """Write records() as RDF/XML, `chunk` documents a file, the first `limit` by code; returns the RDF rows."""
+    """Write records() as RDF/XML, the first `limit` by code, `chunk` documents a file patents_<time>_<n>.owl; returns the RDF rows."""
     found = saved(found, "records")
     chunks = saved(numbering.limited_chunks(found.select("code").where("code is not null").distinct(), ["code"], limit, chunk), "chunks")
     kept = found.join(F.broadcast(chunks.select("code")), "code", "left_semi")
     t = tables(kept)
     rows = saved(rdf.emit(kept.select("code", "name", "org", "ipc", "facts"), t["terms"], t["edges"], t["refs"]), "rdf")
-    rdf.write_chunks(rows, chunks, folder)
+    owl.write_files(rdf.chunk_files(rows, chunks), folder, time.strftime("%Y%m%d%H%M%S"))
     return rows
 
 

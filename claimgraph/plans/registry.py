@@ -5,6 +5,7 @@ The driver's tables hold no patents, so each operator runs on a table of like st
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, morphology, tokens
 from ..operators import antecedents, asof, classify, containment, facts, graph, intervals, lexicon, matching, numbering, ordered, patterns, rdf, scan, segments, tails, valence
-from ..sources import conllu, patents
-from ..storage import saved
+from ..sources import conllu, owl, patents
+from ..storage import saved, shared_folder
+from ..streaming import state
 from . import expected
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -752,6 +754,42 @@ def fact_patterns(spark, sf_dir):
     return found.groupBy("user_id").agg(F.count("*").alias("n_facts"), F.sum(F.col("n") - F.when(bare, 1).otherwise(0)).cast("long").alias("n_rows"), F.count_if(has).alias("n_conditions"))
 
 
+_VALUES_SQL = """g AS (SELECT user_id, event_id, ts, CASE WHEN event_type IN ('view', 'purchase') THEN event_type || CAST(floor(value) AS INTEGER) % 3 END AS v, event_type = 'error' AS r, epoch_us(ts) // 1000 AS ms FROM events),
+a AS (SELECT *, coalesce(ms - lag(ms) OVER w > 40000000, false) AS anew FROM g WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, sum(anew::INT) OVER w AS run, sum((anew OR r)::INT) OVER w AS since FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+f AS (SELECT user_id, run, v, row_number() OVER (PARTITION BY user_id, run ORDER BY min(ts), min(event_id)) AS number, arg_min(event_id, ts) AS first_id FROM n WHERE v IS NOT NULL GROUP BY user_id, run, v),
+q AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id, since ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM n)"""
+
+
+def _events_as_values(df):
+    kind = F.col("event_type")
+    value = F.when(kind.isin("view", "purchase"), F.concat(kind, (F.floor("value").cast("int") % 3).cast("string")))
+    return value, kind == "error"
+
+
+@query(f"""WITH {_VALUES_SQL} SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, carried, CAST(number AS INTEGER) AS number, coalesce(event_id = first_id, false) AS is_first FROM q LEFT JOIN f USING (user_id, run, v)""")
+def ordered_values(spark, sf_dir):
+    """What a stream of events gives in the end, as scans over the table: a gap of 40,000 seconds starts a user anew."""
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    return state.ordered_values_of_table(e, "user_id", "event_id", "ts", *_events_as_values(e), 40_000_000).drop("ts")
+
+
+@query(f"""WITH {_VALUES_SQL} SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, carried, CAST(number AS INTEGER) AS number, coalesce(event_id = first_id, false) AS is_first FROM q LEFT JOIN f USING (user_id, run, v)
+WHERE (epoch_us(ts) + 999) // 1000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events)""")
+def streamed_values(spark, sf_dir):
+    """The same from a stream of the table, as far as its watermark has come when all is read."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", state.STORE)
+    folder = f"{shared_folder(spark)}/claimgraph/stream-{uuid.uuid4().hex}"
+    rows = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    rows.write.parquet(f"{folder}/in")
+    stream = session.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    found = state.ordered_values(stream, F.col("user_id"), F.col("event_id"), "ts", *_events_as_values(stream), "0 seconds", 40_000_000)
+    query = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/out").drop("ts")
+
+
 # --- relations --------------------------------------------------------------------------------------------------------
 
 
@@ -879,6 +917,18 @@ def rdf_of_tables(spark, sf_dir):
     return rdf.emit(records, n, edges)
 
 
+@query("""WITH d AS (SELECT n_regionkey, (row_number() OVER (ORDER BY 'r' || n_regionkey) - 1) // 2 + 1 AS chunk, count(*) + 3 AS individuals FROM nation GROUP BY n_regionkey)
+SELECT 'patents_20200115120000_' || chunk || '.owl' AS name, CAST(sum(individuals) AS INTEGER) AS n_individuals, CAST(count(*) AS INTEGER) AS n_documents FROM d GROUP BY chunk""")
+def owl_files_written(spark, sf_dir):
+    """The ontology of regions and nations as files, two documents each, written under their names and read back."""
+    rows = saved(rdf_of_tables(spark, sf_dir), "rdf")
+    chunks = numbering.limited_chunks(rows.select("code").distinct(), ["code"], 1000, 2)
+    folder = f"{shared_folder(spark)}/claimgraph/owl-{uuid.uuid4().hex}"
+    owl.write_files(rdf.chunk_files(rows, chunks), folder, "20200115120000")
+    found = lambda t, name: (F.size(F.split("text", t)) - 1).alias(name)
+    return owl.read_names(spark, folder).select("name", found("<owl:NamedIndividual ", "n_individuals"), found("<cg:doc_num>", "n_documents"))
+
+
 @query("""WITH e(id, a, b) AS (VALUES (1, 'a', 'b'), (1, 'b', 'c'), (1, 'c', 'a'), (1, 'c', 'd'), (2, 'x', 'x')) SELECT 'g' || id AS code, ancestor, descendant, CAST(depth AS INTEGER) AS depth FROM (VALUES (1, 'a', 'b', 1), (1, 'b', 'c', 1), (1, 'c', 'a', 1), (1, 'c', 'd', 1), (1, 'a', 'c', 2), (1, 'b', 'a', 2), (1, 'b', 'd', 2), (1, 'c', 'b', 2),
 (1, 'a', 'a', 3), (1, 'a', 'd', 3), (1, 'b', 'b', 3), (1, 'c', 'c', 3), (2, 'x', 'x', 1)) AS t(id, ancestor, descendant, depth)""")
 def closure_of_cycles(spark, sf_dir):
