@@ -36,6 +36,42 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- samples, one for each supplier ---------------------------------------------------------------------------------------
+
+
+def _each_supplier(spark, sf_dir, given, schema):
+    """(s_suppkey, schema): each supplier with one of the rows given, by its key, so that there is work for every row of the table."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    rows = F.array(*[F.struct(*[F.lit(v).cast(c.split()[1]).alias(c.split()[0]) for v, c in zip(r, schema.split(", "), strict=True)]) for r in given])
+    return read(spark, sf_dir, "supplier").select("s_suppkey", F.element_at(rows, (F.col("s_suppkey") % len(given) + 1).cast("int")).alias("r")).select("s_suppkey", *[f"r.{n}" for n in names])
+
+
+def _all_for_suppliers(spark, sf_dir, given, schema, code):
+    """(schema): all rows given, for every supplier, whose key is added to the column `code`."""
+    rows = F.array(*[F.struct(*[F.lit(v).cast(c.split()[1]).alias(c.split()[0]) for v, c in zip(r, schema.split(", "), strict=True)]) for r in given])
+    out = read(spark, sf_dir, "supplier").select("s_suppkey", F.explode(rows).alias("r")).select("s_suppkey", "r.*")
+    return out.withColumn(code, F.concat(code, F.lit("/"), F.col("s_suppkey").cast("string"))).drop("s_suppkey")
+
+
+def _each_sql(base, key, given):
+    """The rows of `base` whose key is what _each_supplier() gives."""
+    values = ", ".join(str(g) if isinstance(g, int) else "'" + g.replace("'", "''") + "'" for g in given)
+    return f"WITH b AS ({base}) SELECT s_suppkey, b.* FROM supplier JOIN b ON b.{key} = [{values}][s_suppkey % {len(given)} + 1]"
+
+
+def _all_sql(base, code):
+    return f"WITH b AS ({base}) SELECT b.* REPLACE ({code} || '/' || s_suppkey AS {code}) FROM b, supplier"
+
+
+def _numbered_sql(base, on, *columns):
+    """The rows of `base`, expected of a sample patent, for each supplier with that sample: columns hold its number."""
+    said = ", ".join(f"replace({c}, '0100000' || (k + 1), number) AS {c}" for c in columns)
+    return f"WITH b AS ({base}), s AS (SELECT s_suppkey, lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS number, CAST(s_suppkey % 5 AS INTEGER) AS k FROM supplier) SELECT b.* REPLACE ({said}) FROM b JOIN s ON {on}"
+
+
+_BY_CODE = "b.code = 'RU_0100000' || (k + 1) || '_C1_20200115'"
+
+
 # --- cleaning ---------------------------------------------------------------------------------------------------------
 
 PHRASES = ("the of", "with by", "and the", "de la")
@@ -226,7 +262,7 @@ def verb_types(spark, sf_dir):
     return lexicon.lookup(read(spark, sf_dir, "events"), "event_type", comp, conn, syn, "key", "type").select("event_id", "type")
 
 
-@query("""SELECT lemma, kind, approved, entry, reversed, n_objects, n_additions FROM (VALUES
+@query(_each_sql("""SELECT lemma, kind, approved, entry, reversed, n_objects, n_additions FROM (VALUES
 ('устанавливать', 'conn', true, 1, false, 3, 0), ('подключать', 'conn', true, 1, false, 1, 2), ('подтягивать', 'conn', true, 1, false, 1, 2), ('соединять', 'conn', true, 1, false, 3, 2),
 ('взаимодействовать', 'conn', true, 1, false, 1, 2), ('скреплять', 'conn', false, 0, false, 2, 2), ('крепиться', 'conn', true, 1, false, 1, 3),
 ('согласовывать', 'conn', true, 1, false, 1, 3), ('закреплять', 'conn', true, 1, false, 1, 0), ('пересекаться', 'conn', true, 1, false, 1, 0), ('связанный', 'conn', true, 1, false, 1, 2),
@@ -236,9 +272,10 @@ def verb_types(spark, sf_dir):
 ('иметь', 'comp', true, 0, false, 1, 0), ('снабжать', 'comp', true, 0, false, 1, 0), ('вводить', 'comp', true, 1, true, 2, 0), ('состоять', 'comp', true, 0, false, 1, 0),
 ('изготавливать', 'comp', true, 0, false, 2, 0), ('составлять', 'comp', false, 0, false, 2, 0), ('выполнять', 'comp', true, 0, false, 7, 0), ('использоваться', 'comp', true, 1, false, 1, 0),
 ('являться', 'comp', false, 1, false, 1, 0), ('служить', 'comp', false, 1, false, 1, 0), ('образовывать', 'comp', false, 0, false, 1, 0), ('добавлять', 'comp', false, 2, true, 1, 0),
-('помещать', 'comp', true, 1, false, 2, 0), ('укладывать', 'comp', true, 0, false, 1, 0)) AS t(lemma, kind, approved, entry, reversed, n_objects, n_additions)""")
+('помещать', 'comp', true, 1, false, 2, 0), ('укладывать', 'comp', true, 0, false, 1, 0)) AS t(lemma, kind, approved, entry, reversed, n_objects, n_additions)""", "lemma", sorted(lexicon.VERBS)))
 def verb_valences(spark, sf_dir):
-    return lexicon.verb_table(spark).select("lemma", "kind", "approved", "entry", "reversed", F.size("objects").alias("n_objects"), F.size("additions").alias("n_additions"))
+    asked = _each_supplier(spark, sf_dir, [(v,) for v in sorted(lexicon.VERBS)], "lemma string")
+    return asked.join(F.broadcast(lexicon.verb_table(spark)), "lemma").select("s_suppkey", "lemma", "kind", "approved", "entry", "reversed", F.size("objects").alias("n_objects"), F.size("additions").alias("n_additions"))
 
 
 # --- graph ------------------------------------------------------------------------------------------------------------
@@ -353,10 +390,10 @@ def simple_claims(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", found.alias("nums")).where(F.size("nums") > 0)
 
 
-@query("""SELECT t.lemma, t.unified FROM (VALUES ('со','с'),('ко','к'),('во','в'),('надо','над'),('изо','из'),('об','о'),('обо','об'),('ото','от'),('под','под')) AS t(lemma, unified)""")
+@query(_each_sql("""SELECT t.lemma, t.unified FROM (VALUES ('со','с'),('ко','к'),('во','в'),('надо','над'),('изо','из'),('об','о'),('обо','об'),('ото','от'),('под','под')) AS t(lemma, unified)""", "lemma", [*lexicon.PREPOSITIONS, "под"]))
 def unified_prepositions(spark, sf_dir):
-    words = spark.createDataFrame([(w,) for w in [*lexicon.PREPOSITIONS, "под"]], "lemma string")
-    return words.select("lemma", lexicon.unified_preposition(F.col("lemma")).alias("unified"))
+    words = _each_supplier(spark, sf_dir, [(w,) for w in [*lexicon.PREPOSITIONS, "под"]], "lemma string")
+    return words.select("s_suppkey", "lemma", lexicon.unified_preposition(F.col("lemma")).alias("unified"))
 
 
 # --- matching ---------------------------------------------------------------------------------------------------------
@@ -410,10 +447,10 @@ def fill_labels(spark, sf_dir):
     return matching.fill_labels(e, ["user_id"], "event_id", "own", kind == "error", "label").select("user_id", "event_id", "label")
 
 
-@query("""SELECT * FROM (VALUES ('S,муж=им,ед', 'Nom', 'Masc', CAST(NULL AS VARCHAR)), ('V=прош,изъяв,прич', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 'Part'), ('S,жен=род,вин', 'Acc', 'Fem', CAST(NULL AS VARCHAR))) AS t(tags, case_value, gender, verb_form)""")
+@query(_each_sql("""SELECT * FROM (VALUES ('S,муж=им,ед', 'Nom', 'Masc', CAST(NULL AS VARCHAR)), ('V=прош,изъяв,прич', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 'Part'), ('S,жен=род,вин', 'Acc', 'Fem', CAST(NULL AS VARCHAR))) AS t(tags, case_value, gender, verb_form)""", "tags", ["S,муж=им,ед", "V=прош,изъяв,прич", "S,жен=род,вин"]))
 def tag_features(spark, sf_dir):
-    df = spark.createDataFrame([("S,муж=им,ед",), ("V=прош,изъяв,прич",), ("S,жен=род,вин",)], "tags string").withColumn("f", matching.tag_features(F.col("tags"), matching.RUSSIAN_TAGS))
-    return df.select("tags", *[F.try_element_at("f", F.lit(k)).alias(n) for k, n in (("Case", "case_value"), ("Gender", "gender"), ("VerbForm", "verb_form"))])
+    df = _each_supplier(spark, sf_dir, [("S,муж=им,ед",), ("V=прош,изъяв,прич",), ("S,жен=род,вин",)], "tags string").withColumn("f", matching.tag_features(F.col("tags"), matching.RUSSIAN_TAGS))
+    return df.select("s_suppkey", "tags", *[F.try_element_at("f", F.lit(k)).alias(n) for k, n in (("Case", "case_value"), ("Gender", "gender"), ("VerbForm", "verb_form"))])
 
 
 # --- tokens: a conversation's turns stand for a segment's tokens -----------------------------------------------------------
@@ -507,12 +544,14 @@ def words_of_two_analysers(spark, sf_dir):
     return df.select("conv_id", F.explode(tokens.fixed_words(F.col("tokens"), F.col("other"))).alias("t")).select("conv_id", "t.id", "t.pos", "t.lemma")
 
 
-@query("""SELECT * FROM (VALUES ('N_V<P>_N', 'N_V_N'), ('V<P>_N', 'V_N'), ('V<F>_N', 'V_N'), ('N_который_V<F>_N', 'N_который_V_N'), ('PR_который_V<F>', 'N_который_V_N'), ('который_V<F>_N', 'который_V_N'), ('N_-_N', 'N_-_N'), ('A0', 'A0'),
-('SC_N_V<F>', 'SC'), ('V<C>_N', 'V<C>'), ('X', 'X'), ('V<P>_PR', 'V_N'), ('V<P>_PR_V<F>', 'V_N'), ('V<P>_N_V<F>', 'N_V_N'), ('V<P>_N_CC_V<P>', 'V_N'), ('N_A0', 'A0'), ('N_A0_V<F>', 'N_V'), ('A0_V<P>_N0', 'N_V_N'), ('AV_CC_AV', 'AV'), ('CC', 'X'), ('N_V<T>', 'N')) AS t(template, type)""")
+_TEMPLATES = "N_V<P>_N V<P>_N V<F>_N N_который_V<F>_N PR_который_V<F> который_V<F>_N N_-_N A0 SC_N_V<F> V<C>_N X V<P>_PR V<P>_PR_V<F> V<P>_N_V<F> V<P>_N_CC_V<P> N_A0 N_A0_V<F> A0_V<P>_N0 AV_CC_AV CC N_V<T>".split()
+
+
+@query(_each_sql("""SELECT * FROM (VALUES ('N_V<P>_N', 'N_V_N'), ('V<P>_N', 'V_N'), ('V<F>_N', 'V_N'), ('N_который_V<F>_N', 'N_который_V_N'), ('PR_который_V<F>', 'N_который_V_N'), ('который_V<F>_N', 'который_V_N'), ('N_-_N', 'N_-_N'), ('A0', 'A0'),
+('SC_N_V<F>', 'SC'), ('V<C>_N', 'V<C>'), ('X', 'X'), ('V<P>_PR', 'V_N'), ('V<P>_PR_V<F>', 'V_N'), ('V<P>_N_V<F>', 'N_V_N'), ('V<P>_N_CC_V<P>', 'V_N'), ('N_A0', 'A0'), ('N_A0_V<F>', 'N_V'), ('A0_V<P>_N0', 'N_V_N'), ('AV_CC_AV', 'AV'), ('CC', 'X'), ('N_V<T>', 'N')) AS t(template, type)""", "template", _TEMPLATES))
 def segment_types(spark, sf_dir):
     """Templates through the state machine; the last holds an input that no state knows."""
-    given = "N_V<P>_N V<P>_N V<F>_N N_который_V<F>_N PR_который_V<F> который_V<F>_N N_-_N A0 SC_N_V<F> V<C>_N X V<P>_PR V<P>_PR_V<F> V<P>_N_V<F> V<P>_N_CC_V<P> N_A0 N_A0_V<F> A0_V<P>_N0 AV_CC_AV CC N_V<T>".split()
-    return spark.createDataFrame([(x,) for x in given], "template string").select("template", classify.segment_type(F.col("template")).alias("type"))
+    return _each_supplier(spark, sf_dir, [(x,) for x in _TEMPLATES], "template string").select("s_suppkey", "template", classify.segment_type(F.col("template")).alias("type"))
 
 
 @query(f"""WITH {_TURNS_SQL}, w AS (SELECT conv_id, ix, ['-', 'a-', '-b', 'c'][n % 4 + 1] AS text, lemma, ['NOUN', 'ADJ', 'ADP', 'VERB', 'ADV'][n % 5 + 1] AS pos, n % 3 <> 0 AS joined, count(*) OVER (PARTITION BY conv_id) AS total FROM k),
@@ -539,18 +578,20 @@ def settled_words(spark, sf_dir):
     return df.select("conv_id", F.explode(morphology.settled_words(F.col("words"), F.col("can_be"))).alias("t")).select("conv_id", "t.id", "t.pos")
 
 
-@query("""SELECT * FROM (VALUES ('S,муж,неод=им,ед', 'S', 'S,m,inan,nom,sg'), ('A=(вин,ед,полн,муж,неод|им,ед,полн,муж)', 'A', 'A,acc,sg,plen,m,inan'), ('V,сов,пе=прош,ед,изъяв,муж', 'V', 'V'), ('ADV=', 'ADV', 'ADV'), ('PR=', 'PR', 'PR'), ('S,гео,жен,неод=(пр,ед|дат,ед)', 'S', 'S,geo,f,inan,abl,sg'), ('NUM=твор', 'NUM', 'NUM,ins')) AS t(tags, pos, feature)""")
+_TAGS = ["S,муж,неод=им,ед", "A=(вин,ед,полн,муж,неод|им,ед,полн,муж)", "V,сов,пе=прош,ед,изъяв,муж", "ADV=", "PR=", "S,гео,жен,неод=(пр,ед|дат,ед)", "NUM=твор"]
+
+
+@query(_each_sql("""SELECT * FROM (VALUES ('S,муж,неод=им,ед', 'S', 'S,m,inan,nom,sg'), ('A=(вин,ед,полн,муж,неод|им,ед,полн,муж)', 'A', 'A,acc,sg,plen,m,inan'), ('V,сов,пе=прош,ед,изъяв,муж', 'V', 'V'), ('ADV=', 'ADV', 'ADV'), ('PR=', 'PR', 'PR'), ('S,гео,жен,неод=(пр,ед|дат,ед)', 'S', 'S,geo,f,inan,abl,sg'), ('NUM=твор', 'NUM', 'NUM,ins')) AS t(tags, pos, feature)""", "tags", _TAGS))
 def chunk_features(spark, sf_dir):
-    given = ["S,муж,неод=им,ед", "A=(вин,ед,полн,муж,неод|им,ед,полн,муж)", "V,сов,пе=прош,ед,изъяв,муж", "ADV=", "PR=", "S,гео,жен,неод=(пр,ед|дат,ед)", "NUM=твор"]
-    return spark.createDataFrame([(x,) for x in given], "tags string").select("tags", morphology.part_of_speech(F.col("tags")).alias("pos"), morphology.chunk_feature(F.col("tags")).alias("feature"))
+    return _each_supplier(spark, sf_dir, [(x,) for x in _TAGS], "tags string").select("s_suppkey", "tags", morphology.part_of_speech(F.col("tags")).alias("pos"), morphology.chunk_feature(F.col("tags")).alias("feature"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'содержащий [ корпус ] и [ пружину ]'), (2, '[ верхний клапан стравливания газа ]' || chr(10) || 'соединен с [ трубой ]'), (3, 'а также [ блок ]'), (4, NULL)) AS t(id, text)""")
+@query(_each_sql("""SELECT * FROM (VALUES (1, 'содержащий [ корпус ] и [ пружину ]'), (2, '[ верхний клапан стравливания газа ]' || chr(10) || 'соединен с [ трубой ]'), (3, 'а также [ блок ]'), (4, NULL)) AS t(id, text)""", "id", [1, 2, 3, 4]))
 def phrases_in_brackets(spark, sf_dir):
     from . import claims
 
-    df = spark.createDataFrame([(1, "содержащий корпус и пружину"), (2, "верхний клапан стравливания газа\nсоединен с трубой"), (3, "а также блок"), (4, None)], "id int, text string")
-    return claims.phrases(df, "id", "text")
+    df = _each_supplier(spark, sf_dir, [(1, "содержащий корпус и пружину"), (2, "верхний клапан стравливания газа\nсоединен с трубой"), (3, "а также блок"), (4, None)], "id int, text string")
+    return df.select("s_suppkey", "id").join(claims.phrases(df.drop("id"), "s_suppkey", "text"), "s_suppkey")
 
 
 @query(f"""WITH {_HIERARCHY_SQL}, t AS (SELECT 'w' AS code, 'r' || r_regionkey AS key, r_name AS term FROM region UNION ALL SELECT 'w', 'n' || n_nationkey, n_name FROM nation UNION ALL SELECT 'w', '0.0', 'world')
@@ -562,11 +603,11 @@ def floating_terms(spark, sf_dir):
     return graph.floating(terms.select(F.lit("w").alias("code"), "key", "term"), _hierarchy(spark, sf_dir)).select("code", "key", "term")
 
 
-@query("""SELECT * FROM (VALUES ('d', '0.0', '1.2', 'comp'), ('d', '1.2', '2.1', 'have'), ('d', '1.2', '0.0', 'conn')) AS t(code, sbj_key, obj_key, type)""")
+@query(_all_sql("""SELECT * FROM (VALUES ('d', '0.0', '1.2', 'comp'), ('d', '1.2', '2.1', 'have'), ('d', '1.2', '0.0', 'conn')) AS t(code, sbj_key, obj_key, type)""", "code"))
 def post_processed_edges(spark, sf_dir):
     """'генератор' goes to 'генератор тока', the second 'выход' to the first, and edges with them."""
-    terms = spark.createDataFrame([("d", "0.0", "насос", 0), ("d", "1.1", "генератор", 1), ("d", "1.2", "генератор тока", 2), ("d", "2.1", "выход", 3), ("d", "2.2", "выход", 4)], "code string, key string, term string, ord int")
-    edges = spark.createDataFrame([("d", "0.0", "1.2", "comp", 0), ("d", "1.2", "2.1", "have", 1), ("d", "1.2", "2.2", "have", 2), ("d", "1.1", "0.0", "conn", 3)], "code string, sbj_key string, obj_key string, type string, ord int")
+    terms = _all_for_suppliers(spark, sf_dir, [("d", "0.0", "насос", 0), ("d", "1.1", "генератор", 1), ("d", "1.2", "генератор тока", 2), ("d", "2.1", "выход", 3), ("d", "2.2", "выход", 4)], "code string, key string, term string, ord int", "code")
+    edges = _all_for_suppliers(spark, sf_dir, [("d", "0.0", "1.2", "comp", 0), ("d", "1.2", "2.1", "have", 1), ("d", "1.2", "2.2", "have", 2), ("d", "1.1", "0.0", "conn", 3)], "code string, sbj_key string, obj_key string, type string, ord int", "code")
     return graph.post_process(terms, edges)[1].select("code", "sbj_key", "obj_key", "type")
 
 
@@ -581,11 +622,11 @@ def merged_keys(spark, sf_dir):
     return graph.merge_keys(terms, edges, merged)[1].select(F.col("ord").alias("o_orderkey"), "sbj_key", "obj_key")
 
 
-@query("""SELECT * FROM (VALUES (1, 'Вал , содержащий корпус и ось'), (2, 'Блок длиной 5-7 мм, вход / выход «А», и штырь'), (3, 'Насос а именно муфта и вал c d.'), (4, '')) AS t(id, text)""")
+@query(_each_sql("""SELECT * FROM (VALUES (1, 'Вал , содержащий корпус и ось'), (2, 'Блок длиной 5-7 мм, вход / выход «А», и штырь'), (3, 'Насос а именно муфта и вал c d.'), (4, '')) AS t(id, text)""", "id", [1, 2, 3, 4]))
 def cleaned_claims(spark, sf_dir):
     """Every cleaning step, in order."""
     given = [(1, "  1. Вал (1), (2) , содержащий, например, корпус по существу и ось \n"), (2, "2. Блок длиной 5 -7 мм, вход/выход &laquo;А&raquo;, и, штырь"), (3, "Насос а именно, муфта' и вал<b>c</b>  d , ."), (4, "")]
-    return spark.createDataFrame(given, "id int, text string").select("id", clean.clean_claim(F.col("text")).alias("text"))
+    return _each_supplier(spark, sf_dir, given, "id int, text string").select("s_suppkey", "id", clean.clean_claim(F.col("text")).alias("text"))
 
 
 # --- as-of joins with agreement -----------------------------------------------------------------------------------------
@@ -895,11 +936,12 @@ def owl_file_names(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", rdf.file_name(started, F.col("p_partkey") % 500).alias("name"))
 
 
-@query("""SELECT * FROM (VALUES (0, 0, '1', 'Вал', 'вал', 'NOUN', 'Nom', '2'), (0, 1, '2', 'вращается', 'вращаться', 'VERB', NULL, '0'), (1, 0, '1', 'Насос', 'насос', 'NOUN', 'Nom', '0')) AS t(sent_id, pos_idx, id, text, lemma, pos, case_value, parent)""")
+@query(f"WITH b AS ({"""SELECT * FROM (VALUES (0, 0, '1', 'Вал', 'вал', 'NOUN', 'Nom', '2'), (0, 1, '2', 'вращается', 'вращаться', 'VERB', NULL, '0'), (1, 0, '1', 'Насос', 'насос', 'NOUN', 'Nom', '0')) AS t(sent_id, pos_idx, id, text, lemma, pos, case_value, parent)"""}) SELECT CAST(s_suppkey AS VARCHAR) AS path, b.* FROM b, supplier")
 def conllu_tokens(spark, sf_dir):
     text = "# text = Вал вращается\n1\tВал\tвал\tNOUN\t_\tCase=Nom|Number=Sing\t2\tnsubj\t_\t_\n1.1\tx\tx\tX\t_\t_\t0\tdep\t_\t_\n2\tвращается\tвращаться\tVERB\t_\t_\t0\troot\t_\t_\n\n1\tНасос\tнасос\tNOUN\t_\tCase=Nom\t0\troot\t_\t_\n"
-    rows = conllu.read_conllu(spark.createDataFrame([("a", text)], "path string, value string"))
-    return rows.select("sent_id", "pos_idx", "id", "text", "lemma", "pos", F.try_element_at("grammar", F.lit("Case")).alias("case_value"), "parent")
+    files = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.lit(text).alias("value"))
+    rows = conllu.read_conllu(files)
+    return rows.select("path", "sent_id", "pos_idx", "id", "text", "lemma", "pos", F.try_element_at("grammar", F.lit("Case")).alias("case_value"), "parent")
 
 
 @query("""WITH r AS (SELECT DISTINCT n_regionkey FROM nation), d AS (SELECT 'r' || n_regionkey AS code FROM r), n AS (SELECT 'r' || n_regionkey AS code, 'n' || n_nationkey AS key, n_name AS term, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k FROM nation),
@@ -929,101 +971,108 @@ def owl_files_written(spark, sf_dir):
     return owl.read_names(spark, folder).select("name", found("<owl:NamedIndividual ", "n_individuals"), found("<cg:doc_num>", "n_documents"))
 
 
-@query("""WITH e(id, a, b) AS (VALUES (1, 'a', 'b'), (1, 'b', 'c'), (1, 'c', 'a'), (1, 'c', 'd'), (2, 'x', 'x')) SELECT 'g' || id AS code, ancestor, descendant, CAST(depth AS INTEGER) AS depth FROM (VALUES (1, 'a', 'b', 1), (1, 'b', 'c', 1), (1, 'c', 'a', 1), (1, 'c', 'd', 1), (1, 'a', 'c', 2), (1, 'b', 'a', 2), (1, 'b', 'd', 2), (1, 'c', 'b', 2),
-(1, 'a', 'a', 3), (1, 'a', 'd', 3), (1, 'b', 'b', 3), (1, 'c', 'c', 3), (2, 'x', 'x', 1)) AS t(id, ancestor, descendant, depth)""")
+@query(_all_sql("""WITH e(id, a, b) AS (VALUES (1, 'a', 'b'), (1, 'b', 'c'), (1, 'c', 'a'), (1, 'c', 'd'), (2, 'x', 'x')) SELECT 'g' || id AS code, ancestor, descendant, CAST(depth AS INTEGER) AS depth FROM (VALUES (1, 'a', 'b', 1), (1, 'b', 'c', 1), (1, 'c', 'a', 1), (1, 'c', 'd', 1), (1, 'a', 'c', 2), (1, 'b', 'a', 2), (1, 'b', 'd', 2), (1, 'c', 'b', 2),
+(1, 'a', 'a', 3), (1, 'a', 'd', 3), (1, 'b', 'b', 3), (1, 'c', 'c', 3), (2, 'x', 'x', 1)) AS t(id, ancestor, descendant, depth)""", "code"))
 def closure_of_cycles(spark, sf_dir):
     rows = [("g1", "a", "b"), ("g1", "b", "c"), ("g1", "c", "a"), ("g1", "c", "d"), ("g2", "x", "x")]
-    return graph.closure(spark.createDataFrame(rows, "code string, sbj_key string, obj_key string").withColumn("type", F.lit("comp")))
+    return graph.closure(_all_for_suppliers(spark, sf_dir, rows, "code string, sbj_key string, obj_key string", "code").withColumn("type", F.lit("comp")))
 
 
-@query("""SELECT * FROM (VALUES ('d', '1.1', '1.2'), ('d', '2.1', '1.2'), ('d', '2.2', '2.3')) AS t(code, key, "into")""")
+@query(_all_sql("""SELECT * FROM (VALUES ('d', '1.1', '1.2'), ('d', '2.1', '1.2'), ('d', '2.2', '2.3')) AS t(code, key, "into")""", "code"))
 def merge_similar_in_order(spark, sf_dir):
     """'ток' stands in two other terms until 'генератор тока' is merged, and then follows it to where that went."""
     terms = [("d", "0.0", "насос", 0), ("d", "1.1", "генератор тока", 1), ("d", "1.2", "генератор тока сети", 2), ("d", "2.1", "генератор", 3), ("d", "2.2", "вал", 4), ("d", "2.3", "вал насоса малый", 5), ("d", "2.4", "ось", 6)]
-    t = spark.createDataFrame(terms, "code string, key string, term string, ord int")
+    t = _all_for_suppliers(spark, sf_dir, terms, "code string, key string, term string, ord int", "code")
     loose = t.where(F.col("key").isin("1.1", "2.1", "2.2", "2.4"))
     return graph.similar_in_order(loose, t)
 
 
-def _sample_files(spark):
+def _sample_files(spark, sf_dir):
+    """A sample patent for each supplier, with the supplier's key as its number."""
     from .samples import PATENTS
 
-    return spark.createDataFrame(PATENTS, "path string, value string")
+    files = _each_supplier(spark, sf_dir, PATENTS, "path string, value string")
+    number = F.lpad(F.col("s_suppkey").cast("string"), 8, "0")
+    old = F.concat(F.lit("0100000"), (F.col("s_suppkey") % 5 + 1).cast("string"))
+    return files.select(F.concat(F.col("s_suppkey").cast("string"), F.lit("-"), "path").alias("path"), F.replace("value", old, number).alias("value"))
 
 
-def _sample_claims(spark):
-    """The sample claims as patents, through the fold."""
+def _sample_claims(spark, sf_dir):
+    """A sample claim for each supplier, as a patent through the fold."""
     from . import claims
     from .samples import CLAIMS
 
-    files = spark.createDataFrame(CLAIMS, "path string, main_claim string").select("path", F.col("path").alias("code"), "main_claim", F.lit(None).cast("string").alias("error"))
+    files = _each_supplier(spark, sf_dir, CLAIMS, "path string, main_claim string").withColumn("path", F.concat("path", F.lit("-"), F.col("s_suppkey").cast("string"))).select("path", F.col("path").alias("code"), "main_claim", F.lit(None).cast("string").alias("error"))
     empty = F.array().cast("array<string>")
     return claims.folded(files.select("*", F.lit("").alias("name"), F.lit(None).cast("string").alias("org"), empty.alias("ipc"), empty.alias("abstract"), empty.alias("description")))
 
 
-@query(expected.CLAIM_LINKS)
+_CLAIMS_SQL = "WITH b AS ({}), s AS (SELECT s_suppkey, ['probe', 'gear', 'filter', 'device', 'case'][s_suppkey % 5 + 1] AS name FROM supplier) SELECT b.* REPLACE (code || '-' || s_suppkey AS code) FROM b JOIN s ON s.name = b.code"
+
+
+@query(_CLAIMS_SQL.format(expected.CLAIM_LINKS))
 def claim_links(spark, sf_dir):
     """Segments, types, templates and links of the sample claims."""
-    s = _sample_claims(spark).select("code", F.inline("segments"))
+    s = _sample_claims(spark, sf_dir).select("code", F.inline("segments"))
     return s.select("code", "id", "part", "text", "type", "template", F.col("link.type").alias("link"), "link.parent", "link.point", "link.child")
 
 
-@query(expected.CLAIM_EDGES_BY_NAME)
+@query(_CLAIMS_SQL.format(expected.CLAIM_EDGES_BY_NAME))
 def claim_edges_by_name(spark, sf_dir):
     """Edges of the sample claims' graphs, with the names of their ends and verbs."""
-    g = _sample_claims(spark).select("code", "graph")
+    g = _sample_claims(spark, sf_dir).select("code", "graph")
     term = lambda key: F.get(F.filter("graph.terms", lambda t: t["key"] == key), F.lit(0))["term"]
     verb = F.get(F.filter("graph.verbs", lambda v: v["key"] == F.col("e.verb_key")), F.lit(0))["text"]
     return g.select("code", "graph", F.explode("graph.edges").alias("e")).select("code", term(F.col("e.sbj_key")).alias("sbj"), verb.alias("verb"), "e.type", term(F.col("e.obj_key")).alias("obj"))
 
 
-def _records(spark):
+def _records(spark, sf_dir):
     from . import claims
 
-    return claims.records(patents.read_patents(_sample_files(spark)))
+    return claims.records(patents.read_patents(_sample_files(spark, sf_dir)))
 
 
-@query(expected.READ_PATENT_XML)
+@query(_numbered_sql(expected.READ_PATENT_XML, "b.path = ['a.xml', 'b.xml', 'c.xml', 'd.xml', 'e.xml'][k + 1]", "code", "doc_number", "name").replace("REPLACE (", "REPLACE (s_suppkey || '-' || path AS path, "))
 def read_patent_xml(spark, sf_dir):
     """Small patents through the XML source: fields, codes and errors (the driver's tables hold no XML patents)."""
-    return patents.read_patents(_sample_files(spark))
+    return patents.read_patents(_sample_files(spark, sf_dir))
 
 
-@query(expected.CLAIM_RECORDS)
+@query(_numbered_sql(expected.CLAIM_RECORDS, _BY_CODE, "code", "name"))
 def claim_records(spark, sf_dir):
     """The same through annotation, linking, extraction, folding and the fact grammar."""
-    return _records(spark).select("code", "name", "org", "ipc", F.size("segments").alias("n_segments"), F.size("graph.terms").alias("n_terms"), F.size("facts").alias("n_facts"))
+    return _records(spark, sf_dir).select("code", "name", "org", "ipc", F.size("segments").alias("n_segments"), F.size("graph.terms").alias("n_terms"), F.size("facts").alias("n_facts"))
 
 
-@query(expected.CLAIM_GRAPH_EDGES)
+@query(_numbered_sql(expected.CLAIM_GRAPH_EDGES, _BY_CODE, "code"))
 def claim_graph_edges(spark, sf_dir):
     from . import claims
 
-    return claims.tables(_records(spark))["edges"]
+    return claims.tables(_records(spark, sf_dir))["edges"]
 
 
-@query(expected.CLAIM_FACTS)
+@query(_numbered_sql(expected.CLAIM_FACTS, _BY_CODE, "code"))
 def claim_facts(spark, sf_dir):
     from . import claims
 
-    return claims.tables(_records(spark))["facts"]
+    return claims.tables(_records(spark, sf_dir))["facts"]
 
 
-@query(expected.CLAIM_RDF)
+@query(_numbered_sql(expected.CLAIM_RDF, _BY_CODE, "code", "s", "o"))
 def claim_rdf(spark, sf_dir):
     from . import claims
 
-    found = _records(spark)
+    found = _records(spark, sf_dir)
     t = claims.tables(found)
     return rdf.emit(found.select("code", "name", "org", "ipc", "facts"), t["terms"], t["edges"], t["refs"])
 
 
-@query("""SELECT * FROM (VALUES ('c.xml', NULL, 'no code'), ('d.xml', NULL, 'not a patent'), ('e.xml', NULL, 'broken XML')) AS t(path, code, error)""")
+@query("""SELECT s_suppkey || '-' || ['a', 'b', 'c', 'd', 'e'][s_suppkey % 5 + 1] || '.xml' AS path, CAST(NULL AS VARCHAR) AS code, ['', '', 'no code', 'not a patent', 'broken XML'][s_suppkey % 5 + 1] AS error FROM supplier WHERE s_suppkey % 5 > 1""")
 def read_failures(spark, sf_dir):
     """The files that gave no record, and why."""
     from . import claims
 
-    found = patents.read_patents(_sample_files(spark))
+    found = saved(patents.read_patents(_sample_files(spark, sf_dir)), "patents")
     return claims.failures(found, claims.folded(found))
 
 
@@ -1035,15 +1084,15 @@ def rdf_xml(spark, sf_dir):
     return rdf.documents_xml(rows).select(F.col("code").alias("region"), "xml")
 
 
-@query(expected.SEGMENT_DOT)
+@query(_numbered_sql(expected.SEGMENT_DOT, _BY_CODE, "code", "dot"))
 def segment_dot(spark, sf_dir):
-    rows = _records(spark).select("code", F.inline("segments")).select("code", F.col("id").alias("seg_id"), "type", "text", "link.parent")
+    rows = _records(spark, sf_dir).select("code", F.inline("segments")).select("code", F.col("id").alias("seg_id"), "type", "text", "link.parent")
     return matching.segment_dot(rows)
 
 
-@query(expected.GRAPH_DOT)
+@query(_numbered_sql(expected.GRAPH_DOT, _BY_CODE, "code", "dot"))
 def graph_dot(spark, sf_dir):
     from . import claims
 
-    t = claims.tables(_records(spark))
+    t = claims.tables(_records(spark, sf_dir))
     return graph.dot(t["terms"], t["edges"])
