@@ -49,6 +49,37 @@ def is_parent_of_pos(tokens: Column, token_id: Column, *pos: str) -> Column:
     return F.exists(tokens, lambda t: (t["parent"] == token_id) & t["pos"].isin(*pos))
 
 
+def is_parent_of(tokens: Column, token_id: Column, child_id: Column) -> Column:
+    """One of the tokens has the one id and hangs on the other."""
+    return F.exists(tokens, lambda t: (t["id"] == child_id) & (t["parent"] == token_id))
+
+
+def is_child_of(token: Column, parent_id: Column) -> Column:
+    return F.coalesce(token["parent"] == parent_id, F.lit(False))
+
+
+def is_root(token: Column) -> Column:
+    return F.coalesce(token["parent"] == "0", F.lit(False))
+
+
+def root_noun(tokens: Column) -> Column:
+    return first_token(tokens, lambda t: (t["pos"] == "NOUN") & is_root(t))
+
+
+def second_of(tokens: Column, pos: str) -> Column:
+    """The second token of a part of speech."""
+    return F.get(F.filter(tokens, lambda t: t["pos"] == pos), F.lit(1))
+
+
+def with_text(tokens: Column, text: Column) -> Column:
+    """The last token of a text: a token's copy behind it, or itself."""
+    return last_token(tokens, lambda t: t["text"] == text)
+
+
+def with_id(tokens: Column, token_id: Column) -> Column:
+    return first_token(tokens, lambda t: t["id"] == token_id)
+
+
 def is_purpose(tokens: Column, verbs: tuple[str, ...]) -> Column:
     """A purpose clause: the lemma 'цель', or first 'предназначать', or first 'для' without a dictionary verb."""
     head = F.get(tokens, F.lit(0))["lemma"]
@@ -104,7 +135,7 @@ def between_heads(positions: Column, at: Column) -> Column:
     return F.exists(positions, lambda p: p < at) & F.exists(positions, lambda p: p > at)
 
 
-def position_of_text(tokens: Column, text: str) -> Column:
+def position_of_text(tokens: Column, text: Column | str) -> Column:
     """Where (from 0) a token's text first occurs; null if nowhere."""
     found = F.array_position(F.transform(tokens, lambda t: t["text"]), text)
     return F.when(found > 0, found - 1)

@@ -495,6 +495,19 @@ def token_predicates(spark, sf_dir):
     )
 
 
+@query(f"""WITH {_TURNS_SQL}, l AS (SELECT conv_id, list(id ORDER BY ix) FILTER (pos = 'NOUN') AS nouns, list(CAST(ix AS VARCHAR) ORDER BY ix) FILTER (lemma = 'содержать') AS known, bool_or(ix = 3 AND parent = 1) AS one_over_three, arg_max(text, ix) AS tail_text, arg_min(id, ix) FILTER (pos = 'NOUN' AND parent = 0) AS root_noun, max(ix) FILTER (ix = 2 AND parent = 1) IS NOT NULL AS second_hangs
+FROM (SELECT *, CAST(ix AS VARCHAR) AS id FROM k) GROUP BY conv_id)
+SELECT l.conv_id, l.nouns[2] AS second_noun, l.known[1] AS known_word, one_over_three, root_noun, second_hangs, CAST(min(k.ix) - 1 AS INTEGER) AS text_at, CAST(max(k.ix) AS VARCHAR) AS same_text FROM l JOIN k ON k.conv_id = l.conv_id AND k.text = l.tail_text GROUP BY ALL""")
+def token_relations(spark, sf_dir):
+    """Who hangs on whom, roots, second and equal words of each conversation."""
+    t = F.col("tokens")
+    last = F.element_at(t, -1)["text"]
+    return _segments_of_turns(spark, sf_dir).select(
+        "conv_id", tokens.second_of(t, "NOUN")["id"].alias("second_noun"), tokens.first_token(t, lambda x: x["lemma"] == "содержать")["id"].alias("known_word"), tokens.is_parent_of(t, F.lit("1"), F.lit("3")).alias("one_over_three"),
+        tokens.root_noun(t)["id"].alias("root_noun"), tokens.is_child_of(tokens.with_id(t, F.lit("2")), F.lit("1")).alias("second_hangs"), tokens.position_of_text(t, last).alias("text_at"), tokens.with_text(t, last)["id"].alias("same_text"),
+    )
+
+
 @query(f"""WITH {_TURNS_SQL}, p AS (SELECT *, lead(case_) OVER (PARTITION BY conv_id ORDER BY ix) AS next_case FROM k)
 SELECT conv_id, CAST(ix AS VARCHAR) AS id, gender, number, case_ AS case_value, passive AS is_passive, coalesce((case_ IN ('Acc', 'Gen') AND next_case IN ('Acc', 'Gen')) OR (case_ IN ('Acc', 'Nom') AND next_case IN ('Acc', 'Nom')) OR (case_ IN ('Loc', 'Ins') AND next_case IN ('Loc', 'Ins')), false) AS fits_next FROM p""")
 def token_features(spark, sf_dir):
