@@ -20,8 +20,9 @@ SCOPE = frozenset("ul ol dl table select article section div nav aside main body
 ENDS_P = BLOCK - {"br", "body", "html", "option"}
 #: Elements within a line; they are part of their block's text, not of the skeleton.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
-TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
+#: As browsers read tags: a quote opens a value only behind an equals sign, anywhere else it is a character like others.
+TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=(?>\s*(?:\"[^\"]*\"|'[^']*')?))*+)>", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.S)
 
 
 class Node:
@@ -196,38 +197,29 @@ def label_of(node: Node) -> str:
 
 
 class Template:
-    """A wrapper node: in how many pages it occurs, up to DISTINCT digests of what it held there, and the code points of its own text."""
+    """A wrapper node: a label and what stands within."""
 
-    __slots__ = ("children", "label", "links", "n", "own", "shape", "size", "texts")
-    DISTINCT = 3
+    __slots__ = ("children", "label", "shape", "size")
 
-    def __init__(self, label: str, n: int = 0, texts: tuple = (), own: int = 0, links: int = 0):
-        self.label, self.n, self.texts, self.own, self.links = label, n, set(texts), own, links
+    def __init__(self, label: str):
+        self.label = label
         self.children: list[Template] = []
         self.shape, self.size = b"", 1
 
-    def see(self, n: int, texts, own: int, links: int) -> None:
-        self.n += n
-        self.texts = set(sorted(self.texts.union(texts))[: self.DISTINCT])
-        self.own += own
-        self.links += links
-
     walk = Slot.walk
 
     def pack(self) -> list:
-        """The tree as a flat list, each node with the place of its parent."""
-        nodes = self.walk()
-        place = {id(t): k for k, t in enumerate(nodes)}
-        parent = {id(c): place[id(t)] for t in nodes for c in t.children}
-        return [[parent.get(id(t), -1), t.label, t.n, sorted(x.hex() for x in t.texts), t.own, t.links] for t in nodes]
+        """The tree as a flat list in the order of walk(), each node with the place of its parent."""
+        return packed(self)
 
     @classmethod
     def unpack(cls, rows: list) -> Template:
         nodes: list[Template] = []
-        for parent, label, n, texts, own, links in rows:
-            nodes.append(cls(label, n, tuple(bytes.fromhex(t) for t in texts), own, links))
+        for parent, label, *_ in rows:
+            nodes.append(cls(label))
             if parent >= 0:
                 nodes[parent].children.append(nodes[-1])
+        nodes[0].measure()
         return nodes[0]
 
     def measure(self) -> int:
@@ -241,21 +233,13 @@ class Template:
             t.shape = shape.digest()
         return self.size
 
-    def prune(self, room: int) -> None:
-        """Forget the nodes on the fewest pages where the wrapper is larger than room, until half of it is free.
 
-        A node on more than half of the pages stays while pages have fewer than room / 4 nodes on average, as no more than
-        twice that many nodes can be on so many.
-        """
-        if self.measure() <= room:
-            return
-        least = sorted((t.n for t in self.walk()), reverse=True)[room // 2]
-        stack = [self]
-        while stack:
-            t = stack.pop()
-            t.children = [c for c in t.children if c.n > least]
-            stack.extend(t.children)
-        self.measure()
+def packed(top, *of) -> list:
+    """A Slot or Template tree as a flat list in the order of walk(): the place of the parent, the label, and what the functions give."""
+    nodes = top.walk()
+    place = {id(t): k for k, t in enumerate(nodes)}
+    parent = {id(c): place[id(t)] for t in nodes for c in t.children}
+    return [[parent.get(id(t), -1), t.label, *[f(t) for f in of]] for t in nodes]
 
 
 def match(a, b, memo: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]]) -> tuple[int, list[tuple[int, int]]]:

@@ -595,32 +595,78 @@ def test_headings_beside_the_content_stay():
     page = lambda i: f"<body><div class=page><h1>{word()} {i}</h1><div class=text><p>{prose(60)}</p><p>{prose(40)}</p></div></div><div class=foot>same</div></body>"
     inside = lambda i: f"<body><main><div class=more>{word()} {i}</div><article><p>{prose(60)}</p></article></main></body>"
     for make, tag in ((page, "h1|p"), (inside, "p")):
-        pages, wrapper = [make(i) for i in range(5)], dom.Template("#root")
+        pages = [make(i) for i in range(5)]
+        wrapper = html.wrapper_of(pages)
         for p in pages:
-            html._seen(wrapper, dom.align(wrapper, dom.Slot("#root", [dom.parse(p)], html.says_no), True))
-        for p in pages:
-            assert html.extract(dom.parse(p), html.Wrapper(wrapper)).split("\n") == re.findall(rf"<(?:{tag})>([^<]*)", p)
+            assert html.extract(dom.parse(p), wrapper).split("\n") == re.findall(rf"<(?:{tag})>([^<]*)", p)
 
 
 def test_constant_text_of_an_article_stays():
     pages = [f"<body><nav>Menu</nav><article><h2>Summary</h2><p>{prose(9)}</p><p class='share-price ad-hoc'>Price</p><div class='share-buttons'>Tweet</div></article></body>" for _ in range(6)]
-    wrapper = dom.Template("#root")
+    wrapper = html.wrapper_of(pages)
+    for p in pages:
+        assert html.extract(dom.parse(p), wrapper) == "Summary\n" + re.search(r"<p>([^<]*)", p)[1] + "\nPrice"
+
+
+def test_quotes_in_tags_are_read_as_browsers_do():
+    page = """<p>x <img alt="5" tall" src=a>y</p><p><a title='it's'>z</a> <a href="a>b">q</a> <b title = 'c>d'>r</b><i a= >s</i><img alt="open>t</p>"""
+    assert html.extract(dom.parse(page), None) == "x y\nz q rst"
+    deep = "<p>" + "<a " + "b=" * 50000
+    assert html.extract(dom.parse(deep), None).startswith("<a b=")
+
+
+def test_content_is_not_lost_to_longer_blocks():
+    """A short article beside long comments that no class tells apart: both are blocks of paragraphs, so both stay."""
+    says = lambda i: "".join(f"<p>{word()} {i} {prose(30)}</p>" for _ in range(12))
+    pages = [f"<body><div>menu</div><div class=mid><h1>{word()} {i}</h1><p>{i} {prose(5)}</p></div><div class=xx>{says(i)}</div><div>end</div></body>" for i in range(6)]
+    wrapper = html.wrapper_of(pages)
     for p in pages:
-        slot = dom.Slot("#root", [dom.parse(p)], html.says_no)
-        html._seen(wrapper, dom.align(wrapper, slot, True))
+        assert html.extract(dom.parse(p), wrapper).split("\n") == re.findall(r"<(?:h1|p)>([^<]*)", p)
+
+
+def test_template_within_articles_goes():
+    pages = [f"<body><article><h1>{word()} {i}</h1><div class=club><b>Join</b> our club</div><h2>Summary</h2><p>{i} {prose(9)}</p><p>Always so</p><section>Written by us</section></article></body>" for i in range(6)]
+    wrapper = html.wrapper_of(pages)
     for p in pages:
-        assert html.extract(dom.parse(p), html.Wrapper(wrapper)) == "Summary\n" + re.search(r"<p>([^<]*)", p)[1] + "\nPrice"
-
-
-def test_a_full_wrapper_keeps_what_is_on_most_pages():
-    wrapper = dom.Template("#root")
-    for k in range(40):
-        odd = "".join(f"<div class={'x' * rng.randint(1, 30)}{'y' * rng.randint(0, 30)}>a</div>" for _ in range(8))
-        slot = dom.Slot("#root", [dom.parse(f"<body><div class=top>T</div>{odd}<div class=end>E</div></body>")])
-        html._seen(wrapper, dom.align(wrapper, slot, True))
-        wrapper.prune(60)
-    body = wrapper.children[0]
-    assert wrapper.measure() <= 60 and {c.label: c.n for c in body.children if c.label in ("div.top", "div.end")} == {"div.top": 40, "div.end": 40}
+        assert html.extract(dom.parse(p), wrapper).split("\n") == re.findall(r"<(?:h1|h2|p)>([^<]*)", p)
+
+
+def test_bodies_that_are_all_the_same_stay():
+    pages = [f"<body><div class=a><h1>{word()} {i}</h1><div class=b><p>The same.</p></div></div></body>" for i in range(6)]
+    wrapper = html.wrapper_of(pages)
+    assert [html.extract(dom.parse(p), wrapper) for p in pages] == [re.search("<h1>([^<]*)", p)[1] + "\nThe same." for p in pages]
+
+
+def test_texts_do_not_depend_on_order_or_partitions(spark):
+    odd = lambda i: "".join(f"<div class={'xyz'[rng.randrange(3)]}>{prose(2)}</div>" for _ in range(i % 5))
+    rows = [(i, "http://h.x/", f"<body><div class=top>T</div>{odd(i)}<div class=mid><h2>{word()} {i}</h2><p>{i} {prose(9)}</p>{'<div class=ad2>Buy</div>' * (i % 3 > 0)}</div><div class=end>E</div></body>") for i in range(40)]
+    texts = []
+    for n in (1, 4, 9):
+        mixed = rng.sample(rows, len(rows))
+        got = html.extract_text(spark.createDataFrame(mixed, "page_id long, url string, html string").repartition(n)).collect()
+        texts.append({r.page_id: r.text for r in got})
+    assert texts[0] == texts[1] == texts[2]
+    wrapper = html.wrapper_of([h for _, _, h in rows])
+    assert texts[0] == {i: html.extract(dom.parse(h), wrapper) for i, _, h in rows}
+    assert all(texts[0][i].split("\n") == re.findall("<(?:h2|p)>([^<]*)", h) for i, _, h in rows)
+
+
+def test_wrappers_know_the_template_of_made_hosts():
+    """Hosts made of parts of which it is known what is template: every word of the varying parts is in the texts and none of the others."""
+    for _ in range(60):
+        parts = [(f"<{t} class=p{chr(97 + k)}>", f"</{t}>", rng.random() < 0.5, rng.choice([1, 0.7])) for k, t in enumerate(rng.choices(["div", "section"], k=rng.randint(1, 4)))]
+        pages, want = [], []
+        for i in range(12):
+            page, text = "", []
+            for k, (start, end, constant, share) in enumerate(parts):
+                if rng.random() < share:
+                    said = f"fixed {'abcd'[k]} words" if constant else f"{i}x{k} {prose(6)}"
+                    page += f"{start}<p>{said}</p>{end}"
+                    text += [] if constant else [said]
+            pages.append(f"<body>{page}<div class=text><p>{i} {prose(5)}</p></div></body>")
+            want.append([*text, re.search(r"<div class=text><p>([^<]*)", pages[-1])[1]])
+        wrapper = html.wrapper_of(pages)
+        assert [html.extract(dom.parse(p), wrapper).split("\n") for p in pages] == want
 
 
 # --- 10 near duplicates ------------------------------------------------------------------------------------------------
