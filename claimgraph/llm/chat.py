@@ -11,6 +11,7 @@ chunk then retraces its own part. A conversation with a third of all rows is so
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,13 +29,25 @@ RELABEL, RELABEL_UNKNOWN, MERGE, INSERT = 3, 1, 1, 2
 CHUNK = 512
 INFINITE = 1 << 60
 OPEN, CLOSE, JOINT = "<|{}|>\n", "\n<|end|>\n", "\n\n"
-SCHEMA = "chunk long, seq int, action string, new_role string, inserted string, rendered string"
+#: A mark's beginning within a text, with the backslashes that tell it from a mark; escape() adds one, unescape() takes one.
+MARK, ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
+SCHEMA = "chunk long, seq int, action string, new_role string, inserted string, escaped int, rendered string"
 
 
 def role_of(name: str | None) -> int | None:
     return ALIASES.get((name or "").strip().lower())
 
 
+def escape(text: str) -> tuple[str, int]:
+    """A text in which nothing reads as a mark, and how many places were changed."""
+    return MARK.subn(r"<\1\\|", text)
+
+
+def unescape(text: str) -> str:
+    """The text that escape() was given."""
+    return ESCAPED.sub(r"<\1|", text)
+
+
 def moves(state: int, role: int | None) -> list[tuple[int, int, str, int | None]]:
     """(cost, next state, action, inserted role) of every way to take a turn of this role."""
     out = []
@@ -150,12 +163,12 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("chunk", pa.int64()), ("seq", pa.int32()), ("action", pa.string()), ("new_role", pa.string()), ("inserted", pa.string()), ("rendered", pa.string())])
+    schema = pa.schema([("chunk", pa.int64()), ("seq", pa.int32()), ("action", pa.string()), ("new_role", pa.string()), ("inserted", pa.string()), ("escaped", pa.int32()), ("rendered", pa.string())])
     for run in _runs(batches):
         path = retrace([role_of(r["role"]) for r in run], run[0]["enter"], run[0]["leave"])
         out, before = [], run[0]["enter"]
         for k, (row, (role, action, inserted)) in enumerate(zip(run, path, strict=True)):
-            text = row["text"] or ""
+            text, escaped = escape(row["text"] or "")
             if action == "keep" and row["role"].strip().lower() != ROLES[role]:
                 action = "rename"
             if action == "merge":
@@ -164,18 +177,19 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 piece = ("" if before == START else CLOSE) + ("" if inserted is None else OPEN.format(ROLES[inserted]) + CLOSE) + OPEN.format(ROLES[role]) + text
             if row["last"] and k == len(run) - 1:
                 piece += CLOSE
-            out.append({"chunk": row["chunk"], "seq": row["seq"], "action": action, "new_role": ROLES[role], "inserted": None if inserted is None else ROLES[inserted], "rendered": piece})
+            out.append({"chunk": row["chunk"], "seq": row["seq"], "action": action, "new_role": ROLES[role], "inserted": None if inserted is None else ROLES[inserted], "escaped": escaped, "rendered": piece})
             before = role
         yield pa.RecordBatch.from_pylist(out, schema)
 
 
 def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_col, turn_col, place, role, new_role, action, inserted, rendered) of every row.
+    """(conv_col, turn_col, place, role, new_role, action, inserted, escaped, rendered) of every row.
 
     action: keep, rename (another name of the same role), relabel or merge. rendered: the row's part of the formatted
     conversation; the parts in order of place are the whole. Turns go by turn_col,
     nulls first, then role and text; equal rows follow each other and are merged like other turns of one role. A null or
-    unknown role is relabelled at the lowest cost. A null text is an empty turn. Rows of a null conversation form one of
+    unknown role is relabelled at the lowest cost. A null text is an empty turn. What would read as a mark
+    within a text is escaped; `escaped` counts such places. Rows of a null conversation form one of
     their own. An empty table gives no rows.
     """
     source = turns.select(F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{role_col}`").alias("role"), F.col(f"`{text_col}`").alias("text"))
@@ -191,4 +205,4 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     rendered = by_chunk(chunked.select("chunk", "seq", "role", "text").join(entries, "chunk")).mapInArrow(_render, SCHEMA)
     out = chunked.drop("text").join(rendered, ["chunk", "seq"])
     place = F.col("chunk").cast("decimal(20,0)") * CHUNK + F.col("seq")
-    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), place.alias("place"), "role", "new_role", "action", "inserted", "rendered")
+    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), place.alias("place"), "role", "new_role", "action", "inserted", "escaped", "rendered")

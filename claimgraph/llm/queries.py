@@ -23,7 +23,7 @@ def vocabulary_file(name: str) -> str:
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per turn; the rendered parts of a conversation follow each other by place."""
     fixed = chat.repair(table(spark, sf_dir, "conversations"))
-    return fixed.select("conv_id", "turn", "place", "role", "new_role", "action", "inserted", "rendered")
+    return fixed.select("conv_id", "turn", "place", "role", "new_role", "action", "inserted", "escaped", "rendered")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
