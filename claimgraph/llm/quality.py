@@ -8,7 +8,8 @@ determinant settles. One reweighting step follows. A document far from its group
 
 A group is never gathered: order statistics come from counts over a fixed grid of bins, means and covariances are sums,
 and all of them are pre-aggregated before they are shuffled. The h-subset ends within a bin, whose
-documents count by the share of it that is wanted, so every subset weighs h and determinants can be compared. A group
+documents count by the share of it that is wanted, so every subset weighs h and determinants can be compared. The squares of
+the least deviations in FEATURES are added to every covariance's diagonal, so a statistic that hardly varies in a group does not reject what differs a little. A group
 below MIN_GROUP documents is judged by its language's estimate, or, where that has too few as well, by that of all documents.
 """
 
@@ -31,7 +32,8 @@ FIRST_STEPS, MOST_STEPS, SETTLED = 3, 60, 1e-3
 #: Bins of the distance per unit of its logarithm.
 BINS = 32
 REWEIGHT = 0.975
-#: A distance counts in full for long texts and by n / (n + SHORT) for a text of n words, whose statistics vary more.
+#: A document of n words is judged by its group's covariance times 1 + SHORT / n, as the statistics of short texts vary more: its squared
+#: Mahalanobis distance is that by the group's covariance times n / (n + SHORT).
 SHORT = 60
 #: (name, least standard deviation): below it a statistic is taken to vary by that much.
 FEATURES = (("f_length", 0.04), ("f_symbols", 0.05), ("f_lines", 0.15), ("f_repeats", 0.10), ("f_capitals", 0.05), ("f_marks", 0.05))
@@ -136,15 +138,18 @@ def _groups(stats: DataFrame, min_group: int) -> DataFrame:
     return every.select("lang_key", "source_key", group.alias("group"), F.array_compact(feeds).alias("feeds"))
 
 
-def _centred() -> list[Column]:
-    return [F.col(name) - F.col(f"mean_{i}") for i, (name, _) in enumerate(FEATURES)]
+# Expressions over the params as SQL text: hundreds of them are written at once, which one call each would make slow.
+_PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+_CENTRED = [f"({name} - mean_{i})" for i, (name, _) in enumerate(FEATURES)]
 
 
-def _distance() -> Column:
+def _sum(terms: list[str]) -> str:
+    return "(" + (" + ".join(terms) or "0D") + ")"
+
+
+def _distance() -> str:
     """Squared Mahalanobis distance from the params columns mean_i and w_i_j (inverse of the covariance's Cholesky factor)."""
-    centred = _centred()
-    parts = [reduce(lambda a, b: a + b, [F.col(f"w_{i}_{j}") * centred[j] for j in range(i + 1)]) for i in range(P)]
-    return reduce(lambda a, b: a + b, [p * p for p in parts])
+    return _sum([f"pow({_sum([f'w_{i}_{j} * {_CENTRED[j]}' for j in range(i + 1)])}, 2)" for i in range(P)])
 
 
 def _middles(rows: DataFrame) -> DataFrame:
@@ -186,23 +191,20 @@ def _starts(rows: DataFrame) -> DataFrame:
 
 def _solved(df: DataFrame) -> DataFrame:
     """(group, start, mean_i, s_i_j) to (group, start, mean_i, w_i_j, logdet): the inverse of the Cholesky factor, and the determinant."""
-    total = lambda terms: reduce(lambda a, b: a + b, terms, F.lit(0.0))
-    for i in range(P):  # Cholesky factor l, row by row
-        for j in range(i + 1):
-            rest = F.col(f"s_{i}_{j}") - total([F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)])
-            df = df.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l_{j}_{j}"))
-    for i in range(P):  # its inverse w
-        for j in range(i + 1):
-            df = df.withColumn(f"w_{i}_{j}", 1 / F.col(f"l_{i}_{i}") if i == j else -total([F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}") for k in range(j, i)]) / F.col(f"l_{i}_{i}"))
-    logdet = 2 * total([F.log(f"l_{i}_{i}") for i in range(P)])
-    return df.select("group", "start", *[f"mean_{i}" for i in range(P)], *[f"w_{i}_{j}" for i in range(P) for j in range(i + 1)], logdet.alias("logdet"))
+    steps = []  # each may use those before it
+    for i, j in _PAIRS:  # Cholesky factor l, row by row
+        rest = f"s_{i}_{j} - {_sum([f'l_{i}_{k} * l_{j}_{k}' for k in range(j)])}"
+        steps.append(f"sqrt(greatest({rest}, 1e-12D)) AS l_{i}_{j}" if i == j else f"({rest}) / l_{j}_{j} AS l_{i}_{j}")
+    for i, j in _PAIRS:  # its inverse w
+        steps.append(f"1 / l_{i}_{i} AS w_{i}_{j}" if i == j else f"-{_sum([f'l_{i}_{k} * w_{k}_{j}' for k in range(j, i)])} / l_{i}_{i} AS w_{i}_{j}")
+    steps.append(f"2 * {_sum([f'ln(l_{i}_{i})' for i in range(P)])} AS logdet")
+    return df.selectExpr("*", *steps).selectExpr("group", "start", *[f"mean_{i}" for i in range(P)], *[f"w_{i}_{j}" for i, j in _PAIRS], "logdet")
 
 
 def _concentrated(rows: DataFrame, params: DataFrame, share: float | None) -> DataFrame:
     """Params from the mean and the covariance (times a consistency factor, plus the least variances) of the share of each
     group's rows nearest to its params; without a share, of those nearer than the reweighting cutoff."""
-    far = rows.join(params, "group").select("group", "start", *[f"mean_{i}" for i in range(P)], _distance().alias("d2"), *[c.alias(f"x_{i}") for i, c in enumerate(_centred())])
-    products = [(i, j) for i in range(P) for j in range(i + 1)]
+    far = rows.join(params, "group").selectExpr("group", "start", *[f"mean_{i}" for i in range(P)], f"{_distance()} AS d2", *[f"{c} AS x_{i}" for i, c in enumerate(_CENTRED)])
     if share is None:
         chosen = far.where(F.col("d2") <= chi2_quantile(REWEIGHT, P)).withColumn("part", F.lit(1.0))
     else:
@@ -214,42 +216,43 @@ def _concentrated(rows: DataFrame, params: DataFrame, share: float | None) -> Da
         last = F.max(F.struct("bin", F.least(F.lit(1.0), (F.col("want") - F.col("before")) / F.col("n")).alias("share")))
         cuts = counts.groupBy("group", "start").agg(last.alias("cut"))
         chosen = binned.join(cuts, ["group", "start"]).where(F.col("bin") <= F.col("cut.bin")).withColumn("part", F.when(F.col("bin") < F.col("cut.bin"), 1.0).otherwise(F.col("cut.share")))
-    moments = [F.sum(F.col(f"x_{i}") * F.col("part")).alias(f"x_{i}") for i in range(P)] + [F.sum(F.col(f"x_{i}") * F.col(f"x_{j}") * F.col("part")).alias(f"p_{i}_{j}") for i, j in products]
-    held = chosen.groupBy("group", "start").agg(F.sum("part").alias("n"), *[F.max(f"mean_{i}").alias(f"mean_{i}") for i in range(P)], *moments)
+    moments = [f"sum(x_{i} * part) AS x_{i}" for i in range(P)] + [f"sum(x_{i} * x_{j} * part) AS p_{i}_{j}" for i, j in _PAIRS]
+    held = chosen.groupBy("group", "start").agg(*[F.expr(e) for e in ("sum(part) AS n", *[f"max(mean_{i}) AS mean_{i}" for i in range(P)], *moments)])
     factor = _consistency(REWEIGHT if share is None else share)
-    cov = lambda i, j: (F.col(f"p_{i}_{j}") - F.col(f"x_{i}") * F.col(f"x_{j}") / F.col("n")) / F.col("n") * factor + (FEATURES[i][1] ** 2 if i == j else 0.0)
-    return _solved(held.select("group", "start", *[(F.col(f"mean_{i}") + F.col(f"x_{i}") / F.col("n")).alias(f"mean_{i}") for i in range(P)], *[cov(i, j).alias(f"s_{i}_{j}") for i, j in products]))
+    cov = lambda i, j: f"(p_{i}_{j} - x_{i} * x_{j} / n) / n * {factor!r}D + {FEATURES[i][1] ** 2 if i == j else 0.0!r}D AS s_{i}_{j}"
+    return _solved(held.selectExpr("group", "start", *[f"mean_{i} + x_{i} / n AS mean_{i}" for i in range(P)], *[cov(i, j) for i, j in _PAIRS]))
 
 
 def fitted(rows: DataFrame) -> DataFrame:
-    """(group, start, mean_i, w_i_j, logdet) from rows (group, features), read anew for each step: the estimate of the start whose determinant is the least."""
-    params = written(_solved(_starts(rows)), "params")
+    """(group, start, mean_i, w_i_j, logdet) from a written table of rows (group, features): the estimate of the start whose determinant is the least."""
+    params = written(_solved(_starts(rows)).withColumn("change", F.lit(None).cast("double")), "params")
     for step in range(MOST_STEPS):
-        new = written(_concentrated(rows, params, 0.5 if step == 0 else SUBSET), "params")
+        new = _concentrated(rows, params.drop("change"), 0.5 if step == 0 else SUBSET)
         if step == FIRST_STEPS - 1:
             best = Window.partitionBy("group").orderBy("logdet", "start")
-            new = written(new.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth"), "params")
-        elif step >= FIRST_STEPS:
-            change = new.join(params.select("group", F.col("logdet").alias("was")), "group").agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+            new = new.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
+        before = params.select("group", "start", F.col("logdet").alias("was"))
+        params = written(new.join(before, ["group", "start"]).withColumn("change", F.abs(F.col("logdet") - F.col("was"))).drop("was"), "params")
+        if step >= FIRST_STEPS:
+            change = params.agg(F.max("change")).first()[0]
             if change is None or change < SETTLED:
-                params = new
                 break
-        params = new
     else:
         raise RuntimeError(f"an estimate did not settle in {MOST_STEPS} steps")
-    return written(_concentrated(rows, params, None), "params")
+    return written(_concentrated(rows, params.drop("change"), None), "params")
 
 
 def estimates(stats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """(lang_key, source_key, group, mean_i, w_i_j) from a written table of statistics."""
     groups = written(_groups(stats, min_group), "groups")
     rows = stats.where("not base_failed").join(groups, ["lang_key", "source_key"]).select(F.explode("feeds").alias("group"), *[n for n, _ in FEATURES])
+    rows = written(rows, "vectors")
     return written(groups.join(fitted(rows).drop("start", "logdet"), "group", "left"), "estimates")
 
 
 def _judged(stats: DataFrame, params: DataFrame) -> DataFrame:
     joined = stats.join(params, ["lang_key", "source_key"], "left")
-    d2 = _distance() * F.col("n_words") / (F.col("n_words") + SHORT)
+    d2 = F.expr(_distance()) * F.col("n_words") / (F.col("n_words") + SHORT)
     cutoff = chi2_quantile(1 - TAIL, P)
     # One sum, not a conjunction: the optimizer would push the base rule alone below the join and inline into its lambdas
     # the arrays that measured() computes once.

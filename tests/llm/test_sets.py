@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from claimgraph.llm import divergence, trie, vectors
 
@@ -230,3 +231,26 @@ def test_counts_of_bounded_dictionaries(spark, monkeypatch):
     monkeypatch.setattr(divergence, "CHUNK", 4)
     assert total() == whole
     assert whole["x", "bb"] == 2 * (20 + 1) * 1000 + 4
+
+
+# --- 4 quality rules: the distance ----------------------------------------------------------------------------------------
+
+
+def test_distances_are_mahalanobis_with_the_short_text_correction(spark):
+    """Distances from the estimates and the statistics by numpy: the group's covariance times 1 + SHORT / n for a text of n words."""
+    from claimgraph.llm import quality
+
+    texts = [" ".join(rng.choice(["one", "Two", "three,", "fo#ur", "five."]) for _ in range(rng.randint(50, 400))) for _ in range(150)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    judged = {r.doc_id: r.distance for r in quality.assess(docs).collect()}
+    source = docs.select("doc_id", "text", quality._key(F.col("lang")).alias("lang_key"), quality._key(F.col("source")).alias("source_key"))
+    stats = quality.written(quality.measured(source, "text").drop("text"), "stats")
+    params = quality.estimates(stats).first()
+    p = quality.P
+    mean = np.array([params[f"mean_{i}"] for i in range(p)])
+    factor = np.array([[params[f"w_{i}_{j}"] if j <= i else 0.0 for j in range(p)] for i in range(p)])
+    covariance = np.linalg.inv(factor.T @ factor)
+    for r in stats.collect():
+        x = np.array([r[n] for n, _ in quality.FEATURES]) - mean
+        d2 = x @ np.linalg.inv(covariance * (1 + quality.SHORT / r.n_words)) @ x
+        assert judged[r.doc_id] == pytest.approx(d2**0.5, rel=1e-6)
