@@ -240,7 +240,7 @@ def test_distances_are_mahalanobis_with_the_short_text_correction(spark):
     """Distances from the estimates and the statistics by numpy: the group's covariance times 1 + SHORT / n for a text of n words."""
     from claimgraph.llm import quality
 
-    texts = [" ".join(rng.choice(["one", "Two", "three,", "fo#ur", "five."]) for _ in range(rng.randint(50, 400))) for _ in range(150)]
+    texts = [" ".join(rng.choice(["one", "Two", "three,", "fo#ur", "five."]) + str(rng.randrange(500)) for _ in range(rng.randint(50, 400))) for _ in range(150)]
     docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
     judged = {r.doc_id: r.distance for r in quality.assess(docs).collect()}
     source = docs.select("doc_id", "text", quality._key(F.col("lang")).alias("lang_key"), quality._key(F.col("source")).alias("source_key"))
