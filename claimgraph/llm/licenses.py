@@ -3,8 +3,8 @@
 A file's candidate statements are its headers (neighbouring paragraphs that name a licence, comment marks stripped), their
 paragraphs, and their sentences and lines that name a licence (all of a licence file's text is one more). A header that is like
 a template goes before its paragraphs, and these before their lines; of several headers the most alike counts.
-Equal statements are scored once: their words, weighted by tf-idf with document frequencies over all distinct
-statements and templates, are compared with every template by cosine. A file without a licence of its own takes that of
+Equal statements are scored once: their words, weighted by tf-idf with document frequencies over the templates, so that a
+header scores alike in any corpus, are compared with every template by cosine. A file without a licence of its own takes that of
 the nearest ancestor directory with a licence file, found by joining each file's ancestors with the directories.
 """
 
@@ -17,27 +17,63 @@ from .common import SPACES, ascii_lower, written
 
 #: Licence notices as they are commonly written, by SPDX identifier.
 TEMPLATES: tuple[tuple[str, str], ...] = (
+    ("AGPL-3.0-only", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-only", "Licensed under the GNU Affero General Public License, version 3. AGPL-3.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: redistributions of source code must retain the above copyright notice. BSD 2-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products. BSD 3-Clause License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ Terms and conditions for use, reproduction, and distribution."),
+    ("Artistic-2.0", "Licensed under the Artistic License 2.0. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. BSD Zero Clause License."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License. Simplified BSD License."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License. New BSD License."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License. CC BY 4.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License. CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License. CC BY-NC-SA 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License. CC BY-ND 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. CC BY-SA 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal public domain dedication."),
+    ("CDDL-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution License, Version 1.0. You may not use this file except in compliance with the License."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EUPL-1.2", "Licensed under the European Union Public Licence, EUPL, version 1.2 or, as soon they will be approved by the European Commission, subsequent versions of the EUPL."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2."),
+    ("GPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2."),
+    ("GPL-2.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. ISC License."),
+    ("LGPL-2.1", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 2.1."),
+    ("LGPL-2.1-or-later", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0-or-later", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software to deal in the Software without restriction. MIT License."),
     ("MIT", "Released under the MIT License."),
+    ("MIT-0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. The Software is provided as is, without warranty of any kind. MIT No Attribution."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MS-PL", "This source is subject to the Microsoft Public License. MS-PL. All other rights reserved."),
+    ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("PostgreSQL", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. The Unlicense."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("WTFPL", "This program is free software. It comes without any warranty. You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To Public License, Version 2."),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely. zlib License."),
 )
 TRIGGER = r"(?i)licen[sc]|copyright|spdx|public\s+domain|free\s+software|redistribut|permission\s+is\s+hereby|waived\s+all|creative\s+commons|CC[ -]BY"
-LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice|unlicense)(\.(txt|md|rst))?$"
+LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice|unlicense)([-_.](txt|md|rst|html|lesser|[a-z]*[0-9.]*(clause)?))*$"
 LEAST = 0.55
 OUTPUTS = ("license", "score", "origin", "from_path")
 
@@ -48,9 +84,10 @@ def _terms(text: Column) -> Column:
     return found
 
 
-def _weights(rows: DataFrame, df: DataFrame, n: Column) -> DataFrame:
-    """(key, term, tf) to unit vectors (key, term, w)."""
-    weighed = rows.join(df, "term").withColumn("w", (1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1))
+def _weights(rows: DataFrame, df: DataFrame, n: int) -> DataFrame:
+    """(key, term, tf) to unit vectors (key, term, w); a term that no template has weighs as little as one that all have."""
+    idf = F.when(F.col("df").isNull(), 1.0).otherwise(F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
+    weighed = rows.join(F.broadcast(df), "term", "left").withColumn("w", (1 + F.log("tf")) * idf)  # df: the templates' words
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key")))
     return weighed.select("key", "term", (F.col("w") / norm).alias("w"))
 
@@ -64,10 +101,9 @@ def similar(statements: DataFrame, least: float = LEAST) -> DataFrame:
     templates = spark.createDataFrame([(f"template {i}", name, text) for i, (name, text) in enumerate(TEMPLATES)], "key string, license string, statement string")
     both = statements.select("key", "statement").union(templates.select("key", "statement"))
     tf = written(both.select("key", F.explode(_terms(F.col("statement"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf")), "license-terms")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = both.count()
-    vectors = _weights(tf, df, F.lit(n))
     is_template = F.col("key").startswith("template ")
+    df = tf.where(is_template).groupBy("term").agg(F.count("*").alias("df"))
+    vectors = _weights(tf, df, len(TEMPLATES))
     known = written(vectors.where(is_template).join(templates.select("key", "license"), "key").select(F.col("key").alias("template"), "license", "term", F.col("w").alias("v")), "license-templates")
     dots = vectors.where(~is_template).join(F.broadcast(known), "term").groupBy("key", "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("score"))  # known: a few hundred rows
     best = dots.groupBy("key").agg(F.max(F.struct(F.round("score", 9).alias("score"))).alias("b"), F.collect_list(F.struct(F.round("score", 9).alias("score"), "license")).alias("all"))

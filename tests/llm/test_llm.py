@@ -380,7 +380,24 @@ def test_wrapped_headers_are_scored_whole(spark):
     mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
     rows = [("a.py", "".join(f"# {x}\n" for x in gpl.split("\n")) + "import os\nprint(os.name)\n" * 30), ("c.js", "/* " + mpl.replace("\n", "\n * ") + " */\n\nlet x = 1;\n"), ("d.txt", mpl)]
     got = {r.path: r.license for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
-    assert got == {"a.py": "GPL-2.0", "c.js": "MPL-2.0", "d.txt": "MPL-2.0"}
+    assert got == {"a.py": "GPL-2.0-or-later", "c.js": "MPL-2.0", "d.txt": "MPL-2.0"}
+
+
+def test_whole_notices_and_or_later_forms(spark):
+    """The third BSD clause tells the two notices apart, also with a copyright line, wrapped, numbered otherwise and without the disclaimer."""
+    two, three = (max((t for n, t in licenses.TEMPLATES if n == name), key=len) for name in ("BSD-2-Clause", "BSD-3-Clause"))
+    wrapped = lambda t: "\n".join(" * " + t[i : i + 70] for i in range(0, len(t), 70)).replace("1. ", "(a) ")
+    gpl = "is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; "
+    rows = [("three", f"/*\n * Copyright (c) 2011, Somebody. All rights reserved.\n *\n{wrapped(three)}\n */\nint x;"), ("two", f"Copyright (c) 2011, Somebody\n\n{two}"), ("three/LICENSE-BSD", three.partition(" This software is provided")[0]), ("x/COPYING.LESSER", "GNU LESSER GENERAL PUBLIC LICENSE. " + next(t for n, t in licenses.TEMPLATES if n == "LGPL-3.0")), ("x/a.c", "int y;"), ("g2", f"Tool {gpl}version 2 of the License."), ("g3", f"# Tool {gpl}either version 3 of the License, or (at your option) any later version.")]
+    got = {r.path: (r.license, r.origin) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"three": ("BSD-3-Clause", "header"), "two": ("BSD-2-Clause", "header"), "three/LICENSE-BSD": ("BSD-3-Clause", "file"), "x/COPYING.LESSER": ("LGPL-3.0", "file"), "x/a.c": ("LGPL-3.0", "inherited"), "g2": ("GPL-2.0", "header"), "g3": ("GPL-3.0-or-later", "header")}
+
+
+def test_a_header_scores_alike_in_any_corpus(spark):
+    header = ("h", "Released under the MIT License, see the file LICENSE.")
+    more = [(str(i), f"mit license file number {i} copyright") for i in range(60)]
+    scores = [next(r.score for r in licenses.similar(spark.createDataFrame([header, *x], "key string, statement string")).collect() if r.key == "h") for x in ([], more)]
+    assert scores[0] == scores[1]
 
 
 def test_every_template_is_nearest_to_itself(spark):
@@ -393,11 +410,12 @@ def test_cosines_are_plain_ones(spark):
     rows = [(str(i), t) for i, t in enumerate(["Released under the MIT License, see LICENSE.", "Licensed under the Apache License", "public domain work, the author has waived all rights", "copyright of nobody in particular", "GNU General Public License version 2 license license"])]
     got = {r.key: (r.license, r.score) for r in licenses.similar(spark.createDataFrame(rows, "key string, statement string"), least=0.0).collect()}
     cut = lambda t: Counter(re.findall(r"[a-z]+|[0-9]+(?:\.[0-9]+)?", t.lower()))
-    texts = [cut(t) for _, t in rows] + [cut(t) for _, t in licenses.TEMPLATES]
+    texts = [cut(t) for _, t in licenses.TEMPLATES]
     df = Counter(w for t in texts for w in t)
+    idf = lambda w: math.log((1 + len(texts)) / (1 + df[w])) + 1 if df[w] else 1.0
 
     def vector(t):
-        v = {w: (1 + math.log(c)) * (math.log((1 + len(texts)) / (1 + df[w])) + 1) for w, c in t.items()}
+        v = {w: (1 + math.log(c)) * idf(w) for w, c in t.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {w: x / norm for w, x in v.items()}
 
