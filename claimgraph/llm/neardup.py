@@ -334,6 +334,9 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     component: the smallest id that is reachable over links, the row's own included. Blank and null texts have n = 0 and link
     with nothing: their component is their own id. Null ids are passed over by the minimum; a component of null ids alone
     has null. Repeated rows each get a row. An empty table gives none.
+
+    A pair at the threshold whose sketches agree five standard deviations less than they should is not looked at (probability about 3e-7);
+    it is then linked only where other links connect its documents.
     """
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     keyed = source.select(F.xxhash64("id", "text").alias("key"), "id", "text")
