@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import saved
+from .asof import Alternative, nearest_agreeing
 from .scan import carried, running_total
+from .tails import cut, cuts, prefix_sums
 
 
 def _ends(df: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
@@ -43,23 +45,24 @@ def align_groups(left: DataFrame, right: DataFrame, keys: list[str], order: str,
 def nearest_holder(df: DataFrame, other: DataFrame, keys: list[str], order: str, ids: str, name: str) -> DataFrame:
     """(keys, order, name): for each row the order of the nearest earlier row of `other` whose array `ids` holds the row's order value.
 
-    The arrays are filed by what they hold, so the join is on equal values; rows without a holder are left out.
+    The arrays are filed by what they hold, so a row meets its nearest holder alone; rows without a holder are left out.
     """
-    filed = other.select(*keys, F.col(order).alias(name), F.explode(ids).alias("__id")).distinct()
-    found = df.join(filed.withColumnRenamed("__id", order), [*keys, order])
-    return found.where(F.col(name) < F.col(order)).groupBy(*keys, order).agg(F.max(name).alias(name))
+    rows = df.select(*keys, order).distinct()
+    holds = [[Alternative([F.col(order)], [F.col(ids)])]]
+    found = nearest_agreeing(rows, other.select(*keys, order, ids), keys, [order], holds, F.col(order), name)
+    return found.where(F.col(name).isNotNull()).select(*keys, order, name)
 
 
 def nearest_form(df: DataFrame, other: DataFrame, keys: list[str], order: str, tail: str, form: str, name: str) -> DataFrame:
     """(keys, order, name): for each row the order of the nearest earlier row of `other` whose form begins, ends or is the row's tail,
-    word by word. A tail is filed under all its beginnings and ends, so the join is on equal texts."""
-    words = F.split(F.col(tail), " ")
-    size = F.size(words)
-    cuts = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda n: F.array(F.array_join(F.slice(words, F.lit(1), n), " "), F.array_join(F.slice(words, size - n + 1, n), " "))))
-    tails = df.where(F.col(tail).isNotNull()).select(*keys, order, F.explode(F.array_distinct(cuts)).alias("__form"))
-    forms = other.select(*keys, F.col(order).alias(name), F.col(form).alias("__form"))
-    found = tails.join(forms, [*keys, "__form"]).where(F.col(name) < F.col(order))
-    return found.groupBy(*keys, order).agg(F.max(name).alias(name))
+    word by word. A tail is filed under the hashes of its beginnings and ends (see tails), two numbers a word."""
+    words = lambda c: F.split(F.col(c), " ")
+    shaped = lambda rows, c: rows.where(F.col(c).isNotNull()).select(*keys, order, prefix_sums(words(c)).alias("sums"), F.size(words(c)).alias("size"))
+    zero, size = F.lit(0), F.col("size")
+    ways = [[Alternative([cuts(F.col("sums"), zero, size)], [cut(F.col("sums"), zero, size)])]]
+    found = nearest_agreeing(shaped(df, tail), shaped(other, form), keys, [order], ways, F.col(order), name)
+    best = found.where(F.col(name).isNotNull()).groupBy(*keys, order).agg(F.max(name).alias(name))
+    return best
 
 
 def merge_ordered(df: DataFrame, keys: list[str], order: str, values: str) -> DataFrame:
