@@ -7,6 +7,7 @@ that fails has no more than that folder, which its abort deletes.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -38,10 +39,12 @@ class OwlWriter(DataSourceWriter):
     def __init__(self, folder: str, started: str, overwrite: bool):
         self.folder, self.started, self.overwrite = folder.rstrip("/"), started, overwrite
         self.own = f"{self.folder}/_job-{uuid.uuid4().hex}"
+        # Made here and not by tasks, so that tasks that are still at work when the job is given up find no folder to write to.
+        system, own = _place(self.own)
+        system.create_dir(own, recursive=True)
 
     def write(self, rows: Iterator[Row]) -> Written:
         system, own = _place(self.own)
-        system.create_dir(own, recursive=True)
         attempt, files = uuid.uuid4().hex, []
         for row in rows:
             path = f"{own}/{row.n}-{attempt}"
@@ -66,13 +69,23 @@ class OwlWriter(DataSourceWriter):
         for path in old:
             if path not in names:
                 system.delete_file(path)
-        if system.get_file_info(own).type != fs.FileType.NotFound:
-            system.delete_dir(own)
+        self._drop()
 
     def abort(self, messages: list[Written | None]) -> None:
+        self._drop()
+
+    def _drop(self) -> None:
+        """Delete the job's folder, again where a task has written into it meanwhile."""
         system, own = _place(self.own)
-        if system.get_file_info(own).type != fs.FileType.NotFound:
-            system.delete_dir(own)
+        for tries_left in range(4, -1, -1):
+            try:
+                if system.get_file_info(own).type == fs.FileType.NotFound:
+                    return
+                system.delete_dir(own)
+            except OSError:
+                if not tries_left:
+                    raise
+                time.sleep(0.5)
 
 
 class OwlFiles(DataSource):
