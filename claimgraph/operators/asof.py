@@ -74,5 +74,5 @@ def nearest_agreeing(probes: DataFrame, found: DataFrame, keys: list[str], order
     held = F.when(F.col("__side") == 1, F.struct(*place, "__v"))
     met = carried(streams, [*keys, "__match"], [*place, "__side", "__v"], held, "__near").where("__side = 0 and __near is not null")
     best = met.groupBy("__id").agg(F.max_by(F.struct("__near.__v", "__tier"), F.struct(-F.col("__tier"), "__near")).alias("__best"))
-    joined = whole.join(best, "__id", "left")
+    joined = whole.join(best.hint("merge"), "__id", "left")  # its files are small for what they hold, so it isn't broadcast
     return joined.withColumns({name: F.col("__best.__v"), f"{name}_tier": F.col("__best.__tier")}).drop("__id", "__best")
