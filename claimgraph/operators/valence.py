@@ -56,19 +56,19 @@ def objects(verbs: DataFrame, tokens: DataFrame, valences: DataFrame, keys: list
     """(keys, verb, alt, ix): for each verb the nominals of its first alternative that has any."""
     found = saved(fits(openings(verbs, tokens, valences, keys, skip), tokens, keys), "fits")
     first = found.groupBy(*keys, "verb").agg(F.min("alt").alias("alt"))
-    return found.join(first, [*keys, "verb", "alt"]).select(*keys, "verb", "alt", "ix")
+    return found.join(first.hint("merge"), [*keys, "verb", "alt"]).select(*keys, "verb", "alt", "ix")
 
 
 def additions(verbs: DataFrame, tokens: DataFrame, valences: DataFrame, keys: list[str], taken: DataFrame | None = None, skip: int = SKIP) -> DataFrame:
     """(keys, verb, alt, ix): each alternative, in order, takes the first nominal that fits it and that none before it has taken, nor `taken`
     (keys, verb, ix). One round per alternative of the dictionary."""
     found = fits(openings(verbs, tokens, valences, keys, skip), tokens, keys)
-    found = saved(found if taken is None else found.join(taken.select(*keys, "verb", "ix"), [*keys, "verb", "ix"], "left_anti"), "fits")
+    found = saved(found if taken is None else found.join(taken.select(*keys, "verb", "ix").hint("merge"), [*keys, "verb", "ix"], "left_anti"), "fits")
     used = None
     for alt in sorted(r[0] for r in valences.select("alt").distinct().collect()):
         free = found.where(F.col("alt") == alt)
         if used is not None:
-            free = free.join(used.select(*keys, "verb", "ix"), [*keys, "verb", "ix"], "left_anti")
+            free = free.join(used.select(*keys, "verb", "ix").hint("merge"), [*keys, "verb", "ix"], "left_anti")
         took = saved(free.groupBy(*keys, "verb", "alt").agg(F.min("ix").alias("ix")), "took")
         used = took if used is None else used.unionByName(took)
     return found.limit(0) if used is None else used
