@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import saved
-from .containment import containing
+from .containment import counted
 from .ordered import last_wins
 
 ROOT = "0.0"
@@ -62,8 +62,8 @@ def floating(terms: DataFrame, edges: DataFrame) -> DataFrame:
 def similar_terms(loose: DataFrame, terms: DataFrame, keys: tuple[str, ...] = ("code",)) -> DataFrame:
     """(keys, key, into): floating terms whose text exactly one other term of equal keys contains."""
     other = terms.select(*keys, F.col("key").alias("into"), F.col("term").alias("longer"))
-    found = containing(loose, other, list(keys), "term", "longer").where(F.col("key") != F.col("into"))
-    return found.groupBy(*keys, "key").agg(F.count("*").alias("n"), F.min("into").alias("into")).where("n = 1").drop("n")
+    found = counted(loose, other, list(keys), "key", "term", "into", "longer")
+    return found.where("n = 1").select(*keys, "key", F.col("first").alias("into"))
 
 
 def similar_in_order(loose: DataFrame, terms: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Steps that grew faster than their input, or that gathered what only looked small."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from claimgraph.operators import asof, intervals
+from claimgraph.operators import asof, containment, intervals
 
 
 def plan_of(df) -> str:
@@ -24,3 +26,23 @@ def test_asof_results_are_merged(spark):
     found = asof.nearest_agreeing(rows, rows, ["k"], ["id"], [[asof.Alternative()]], F.col("id"), "near")
     assert "SortMergeJoin [__id" in plan_of(found)
     assert {r.id: r.near for r in found.collect()} == {i: i - 3 if i > 2 else None for i in range(20)}
+
+
+def test_copies_of_texts_are_counted_not_paired(spark):
+    """As pairs one by one, with ids that repeat; and many copies of few texts, whose pairs would be 10^10."""
+    draw = random.Random(3)
+    text = lambda n: "".join(draw.choice("ab") for _ in range(draw.randint(0, n)))
+    short = [(i % 2, draw.randint(0, 30), text(4)) for i in range(60)] + [(0, None, "a"), (1, 3, None)]
+    long = [(i % 2, draw.randint(0, 30), text(9)) for i in range(60)] + [(0, None, "ab"), (1, 4, None)]
+    a, b = spark.createDataFrame(short, "k int, i int, t string"), spark.createDataFrame(long, "k int, j int, u string")
+    for keys in (["k"], []):
+        want: dict = {}
+        for k, i, t in short:
+            for m, j, u in long:
+                if None not in (i, j, t, u) and i != j and t in u and (not keys or k == m):
+                    want.setdefault((k, i) if keys else (i,), []).append(j)
+        got = containment.counted(a if keys else a.drop("k"), b if keys else b.drop("k"), keys, "i", "t", "j", "u").collect()
+        assert {tuple(r[:-2]): tuple(r[-2:]) for r in got} == {w: (len(js), min(js)) for w, js in want.items()}
+    many = spark.range(100_000).select("id", F.concat(F.lit("name "), F.col("id") % 3).alias("t"))
+    found = containment.counted(many.select("id", F.lit("name").alias("t")), many.withColumnsRenamed({"id": "j", "t": "u"}), [], "id", "t", "j", "u")
+    assert found.agg(F.min("n"), F.max("n"), F.max("first"), F.count("*")).first()[:] == (99_999, 99_999, 1, 100_000)
