@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +47,77 @@ def align_groups(left: DataFrame, right: DataFrame, keys: list[str], order: str,
     return found.withColumnRenamed("group", "end")
 
 
+#: Rows whose tokens are laid side by side at once.
+AT_ONCE = 512
+
+
+def _spread(tokens: pa.ListArray) -> tuple:
+    """Of a column of token arrays, for all tokens: the tokens, their rows, places from 1, lengths and ends."""
+    flat, counts = tokens.flatten(), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.fill_null(pc.utf8_length(flat), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first, total = np.cumsum(counts) - counts, np.concatenate([[0], np.cumsum(sizes)])
+    return flat, np.repeat(np.arange(len(counts)), counts), np.arange(len(sizes)) - np.repeat(first, counts) + 1, sizes, total[1:] - np.repeat(total[first], counts)
+
+
+def _side_by_side(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple]:
+    """(key columns, left, right, bases) of some rows: bases[row] + end is a place of its own for every row and end, and bases[row + 1] - 1 one that is no end."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, AT_ONCE):
+            part = batch.slice(k, AT_ONCE)
+            sides = [_spread(part.column(keys + n)) for n in (0, 1)]
+            longest = np.zeros(part.num_rows, np.int64)
+            for _, row, _, _, end in sides:
+                np.maximum.at(longest, row, end)
+            yield part.columns[:keys], *sides, np.concatenate([[0], np.cumsum(longest + 2)])
+
+
+def _shape(df: DataFrame, keys: list[str], rest: str) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), rest])
+
+
+def align_arrays(df: DataFrame, keys: list[str], left: Column, right: Column) -> DataFrame:
+    """(keys, left_at, right_at, left_text): align_tokens() of two arrays of tokens in one row, within the row: no shuffle, nothing on disk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, (texts, row, at, size, end), (_, row_r, at_r, size_r, end_r), base in _side_by_side(batches, len(keys)):
+            # Of one side's tokens that start at a place, empty ones come first and one other at most.
+            code, code_r = (2 * (base[r] + e - n) + (n > 0) for r, e, n in ((row, end, size), (row_r, end_r, size_r)))
+            low, high = np.searchsorted(code_r, code, "left"), np.searchsorted(code_r, code, "right")
+            i = np.repeat(np.arange(len(code)), high - low)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(high - low) - high, high - low)
+            same = end[i] == end_r[j]
+            i, j = i[same], j[same]
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row[i])) for c in key), pa.array(at[i], pa.int32()), pa.array(at_r[j], pa.int32()), texts.take(pa.array(i))], [*keys, "left_at", "right_at", "left_text"])
+
+    return df.select(*[F.col(f"`{k}`") for k in keys], left.alias("__left"), right.alias("__right")).mapInArrow(run, _shape(df, keys, "left_at int, right_at int, left_text string"))
+
+
+def align_group_arrays(df: DataFrame, keys: list[str], left: Column, right: Column) -> DataFrame:
+    """align_groups() of two arrays of tokens in one row, within the row: no shuffle, nothing on disk."""
+    names = [f"{side}_{x}" for side in ("left", "right") for x in ("from", "to")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, *sides, base in _side_by_side(batches, len(keys)):
+            ends = [base[row] + end for _, row, _, _, end in sides]
+            common = np.intersect1d(*ends)
+            groups = []
+            for (_, row, _, _, _), end in zip(sides, ends, strict=True):
+                ahead = np.append(common, base[-1])[np.searchsorted(common, end)]
+                groups.append(np.where(ahead < base[row + 1], ahead, base[row + 1] - 1))
+            every = np.union1d(*groups)
+            row = np.searchsorted(base, every, "right") - 1
+            out = [*(c.take(pa.array(row)) for c in key), pa.array(every - base[row], pa.int64(), mask=every == base[row + 1] - 1)]
+            for (_, _, at, _, _), group in zip(sides, groups, strict=True):
+                low, high = np.searchsorted(group, every, "left"), np.searchsorted(group, every, "right")
+                padded, none = np.append(at, 0), low == high
+                out += [pa.array(padded[low], pa.int32(), mask=none), pa.array(padded[high - 1], pa.int32(), mask=none), pa.array(high - low, pa.int64())]
+            yield pa.RecordBatch.from_arrays(out, [*keys, "end", *names[:2], "n_left", *names[2:], "n_right"])
+
+    shape = "`end` bigint, left_from int, left_to int, n_left bigint, right_from int, right_to int, n_right bigint"
+    return df.select(*[F.col(f"`{k}`") for k in keys], left.alias("__left"), right.alias("__right")).mapInArrow(run, _shape(df, keys, shape))
+
+
 def nearest_holder(df: DataFrame, other: DataFrame, keys: list[str], order: str, ids: str, name: str) -> DataFrame:
     """(keys, order, name): for each row the order of the nearest earlier row of `other` whose array `ids` holds the row's order value.
 

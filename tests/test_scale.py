@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from claimgraph.operators import asof, containment, intervals
+from claimgraph.operators import asof, containment, intervals, matching
+from claimgraph.plans import registry
 
 
 def plan_of(df) -> str:
@@ -46,3 +47,27 @@ def test_copies_of_texts_are_counted_not_paired(spark):
     many = spark.range(100_000).select("id", F.concat(F.lit("name "), F.col("id") % 3).alias("t"))
     found = containment.counted(many.select("id", F.lit("name").alias("t")), many.withColumnsRenamed({"id": "j", "t": "u"}), [], "id", "t", "j", "u")
     assert found.agg(F.min("n"), F.max("n"), F.max("first"), F.count("*")).first()[:] == (99_999, 99_999, 1, 100_000)
+
+
+def test_cuts_in_a_row_align_without_a_shuffle(spark):
+    """The same as by token tables, with empty tokens, nulls and rows of one side alone."""
+    draw = random.Random(5)
+
+    def cut(text):
+        out = []
+        while text:
+            n = draw.randint(0, 3)
+            out, text = [*out, text[:n]], text[n:]
+        return out + [""] * draw.randint(0, 2)
+
+    rows = [(i, cut("aé漢d" * draw.randint(0, 4)), cut("aé漢d" * draw.randint(0, 4))) for i in range(700)] + [(900, None, ["a"]), (901, ["a"], None), (902, None, None), (903, [None, "a"], ["a", None])]
+    df = spark.createDataFrame(rows, "d int, l array<string>, r array<string>")
+    table = lambda c: df.select("d", F.posexplode(c).alias("i", "t")).withColumn("i", F.col("i") + 1)
+    pairs = matching.align_arrays(df, ["d"], F.col("l"), F.col("r"))
+    groups = matching.align_group_arrays(df, ["d"], F.col("l"), F.col("r"))
+    plain = lambda found: sorted((tuple(r) for r in found.collect()), key=repr)
+    assert plain(pairs) == plain(matching.align_tokens(table("l"), table("r"), ["d"], "i", "t").select("d", "left_at", "right_at", "left_at_text"))
+    assert plain(groups) == plain(matching.align_groups(table("l"), table("r"), ["d"], "i", "t"))
+    assert "Exchange" not in plan_of(pairs) + plan_of(groups)
+    for name in ("align_tokens", "aligned_groups"):
+        assert "Exchange" not in plan_of(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
