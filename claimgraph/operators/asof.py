@@ -56,8 +56,10 @@ def nearest_agreeing(probes: DataFrame, found: DataFrame, keys: list[str], order
     A tier is a list of alternatives, of which any will do; the first tier with a match wins, then the row latest in order. Earlier means a smaller `order`
     (columns of found; those of probes have the same names, or are given by `at`); rows of found that tie in order are told apart by value, the
     greatest wins. Rows without a match get null; null keys join nothing. Repeated probes each get a row. Neither table may have columns that begin with two underscores.
+    What the probes accept is worked out once and written, as the ranges' sample would work it out again; `found` should be cheap to read.
     """
-    whole = saved(probes.withColumn("__id", F.monotonically_increasing_id()), "probes")
+    asks = {f"__a{t}_{a}_{i}": c for t, tier in enumerate(tiers) for a, one in enumerate(tier) for i, c in enumerate(one.probe)}
+    whole = saved(probes.withColumns({"__id": F.monotonically_increasing_id(), **asks}), "probes")
     places = at or [F.col(f"`{o}`") for o in order]
     key_not_null = F.lit(True)
     for k in keys:
@@ -68,11 +70,13 @@ def nearest_agreeing(probes: DataFrame, found: DataFrame, keys: list[str], order
     streams = None
     for t, tier in enumerate(tiers):
         for a, one in enumerate(tier):
-            p = _stream(left, one.probe, t, a).select(*[F.col(f"`{k}`") for k in keys], *place, "__tier", "__match", "__id", F.lit(0).alias("__side"), F.lit(None).cast(dict(right.dtypes)["__v"]).alias("__v"))
+            p = _stream(left, [F.col(f"__a{t}_{a}_{i}") for i in range(len(one.probe))], t, a).select(*[F.col(f"`{k}`") for k in keys], *place, "__tier", "__match", "__id", F.lit(0).alias("__side"), F.lit(None).cast(dict(right.dtypes)["__v"]).alias("__v"))
             f = _stream(right, one.found, t, a).select(*[F.col(f"`{k}`") for k in keys], *place, "__tier", "__match", F.lit(None).cast("long").alias("__id"), F.lit(1).alias("__side"), "__v")
             streams = p.unionByName(f) if streams is None else streams.unionByName(p).unionByName(f)
     held = F.when(F.col("__side") == 1, F.struct(*place, "__v"))
-    met = carried(streams, [*keys, "__match"], [*place, "__side", "__v"], held, "__near").where("__side = 0 and __near is not null")
+    # A number goes before keys and values, so that rows are sorted by it and seldom by texts.
+    streams = streams.withColumn("__hash", F.xxhash64(*[F.col(f"`{k}`") for k in keys], "__match"))
+    met = carried(streams, ["__hash", *keys, "__match"], [*place, "__side", "__v"], held, "__near").where("__side = 0 and __near is not null")
     best = met.groupBy("__id").agg(F.max_by(F.struct("__near.__v", "__tier"), F.struct(-F.col("__tier"), "__near")).alias("__best"))
-    joined = whole.join(best.hint("merge"), "__id", "left")  # its files are small for what they hold, so it isn't broadcast
+    joined = whole.drop(*asks).join(best.hint("merge"), "__id", "left")  # its files are small for what they hold, so it isn't broadcast
     return joined.withColumns({name: F.col("__best.__v"), f"{name}_tier": F.col("__best.__tier")}).drop("__id", "__best")

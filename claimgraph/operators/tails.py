@@ -41,6 +41,11 @@ def cuts(sums: Column, start: Column, end: Column, beginnings: bool = True, ends
     return F.array_distinct(F.concat(*parts))
 
 
+def dealt(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """df dealt out to all cores: a file of short texts is read by few tasks, but every text makes hashes."""
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, *[F.col(f"`{c}`") for c in [*keys, order]])
+
+
 def owners(tails: DataFrame, forms: DataFrame, keys: list[str], order: str, tail: str, form: str, conjunction: str = AND) -> tuple[DataFrame, DataFrame]:
     """((keys, order, step, owner), (keys, order, rest)): the owners of each tail, nearest first, and what of it is left without one.
 
@@ -51,9 +56,9 @@ def owners(tails: DataFrame, forms: DataFrame, keys: list[str], order: str, tail
     and have no owners; their rest is the tail itself.
     """
     split = lambda c: F.filter(F.split(F.coalesce(F.col(c), F.lit("")), " "), lambda w: w != "")
-    shaped = tails.select(*keys, F.col(order).alias("at"), split(tail).alias("words"))
+    shaped = dealt(tails.select(*keys, order, tail), keys, order).select(*keys, F.col(order).alias("at"), split(tail).alias("words"))
     state = saved(shaped.withColumns({"sums": prefix_sums(F.col("words")), "low": F.lit(0), "high": F.size("words"), "before": F.col("at")}), "tails")
-    filed = forms.select(*keys, F.col(order).alias("before"), prefix_sums(split(form)).alias("sums"), F.size(split(form)).alias("size")).where("size > 0")
+    filed = dealt(forms.select(*keys, order, form), keys, order).select(*keys, F.col(order).alias("before"), prefix_sums(split(form)).alias("sums"), F.size(split(form)).alias("size")).where("size > 0")
     whole = cut(F.col("sums"), F.lit(0), F.col("size"))
     filed = saved(filed.select(*keys, "before", "size", whole.alias("whole"), cuts(F.col("sums"), F.lit(0), F.col("size"), ends=False).alias("beginnings")), "forms")
     own = lambda: cuts(F.col("sums"), F.col("low"), F.col("high"))
