@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..storage import saved
 from .asof import Alternative, nearest_agreeing
 from .scan import carried, running_total
-from .tails import cut, cuts, prefix_sums
+from .tails import cut, cuts, dealt, prefix_sums
 
 
 def _ends(df: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
@@ -133,10 +133,11 @@ def nearest_form(df: DataFrame, other: DataFrame, keys: list[str], order: str, t
     """(keys, order, name): for each row the order of the nearest earlier row of `other` whose form begins, ends or is the row's tail,
     word by word. A tail is filed under the hashes of its beginnings and ends (see tails), two numbers a word."""
     words = lambda c: F.split(F.col(c), " ")
-    shaped = lambda rows, c: rows.where(F.col(c).isNotNull()).select(*keys, order, prefix_sums(words(c)).alias("sums"), F.size(words(c)).alias("size"))
+    shaped = lambda rows, c: dealt(rows.select(*keys, order, c).where(F.col(c).isNotNull()), keys, order).select(*keys, order, prefix_sums(words(c)).alias("sums"), F.size(words(c)).alias("size"))
     zero, size = F.lit(0), F.col("size")
-    ways = [[Alternative([cuts(F.col("sums"), zero, size)], [cut(F.col("sums"), zero, size)])]]
-    found = nearest_agreeing(shaped(df, tail), shaped(other, form), keys, [order], ways, F.col(order), name)
+    tails = shaped(df, tail).select(*keys, order, cuts(F.col("sums"), zero, size).alias("cuts"))
+    forms = saved(shaped(other, form).select(*keys, order, cut(F.col("sums"), zero, size).alias("whole")), "forms")
+    found = nearest_agreeing(tails, forms, keys, [order], [[Alternative([F.col("cuts")], [F.col("whole")])]], F.col(order), name)
     best = found.where(F.col(name).isNotNull()).groupBy(*keys, order).agg(F.max(name).alias(name))
     return best
 

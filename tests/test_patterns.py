@@ -7,7 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from claimgraph.operators import patterns, tails, valence
+from claimgraph import storage
+from claimgraph.operators import asof, matching, patterns, tails, valence
 from claimgraph.operators.patterns import Step
 
 rng = random.Random(6)
@@ -93,3 +94,28 @@ def test_first_alternative_and_turns(spark):
     assert [tuple(r)[1:] for r in valence.objects(verbs, t, table, ["k"]).collect()] == [(1, 2, 6)]
     assert sorted(tuple(r)[1:] for r in valence.additions(verbs, t, table, ["k"]).collect()) == [(1, 2, 6), (1, 3, 4), (1, 4, 3)]
     assert valence.objects(verbs.limit(0), t, table, ["k"]).collect() == []
+
+
+def test_tails_are_hashed_on_all_cores_and_once(spark, monkeypatch):
+    """Tails and forms of one small file are hashed in many tasks; what a probe accepts is worked out once a row, not again for the ranges' sample."""
+    rows = [("d", i, f"w{i % 7} w{i % 5} w{i % 3}", f"w{i % 3}") for i in range(60)]
+    df = spark.createDataFrame(rows, "code string, ord int, tail string, form string").coalesce(1)
+    tasks = {}
+    for module in (tails, matching, asof):
+        monkeypatch.setattr(module, "saved", lambda df, name: tasks.setdefault(name, df.rdd.getNumPartitions()) and storage.saved(df, name))
+    assert tails.owners(df, df, ["code"], "ord", "tail", "form")[0].count() > 0
+    assert min(tasks["tails"], tasks["forms"]) > 1
+    tasks.clear()
+    near = {r.ord: r.near for r in matching.nearest_form(df, df, ["code"], "ord", "tail", "form", "near").collect()}
+    assert min(tasks["probes"], tasks["forms"]) > 1
+    fits = lambda tail, form: f"{tail} ".startswith(f"{form} ") or f" {tail}".endswith(f" {form}")
+    assert near == {i: max(j for j in range(i) if fits(t, rows[j][3])) for _, i, t, _ in rows if any(fits(t, rows[j][3]) for j in range(i))}
+    made = spark.sparkContext.accumulator(0)
+
+    def noted(form):
+        made.add(1)
+        return form
+
+    ways = [[asof.Alternative([F.udf(noted)("form")], [F.col("form")])]]
+    assert asof.nearest_agreeing(df, df, ["code"], ["ord"], ways, F.col("ord"), "near").count() == 60
+    assert made.value == 60
